@@ -1,0 +1,158 @@
+"""Joins that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .. import config as C
+
+
+Keys = list[tuple]
+
+
+def heavy_keys(
+    df: DataFrame,
+    *keys: Sequence[str],
+    min_rows: int = C.HOT_ROWS,
+    max_keys: int = C.MAX_HOT_KEYS,
+) -> list[Keys]:
+    """For each list of key columns, the keys with at least ``min_rows`` rows.
+
+    Runs one job that reads the key columns once and counts on the map side. At
+    most ``max_keys`` keys come back, heaviest first, so the answer is small. It
+    only steers how rows are spread: a key that is not listed is joined in full.
+    All lists must have the same column types.
+    """
+    tagged = [
+        F.struct(F.lit(i).alias("set"), *[F.col(c).alias(f"k{j}") for j, c in enumerate(columns)])
+        for i, columns in enumerate(keys)
+    ]
+    names = [f"k{j}" for j in range(len(keys[0]))]
+    rows = df.select(F.explode(F.array(*tagged)).alias("key")).select("key.*")
+    counted = rows.dropna().groupBy("set", *names).agg(F.count(F.lit(1)).alias("rows"))
+    heavy = counted.where(F.col("rows") >= min_rows).orderBy(F.desc("rows")).limit(max_keys)
+    found: list[Keys] = [[] for _ in keys]
+    for row in heavy.collect():
+        found[row["set"]].append(tuple(row[n] for n in names))
+    return found
+
+
+def keys_frame(like: DataFrame, on: Sequence[str], keys: Keys) -> DataFrame:
+    """Listed keys as a frame to broadcast; ``heavy_keys`` bounds its size."""
+    schema = like.select(*on).schema
+    for field in schema:
+        field.nullable = True
+    return F.broadcast(like.sparkSession.createDataFrame(keys, schema))
+
+
+def _flagged(df: DataFrame, on: Sequence[str], keys: Keys) -> DataFrame:
+    flags = keys_frame(df, on, keys).withColumn("_hot", F.lit(True))
+    return df.join(F.broadcast(flags), list(on), "left")
+
+
+def _bucket(columns: Sequence[str], salts: int) -> Column:
+    # A hash of the row itself: a task that runs again puts the row in the same place.
+    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
+
+
+def _spread(df: DataFrame, on: Sequence[str], keys: Keys, salt: str, salts: int) -> DataFrame:
+    """One salt per row; only rows of listed keys, or without a key, leave salt 0."""
+    keyless = reduce(or_, [F.col(key).isNull() for key in on])
+    own = F.when(F.col("_hot") | keyless, _bucket(df.columns, salts)).otherwise(0)
+    return _flagged(df, on, keys).withColumn(salt, own).drop("_hot")
+
+
+def _replicate(df: DataFrame, on: Sequence[str], keys: Keys, salt: str, salts: int) -> DataFrame:
+    """Rows of listed keys once per salt, all others with salt 0."""
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    once = F.array(F.lit(0))
+    out = _flagged(df, on, keys)
+    return out.withColumn(salt, F.explode(F.when(F.col("_hot"), every).otherwise(once))).drop(
+        "_hot"
+    )
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    hot_left: Keys = (),
+    hot_right: Keys = (),
+    salts: int = C.SALTS,
+) -> DataFrame:
+    """Equi-join with hot keys cut into ``salts`` pieces; same rows as a plain join.
+
+    ``hot_left`` lists keys with many rows on the left: these rows are spread and
+    the matching right rows repeated for every piece. ``hot_right`` is the mirror
+    image; for a left join each of its keys must occur on the right, and the
+    pieces of a left row that meet nothing are dropped again. Salts come from the
+    content of the row, so identical rows should be folded into a count before.
+    Without hot keys this is the plain join.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"salted_join does not support how={how!r}")
+    keys = list(on)
+    if hot_left:
+        left = _spread(left, on, hot_left, "_salt_l", salts)
+        right = _replicate(right, on, hot_left, "_salt_l", salts)
+        keys.append("_salt_l")
+    if hot_right:
+        left = _replicate(left, on, hot_right, "_salt_r", salts)
+        right = _spread(right, on, hot_right, "_salt_r", salts).withColumn("_met", F.lit(True))
+        keys.append("_salt_r")
+    joined = left.join(right, keys, how)
+    if hot_right and how == "left":
+        # A left row whose key is not hot has one piece, which always counts; of
+        # the pieces of a hot one, those that met something.
+        joined = _flagged(joined, on, hot_right)
+        joined = joined.where(F.col("_hot").isNull() | F.col("_met")).drop("_hot")
+    return joined.drop("_salt_l", "_salt_r", "_met")
+
+
+def with_copies(df: DataFrame, *columns: str) -> DataFrame:
+    """Distinct rows over ``columns`` and how often each occurs, as ``copies``."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def join_copies(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    hot_left: Keys = (),
+    hot_right: Keys = (),
+    salts: int = C.SALTS,
+) -> DataFrame:
+    """Left join of two counted frames: copies multiply, no match counts once."""
+    right = right.withColumnRenamed("copies", "_copies")
+    joined = salted_join(left, right, on, "left", hot_left, hot_right, salts)
+    copies = F.col("copies") * F.coalesce(F.col("_copies"), F.lit(1))
+    return joined.withColumn("copies", copies).drop("_copies")
+
+
+def split_copies(df: DataFrame, per_row: int = C.COPIES_PER_ROW) -> DataFrame:
+    """Cut rows with many copies into rows with at most ``per_row`` copies.
+
+    Adds the number of the piece as ``piece``, so that a sort or a shuffle that
+    includes it can place the pieces of one row in different tasks.
+    """
+    last = F.floor((F.col("copies") - 1) / F.lit(per_row)).cast("int")
+    pieces = df.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    rest = F.col("copies") - F.col("piece").cast("long") * F.lit(per_row)
+    return pieces.withColumn("copies", F.least(rest, F.lit(per_row)))
+
+
+def repeat_copies(df: DataFrame) -> DataFrame:
+    """One output row per copy; ``copies`` is small after ``split_copies``."""
+    times = F.array_repeat(F.lit(True), F.col("copies").cast("int"))
+    return df.withColumn("_copy", F.explode(times)).drop("_copy", "copies", "piece")
+
+
+def expand_copies(df: DataFrame, per_row: int = C.COPIES_PER_ROW) -> DataFrame:
+    """Undo ``with_copies``."""
+    return repeat_copies(split_copies(df, per_row))
