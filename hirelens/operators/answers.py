@@ -37,21 +37,22 @@ def answers_wide(
     to another give six rows. ``mode='one'`` gives one row per application with
     the greatest answer to each question.
 
-    In mode 'all' the few applications with more than ``list_rows`` answers take
-    a way of their own that never brings their answers together in one task.
+    In mode 'all' the answers of an application are gathered into short lists.
+    The few applications with more than ``list_rows`` answers are found first and
+    take a way of their own that never brings their answers together in one task.
     """
     answers = scoped_answers(responses, codes, scope)
+    columns = [*subs.columns, *codes]
     if mode == "one":
         best = answers.groupBy(*KEYS).agg(
             *[F.max(F.when(F.col("question_code") == c, F.col("long_text"))).alias(name)
               for name, c in codes.items()]
         )
-        return subs.join(best, KEYS, "left").select(*subs.columns, *codes)
+        return subs.join(best, KEYS, "left").select(*columns)
     if mode != "all":
         raise ValueError(f"unknown mode: {mode!r}")
 
-    (crowded,) = heavy_keys(answers, KEYS, min_rows=list_rows + 1)
-    columns = [*subs.columns, *codes]
+    crowded = heavy_keys({"answers": (answers, KEYS)}, min_rows=list_rows + 1)["answers"]
     if not crowded:
         return _combine_lists(subs, answers, codes).select(*columns)
     few = keys_frame(subs, KEYS, crowded)
@@ -90,14 +91,19 @@ def _combine_rows(
     list_rows: int,
 ) -> DataFrame:
     """One join per question over counted texts, cut by the text where it has many."""
-    texts = with_copies(answers, *KEYS, "question_code", "long_text")
-    out = subs.withColumn("copies", F.lit(1).cast("long"))
-    for name, code in codes.items():
-        column = texts.where(F.col("question_code") == code).select(
+    texts = with_copies(answers)
+    columns = {
+        name: texts.where(F.col("question_code") == code).select(
             *KEYS, F.col("long_text").alias(name), "copies"
         )
-        (many,) = heavy_keys(column, KEYS, min_rows=list_rows + 1)
+        for name, code in codes.items()
+    }
+    many = heavy_keys(
+        {name: (column, KEYS) for name, column in columns.items()}, min_rows=list_rows + 1
+    )
+    out = subs
+    for name, column in columns.items():
         # The other keys may have grown on the left, in an earlier question.
-        few = sorted(set(crowded) - set(many))
-        out = join_copies(out, column, KEYS, hot_left=few, hot_right=many)
+        grown = sorted(set(crowded) - set(many[name]))
+        out = join_copies(out, column, KEYS, hot_left=grown, hot_right=many[name])
     return expand_copies(out)

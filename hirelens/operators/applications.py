@@ -13,8 +13,16 @@ from ..sources import Tables
 from .filters import in_force, required_filter
 from .flags import code_flags
 from .lookups import lookup_decode, site_label, source_label, translated_names
-from .skew import expand_copies, heavy_keys, join_copies, salted_join, with_copies
-
+from .skew import (
+    Keys,
+    expand_copies,
+    fold_hot,
+    heavy_keys,
+    join_copies,
+    join_matches,
+)
+
+Hot = dict[str, Keys]
 Date = dt.date | Column | None
 Instant = dt.datetime | Column | None
 
@@ -104,18 +112,6 @@ def current_names(t: Tables, as_of: Date = None) -> DataFrame:
     )
 
 
-def person_profile(t: Tables, as_of: Date = None, how_name: str = "left") -> DataFrame:
-    """Candidates with number and current name, as counted rows.
-
-    ``how_name`` is 'inner' to drop candidates without a name.
-    """
-    names = with_copies(current_names(t, as_of), "person_id", "candidate_name")
-    people = t.candidates.withColumn("copies", F.lit(1).cast("long"))
-    if how_name == "left":
-        return join_copies(people, names, ["person_id"])
-    return people.drop("copies").join(names, "person_id", how_name)
-
-
 def veteran_profile(legislative: DataFrame, as_of: Date = None, now: Instant = None) -> DataFrame:
     """Four veteran flags per legislative record in force.
 
@@ -127,8 +123,24 @@ def veteran_profile(legislative: DataFrame, as_of: Date = None, now: Instant = N
     )
 
 
+def person_profile(
+    t: Tables, as_of: Date = None, how_name: str = "left", hot: Hot | None = None
+) -> DataFrame:
+    """Candidates with number and current name.
+
+    ``how_name`` is 'inner' to drop candidates without a name.
+    """
+    busy = hot["names"] if hot is not None else None
+    names = fold_hot(current_names(t, as_of), ["person_id"], busy)
+    return join_copies(t.candidates, names, ["person_id"], how_name, hot_right=busy or ())
+
+
 def extended_profile(
-    t: Tables, as_of: Date = None, now: Instant = None, how_name: str = "left"
+    t: Tables,
+    as_of: Date = None,
+    now: Instant = None,
+    how_name: str = "left",
+    hot: Hot | None = None,
 ) -> DataFrame:
     """``person_profile`` with veteran flags and person-level ethnicity flags.
 
@@ -137,30 +149,58 @@ def extended_profile(
     """
     veterans = veteran_profile(t.person_legislative, as_of, now)
     ethnicities = code_flags(t.person_ethnicities, "person_id", "ethnicity", C.ETHNICITY_CODES)
-    people = person_profile(t, as_of, how_name)
-    people = join_copies(people, with_copies(veterans, *veterans.columns), ["person_id"])
-    people = join_copies(people, ethnicities, ["person_id"])
-    return people.fillna("No", list(C.ETHNICITY_CODES))
+    people = person_profile(t, as_of, how_name, hot)
+    people = join_matches(
+        people, veterans, ["person_id"], hot["veterans"] if hot is not None else None
+    )
+    return join_copies(people, ethnicities, ["person_id"]).fillna("No", list(C.ETHNICITY_CODES))
+
+
+# --- hot keys of the reports ------------------------------------------------
+
+
+REASON_KEYS = ["submission_id", "state_id"]
+SOURCE_KEYS = ["requisition_id", "submission_id", "candidate_number"]
+REGULATORY_KEYS = ["submission_id", "person_id"]
+
+
+def base_keys(t: Tables, as_of: Date = None) -> dict:
+    """Where the spine may meet hot keys, for ``heavy_keys``."""
+    return {
+        "requisitions": (t.submissions, ["requisition_id"]),
+        "people": (t.submissions, ["person_id"]),
+        "names": (current_names(t, as_of), ["person_id"]),
+    }
+
+
+def detail_keys(t: Tables, as_of: Date = None, now: Instant = None) -> dict:
+    """``base_keys`` and those of the tables that multiply applications."""
+    return {
+        **base_keys(t, as_of),
+        "veterans": (veteran_profile(t.person_legislative, as_of, now), ["person_id"]),
+        "reasons": (reason_entries(t.status_history), REASON_KEYS),
+        "sources": (tracked(t.source_tracking), SOURCE_KEYS),
+        "regulatory": (t.regulatory_responses, REGULATORY_KEYS),
+    }
 
 
 # --- applications -----------------------------------------------------------
 
 
 def counted_base(
-    subs: DataFrame, requisitions: DataFrame, people: DataFrame, submissions: DataFrame
+    subs: DataFrame, requisitions: DataFrame, people: DataFrame, hot: Hot | None = None
 ) -> DataFrame:
-    """Requisition - application - person spine as counted rows.
+    """Requisition - application - person spine, as counted rows.
 
-    A requisition or a person with very many applications is spread over several
-    tasks; ``submissions`` is the frame in which such keys are looked for. Copies
-    that ``subs`` already counts are multiplied in.
+    ``hot`` names requisitions and people with very many applications, whose
+    applications are spread over several tasks. None means the applications are
+    known to be few.
     """
-    earlier = F.col("copies") if "copies" in subs.columns else F.lit(1)
-    busy_requisitions, busy_people = heavy_keys(submissions, ["requisition_id"], ["person_id"])
-    spine = salted_join(subs, requisitions, ["requisition_id"], hot_left=busy_requisitions)
-    people = people.withColumnRenamed("copies", "_people")
-    spine = salted_join(spine, people, ["person_id"], hot_left=busy_people)
-    return spine.withColumn("copies", F.col("_people") * earlier).drop("_people")
+    hot = hot or {}
+    spine = join_copies(
+        subs, requisitions, ["requisition_id"], "inner", hot_left=hot.get("requisitions", ())
+    )
+    return join_copies(spine, people, ["person_id"], "inner", hot_left=hot.get("people", ()))
 
 
 def application_base(
@@ -170,28 +210,39 @@ def application_base(
     with_department: bool = True,
 ) -> DataFrame:
     """One row per application on a requisition, by title and candidate name."""
+    hot = heavy_keys(base_keys(t, as_of))
     base = counted_base(
         submission_status(t),
         requisition_profile(t, as_of, with_department),
-        person_profile(t, as_of, how_name),
-        t.submissions,
+        person_profile(t, as_of, how_name, hot),
+        hot,
     )
     return expand_copies(base)
 
 
+def reason_entries(history: DataFrame) -> DataFrame:
+    """History entries that can give a reason: submission_id, state_id, reason_id."""
+    complete = (
+        F.col("subject_id").isNotNull()
+        & F.col("state_id").isNotNull()
+        & F.col("reason_id").isNotNull()
+    )
+    return history.where(complete).select(
+        F.col("subject_id").alias("submission_id"), "state_id", "reason_id"
+    )
+
+
 def reason_rows(history: DataFrame, reasons: DataFrame) -> DataFrame:
-    """submission_id, state_id, sub_status_reason, copies.
+    """submission_id, state_id, sub_status_reason.
 
     The name is attached before the rows meet the applications, so applications
     without a reason never travel under one common null.
     """
-    entries = history.dropna(subset=["subject_id", "state_id", "reason_id"])
-    named = entries.join(reasons, "reason_id", "left").select(
-        F.col("subject_id").alias("submission_id"),
-        "state_id",
-        F.col("reason_name").alias("sub_status_reason"),
+    return (
+        reason_entries(history)
+        .join(reasons, "reason_id", "left")
+        .select("submission_id", "state_id", F.col("reason_name").alias("sub_status_reason"))
     )
-    return with_copies(named, *named.columns)
 
 
 def status_reason(subs: DataFrame, history: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -200,25 +251,24 @@ def status_reason(subs: DataFrame, history: DataFrame, reasons: DataFrame) -> Da
     ``subs`` has submission_id and state_id; adds sub_status_reason, one row per
     history entry.
     """
-    out = join_copies(
-        subs.withColumn("copies", F.lit(1).cast("long")),
-        reason_rows(history, reasons),
-        ["submission_id", "state_id"],
-    )
-    return expand_copies(out.select(*subs.columns, "sub_status_reason", "copies"))
+    busy = heavy_keys({"reasons": (reason_entries(history), REASON_KEYS)})["reasons"]
+    out = join_matches(subs, reason_rows(history, reasons), REASON_KEYS, busy)
+    return expand_copies(out).select(*subs.columns, "sub_status_reason")
+
+
+def tracked(tracking: DataFrame) -> DataFrame:
+    """Tracking records that belong to an application."""
+    return tracking.where(F.col("requisition_id").isNotNull() & F.col("submission_id").isNotNull())
 
 
 def source_rows(tracking: DataFrame, sources: DataFrame, sites: DataFrame) -> DataFrame:
-    """requisition_id, submission_id, candidate_number, source_medium, career_site, copies."""
-    tracked = tracking.dropna(subset=["requisition_id", "submission_id"])
-    named = (
-        tracked.join(sources, "dimension_id", "left")
+    """requisition_id, submission_id, candidate_number, source_medium, career_site."""
+    return (
+        tracked(tracking)
+        .join(sources, "dimension_id", "left")
         .join(sites, "site_number", "left")
-        .select(
-            "requisition_id", "submission_id", "candidate_number", "source_medium", "career_site"
-        )
+        .select(*SOURCE_KEYS, "source_medium", "career_site")
     )
-    return with_copies(named, *named.columns)
 
 
 def application_source(
@@ -228,12 +278,9 @@ def application_source(
 
     All three of requisition_id, submission_id and candidate_number must agree.
     """
-    out = join_copies(
-        apps.withColumn("copies", F.lit(1).cast("long")),
-        source_rows(tracking, sources, sites),
-        ["requisition_id", "submission_id", "candidate_number"],
-    )
-    return expand_copies(out.select(*apps.columns, "source_medium", "career_site", "copies"))
+    busy = heavy_keys({"sources": (tracked(tracking), SOURCE_KEYS)})["sources"]
+    out = join_matches(apps, source_rows(tracking, sources, sites), SOURCE_KEYS, busy)
+    return expand_copies(out).select(*apps.columns, "source_medium", "career_site")
 
 
 def regulatory_profile(responses: DataFrame, lookups: DataFrame) -> DataFrame:
@@ -258,18 +305,16 @@ def regulatory_profile(responses: DataFrame, lookups: DataFrame) -> DataFrame:
 
 
 def regulatory_rows(responses: DataFrame, lookups: DataFrame) -> DataFrame:
-    """What the detail report shows of the regulatory answers, as counted rows."""
+    """What the detail report shows of the regulatory answers."""
     ethnicity, race = ethnicity_split("ethnicity_code", "ethnicity")
-    shown = regulatory_profile(responses, lookups).select(
-        "submission_id",
-        "person_id",
+    return regulatory_profile(responses, lookups).select(
+        *REGULATORY_KEYS,
         "gender",
         ethnicity.alias("ethnicity"),
         race.alias("race"),
         "veterans_preference",
         "disability",
     )
-    return with_copies(shown, *shown.columns)
 
 
 def labelled_sources(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -283,50 +328,43 @@ def labelled_sources(t: Tables) -> tuple[DataFrame, DataFrame]:
 # --- narrowing --------------------------------------------------------------
 
 
-def for_requisitions(t: Tables, req_number, max_rows: int = C.BROADCAST_ROWS) -> Tables:
+def for_requisitions(
+    t: Tables, req_number, max_rows: int = C.BROADCAST_ROWS
+) -> tuple[Tables, bool]:
     """The tables reduced to what belongs to the given requisition numbers.
 
     Every large table joins the applications on a submission or person id. When a
     count shows that these ids are few, they are broadcast and the large tables
-    are cut down while they are scanned, before any shuffle. Otherwise the
-    tables stay whole and the joins of the report do the work.
+    are cut down while they are scanned, before any shuffle, and the second value
+    is True. Otherwise only the requisitions are reduced.
     """
     wanted = required_filter(t.requisitions, "requisition_number", req_number)
     t = t.replace(requisitions=wanted)
     ids = wanted.select("requisition_id")
     if ids.count() > max_rows:
-        return t
+        return t, False
     ids = F.broadcast(ids)
-    subs = t.submissions.join(ids, "requisition_id", "left_semi")
-    t = t.replace(
-        requisition_titles=t.requisition_titles.join(ids, "requisition_id", "left_semi"),
-        submissions=subs.select(*t.submissions.columns),
-    )
+    subs = t.submissions.join(ids, "requisition_id", "left_semi").select(*t.submissions.columns)
+    titles = t.requisition_titles.join(ids, "requisition_id", "left_semi")
+    t = t.replace(requisition_titles=titles, submissions=subs)
     if subs.count() > max_rows:
-        return t
+        return t, False
 
-    changed = {}
-    for id, tables in (
-        (
-            "submission_id",
-            {
-                "status_history": "subject_id",
-                "source_tracking": "submission_id",
-                "regulatory_responses": "submission_id",
-            },
-        ),
-        (
-            "person_id",
-            {
-                "candidates": "person_id",
-                "person_names": "person_id",
-                "person_legislative": "person_id",
-                "person_ethnicities": "person_id",
-            },
-        ),
-    ):
+    def belonging(table: DataFrame, key: str, id: str) -> DataFrame:
         few = F.broadcast(subs.select(F.col(id).alias("_id")))
-        for name, key in tables.items():
-            whole = getattr(t, name)
-            changed[name] = whole.join(few, F.col(key) == F.col("_id"), "left_semi")
-    return t.replace(**changed)
+        return table.join(few, F.col(key) == F.col("_id"), "left_semi")
+
+    return (
+        t.replace(
+            status_history=belonging(t.status_history, "subject_id", "submission_id"),
+            source_tracking=belonging(t.source_tracking, "submission_id", "submission_id"),
+            regulatory_responses=belonging(
+                t.regulatory_responses, "submission_id", "submission_id"
+            ),
+            candidates=belonging(t.candidates, "person_id", "person_id"),
+            person_names=belonging(t.person_names, "person_id", "person_id"),
+            person_legislative=belonging(t.person_legislative, "person_id", "person_id"),
+            person_ethnicities=belonging(t.person_ethnicities, "person_id", "person_id"),
+        ),
+        True,
+    )

@@ -23,16 +23,18 @@ def in_force(
     return df.where(effective(F.col(start), F.col(end), as_of, now, null_start, null_end))
 
 
-def optional_filter(df: DataFrame, column: str | Column, values) -> DataFrame:
+def given(values) -> bool:
+    """False for no values, or 'ALL' as the first one."""
+    wanted = _listed(values)
+    return bool(wanted) and wanted[0] != "ALL"
+
+
+def optional_filter(df: DataFrame, column: str, values) -> DataFrame:
     """Keep rows whose column is one of ``values``.
 
     No values, or 'ALL' as the first one given, switch the filter off.
     """
-    wanted = _listed(values)
-    if not wanted or wanted[0] == "ALL":
-        return df
-    column = F.col(column) if isinstance(column, str) else column
-    return df.where(column.isin(wanted))
+    return df.where(F.col(column).isin(_listed(values))) if given(values) else df
 
 
 def required_filter(df: DataFrame, column: str, values) -> DataFrame:

@@ -35,13 +35,9 @@ def flags_by_code(
     With ``keep_multiplicity`` an entity is repeated as often as one left join per
     code would repeat it.
     """
-    (busy,) = heavy_keys(entities, [key])
-    out = join_copies(
-        entities.withColumn("copies", F.lit(1).cast("long")),
-        code_flags(facts, key, code, mapping),
-        [key],
-        hot_left=busy,
-    )
-    out = out.fillna("No", list(mapping))
-    out = out.select(*entities.columns, *mapping, "copies")
-    return expand_copies(out) if keep_multiplicity else out.drop("copies")
+    flags = code_flags(facts, key, code, mapping)
+    if not keep_multiplicity:
+        flags = flags.drop("copies")
+    busy = heavy_keys({"entities": (entities, [key])})["entities"]
+    out = join_copies(entities, flags, [key], hot_left=busy).fillna("No", list(mapping))
+    return expand_copies(out).select(*entities.columns, *mapping)

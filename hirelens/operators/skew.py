@@ -1,45 +1,57 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Joins that stay even when one key holds a large share of the rows.
+
+``heavy_keys`` looks for such keys. Where it finds none, which is the usual case,
+every function here comes down to the plain join.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 
-
 Keys = list[tuple]
 
 
+# --- finding hot keys -------------------------------------------------------
+
+
 def heavy_keys(
-    df: DataFrame,
-    *keys: Sequence[str],
+    frames: dict[str, tuple[DataFrame, Sequence[str]]],
     min_rows: int = C.HOT_ROWS,
     max_keys: int = C.MAX_HOT_KEYS,
-) -> list[Keys]:
-    """For each list of key columns, the keys with at least ``min_rows`` rows.
-
-    Runs one job that reads the key columns once and counts on the map side. At
-    most ``max_keys`` keys come back, heaviest first, so the answer is small. It
-    only steers how rows are spread: a key that is not listed is joined in full.
-    All lists must have the same column types.
+) -> dict[str, Keys]:
+    """For each named (frame, key columns), the keys with at least ``min_rows`` rows.
+
+    One job for all frames: it reads the key columns only and counts hashes of
+    them, combined on the map side. A second, small job names the keys, if there
+    are any. At most ``max_keys`` come back, heaviest first; every other key has
+    fewer than 1 / ``max_keys`` of the rows. The answer steers how rows are
+    spread, never which rows are joined.
     """
-    tagged = [
-        F.struct(F.lit(i).alias("set"), *[F.col(c).alias(f"k{j}") for j, c in enumerate(columns)])
-        for i, columns in enumerate(keys)
+    hashes = [
+        df.where(_known(on)).select(F.lit(name).alias("frame"), F.xxhash64(*on).alias("hash"))
+        for name, (df, on) in frames.items()
     ]
-    names = [f"k{j}" for j in range(len(keys[0]))]
-    rows = df.select(F.explode(F.array(*tagged)).alias("key")).select("key.*")
-    counted = rows.dropna().groupBy("set", *names).agg(F.count(F.lit(1)).alias("rows"))
-    heavy = counted.where(F.col("rows") >= min_rows).orderBy(F.desc("rows")).limit(max_keys)
-    found: list[Keys] = [[] for _ in keys]
+    counted = reduce(DataFrame.unionAll, hashes).groupBy("frame", "hash").count()
+    heavy = counted.where(F.col("count") >= min_rows).orderBy(F.desc("count")).limit(max_keys)
+    found: dict[str, list[tuple]] = {}
     for row in heavy.collect():
-        found[row["set"]].append(tuple(row[n] for n in names))
-    return found
+        found.setdefault(row["frame"], []).append((row["hash"],))
+
+    keys: dict[str, Keys] = {name: [] for name in frames}
+    for name, hit in found.items():
+        df, on = frames[name]
+        hit_frame = F.broadcast(df.sparkSession.createDataFrame(hit, "_hash long"))
+        named = df.where(_known(on)).select(*on, F.xxhash64(*on).alias("_hash"))
+        rows = named.join(hit_frame, "_hash", "left_semi").select(*on).distinct().collect()
+        keys[name] = [tuple(r) for r in rows]
+    return keys
 
 
 def keys_frame(like: DataFrame, on: Sequence[str], keys: Keys) -> DataFrame:
@@ -50,31 +62,32 @@ def keys_frame(like: DataFrame, on: Sequence[str], keys: Keys) -> DataFrame:
     return F.broadcast(like.sparkSession.createDataFrame(keys, schema))
 
 
+def _known(on: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(key).isNotNull() for key in on])
+
+
+# --- salting ----------------------------------------------------------------
+
+
 def _flagged(df: DataFrame, on: Sequence[str], keys: Keys) -> DataFrame:
     flags = keys_frame(df, on, keys).withColumn("_hot", F.lit(True))
     return df.join(F.broadcast(flags), list(on), "left")
 
 
-def _bucket(columns: Sequence[str], salts: int) -> Column:
-    # A hash of the row itself: a task that runs again puts the row in the same place.
-    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
-
-
 def _spread(df: DataFrame, on: Sequence[str], keys: Keys, salt: str, salts: int) -> DataFrame:
     """One salt per row; only rows of listed keys, or without a key, leave salt 0."""
+    # A hash of the row itself: a task that runs again puts the row in the same place.
+    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
     keyless = reduce(or_, [F.col(key).isNull() for key in on])
-    own = F.when(F.col("_hot") | keyless, _bucket(df.columns, salts)).otherwise(0)
+    own = F.when(F.col("_hot") | keyless, bucket).otherwise(0)
     return _flagged(df, on, keys).withColumn(salt, own).drop("_hot")
 
 
 def _replicate(df: DataFrame, on: Sequence[str], keys: Keys, salt: str, salts: int) -> DataFrame:
     """Rows of listed keys once per salt, all others with salt 0."""
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    once = F.array(F.lit(0))
-    out = _flagged(df, on, keys)
-    return out.withColumn(salt, F.explode(F.when(F.col("_hot"), every).otherwise(once))).drop(
-        "_hot"
-    )
+    salted = F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
+    return _flagged(df, on, keys).withColumn(salt, salted).drop("_hot")
 
 
 def salted_join(
@@ -93,7 +106,6 @@ def salted_join(
     image; for a left join each of its keys must occur on the right, and the
     pieces of a left row that meet nothing are dropped again. Salts come from the
     content of the row, so identical rows should be folded into a count before.
-    Without hot keys this is the plain join.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join does not support how={how!r}")
@@ -115,33 +127,67 @@ def salted_join(
     return joined.drop("_salt_l", "_salt_r", "_met")
 
 
-def with_copies(df: DataFrame, *columns: str) -> DataFrame:
-    """Distinct rows over ``columns`` and how often each occurs, as ``copies``."""
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+# --- counted rows -----------------------------------------------------------
+#
+# A frame with a ``copies`` column stands for each row that many times. A frame
+# without one is read as one copy per row.
+
+
+def with_copies(df: DataFrame) -> DataFrame:
+    """Distinct rows and how often each occurs."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def fold_hot(df: DataFrame, on: Sequence[str], hot: Keys | None) -> DataFrame:
+    """Fold identical rows of the hot keys into one counted row each.
+
+    ``hot=None`` means nobody has looked for hot keys: all rows are folded.
+    """
+    if hot is None:
+        return with_copies(df)
+    if not hot:
+        return df
+    few = keys_frame(df, on, hot)
+    usual = df.join(few, list(on), "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    return usual.unionByName(with_copies(df.join(few, list(on), "left_semi")))
 
 
 def join_copies(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
+    how: str = "left",
     hot_left: Keys = (),
     hot_right: Keys = (),
-    salts: int = C.SALTS,
 ) -> DataFrame:
-    """Left join of two counted frames: copies multiply, no match counts once."""
+    """Join counted frames: copies multiply, a row without a match counts once."""
+    counted = "copies" in left.columns
+    if "copies" not in right.columns:
+        return salted_join(left, right, on, how, hot_left, hot_right)
     right = right.withColumnRenamed("copies", "_copies")
-    joined = salted_join(left, right, on, "left", hot_left, hot_right, salts)
-    copies = F.col("copies") * F.coalesce(F.col("_copies"), F.lit(1))
+    joined = salted_join(left, right, on, how, hot_left, hot_right)
+    copies = F.coalesce(F.col("_copies"), F.lit(1).cast("long"))
+    if counted:
+        copies = F.col("copies") * copies
     return joined.withColumn("copies", copies).drop("_copies")
 
 
+def join_matches(
+    left: DataFrame, right: DataFrame, on: Sequence[str], hot: Keys | None = ()
+) -> DataFrame:
+    """Left join that multiplies rows; ``hot`` lists keys with many rows on the right."""
+    return join_copies(left, fold_hot(right, on, hot), on, hot_right=hot or ())
+
+
 def split_copies(df: DataFrame, per_row: int = C.COPIES_PER_ROW) -> DataFrame:
     """Cut rows with many copies into rows with at most ``per_row`` copies.
 
     Adds the number of the piece as ``piece``, so that a sort or a shuffle that
     includes it can place the pieces of one row in different tasks.
     """
-    last = F.floor((F.col("copies") - 1) / F.lit(per_row)).cast("int")
+    if "copies" not in df.columns:
+        return df
+    last = F.expr(f"cast((copies - 1) div {per_row} as int)")
     pieces = df.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     rest = F.col("copies") - F.col("piece").cast("long") * F.lit(per_row)
     return pieces.withColumn("copies", F.least(rest, F.lit(per_row)))
@@ -149,10 +195,12 @@ def split_copies(df: DataFrame, per_row: int = C.COPIES_PER_ROW) -> DataFrame:
 
 def repeat_copies(df: DataFrame) -> DataFrame:
     """One output row per copy; ``copies`` is small after ``split_copies``."""
+    if "copies" not in df.columns:
+        return df
     times = F.array_repeat(F.lit(True), F.col("copies").cast("int"))
     return df.withColumn("_copy", F.explode(times)).drop("_copy", "copies", "piece")
 
 
 def expand_copies(df: DataFrame, per_row: int = C.COPIES_PER_ROW) -> DataFrame:
-    """Undo ``with_copies``."""
+    """Plain rows again."""
     return repeat_copies(split_copies(df, per_row))

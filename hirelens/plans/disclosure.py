@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.labels import preference_verdict
 from ..operators.answers import answers_wide
-from ..operators.applications import Date, counted_base, person_profile, requisition_profile
-from ..operators.filters import optional_filter
-from ..operators.skew import repeat_copies, split_copies
+from ..operators.applications import (
+    Date,
+    base_keys,
+    counted_base,
+    for_requisitions,
+    person_profile,
+    requisition_profile,
+)
+from ..operators.filters import given, optional_filter
+from ..operators.skew import heavy_keys, repeat_copies, split_copies
 from ..sources import Tables
 from .ordering import report_order
 
@@ -25,19 +32,16 @@ def disclosure_list(
     The three filters take one value or a list; None, an empty list or 'ALL' as
     the first value switch a filter off.
     """
-    t = t.replace(
-        requisitions=optional_filter(t.requisitions, "requisition_number", req_number),
-        requisition_titles=optional_filter(t.requisition_titles, "title", req_name),
-    )
+    few = False
+    if given(req_number):
+        t, few = for_requisitions(t, req_number)
+    t = t.replace(requisition_titles=optional_filter(t.requisition_titles, "title", req_name))
+    hot = None if few else heavy_keys(base_keys(t, as_of))
     profile = requisition_profile(t, as_of)
     opened = profile.where(F.upper("req_phase") == C.OPEN_PHASE).drop("req_phase")
     opened = optional_filter(opened, "req_current_status", req_status)
-    rows = counted_base(
-        t.submissions.select(*SUBMISSION_IDS),
-        opened,
-        person_profile(t, as_of, how_name="inner"),
-        t.submissions,
-    )
+    people = person_profile(t, as_of, "inner", hot)
+    rows = counted_base(t.submissions.select(*SUBMISSION_IDS), opened, people, hot)
     rows = report_order(split_copies(rows), "requisition_number", "candidate_name")
     return repeat_copies(rows).select(
         "requisition_id",

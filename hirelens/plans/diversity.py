@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.labels import race_ethnicity
 from ..operators.applications import (
+    REASON_KEYS,
+    REGULATORY_KEYS,
+    SOURCE_KEYS,
     Date,
     Instant,
     application_base,
     counted_base,
+    detail_keys,
     extended_profile,
     for_requisitions,
     labelled_sources,
@@ -27,7 +31,7 @@ from ..operators.applications import (
 from ..operators.headcount import headcount_by
 from ..operators.skew import (
     heavy_keys,
-    join_copies,
+    join_matches,
     repeat_copies,
     salted_join,
     split_copies,
@@ -63,8 +67,8 @@ DETAIL_COLUMNS = [
 REQUISITION = ["requisition_id", "requisition_number", "requisition_name"]
 
 
-def _scope(t: Tables, req_number, all_requisitions: bool) -> Tables:
-    return t if all_requisitions else for_requisitions(t, req_number)
+def _scope(t: Tables, req_number, all_requisitions: bool) -> tuple[Tables, bool]:
+    return (t, False) if all_requisitions else for_requisitions(t, req_number)
 
 
 def diversity_detail(
@@ -80,17 +84,21 @@ def diversity_detail(
     The report has no meaning without a requisition, so a missing number is an
     error unless ``all_requisitions`` is set.
     """
-    t = _scope(t, req_number, all_requisitions)
+    t, few = _scope(t, req_number, all_requisitions)
+    # Tables cut down to few applications are folded as they are, which is cheaper
+    # than scanning them once more to look for hot keys.
+    hot = None if few else heavy_keys(detail_keys(t, as_of, now))
+
+    def matches(left, right, on, name):
+        return join_matches(left, right, on, None if hot is None else hot[name])
+
     # What hangs on the submission itself is joined while its rows are narrow.
-    subs = submission_status(t).withColumn("copies", F.lit(1).cast("long"))
-    subs = join_copies(
-        subs, reason_rows(t.status_history, t.reasons), ["submission_id", "state_id"]
-    )
-    subs = join_copies(
-        subs, regulatory_rows(t.regulatory_responses, t.lookups), ["submission_id", "person_id"]
-    )
+    subs = submission_status(t)
+    subs = matches(subs, reason_rows(t.status_history, t.reasons), REASON_KEYS, "reasons")
+    regulatory = regulatory_rows(t.regulatory_responses, t.lookups)
+    subs = matches(subs, regulatory, REGULATORY_KEYS, "regulatory")
 
-    people = extended_profile(t, as_of, now)
+    people = extended_profile(t, as_of, now, hot=hot)
     new_ethnicity, new_race = race_ethnicity({n: n for n in C.ETHNICITY_CODES}, fix_labels)
     people = people.select(
         "person_id",
@@ -101,17 +109,13 @@ def diversity_detail(
         new_race.alias("new_race"),
         "copies",
     )
-    rows = counted_base(
-        subs, requisition_profile(t, as_of, with_department=True), people, t.submissions
-    )
-    rows = join_copies(
-        rows,
-        source_rows(t.source_tracking, *labelled_sources(t)),
-        ["requisition_id", "submission_id", "candidate_number"],
-    )
-    pieces = split_copies(rows.select(*DETAIL_COLUMNS, "submission_id", "copies"))
-    pieces = report_order(pieces, "requisition_number", "candidate_name")
-    return repeat_copies(pieces).select(*DETAIL_COLUMNS)
+    requisitions = requisition_profile(t, as_of, with_department=True)
+    rows = counted_base(subs, requisitions, people, hot)
+    sources = source_rows(t.source_tracking, *labelled_sources(t))
+    rows = matches(rows, sources, SOURCE_KEYS, "sources")
+    rows = rows.select(*DETAIL_COLUMNS, "submission_id", "copies")
+    rows = report_order(split_copies(rows), "requisition_number", "candidate_name")
+    return repeat_copies(rows).select(*DETAIL_COLUMNS)
 
 
 def _measures(veteran: Column) -> dict[str, Column]:
@@ -147,7 +151,7 @@ def diversity_counts(
     requisition before the titles come in: all titles of a requisition
     share the same people.
     """
-    t = _scope(t, req_number, all_requisitions)
+    t, few = _scope(t, req_number, all_requisitions)
     conditions = _measures(veteran=F.lit(False))
     names = list(conditions)
     answered = t.regulatory_responses.groupBy("submission_id", "person_id").agg(
@@ -169,8 +173,8 @@ def diversity_counts(
         .select("submission_id", "requisition_id", "person_id")
         .join(answered, ["submission_id", "person_id"], "left")
     )
-    (busy_people,) = heavy_keys(t.submissions, ["person_id"])
-    apps = salted_join(apps, people, ["person_id"], hot_left=busy_people)
+    busy = () if few else heavy_keys({"people": (t.submissions, ["person_id"])})["people"]
+    apps = salted_join(apps, people, ["person_id"], hot_left=busy)
     flags = {n: F.col(n) for n in names}
     flags["Candidate"] = F.lit(True)
     flags["Veteran"] = F.col("Veteran") | F.col("_veteran")
@@ -189,7 +193,7 @@ def diversity_counts_union(
     all_requisitions: bool = False,
 ) -> DataFrame:
     """The same counts in the plain form, one branch per count; a cross-check."""
-    t = _scope(t, req_number, all_requisitions)
+    t, _ = _scope(t, req_number, all_requisitions)
     base = application_base(t, as_of, how_name="left", with_department=True)
     rows = base.join(t.regulatory_responses, ["submission_id", "person_id"], "left")
     rows = rows.join(veteran_profile(t.person_legislative, as_of, now), "person_id", "left")

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from ..operators.filters import sorted_report
 
 
-def report_order(pieces: DataFrame, *columns: str) -> DataFrame:
+def report_order(rows: DataFrame, *columns: str) -> DataFrame:
     """Sort counted rows before their copies are written out.
 
-    The application and the piece break ties, so that equal names on one busy
-    requisition can be cut into several sort partitions.
+    The application, and the piece of a row with very many copies, break ties, so
+    that equal names on one busy requisition can be cut into several partitions.
     """
-    return sorted_report(pieces, *columns, "submission_id", "piece")
+    piece = ["piece"] if "piece" in rows.columns else []
+    return sorted_report(rows, *columns, "submission_id", *piece)

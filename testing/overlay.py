@@ -8,6 +8,7 @@ carry a null or a negative key instead.
 from __future__ import annotations
 
 import datetime as dt
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -142,12 +143,11 @@ VIEWS = {
 
 def overlay_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The views as DataFrames."""
+    base = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
     def view(text: str):
         used = [name for name in BASE if f"{{{name}}}" in text]
-        return lambda: spark.sql(
-            text, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in used}
-        )
+        return lambda: spark.sql(text, **{name: base(name) for name in used})
 
     return Tables.from_frames({name: view(text) for name, text in VIEWS.items()})
 
