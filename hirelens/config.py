@@ -83,7 +83,7 @@ SALTS = 256
 # 1 / MAX_HOT_KEYS of the rows, and the list is small enough to broadcast.
 MAX_HOT_KEYS = 100_000
 # An application with more answers than this is never gathered into lists.
-LIST_ROWS = 10_000
+LIST_ROWS = 100_000
 # Copies produced from one row by one explode.
 COPIES_PER_ROW = 65_536
 # Ids are only sent to every executor after a count has shown at most this many.

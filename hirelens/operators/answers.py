@@ -29,7 +29,7 @@ def answers_wide(
     codes: dict[str, str],
     scope: dict | None = None,
     mode: str = "all",
-    list_rows: int = C.LIST_ROWS,
+    list_rows: int | None = None,
 ) -> DataFrame:
     """Left join each application with its answers, one column per question.
 
@@ -38,9 +38,10 @@ def answers_wide(
     the greatest answer to each question.
 
     In mode 'all' the answers of an application are gathered into short lists.
-    The few applications with more than ``list_rows`` answers are found first and
-    take a way of their own that never brings their answers together in one task.
+    The few applications with more than ``list_rows`` answers (``config.LIST_ROWS``)
+    are found first and take a way of their own that never brings their answers together in one task.
     """
+    list_rows = list_rows or C.LIST_ROWS
     answers = scoped_answers(responses, codes, scope)
     columns = [*subs.columns, *codes]
     if mode == "one":
@@ -52,7 +53,9 @@ def answers_wide(
     if mode != "all":
         raise ValueError(f"unknown mode: {mode!r}")
 
-    crowded = heavy_keys({"answers": (answers, KEYS)}, min_rows=list_rows + 1)["answers"]
+    crowded = heavy_keys(
+        {"answers": (answers, KEYS)}, min_rows=list_rows + 1, sizes_first=False
+    )["answers"]
     if not crowded:
         return _combine_lists(subs, answers, codes).select(*columns)
     few = keys_frame(subs, KEYS, crowded)

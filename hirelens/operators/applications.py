@@ -329,15 +329,16 @@ def labelled_sources(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def for_requisitions(
-    t: Tables, req_number, max_rows: int = C.BROADCAST_ROWS
+    t: Tables, req_number, max_rows: int | None = None
 ) -> tuple[Tables, bool]:
     """The tables reduced to what belongs to the given requisition numbers.
 
     Every large table joins the applications on a submission or person id. When a
-    count shows that these ids are few, they are broadcast and the large tables
+    count shows that these ids are few (``config.BROADCAST_ROWS``), they are broadcast and the large tables
     are cut down while they are scanned, before any shuffle, and the second value
     is True. Otherwise only the requisitions are reduced.
     """
+    max_rows = C.BROADCAST_ROWS if max_rows is None else max_rows
     wanted = required_filter(t.requisitions, "requisition_number", req_number)
     t = t.replace(requisitions=wanted)
     ids = wanted.select("requisition_id")

@@ -23,28 +23,38 @@ Keys = list[tuple]
 
 def heavy_keys(
     frames: dict[str, tuple[DataFrame, Sequence[str]]],
-    min_rows: int = C.HOT_ROWS,
-    max_keys: int = C.MAX_HOT_KEYS,
+    min_rows: int | None = None,
+    max_keys: int | None = None,
+    sizes_first: bool = True,
 ) -> dict[str, Keys]:
     """For each named (frame, key columns), the keys with at least ``min_rows`` rows.
 
-    One job for all frames: it reads the key columns only and counts hashes of
-    them, combined on the map side. A second, small job names the keys, if there
-    are any. At most ``max_keys`` come back, heaviest first; every other key has
-    fewer than 1 / ``max_keys`` of the rows. The answer steers how rows are
-    spread, never which rows are joined.
+    One job counts hashes of the keys, combined on the map side, and a small one
+    names the keys it found, if any. With ``sizes_first`` frames with fewer rows
+    than ``min_rows`` are left out after a plain count, which reads no key column.
+    At most ``max_keys`` keys come back, heaviest first; every other key has fewer
+    than 1 / ``max_keys`` of the rows. The answer steers how rows are spread, never
+    which rows are joined.
+    ``config.HOT_ROWS`` and ``config.MAX_HOT_KEYS`` are the defaults.
     """
-    hashes = [
-        df.where(_known(on)).select(F.lit(name).alias("frame"), F.xxhash64(*on).alias("hash"))
-        for name, (df, on) in frames.items()
-    ]
-    counted = reduce(DataFrame.unionAll, hashes).groupBy("frame", "hash").count()
-    heavy = counted.where(F.col("count") >= min_rows).orderBy(F.desc("count")).limit(max_keys)
+    min_rows, max_keys = min_rows or C.HOT_ROWS, max_keys or C.MAX_HOT_KEYS
+    keys: dict[str, Keys] = {name: [] for name in frames}
+    large = list(frames)
+    if sizes_first:
+        sizes = _counted({name: df.select() for name, (df, _) in frames.items()}).collect()
+        large = [row["frame"] for row in sizes if row["count"] >= min_rows]
+    if not large:
+        return keys
+
+    hashes = {}
+    for name in large:
+        df, on = frames[name]
+        hashes[name] = df.where(_known(on)).select(F.xxhash64(*on).alias("hash"))
+    heavy = _counted(hashes, "hash").where(F.col("count") >= min_rows)
     found: dict[str, list[tuple]] = {}
-    for row in heavy.collect():
+    for row in heavy.orderBy(F.desc("count")).limit(max_keys).collect():
         found.setdefault(row["frame"], []).append((row["hash"],))
 
-    keys: dict[str, Keys] = {name: [] for name in frames}
     for name, hit in found.items():
         df, on = frames[name]
         hit_frame = F.broadcast(df.sparkSession.createDataFrame(hit, "_hash long"))
@@ -54,6 +64,12 @@ def heavy_keys(
     return keys
 
 
+def _counted(frames: dict[str, DataFrame], *columns: str) -> DataFrame:
+    """Rows per frame, or per frame and column."""
+    tagged = [df.select(F.lit(name).alias("frame"), *columns) for name, df in frames.items()]
+    return reduce(DataFrame.unionAll, tagged).groupBy("frame", *columns).count()
+
+
 def keys_frame(like: DataFrame, on: Sequence[str], keys: Keys) -> DataFrame:
     """Listed keys as a frame to broadcast; ``heavy_keys`` bounds its size."""
     schema = like.select(*on).schema
@@ -97,7 +113,7 @@ def salted_join(
     how: str = "inner",
     hot_left: Keys = (),
     hot_right: Keys = (),
-    salts: int = C.SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Equi-join with hot keys cut into ``salts`` pieces; same rows as a plain join.
 
@@ -109,6 +125,7 @@ def salted_join(
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join does not support how={how!r}")
+    salts = salts or C.SALTS
     keys = list(on)
     if hot_left:
         left = _spread(left, on, hot_left, "_salt_l", salts)
@@ -179,7 +196,7 @@ def join_matches(
     return join_copies(left, fold_hot(right, on, hot), on, hot_right=hot or ())
 
 
-def split_copies(df: DataFrame, per_row: int = C.COPIES_PER_ROW) -> DataFrame:
+def split_copies(df: DataFrame, per_row: int | None = None) -> DataFrame:
     """Cut rows with many copies into rows with at most ``per_row`` copies.
 
     Adds the number of the piece as ``piece``, so that a sort or a shuffle that
@@ -187,6 +204,7 @@ def split_copies(df: DataFrame, per_row: int = C.COPIES_PER_ROW) -> DataFrame:
     """
     if "copies" not in df.columns:
         return df
+    per_row = per_row or C.COPIES_PER_ROW
     last = F.expr(f"cast((copies - 1) div {per_row} as int)")
     pieces = df.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     rest = F.col("copies") - F.col("piece").cast("long") * F.lit(per_row)
@@ -201,6 +219,6 @@ def repeat_copies(df: DataFrame) -> DataFrame:
     return df.withColumn("_copy", F.explode(times)).drop("_copy", "copies", "piece")
 
 
-def expand_copies(df: DataFrame, per_row: int = C.COPIES_PER_ROW) -> DataFrame:
+def expand_copies(df: DataFrame, per_row: int | None = None) -> DataFrame:
     """Plain rows again."""
     return repeat_copies(split_copies(df, per_row))

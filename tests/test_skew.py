@@ -1,0 +1,106 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from hirelens.operators.skew import (
+    expand_copies,
+    fold_hot,
+    heavy_keys,
+    join_copies,
+    join_matches,
+    salted_join,
+    with_copies,
+)
+from tests.conftest import bag
+
+
+def test_heavy_keys_finds_the_frequent_ones(spark):
+    rows = [(1, "a")] * 5 + [(2, "b")] * 3 + [(None, "c")] * 9 + [(3, "d")]
+    df = spark.createDataFrame(rows, "k long, v string")
+    other = spark.createDataFrame([("x", 1)] * 4 + [("y", 2)], "s string, n int")
+    frames = {"one": (df, ["k"]), "two": (other, ["s", "n"]), "none": (df.limit(0), ["k"])}
+    got = heavy_keys(frames, min_rows=3)
+    assert {n: sorted(k) for n, k in got.items()} == {
+        "one": [(1,), (2,)], "two": [("x", 1)], "none": [],
+    }
+    assert heavy_keys(frames, min_rows=100) == {"one": [], "two": [], "none": []}
+    assert heavy_keys(frames, min_rows=3, sizes_first=False) == got
+    assert heavy_keys({"one": (df, ["k"])}, min_rows=3, max_keys=1) == {"one": [(1,)]}
+
+
+def random_frames(spark, seed):
+    pick = random.Random(seed)
+    keys = [None, 1, 1, 1, 1, 2, 2, 3, 4, 5]
+    left = [(pick.choice(keys), pick.choice("xy"), i) for i in range(60)]
+    right = [(pick.choice(keys[:-1]), pick.choice("xy"), i % 7) for i in range(40)]
+    return (
+        spark.createDataFrame(left, "k long, c string, l int"),
+        spark.createDataFrame(right, "k long, c string, r int"),
+    )
+
+
+HOT = [(1, "x"), (1, "y"), (2, "x")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_salted_join_equals_plain_join(spark, how, seed):
+    left, right = random_frames(spark, seed)
+    want = bag(left.join(right, ["k", "c"], how))
+    present = {(r.k, r.c) for r in right.select("k", "c").distinct().collect()}
+    hot_right = [k for k in HOT if k in present]
+    for hot in ({"hot_left": HOT}, {"hot_right": hot_right},
+                {"hot_left": HOT, "hot_right": hot_right},
+                {"hot_left": [(4, "x")], "hot_right": hot_right}):
+        got = salted_join(left, right, ["k", "c"], how, salts=4, **hot)
+        assert bag(got.select("k", "c", "l", "r")) == want
+
+
+def test_salted_join_spreads_a_hot_key(spark):
+    rows = spark.range(4000).select((F.col("id") % 1 + 7).alias("k"), "id")
+    names = spark.createDataFrame([(7, "n")], "k long, name string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def busiest(df):
+            sizes = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            return max(r["count"] for r in sizes)
+
+        assert busiest(rows.join(names, "k")) == 4000
+        assert busiest(salted_join(rows, names, ["k"], hot_left=[(7,)], salts=64)) < 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_salted_join_refuses_other_kinds(spark):
+    with pytest.raises(ValueError):
+        salted_join(spark.range(1), spark.range(1), ["id"], "full")
+
+
+def test_copies_round_trip(spark):
+    df = spark.createDataFrame([(1, "a")] * 7 + [(2, None)] * 3 + [(3, "c")], "k long, v string")
+    assert bag(expand_copies(with_copies(df), per_row=2)) == bag(df)
+    assert bag(expand_copies(fold_hot(df, ["k"], [(1,)]))) == bag(df)
+    assert fold_hot(df, ["k"], []) is df
+    assert fold_hot(df, ["k"], [(1,)]).where("k = 1").count() == 1
+
+
+@pytest.mark.parametrize("hot", [None, [], [(1,)], [(1,), (2,)]])
+def test_join_matches_equals_left_join(spark, hot):
+    left, right = random_frames(spark, 3)
+    left = left.drop("c")
+    right = right.drop("c")
+    want = bag(left.join(right, "k", "left"))
+    assert bag(expand_copies(join_matches(left, right, ["k"], hot))) == want
+
+
+def test_copies_of_both_sides_multiply(spark):
+    left = spark.createDataFrame([(1, 2), (2, 3)], "k long, copies long")
+    right = spark.createDataFrame([(1, 5)], "k long, copies long")
+    assert bag(join_copies(left, right, ["k"])) == [(1, 10), (2, 3)]
+    assert bag(join_copies(left, right, ["k"], "inner")) == [(1, 10)]
+    assert bag(join_copies(left, spark.createDataFrame([(1,)], "k long"), ["k"])) == [
+        (1, 2), (2, 3),
+    ]
