@@ -86,5 +86,6 @@ MAX_HOT_KEYS = 100_000
 LIST_ROWS = 100_000
 # Copies produced from one row by one explode.
 COPIES_PER_ROW = 65_536
-# Ids are only sent to every executor after a count has shown at most this many.
-BROADCAST_ROWS = 500_000
+# Ids and small sides of hot joins are only sent to every executor after a count
+# has shown at most this many rows.
+BROADCAST_ROWS = 200_000

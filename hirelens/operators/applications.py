@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.labels import blank_to_null, ethnicity_split, status_label, yes_no
 from ..sources import Tables
+from .checkpoints import checkpointed
 from .filters import in_force, required_filter
 from .flags import code_flags
 from .lookups import lookup_decode, site_label, source_label, translated_names
@@ -20,6 +21,7 @@ from .skew import (
     heavy_keys,
     join_copies,
     join_matches,
+    salted_join,
 )
 
 Hot = dict[str, Keys]
@@ -166,9 +168,10 @@ REGULATORY_KEYS = ["submission_id", "person_id"]
 
 def base_keys(t: Tables, as_of: Date = None) -> dict:
     """Where the spine may meet hot keys, for ``heavy_keys``."""
+    subs = t.submissions
     return {
-        "requisitions": (t.submissions, ["requisition_id"]),
-        "people": (t.submissions, ["person_id"]),
+        "requisitions": (subs, ["requisition_id"]),
+        "people": (subs, ["person_id"]),
         "names": (current_names(t, as_of), ["person_id"]),
     }
 
@@ -179,11 +182,17 @@ def detail_keys(t: Tables, as_of: Date = None, now: Instant = None) -> dict:
         **base_keys(t, as_of),
         "veterans": (veteran_profile(t.person_legislative, as_of, now), ["person_id"]),
         "reasons": (reason_entries(t.status_history), REASON_KEYS),
-        "sources": (tracked(t.source_tracking), SOURCE_KEYS),
+        **source_keys(t.source_tracking),
         "regulatory": (t.regulatory_responses, REGULATORY_KEYS),
     }
 
 
+def source_keys(tracking: DataFrame) -> dict:
+    """Tracking records by application and by source."""
+    rows = tracked(tracking)
+    return {"sources": (rows, SOURCE_KEYS), "dimensions": (rows, ["dimension_id"])}
+
+
 # --- applications -----------------------------------------------------------
 
 
@@ -261,11 +270,18 @@ def tracked(tracking: DataFrame) -> DataFrame:
     return tracking.where(F.col("requisition_id").isNotNull() & F.col("submission_id").isNotNull())
 
 
-def source_rows(tracking: DataFrame, sources: DataFrame, sites: DataFrame) -> DataFrame:
-    """requisition_id, submission_id, candidate_number, source_medium, career_site."""
+def source_rows(
+    tracking: DataFrame, sources: DataFrame, sites: DataFrame, busy_sources: Keys = ()
+) -> DataFrame:
+    """requisition_id, submission_id, candidate_number, source_medium, career_site.
+
+    ``busy_sources`` lists sources of very many records. Source labels come out of
+    a join on dimension_id, so adaptive execution could not split these by itself,
+    as it can for the other labels.
+    """
+    rows = tracked(tracking)
     return (
-        tracked(tracking)
-        .join(sources, "dimension_id", "left")
+        salted_join(rows, sources, ["dimension_id"], "left", hot_left=busy_sources)
         .join(sites, "site_number", "left")
         .select(*SOURCE_KEYS, "source_medium", "career_site")
     )
@@ -278,8 +294,9 @@ def application_source(
 
     All three of requisition_id, submission_id and candidate_number must agree.
     """
-    busy = heavy_keys({"sources": (tracked(tracking), SOURCE_KEYS)})["sources"]
-    out = join_matches(apps, source_rows(tracking, sources, sites), SOURCE_KEYS, busy)
+    hot = heavy_keys(source_keys(tracking))
+    rows = source_rows(tracking, sources, sites, hot["dimensions"])
+    out = join_matches(apps, rows, SOURCE_KEYS, hot["sources"])
     return expand_copies(out).select(*apps.columns, "source_medium", "career_site")
 
 
@@ -334,9 +351,10 @@ def for_requisitions(
     """The tables reduced to what belongs to the given requisition numbers.
 
     Every large table joins the applications on a submission or person id. When a
-    count shows that these ids are few (``config.BROADCAST_ROWS``), they are broadcast and the large tables
-    are cut down while they are scanned, before any shuffle, and the second value
-    is True. Otherwise only the requisitions are reduced.
+    count shows that these ids are few (``config.BROADCAST_ROWS``), they are
+    broadcast and the large tables are cut down while they are scanned, before any
+    shuffle, and the second value is True. Otherwise only the requisitions, their
+    titles and, if the requisitions are few, their applications are reduced.
     """
     max_rows = C.BROADCAST_ROWS if max_rows is None else max_rows
     wanted = required_filter(t.requisitions, "requisition_number", req_number)
@@ -345,8 +363,10 @@ def for_requisitions(
     if ids.count() > max_rows:
         return t, False
     ids = F.broadcast(ids)
-    subs = t.submissions.join(ids, "requisition_id", "left_semi").select(*t.submissions.columns)
     titles = t.requisition_titles.join(ids, "requisition_id", "left_semi")
+    subs = t.submissions.join(ids, "requisition_id", "left_semi")
+    # Used for two broadcasts and the report, so the large table is scanned once.
+    subs = checkpointed(subs.select(*t.submissions.columns))
     t = t.replace(requisition_titles=titles, submissions=subs)
     if subs.count() > max_rows:
         return t, False

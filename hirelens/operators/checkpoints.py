@@ -1,0 +1,23 @@
+"""Frames that are computed once and read several times."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder of the session (``spark.checkpoint.dir``).
+
+    A session without one gets a temporary folder if it runs on one machine; on a
+    cluster the frame is left to be computed where it is used.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hirelens-"))
+    return df.checkpoint()

@@ -38,19 +38,23 @@ def heavy_keys(
     ``config.HOT_ROWS`` and ``config.MAX_HOT_KEYS`` are the defaults.
     """
     min_rows, max_keys = min_rows or C.HOT_ROWS, max_keys or C.MAX_HOT_KEYS
+    # Several key lists over one frame share its scan.
+    scans: dict[int, dict[str, Sequence[str]]] = {}
+    by_id = {id(df): df for df, _ in frames.values()}
+    for name, (df, on) in frames.items():
+        scans.setdefault(id(df), {})[name] = on
+
     keys: dict[str, Keys] = {name: [] for name in frames}
-    large = list(frames)
     if sizes_first:
-        sizes = _counted({name: df.select() for name, (df, _) in frames.items()}).collect()
-        large = [row["frame"] for row in sizes if row["count"] >= min_rows]
-    if not large:
+        sized = [by_id[i].select(F.lit(str(i)).alias("scan")) for i in scans]
+        sizes = reduce(DataFrame.unionAll, sized).groupBy("scan").count().collect()
+        large = {int(row["scan"]) for row in sizes if row["count"] >= min_rows}
+        scans = {i: lists for i, lists in scans.items() if i in large}
+    if not scans:
         return keys
 
-    hashes = {}
-    for name in large:
-        df, on = frames[name]
-        hashes[name] = df.where(_known(on)).select(F.xxhash64(*on).alias("hash"))
-    heavy = _counted(hashes, "hash").where(F.col("count") >= min_rows)
+    hashes = reduce(DataFrame.unionAll, [_hashes(by_id[i], on) for i, on in scans.items()])
+    heavy = hashes.groupBy("frame", "hash").count().where(F.col("count") >= min_rows)
     found: dict[str, list[tuple]] = {}
     for row in heavy.orderBy(F.desc("count")).limit(max_keys).collect():
         found.setdefault(row["frame"], []).append((row["hash"],))
@@ -64,10 +68,14 @@ def heavy_keys(
     return keys
 
 
-def _counted(frames: dict[str, DataFrame], *columns: str) -> DataFrame:
-    """Rows per frame, or per frame and column."""
-    tagged = [df.select(F.lit(name).alias("frame"), *columns) for name, df in frames.items()]
-    return reduce(DataFrame.unionAll, tagged).groupBy("frame", *columns).count()
+def _hashes(df: DataFrame, lists: dict[str, Sequence[str]]) -> DataFrame:
+    """frame, hash: one row per row and key list whose keys are all known."""
+    tagged = [
+        F.struct(F.lit(name).alias("frame"), F.when(_known(on), F.xxhash64(*on)).alias("hash"))
+        for name, on in lists.items()
+    ]
+    rows = df.select(F.explode(F.array(*tagged)).alias("key")).select("key.*")
+    return rows.where(F.col("hash").isNotNull())
 
 
 def keys_frame(like: DataFrame, on: Sequence[str], keys: Keys) -> DataFrame:
@@ -122,11 +130,16 @@ def salted_join(
     image; for a left join each of its keys must occur on the right, and the
     pieces of a left row that meet nothing are dropped again. Salts come from the
     content of the row, so identical rows should be folded into a count before.
+
+    Where only the left is hot and a count shows that the right has no more than
+    ``config.BROADCAST_ROWS`` rows, it is broadcast, which moves no left row at all.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join does not support how={how!r}")
     salts = salts or C.SALTS
     keys = list(on)
+    if hot_left and not hot_right and right.count() <= C.BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
     if hot_left:
         left = _spread(left, on, hot_left, "_salt_l", salts)
         right = _replicate(right, on, hot_left, "_salt_l", salts)

@@ -111,7 +111,8 @@ def diversity_detail(
     )
     requisitions = requisition_profile(t, as_of, with_department=True)
     rows = counted_base(subs, requisitions, people, hot)
-    sources = source_rows(t.source_tracking, *labelled_sources(t))
+    busy_sources = () if hot is None else hot["dimensions"]
+    sources = source_rows(t.source_tracking, *labelled_sources(t), busy_sources)
     rows = matches(rows, sources, SOURCE_KEYS, "sources")
     rows = rows.select(*DETAIL_COLUMNS, "submission_id", "copies")
     rows = report_order(split_copies(rows), "requisition_number", "candidate_name")

@@ -52,6 +52,7 @@ def skewed(monkeypatch):
 
     for name, value in {
         "HOT_ROWS": 2, "SALTS": 4, "LIST_ROWS": 2, "COPIES_PER_ROW": 2,
+        "BROADCAST_ROWS": 0,
     }.items():
         monkeypatch.setattr(config, name, value)
 

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hirelens import config
 from hirelens.operators.skew import (
     expand_copies,
     fold_hot,
@@ -27,6 +28,11 @@ def test_heavy_keys_finds_the_frequent_ones(spark):
     assert heavy_keys(frames, min_rows=100) == {"one": [], "two": [], "none": []}
     assert heavy_keys(frames, min_rows=3, sizes_first=False) == got
     assert heavy_keys({"one": (df, ["k"])}, min_rows=3, max_keys=1) == {"one": [(1,)]}
+    shared = {"k": (df, ["k"]), "v": (df, ["v"]), "both": (df, ["k", "v"])}
+    got = heavy_keys(shared, min_rows=5)
+    assert {n: sorted(k) for n, k in got.items()} == {
+        "k": [(1,)], "v": [("a",), ("c",)], "both": [(1, "a")],
+    }
 
 
 def random_frames(spark, seed):
@@ -45,7 +51,9 @@ HOT = [(1, "x"), (1, "y"), (2, "x")]
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_salted_join_equals_plain_join(spark, how, seed):
+@pytest.mark.parametrize("broadcast_rows", [0, 100])
+def test_salted_join_equals_plain_join(spark, how, seed, broadcast_rows, monkeypatch):
+    monkeypatch.setattr(config, "BROADCAST_ROWS", broadcast_rows)
     left, right = random_frames(spark, seed)
     want = bag(left.join(right, ["k", "c"], how))
     present = {(r.k, r.c) for r in right.select("k", "c").distinct().collect()}
@@ -57,7 +65,8 @@ def test_salted_join_equals_plain_join(spark, how, seed):
         assert bag(got.select("k", "c", "l", "r")) == want
 
 
-def test_salted_join_spreads_a_hot_key(spark):
+def test_salted_join_spreads_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(config, "BROADCAST_ROWS", 0)
     rows = spark.range(4000).select((F.col("id") % 1 + 7).alias("k"), "id")
     names = spark.createDataFrame([(7, "n")], "k long, name string")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
