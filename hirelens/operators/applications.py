@@ -345,31 +345,30 @@ def labelled_sources(t: Tables) -> tuple[DataFrame, DataFrame]:
 # --- narrowing --------------------------------------------------------------
 
 
-def for_requisitions(
-    t: Tables, req_number, max_rows: int | None = None
-) -> tuple[Tables, bool]:
-    """The tables reduced to what belongs to the given requisition numbers.
+def for_requisitions(t: Tables, req_number) -> tuple[Tables, bool]:
+    """``narrowed`` to the given requisition numbers."""
+    wanted = required_filter(t.requisitions, "requisition_number", req_number)
+    return narrowed(t.replace(requisitions=wanted), wanted.select("requisition_id"))
+
+
+def narrowed(t: Tables, ids: DataFrame) -> tuple[Tables, bool]:
+    """The tables reduced to what belongs to the requisitions in ``ids``.
 
-    Every large table joins the applications on a submission or person id. When a
-    count shows that these ids are few (``config.BROADCAST_ROWS``), they are
+    Every large table joins the applications on a submission or person id. When
+    counts show that the ids are few (``config.BROADCAST_ROWS``), they are
     broadcast and the large tables are cut down while they are scanned, before any
-    shuffle, and the second value is True. Otherwise only the requisitions, their
-    titles and, if the requisitions are few, their applications are reduced.
+    shuffle; the second value tells whether this is so. Requisitions and
+    applications are cut down as soon as the requisitions are few.
     """
-    max_rows = C.BROADCAST_ROWS if max_rows is None else max_rows
-    wanted = required_filter(t.requisitions, "requisition_number", req_number)
-    t = t.replace(requisitions=wanted)
-    ids = wanted.select("requisition_id")
-    if ids.count() > max_rows:
+    if ids.count() > C.BROADCAST_ROWS:
         return t, False
     ids = F.broadcast(ids)
     titles = t.requisition_titles.join(ids, "requisition_id", "left_semi")
-    subs = t.submissions.join(ids, "requisition_id", "left_semi")
-    # Used for two broadcasts and the report, so the large table is scanned once.
-    subs = checkpointed(subs.select(*t.submissions.columns))
-    t = t.replace(requisition_titles=titles, submissions=subs)
-    if subs.count() > max_rows:
-        return t, False
+    subs = t.submissions.join(ids, "requisition_id", "left_semi").select(*t.submissions.columns)
+    if subs.count() > C.BROADCAST_ROWS:
+        return t.replace(requisition_titles=titles, submissions=subs), False
+    # Used for two broadcasts and the report.
+    subs = checkpointed(subs)
 
     def belonging(table: DataFrame, key: str, id: str) -> DataFrame:
         few = F.broadcast(subs.select(F.col(id).alias("_id")))
@@ -377,6 +376,8 @@ def for_requisitions(
 
     return (
         t.replace(
+            requisition_titles=titles,
+            submissions=subs,
             status_history=belonging(t.status_history, "subject_id", "submission_id"),
             source_tracking=belonging(t.source_tracking, "submission_id", "submission_id"),
             regulatory_responses=belonging(

@@ -12,7 +12,7 @@ from ..operators.applications import (
     Date,
     base_keys,
     counted_base,
-    for_requisitions,
+    narrowed,
     person_profile,
     requisition_profile,
 )
@@ -32,14 +32,17 @@ def disclosure_list(
     The three filters take one value or a list; None, an empty list or 'ALL' as
     the first value switch a filter off.
     """
-    few = False
-    if given(req_number):
-        t, few = for_requisitions(t, req_number)
-    t = t.replace(requisition_titles=optional_filter(t.requisition_titles, "title", req_name))
-    hot = None if few else heavy_keys(base_keys(t, as_of))
-    profile = requisition_profile(t, as_of)
+    chosen = t.replace(
+        requisitions=optional_filter(t.requisitions, "requisition_number", req_number),
+        requisition_titles=optional_filter(t.requisition_titles, "title", req_name),
+    )
+    profile = requisition_profile(chosen, as_of)
     opened = profile.where(F.upper("req_phase") == C.OPEN_PHASE).drop("req_phase")
     opened = optional_filter(opened, "req_current_status", req_status)
+    few = False
+    if given(req_number) or given(req_name) or given(req_status):
+        t, few = narrowed(t, opened.select("requisition_id").distinct())
+    hot = None if few else heavy_keys(base_keys(t, as_of))
     people = person_profile(t, as_of, "inner", hot)
     rows = counted_base(t.submissions.select(*SUBMISSION_IDS), opened, people, hot)
     rows = report_order(split_copies(rows), "requisition_number", "candidate_name")
