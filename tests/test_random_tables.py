@@ -1,0 +1,105 @@
+"""Reports over small random tables with nulls and duplicates, against DuckDB."""
+
+import datetime as dt
+import random
+import re
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from hirelens import Tables
+from hirelens.sources import SCHEMAS
+from testing.compare import duck_bag, spark_bag
+from testing.oracle import QUERIES
+
+DATES = [None, dt.date(1990, 1, 1), dt.date(2024, 6, 30), dt.date(2024, 7, 1),
+         dt.date(4712, 12, 31)]
+STARTS = [None, *[dt.date(1990, 1, 1)] * 5, dt.date(2024, 6, 30), dt.date(2024, 7, 1)]
+ENDS = [None, *[dt.date(4712, 12, 31)] * 5, dt.date(2024, 6, 30), dt.date(2024, 6, 29)]
+YES_NO = [None, "Y", "N", "P"]
+LOOKUPS = [
+    ("SEX", "F", "Female"), ("SEX", "M", None), ("ORA_PER_ETHNICITY", "1", "White"),
+    ("ORA_PER_ETHNICITY", "4", "Hispanic"), ("ORA_PER_ETHNICITY", "4", "Latino"),
+    ("ORA_PER_ETHNICITY", "X", "Ex"),
+    ("ORA_HRX_US_VETS_SELFID_STATUS", "ORA_PROTECT_VETS_NO_SELFID", "Protected"),
+    ("ORA_PER_SELF_DISCLOSE_DISABILI", "ORA_PER_YES_US", "Yes"),
+    ("ORA_IRC_SOURCE_TRACKING_MEDIUM", "M1", "Board"), ("OTHER", "F", "Wrong"),
+]
+
+
+def random_rows(seed: int) -> dict[str, list[tuple]]:
+    r = random.Random(seed)
+    pick, many = r.choice, r.randint
+
+    def rows(n, make):
+        return [make(i) for i in range(n)]
+
+    def maybe(n):
+        return None if many(0, 9) == 0 else many(1, n)
+
+    return {
+        "requisitions": rows(8, lambda i: (
+            i, f"R{i}", maybe(3), many(20, 24), many(1, 4), pick(DATES),
+            pick(["ORA_REQUISITION"] * 4 + ["ORA_TEMPLATE", None]))),
+        "requisition_titles": rows(14, lambda i: (
+            many(0, 8), pick(["A", "B", None]), pick(["US", "FR"]))),
+        "phases": rows(9, lambda i: (many(1, 4), pick(["Open", "OPEN", "New", None]), "US")),
+        "states": rows(9, lambda i: (many(20, 24), pick(["Posted", "Hired", None]), "US")),
+        "departments": rows(6, lambda i: (many(1, 4), pick("XY"), pick(STARTS), pick(ENDS))),
+        "submissions": rows(40, lambda i: (
+            i, many(0, 8), maybe(9), many(1, 4), many(20, 24), pick(YES_NO))),
+        "status_history": rows(60, lambda i: (
+            pick([None, *range(20)]), pick([None, 20, 21, 22, 23]), pick([None, 1, 2, 3]))),
+        "reasons": [(1, "Why"), (1, "Pourquoi"), (2, None)],
+        "source_tracking": rows(50, lambda i: (
+            pick([None, *range(9)]), pick([None, *range(40)]), maybe(4), f"C{many(1, 9)}",
+            pick([None, "S1", "S2", "S3"]))),
+        "source_dimensions": [(1, "M1"), (2, "M2"), (3, None), (4, "M1")],
+        "source_dimension_names": [(1, "N"), (1, "M"), (2, "N"), (3, None), (4, None)],
+        "sites": [(1, "S1"), (2, "S2")],
+        "site_names": [(1, "Main"), (1, "Haupt"), (2, None)],
+        "candidates": rows(9, lambda i: (many(1, 9), f"C{many(1, 9)}")),
+        "person_names": rows(16, lambda i: (
+            many(1, 9), pick(["GLOBAL", "GLOBAL", "LOCAL", None]), pick(["Ann", "Bo", None]),
+            pick(STARTS), pick(ENDS))),
+        "regulatory_responses": rows(40, lambda i: (
+            maybe(9), many(0, 39), pick(["F", "M", None]), pick(["1", "4", "X", "2", None]),
+            pick(["ORA_PROTECT_VETS_NO_SELFID", "ORA_NOT_VET", None]),
+            pick(["ORA_PER_YES_US", "ORA_PER_YES_GB", "ORA_PER_NO_US", None]))),
+        "lookups": LOOKUPS,
+        "person_legislative": rows(12, lambda i: (
+            maybe(9), pick(YES_NO), pick(YES_NO), pick(YES_NO), pick(YES_NO), pick(STARTS),
+            pick(ENDS))),
+        "person_ethnicities": rows(16, lambda i: (maybe(9), pick([*"12345678", None]))),
+        "questionnaire_responses": rows(90, lambda i: (
+            maybe(9), many(0, 39), pick([4, 4, 4, 5]), "SUBMISSION", pick("SSSI"), "CANDIDATE",
+            f"Q{many(1, 8)}", pick(["Yes", "No", None]))),
+    }
+
+
+def test_answers_meet_their_applications():
+    """The generator must produce something to compare."""
+    rows = random_rows(1)
+    subs = {(s[0], s[2]) for s in rows["submissions"]}
+    assert sum((a[1], a[0]) in subs for a in rows["questionnaire_responses"]) > 3
+
+
+@pytest.mark.parametrize("low_limits", [False, True])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_reports_equal_the_literal_joins(spark, request, seed, low_limits):
+    if low_limits:
+        request.getfixturevalue("skewed")
+    rows = random_rows(seed)
+    con = duckdb.connect()
+    frames = {}
+    for name, ddl in SCHEMAS.items():
+        frames[name] = spark.createDataFrame(rows[name], ddl)
+        columns = re.sub(r" string\b", " varchar", re.sub(r" long\b", " bigint", ddl))
+        con.execute(f"create table {name} ({columns})")
+        marks = ", ".join("?" * len(rows[name][0]))
+        con.executemany(f"insert into {name} values ({marks})", rows[name])
+    t = Tables.from_frames(frames)
+    for name, build in {**entry.REPORTS, **entry.OPERATORS}.items():
+        got, want = spark_bag(build(t)), duck_bag(con, QUERIES[name])
+        assert got == want, name
