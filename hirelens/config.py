@@ -76,9 +76,12 @@ VETERAN_FLAGS = {
 }
 
 # --- limits -----------------------------------------------------------------
-# A key with this many rows is spread over SALTS tasks.
-HOT_ROWS = 1_000_000
-SALTS = 256
+# A key with at least HOT_ROWS rows, a few times what one task usually handles, is
+# cut into pieces of about ROWS_PER_PIECE rows.
+HOT_ROWS = 4_000_000
+ROWS_PER_PIECE = 1_000_000
+# How often a key of that many rows is expected in the sample that looks for it.
+SAMPLE_HITS = 1_000
 # At most this many keys are treated as hot. Any key left out holds fewer than
 # 1 / MAX_HOT_KEYS of the rows, and the list is small enough to broadcast.
 MAX_HOT_KEYS = 100_000

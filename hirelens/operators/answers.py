@@ -58,7 +58,7 @@ def answers_wide(
     )["answers"]
     if not crowded:
         return _combine_lists(subs, answers, codes).select(*columns)
-    few = keys_frame(subs, KEYS, crowded)
+    few = keys_frame(subs, KEYS, crowded).drop("_pieces")
     usual = _combine_lists(
         subs.join(few, KEYS, "left_anti"), answers.join(few, KEYS, "left_anti"), codes
     )
@@ -107,6 +107,6 @@ def _combine_rows(
     out = subs
     for name, column in columns.items():
         # The other keys may have grown on the left, in an earlier question.
-        grown = sorted(set(crowded) - set(many[name]))
+        grown = {key: rows for key, rows in crowded.items() if key not in many[name]}
         out = join_copies(out, column, KEYS, hot_left=grown, hot_right=many[name])
     return expand_copies(out)

@@ -134,7 +134,7 @@ def person_profile(
     """
     busy = hot["names"] if hot is not None else None
     names = fold_hot(current_names(t, as_of), ["person_id"], busy)
-    return join_copies(t.candidates, names, ["person_id"], how_name, hot_right=busy or ())
+    return join_copies(t.candidates, names, ["person_id"], how_name, hot_right=busy)
 
 
 def extended_profile(
@@ -205,11 +205,11 @@ def counted_base(
     applications are spread over several tasks. None means the applications are
     known to be few.
     """
-    hot = hot or {}
+    hot, by = hot or {}, ["submission_id"]
     spine = join_copies(
-        subs, requisitions, ["requisition_id"], "inner", hot_left=hot.get("requisitions", ())
+        subs, requisitions, ["requisition_id"], "inner", hot.get("requisitions"), spread_by=by
     )
-    return join_copies(spine, people, ["person_id"], "inner", hot_left=hot.get("people", ()))
+    return join_copies(spine, people, ["person_id"], "inner", hot.get("people"), spread_by=by)
 
 
 def application_base(
@@ -271,7 +271,7 @@ def tracked(tracking: DataFrame) -> DataFrame:
 
 
 def source_rows(
-    tracking: DataFrame, sources: DataFrame, sites: DataFrame, busy_sources: Keys = ()
+    tracking: DataFrame, sources: DataFrame, sites: DataFrame, busy_sources: Keys | None = None
 ) -> DataFrame:
     """requisition_id, submission_id, candidate_number, source_medium, career_site.
 

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 
-Keys = list[tuple]
+# Hot keys with their number of rows.
+Keys = dict[tuple, int]
 
 
 # --- finding hot keys -------------------------------------------------------
@@ -27,24 +29,32 @@ def heavy_keys(
     max_keys: int | None = None,
     sizes_first: bool = True,
 ) -> dict[str, Keys]:
-    """For each named (frame, key columns), the keys with at least ``min_rows`` rows.
+    """For each named (frame, key columns), the keys with at least ``min_rows`` rows,
+    and how many rows each has.
 
     One job counts hashes of the keys, combined on the map side, and a small one
     names the keys it found, if any. With ``sizes_first`` frames with fewer rows
     than ``min_rows`` are left out after a plain count, which reads no key column.
-    At most ``max_keys`` keys come back, heaviest first; every other key has fewer
-    than 1 / ``max_keys`` of the rows. The answer steers how rows are spread, never
-    which rows are joined.
-    ``config.HOT_ROWS`` and ``config.MAX_HOT_KEYS`` are the defaults.
+
+    The answer steers how rows are spread, never which rows are joined, so it may be
+    rough. It is taken from a sample in which a key of ``min_rows`` rows is expected
+    ``config.SAMPLE_HITS`` times; a large table is thus read but hardly
+    shuffled. At most ``max_keys`` keys come back, heaviest first; every other key
+    has fewer than 1 / ``max_keys`` of the rows. ``config.HOT_ROWS`` and
+    ``config.MAX_HOT_KEYS`` are the defaults.
     """
     min_rows, max_keys = min_rows or C.HOT_ROWS, max_keys or C.MAX_HOT_KEYS
+    share = min(1.0, C.SAMPLE_HITS / min_rows)
+    # A key may be seen less often than expected; rather take one too many.
+    hits = min_rows if share == 1.0 else int(0.8 * C.SAMPLE_HITS)
+
     # Several key lists over one frame share its scan.
     scans: dict[int, dict[str, Sequence[str]]] = {}
     by_id = {id(df): df for df, _ in frames.values()}
     for name, (df, on) in frames.items():
         scans.setdefault(id(df), {})[name] = on
 
-    keys: dict[str, Keys] = {name: [] for name in frames}
+    keys: dict[str, Keys] = {name: {} for name in frames}
     if sizes_first:
         sized = [by_id[i].select(F.lit(str(i)).alias("scan")) for i in scans]
         sizes = reduce(DataFrame.unionAll, sized).groupBy("scan").count().collect()
@@ -53,18 +63,20 @@ def heavy_keys(
     if not scans:
         return keys
 
-    hashes = reduce(DataFrame.unionAll, [_hashes(by_id[i], on) for i, on in scans.items()])
-    heavy = hashes.groupBy("frame", "hash").count().where(F.col("count") >= min_rows)
+    seen = {i: by_id[i] if share == 1.0 else by_id[i].sample(share, seed=1) for i in scans}
+    hashes = reduce(DataFrame.unionAll, [_hashes(seen[i], on) for i, on in scans.items()])
+    heavy = hashes.groupBy("frame", "hash").count().where(F.col("count") >= hits)
     found: dict[str, list[tuple]] = {}
     for row in heavy.orderBy(F.desc("count")).limit(max_keys).collect():
-        found.setdefault(row["frame"], []).append((row["hash"],))
+        rows = int(row["count"] / share)
+        found.setdefault(row["frame"], []).append((row["hash"], rows))
 
-    for name, hit in found.items():
+    for name, hot in found.items():
         df, on = frames[name]
-        hit_frame = F.broadcast(df.sparkSession.createDataFrame(hit, "_hash long"))
-        named = df.where(_known(on)).select(*on, F.xxhash64(*on).alias("_hash"))
-        rows = named.join(hit_frame, "_hash", "left_semi").select(*on).distinct().collect()
-        keys[name] = [tuple(r) for r in rows]
+        hot_hashes = F.broadcast(df.sparkSession.createDataFrame(hot, "_hash long, _rows long"))
+        named = seen[id(df)].where(_known(on)).select(*on, F.xxhash64(*on).alias("_hash"))
+        rows = named.join(hot_hashes, "_hash").select(*on, "_rows").distinct().collect()
+        keys[name] = {tuple(row)[:-1]: row["_rows"] for row in rows}
     return keys
 
 
@@ -79,11 +91,14 @@ def _hashes(df: DataFrame, lists: dict[str, Sequence[str]]) -> DataFrame:
 
 
 def keys_frame(like: DataFrame, on: Sequence[str], keys: Keys) -> DataFrame:
-    """Listed keys as a frame to broadcast; ``heavy_keys`` bounds its size."""
-    schema = like.select(*on).schema
-    for field in schema:
-        field.nullable = True
-    return F.broadcast(like.sparkSession.createDataFrame(keys, schema))
+    """Hot keys and the number of ``_pieces`` to cut each into, to be broadcast.
+
+    ``heavy_keys`` bounds its size.
+    """
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in like.select(*on).schema])
+    schema.add("_pieces", T.IntegerType())
+    rows = [(*key, -(-count // C.ROWS_PER_PIECE)) for key, count in keys.items()]
+    return F.broadcast(like.sparkSession.createDataFrame(rows, schema))
 
 
 def _known(on: Sequence[str]) -> Column:
@@ -93,25 +108,24 @@ def _known(on: Sequence[str]) -> Column:
 # --- salting ----------------------------------------------------------------
 
 
-def _flagged(df: DataFrame, on: Sequence[str], keys: Keys) -> DataFrame:
-    flags = keys_frame(df, on, keys).withColumn("_hot", F.lit(True))
-    return df.join(F.broadcast(flags), list(on), "left")
+def _with_pieces(df: DataFrame, on: Sequence[str], keys: Keys) -> DataFrame:
+    return df.join(keys_frame(df, on, keys), list(on), "left")
 
 
-def _spread(df: DataFrame, on: Sequence[str], keys: Keys, salt: str, salts: int) -> DataFrame:
-    """One salt per row; only rows of listed keys, or without a key, leave salt 0."""
+def _spread(
+    df: DataFrame, on: Sequence[str], keys: Keys, salt: str, by: Sequence[str]
+) -> DataFrame:
+    """One salt per row: a piece of its key, 0 for keys that are not hot."""
     # A hash of the row itself: a task that runs again puts the row in the same place.
-    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-    keyless = reduce(or_, [F.col(key).isNull() for key in on])
-    own = F.when(F.col("_hot") | keyless, bucket).otherwise(0)
-    return _flagged(df, on, keys).withColumn(salt, own).drop("_hot")
+    piece = F.pmod(F.xxhash64(*by), F.coalesce(F.col("_pieces"), F.lit(1)))
+    return _with_pieces(df, on, keys).withColumn(salt, piece.cast("int")).drop("_pieces")
 
 
-def _replicate(df: DataFrame, on: Sequence[str], keys: Keys, salt: str, salts: int) -> DataFrame:
-    """Rows of listed keys once per salt, all others with salt 0."""
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted = F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    return _flagged(df, on, keys).withColumn(salt, salted).drop("_hot")
+def _replicate(df: DataFrame, on: Sequence[str], keys: Keys, salt: str) -> DataFrame:
+    """Rows of hot keys once per piece, all others with salt 0."""
+    last = F.coalesce(F.col("_pieces"), F.lit(1)) - 1
+    every = F.explode(F.sequence(F.lit(0), last))
+    return _with_pieces(df, on, keys).withColumn(salt, every).drop("_pieces")
 
 
 def salted_join(
@@ -119,41 +133,43 @@ def salted_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    hot_left: Keys = (),
-    hot_right: Keys = (),
-    salts: int | None = None,
+    hot_left: Keys | None = None,
+    hot_right: Keys | None = None,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Equi-join with hot keys cut into ``salts`` pieces; same rows as a plain join.
+    """Equi-join with hot keys cut into pieces; same rows as a plain join.
 
-    ``hot_left`` lists keys with many rows on the left: these rows are spread and
-    the matching right rows repeated for every piece. ``hot_right`` is the mirror
-    image; for a left join each of its keys must occur on the right, and the
-    pieces of a left row that meet nothing are dropped again. Salts come from the
-    content of the row, so identical rows should be folded into a count before.
+    ``hot_left`` lists keys with many rows on the left: these rows are spread, by
+    ``spread_by`` or else the whole row, and the matching right rows repeated for
+    every piece. A key gets as many pieces as its rows ask for
+    (``config.ROWS_PER_PIECE``). ``hot_right`` is the mirror image; for a left join
+    each of its keys must occur on the right, and the pieces of a left row that
+    meet nothing are dropped again. Salts come from the content of the row, so
+    identical rows should be folded into a count before.
 
     Where only the left is hot and a count shows that the right has no more than
     ``config.BROADCAST_ROWS`` rows, it is broadcast, which moves no left row at all.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join does not support how={how!r}")
-    salts = salts or C.SALTS
     keys = list(on)
     if hot_left and not hot_right and right.count() <= C.BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
     if hot_left:
-        left = _spread(left, on, hot_left, "_salt_l", salts)
-        right = _replicate(right, on, hot_left, "_salt_l", salts)
+        left = _spread(left, on, hot_left, "_salt_l", spread_by or left.columns)
+        right = _replicate(right, on, hot_left, "_salt_l")
         keys.append("_salt_l")
     if hot_right:
-        left = _replicate(left, on, hot_right, "_salt_r", salts)
-        right = _spread(right, on, hot_right, "_salt_r", salts).withColumn("_met", F.lit(True))
+        left = _replicate(left, on, hot_right, "_salt_r")
+        right = _spread(right, on, hot_right, "_salt_r", right.columns)
+        right = right.withColumn("_met", F.lit(True))
         keys.append("_salt_r")
     joined = left.join(right, keys, how)
     if hot_right and how == "left":
         # A left row whose key is not hot has one piece, which always counts; of
         # the pieces of a hot one, those that met something.
-        joined = _flagged(joined, on, hot_right)
-        joined = joined.where(F.col("_hot").isNull() | F.col("_met")).drop("_hot")
+        joined = _with_pieces(joined, on, hot_right)
+        joined = joined.where(F.col("_pieces").isNull() | F.col("_met")).drop("_pieces")
     return joined.drop("_salt_l", "_salt_r", "_met")
 
 
@@ -177,7 +193,7 @@ def fold_hot(df: DataFrame, on: Sequence[str], hot: Keys | None) -> DataFrame:
         return with_copies(df)
     if not hot:
         return df
-    few = keys_frame(df, on, hot)
+    few = keys_frame(df, on, hot).drop("_pieces")
     usual = df.join(few, list(on), "left_anti").withColumn("copies", F.lit(1).cast("long"))
     return usual.unionByName(with_copies(df.join(few, list(on), "left_semi")))
 
@@ -187,15 +203,16 @@ def join_copies(
     right: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    hot_left: Keys = (),
-    hot_right: Keys = (),
+    hot_left: Keys | None = None,
+    hot_right: Keys | None = None,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join counted frames: copies multiply, a row without a match counts once."""
     counted = "copies" in left.columns
     if "copies" not in right.columns:
-        return salted_join(left, right, on, how, hot_left, hot_right)
+        return salted_join(left, right, on, how, hot_left, hot_right, spread_by)
     right = right.withColumnRenamed("copies", "_copies")
-    joined = salted_join(left, right, on, how, hot_left, hot_right)
+    joined = salted_join(left, right, on, how, hot_left, hot_right, spread_by)
     copies = F.coalesce(F.col("_copies"), F.lit(1).cast("long"))
     if counted:
         copies = F.col("copies") * copies
@@ -203,10 +220,13 @@ def join_copies(
 
 
 def join_matches(
-    left: DataFrame, right: DataFrame, on: Sequence[str], hot: Keys | None = ()
+    left: DataFrame, right: DataFrame, on: Sequence[str], hot: Keys | None
 ) -> DataFrame:
-    """Left join that multiplies rows; ``hot`` lists keys with many rows on the right."""
-    return join_copies(left, fold_hot(right, on, hot), on, hot_right=hot or ())
+    """Left join that multiplies rows; ``hot`` lists keys with many rows on the right.
+
+    None means nobody has looked for them, see ``fold_hot``.
+    """
+    return join_copies(left, fold_hot(right, on, hot), on, hot_right=hot)
 
 
 def split_copies(df: DataFrame, per_row: int | None = None) -> DataFrame:

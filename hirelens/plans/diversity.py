@@ -111,7 +111,7 @@ def diversity_detail(
     )
     requisitions = requisition_profile(t, as_of, with_department=True)
     rows = counted_base(subs, requisitions, people, hot)
-    busy_sources = () if hot is None else hot["dimensions"]
+    busy_sources = None if hot is None else hot["dimensions"]
     sources = source_rows(t.source_tracking, *labelled_sources(t), busy_sources)
     rows = matches(rows, sources, SOURCE_KEYS, "sources")
     rows = rows.select(*DETAIL_COLUMNS, "submission_id", "copies")
@@ -174,8 +174,8 @@ def diversity_counts(
         .select("submission_id", "requisition_id", "person_id")
         .join(answered, ["submission_id", "person_id"], "left")
     )
-    busy = () if few else heavy_keys({"people": (t.submissions, ["person_id"])})["people"]
-    apps = salted_join(apps, people, ["person_id"], hot_left=busy)
+    busy = None if few else heavy_keys({"people": (t.submissions, ["person_id"])})["people"]
+    apps = salted_join(apps, people, ["person_id"], hot_left=busy, spread_by=["submission_id"])
     flags = {n: F.col(n) for n in names}
     flags["Candidate"] = F.lit(True)
     flags["Veteran"] = F.col("Veteran") | F.col("_veteran")

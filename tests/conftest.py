@@ -51,7 +51,7 @@ def skewed(monkeypatch):
     from hirelens import config
 
     for name, value in {
-        "HOT_ROWS": 2, "SALTS": 4, "LIST_ROWS": 2, "COPIES_PER_ROW": 2,
+        "HOT_ROWS": 2, "ROWS_PER_PIECE": 1, "LIST_ROWS": 2, "COPIES_PER_ROW": 2,
         "BROADCAST_ROWS": 0,
     }.items():
         monkeypatch.setattr(config, name, value)

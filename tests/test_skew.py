@@ -22,12 +22,12 @@ def test_heavy_keys_finds_the_frequent_ones(spark):
     other = spark.createDataFrame([("x", 1)] * 4 + [("y", 2)], "s string, n int")
     frames = {"one": (df, ["k"]), "two": (other, ["s", "n"]), "none": (df.limit(0), ["k"])}
     got = heavy_keys(frames, min_rows=3)
-    assert {n: sorted(k) for n, k in got.items()} == {
-        "one": [(1,), (2,)], "two": [("x", 1)], "none": [],
+    assert {n: sorted(k.items()) for n, k in got.items()} == {
+        "one": [((1,), 5), ((2,), 3)], "two": [(("x", 1), 4)], "none": [],
     }
-    assert heavy_keys(frames, min_rows=100) == {"one": [], "two": [], "none": []}
+    assert heavy_keys(frames, min_rows=100) == {"one": {}, "two": {}, "none": {}}
     assert heavy_keys(frames, min_rows=3, sizes_first=False) == got
-    assert heavy_keys({"one": (df, ["k"])}, min_rows=3, max_keys=1) == {"one": [(1,)]}
+    assert heavy_keys({"one": (df, ["k"])}, min_rows=3, max_keys=1) == {"one": {(1,): 5}}
     shared = {"k": (df, ["k"]), "v": (df, ["v"]), "both": (df, ["k", "v"])}
     got = heavy_keys(shared, min_rows=5)
     assert {n: sorted(k) for n, k in got.items()} == {
@@ -35,6 +35,16 @@ def test_heavy_keys_finds_the_frequent_ones(spark):
     }
 
 
+def test_heavy_keys_from_a_sample(spark):
+    """300,000 rows, one key with a third of them, 200,000 with one row each."""
+    ids = spark.range(300_000, numPartitions=4)
+    df = ids.select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    for limit in (10_000, 90_000):
+        (key, rows), = heavy_keys({"df": (df, ["k"])}, min_rows=limit)["df"].items()
+        assert key == (-1,) and 90_000 < rows < 110_000
+    assert heavy_keys({"df": (df, ["k"])}, min_rows=200_000) == {"df": {}}
+
+
 def random_frames(spark, seed):
     pick = random.Random(seed)
     keys = [None, 1, 1, 1, 1, 2, 2, 3, 4, 5]
@@ -46,7 +56,7 @@ def random_frames(spark, seed):
     )
 
 
-HOT = [(1, "x"), (1, "y"), (2, "x")]
+HOT = {(1, "x"): 4, (1, "y"): 3, (2, "x"): 1}
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -57,16 +67,18 @@ def test_salted_join_equals_plain_join(spark, how, seed, broadcast_rows, monkeyp
     left, right = random_frames(spark, seed)
     want = bag(left.join(right, ["k", "c"], how))
     present = {(r.k, r.c) for r in right.select("k", "c").distinct().collect()}
-    hot_right = [k for k in HOT if k in present]
+    hot_right = {k: n for k, n in HOT.items() if k in present}
+    monkeypatch.setattr(config, "ROWS_PER_PIECE", 1)
     for hot in ({"hot_left": HOT}, {"hot_right": hot_right},
                 {"hot_left": HOT, "hot_right": hot_right},
-                {"hot_left": [(4, "x")], "hot_right": hot_right}):
-        got = salted_join(left, right, ["k", "c"], how, salts=4, **hot)
+                {"hot_left": {(4, "x"): 3}, "hot_right": hot_right}):
+        got = salted_join(left, right, ["k", "c"], how, **hot)
         assert bag(got.select("k", "c", "l", "r")) == want
 
 
 def test_salted_join_spreads_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(config, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(config, "ROWS_PER_PIECE", 60)
     rows = spark.range(4000).select((F.col("id") % 1 + 7).alias("k"), "id")
     names = spark.createDataFrame([(7, "n")], "k long, name string")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -77,7 +89,7 @@ def test_salted_join_spreads_a_hot_key(spark, monkeypatch):
             return max(r["count"] for r in sizes)
 
         assert busiest(rows.join(names, "k")) == 4000
-        assert busiest(salted_join(rows, names, ["k"], hot_left=[(7,)], salts=64)) < 2000
+        assert busiest(salted_join(rows, names, ["k"], hot_left={(7,): 4000})) < 2000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -91,12 +103,12 @@ def test_salted_join_refuses_other_kinds(spark):
 def test_copies_round_trip(spark):
     df = spark.createDataFrame([(1, "a")] * 7 + [(2, None)] * 3 + [(3, "c")], "k long, v string")
     assert bag(expand_copies(with_copies(df), per_row=2)) == bag(df)
-    assert bag(expand_copies(fold_hot(df, ["k"], [(1,)]))) == bag(df)
-    assert fold_hot(df, ["k"], []) is df
-    assert fold_hot(df, ["k"], [(1,)]).where("k = 1").count() == 1
+    assert bag(expand_copies(fold_hot(df, ["k"], {(1,): 7}))) == bag(df)
+    assert fold_hot(df, ["k"], {}) is df
+    assert fold_hot(df, ["k"], {(1,): 7}).where("k = 1").count() == 1
 
 
-@pytest.mark.parametrize("hot", [None, [], [(1,)], [(1,), (2,)]])
+@pytest.mark.parametrize("hot", [None, {}, {(1,): 9}, {(1,): 9, (2,): 5_000_000}])
 def test_join_matches_equals_left_join(spark, hot):
     left, right = random_frames(spark, 3)
     left = left.drop("c")
