@@ -109,4 +109,4 @@ def _combine_rows(
         # The other keys may have grown on the left, in an earlier question.
         grown = {key: rows for key, rows in crowded.items() if key not in many[name]}
         out = join_copies(out, column, KEYS, hot_left=grown, hot_right=many[name])
-    return expand_copies(out)
+    return expand_copies(out, spread=True)

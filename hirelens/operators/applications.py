@@ -32,11 +32,17 @@ Instant = dt.datetime | Column | None
 # --- requisitions -----------------------------------------------------------
 
 
-def requisition_profile(t: Tables, as_of: Date = None, with_department: bool = False) -> DataFrame:
+def requisition_profile(
+    t: Tables,
+    as_of: Date = None,
+    with_department: bool = False,
+    busy_titles: Keys | None = None,
+) -> DataFrame:
     """One row per requisition and title, with phase and status label.
 
     ``with_department`` adds the department and drops requisitions whose
-    department is not in force.
+    department is not in force. ``busy_titles`` lists requisitions with very many
+    titles; the rows are counted if there are any.
     """
     phases = translated_names(t.phases, "phase_id", "name")
     states = translated_names(t.states, "state_id", "name")
@@ -63,7 +69,9 @@ def requisition_profile(t: Tables, as_of: Date = None, with_department: bool = F
         out = out.join(current, "department_id")
         department = ["department_name"]
     titles = t.requisition_titles.select("requisition_id", F.col("title").alias("requisition_name"))
-    return out.join(titles, "requisition_id").select(
+    titles = fold_hot(titles, ["requisition_id"], busy_titles or {})
+    out = join_copies(out, titles, ["requisition_id"], "inner", hot_right=busy_titles)
+    return out.select(
         "requisition_id",
         blank_to_null("requisition_number").alias("requisition_number"),
         "requisition_name",
@@ -71,6 +79,7 @@ def requisition_profile(t: Tables, as_of: Date = None, with_department: bool = F
         status_label("req_phase", "req_state").alias("req_current_status"),
         "open_date",
         *department,
+        *(["copies"] if busy_titles else []),
     )
 
 
@@ -172,6 +181,7 @@ def base_keys(t: Tables, as_of: Date = None) -> dict:
     return {
         "requisitions": (subs, ["requisition_id"]),
         "people": (subs, ["person_id"]),
+        "titles": (t.requisition_titles, ["requisition_id"]),
         "names": (current_names(t, as_of), ["person_id"]),
     }
 
@@ -201,15 +211,19 @@ def counted_base(
 ) -> DataFrame:
     """Requisition - application - person spine, as counted rows.
 
-    ``hot`` names requisitions and people with very many applications, whose
-    applications are spread over several tasks. None means the applications are
-    known to be few.
+    ``hot`` names requisitions and people with very many applications, titles or
+    names, whose rows are spread over several tasks. None means the applications
+    are known to be few.
     """
     hot, by = hot or {}, ["submission_id"]
     spine = join_copies(
-        subs, requisitions, ["requisition_id"], "inner", hot.get("requisitions"), spread_by=by
+        subs, requisitions, ["requisition_id"], "inner",
+        hot_left=hot.get("requisitions"), hot_right=hot.get("titles"), spread_by=by,
+    )
+    return join_copies(
+        spine, people, ["person_id"], "inner",
+        hot_left=hot.get("people"), hot_right=hot.get("names"), spread_by=by,
     )
-    return join_copies(spine, people, ["person_id"], "inner", hot.get("people"), spread_by=by)
 
 
 def application_base(
@@ -222,11 +236,11 @@ def application_base(
     hot = heavy_keys(base_keys(t, as_of))
     base = counted_base(
         submission_status(t),
-        requisition_profile(t, as_of, with_department),
+        requisition_profile(t, as_of, with_department, hot["titles"]),
         person_profile(t, as_of, how_name, hot),
         hot,
     )
-    return expand_copies(base)
+    return expand_copies(base, spread=bool(hot["names"] or hot["titles"]))
 
 
 def reason_entries(history: DataFrame) -> DataFrame:
@@ -262,7 +276,7 @@ def status_reason(subs: DataFrame, history: DataFrame, reasons: DataFrame) -> Da
     """
     busy = heavy_keys({"reasons": (reason_entries(history), REASON_KEYS)})["reasons"]
     out = join_matches(subs, reason_rows(history, reasons), REASON_KEYS, busy)
-    return expand_copies(out).select(*subs.columns, "sub_status_reason")
+    return expand_copies(out, spread=bool(busy)).select(*subs.columns, "sub_status_reason")
 
 
 def tracked(tracking: DataFrame) -> DataFrame:
@@ -297,7 +311,8 @@ def application_source(
     hot = heavy_keys(source_keys(tracking))
     rows = source_rows(tracking, sources, sites, hot["dimensions"])
     out = join_matches(apps, rows, SOURCE_KEYS, hot["sources"])
-    return expand_copies(out).select(*apps.columns, "source_medium", "career_site")
+    out = expand_copies(out, spread=bool(hot["sources"]))
+    return out.select(*apps.columns, "source_medium", "career_site")
 
 
 def regulatory_profile(responses: DataFrame, lookups: DataFrame) -> DataFrame:

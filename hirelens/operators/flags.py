@@ -38,6 +38,7 @@ def flags_by_code(
     flags = code_flags(facts, key, code, mapping)
     if not keep_multiplicity:
         flags = flags.drop("copies")
-    busy = heavy_keys({"entities": (entities, [key])})["entities"]
-    out = join_copies(entities, flags, [key], hot_left=busy).fillna("No", list(mapping))
-    return expand_copies(out).select(*entities.columns, *mapping)
+    hot = heavy_keys({"entities": (entities, [key]), "facts": (facts, [key])})
+    out = join_copies(entities, flags, [key], hot_left=hot["entities"])
+    out = expand_copies(out.fillna("No", list(mapping)), spread=bool(hot["facts"]))
+    return out.select(*entities.columns, *mapping)

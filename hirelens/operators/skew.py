@@ -229,15 +229,15 @@ def join_matches(
     return join_copies(left, fold_hot(right, on, hot), on, hot_right=hot)
 
 
-def split_copies(df: DataFrame, per_row: int | None = None) -> DataFrame:
-    """Cut rows with many copies into rows with at most ``per_row`` copies.
+def split_copies(df: DataFrame) -> DataFrame:
+    """Cut rows with many copies into rows with at most ``config.COPIES_PER_ROW``.
 
     Adds the number of the piece as ``piece``, so that a sort or a shuffle that
     includes it can place the pieces of one row in different tasks.
     """
     if "copies" not in df.columns:
         return df
-    per_row = per_row or C.COPIES_PER_ROW
+    per_row = C.COPIES_PER_ROW
     last = F.expr(f"cast((copies - 1) div {per_row} as int)")
     pieces = df.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     rest = F.col("copies") - F.col("piece").cast("long") * F.lit(per_row)
@@ -252,6 +252,13 @@ def repeat_copies(df: DataFrame) -> DataFrame:
     return df.withColumn("_copy", F.explode(times)).drop("_copy", "copies", "piece")
 
 
-def expand_copies(df: DataFrame, per_row: int | None = None) -> DataFrame:
-    """Plain rows again."""
-    return repeat_copies(split_copies(df, per_row))
+def expand_copies(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Plain rows again.
+
+    ``spread`` shuffles the pieces first, for frames in which a few rows stand for
+    very many; it is needed only where hot keys have been folded.
+    """
+    pieces = split_copies(df)
+    if spread and "copies" in df.columns:
+        pieces = pieces.repartition(*pieces.columns)
+    return repeat_copies(pieces)

@@ -32,19 +32,23 @@ def disclosure_list(
     The three filters take one value or a list; None, an empty list or 'ALL' as
     the first value switch a filter off.
     """
-    chosen = t.replace(
+    t = t.replace(
         requisitions=optional_filter(t.requisitions, "requisition_number", req_number),
         requisition_titles=optional_filter(t.requisition_titles, "title", req_name),
     )
-    profile = requisition_profile(chosen, as_of)
-    opened = profile.where(F.upper("req_phase") == C.OPEN_PHASE).drop("req_phase")
-    opened = optional_filter(opened, "req_current_status", req_status)
+
+    def opened(busy_titles=None):
+        profile = requisition_profile(t, as_of, busy_titles=busy_titles)
+        profile = profile.where(F.upper("req_phase") == C.OPEN_PHASE).drop("req_phase")
+        return optional_filter(profile, "req_current_status", req_status)
+
     few = False
     if given(req_number) or given(req_name) or given(req_status):
-        t, few = narrowed(t, opened.select("requisition_id").distinct())
+        t, few = narrowed(t, opened().select("requisition_id").distinct())
     hot = None if few else heavy_keys(base_keys(t, as_of))
+    requisitions = opened(None if hot is None else hot["titles"])
     people = person_profile(t, as_of, "inner", hot)
-    rows = counted_base(t.submissions.select(*SUBMISSION_IDS), opened, people, hot)
+    rows = counted_base(t.submissions.select(*SUBMISSION_IDS), requisitions, people, hot)
     rows = report_order(split_copies(rows), "requisition_number", "candidate_name")
     return repeat_copies(rows).select(
         "requisition_id",

@@ -109,7 +109,8 @@ def diversity_detail(
         new_race.alias("new_race"),
         "copies",
     )
-    requisitions = requisition_profile(t, as_of, with_department=True)
+    busy_titles = None if hot is None else hot["titles"]
+    requisitions = requisition_profile(t, as_of, True, busy_titles)
     rows = counted_base(subs, requisitions, people, hot)
     busy_sources = None if hot is None else hot["dimensions"]
     sources = source_rows(t.source_tracking, *labelled_sources(t), busy_sources)

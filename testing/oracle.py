@@ -32,9 +32,9 @@ def answer_joins(columns: dict[str, str]) -> str:
 
 CONVICTION = {"sex_crime": "Q1", "felony": "Q2", "misdemeanor": "Q3", "regulation": "Q4"}
 PREFERENCE = {"uw_state": "Q5", "honorably": "Q6", "spouse": "Q7"}
-VERDICT = """case when uw_state is null and honorably is null and spouse is null then null
+VERDICT = """case when coalesce(uw_state, honorably, spouse) is null then null
       when uw_state = 'Yes' then 'No'
-      when honorably = 'Yes' or spouse = 'Yes' then 'Yes' else 'No' end"""
+      when 'Yes' in (honorably, spouse) then 'Yes' else 'No' end"""
 
 REQUISITION = f"""
   select r.requisition_id, r.requisition_number, rt.title requisition_name, p.name req_phase,
@@ -83,8 +83,7 @@ REGULATORY = f"""
 
 SOURCES = f"""
   select d.dimension_id,
-    case when m.meaning is null then n.source_name when n.source_name is null then m.meaning
-      else m.meaning || ' - ' || n.source_name end source_medium
+    nullif(concat_ws(' - ', m.meaning, n.source_name), '') source_medium
   from source_dimensions d
   join source_dimension_names n on n.dimension_id = d.dimension_id
   {meaning('d.source_medium', 'ORA_IRC_SOURCE_TRACKING_MEDIUM', 'm')}"""
@@ -105,16 +104,19 @@ FLAG_JOINS = "\n".join(
 )
 FLAGS = f"select s.submission_id, s.person_id, {FLAG_COLUMNS} from submissions s {FLAG_JOINS}"
 
-# Five flags in a row, as text.
-ROW_OF_FLAGS = "white || black || asian || hawaiian || indian"
+RACES = {
+    "white": "White",
+    "black": "Black or Afican American",
+    "asian": "Asian",
+    "indian": "American Indian or Alaska Native",
+    "hawaiian": "Native Hawaiian or other Pacific Islander",
+}
+MARKED = " + ".join(f"cast({name} = 'Yes' as integer)" for name in RACES)
 NEW_RACE = f"""case when hispanic = 'Yes' then null
-      when {ROW_OF_FLAGS} like '%Yes%Yes%' then 'Two or more races'
-      when {ROW_OF_FLAGS} = 'NoNoNoNoNo' then 'Did not provide'
-      when white = 'Yes' then 'White'
-      when black = 'Yes' then 'Black or Afican American'
-      when asian = 'Yes' then 'Asian'
-      when indian = 'Yes' then 'American Indian or Alaska Native'
-      when hawaiian = 'Yes' then 'Native Hawaiian or other Pacific Islander' end"""
+      when {MARKED} > 1 then 'Two or more races'
+      when {MARKED} < 1 then 'Did not provide'
+      else case 'Yes' {' '.join(f"when {name} then '{label}'" for name, label in RACES.items())}
+        end end"""
 NEW_ETHNICITY = "case when hispanic = 'Yes' then 'I am Hispanic or Latino' end"
 
 SUBMITTED = f"""

@@ -100,9 +100,11 @@ def test_salted_join_refuses_other_kinds(spark):
         salted_join(spark.range(1), spark.range(1), ["id"], "full")
 
 
-def test_copies_round_trip(spark):
+def test_copies_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(config, "COPIES_PER_ROW", 2)
     df = spark.createDataFrame([(1, "a")] * 7 + [(2, None)] * 3 + [(3, "c")], "k long, v string")
-    assert bag(expand_copies(with_copies(df), per_row=2)) == bag(df)
+    assert bag(expand_copies(with_copies(df))) == bag(df)
+    assert bag(expand_copies(with_copies(df), spread=True)) == bag(df)
     assert bag(expand_copies(fold_hot(df, ["k"], {(1,): 7}))) == bag(df)
     assert fold_hot(df, ["k"], {}) is df
     assert fold_hot(df, ["k"], {(1,): 7}).where("k = 1").count() == 1
