@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,8 +133,7 @@ def _measures(veteran: Column) -> dict[str, Column]:
 
 
 def _any_veteran_flag() -> Column:
-    marked = [F.coalesce(F.col(name) == "Yes", F.lit(False)) for name in C.VETERAN_FLAGS]
-    return reduce(lambda a, b: a | b, marked)
+    return reduce(or_, [F.col(name) == "Yes" for name in C.VETERAN_FLAGS])
 
 
 def diversity_counts(
@@ -154,16 +154,20 @@ def diversity_counts(
     share the same people.
     """
     t, few = _scope(t, req_number, all_requisitions)
-    conditions = _measures(veteran=F.lit(False))
-    names = list(conditions)
-    answered = t.regulatory_responses.groupBy("submission_id", "person_id").agg(
-        *[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()]
+    declared = _measures(veteran=F.lit(False))
+    del declared["Candidate"]
+    # Answers that meet no condition change nothing and are not moved at all.
+    answered = (
+        t.regulatory_responses.where(reduce(or_, declared.values()))
+        .groupBy("submission_id", "person_id")
+        .agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in declared.items()])
     )
     veterans = (
         veteran_profile(t.person_legislative, as_of, now)
         .where(_any_veteran_flag())
-        .select("person_id", F.lit(True).alias("_veteran"))
+        .select("person_id")
         .distinct()
+        .withColumn("_veteran", F.lit(True))
     )
     people = t.candidates.select("person_id").distinct().join(veterans, "person_id", "left")
 
@@ -177,8 +181,7 @@ def diversity_counts(
     )
     busy = None if few else heavy_keys({"people": (t.submissions, ["person_id"])})["people"]
     apps = salted_join(apps, people, ["person_id"], hot_left=busy, spread_by=["submission_id"])
-    flags = {n: F.col(n) for n in names}
-    flags["Candidate"] = F.lit(True)
+    flags = {"Candidate": F.lit(True), **{n: F.col(n) for n in declared}}
     flags["Veteran"] = F.col("Veteran") | F.col("_veteran")
     counts = headcount_by(apps, ["requisition_id"], "person_id", flags, emit_zero)
     titles = requisition_profile(t, as_of, with_department=True).select(*REQUISITION).distinct()
