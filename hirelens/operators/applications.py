@@ -194,6 +194,7 @@ def detail_keys(t: Tables, as_of: Date = None, now: Instant = None) -> dict:
         "reasons": (reason_entries(t.status_history), REASON_KEYS),
         **source_keys(t.source_tracking),
         "regulatory": (t.regulatory_responses, REGULATORY_KEYS),
+        "ethnicities": (t.person_ethnicities, ["person_id"]),
     }
 
 

@@ -17,9 +17,9 @@ from ..operators.applications import (
     requisition_profile,
 )
 from ..operators.filters import given, optional_filter
-from ..operators.skew import heavy_keys, repeat_copies, split_copies
+from ..operators.skew import heavy_keys
 from ..sources import Tables
-from .ordering import report_order
+from .ordering import ordered_rows
 
 SUBMISSION_IDS = ["submission_id", "requisition_id", "person_id"]
 
@@ -49,8 +49,9 @@ def disclosure_list(
     requisitions = opened(None if hot is None else hot["titles"])
     people = person_profile(t, as_of, "inner", hot)
     rows = counted_base(t.submissions.select(*SUBMISSION_IDS), requisitions, people, hot)
-    rows = report_order(split_copies(rows), "requisition_number", "candidate_name")
-    return repeat_copies(rows).select(
+    spread = hot is None or any(hot.values())
+    rows = ordered_rows(rows, "requisition_number", "candidate_name", spread=spread)
+    return rows.select(
         "requisition_id",
         "submission_id",
         "person_id",

@@ -30,15 +30,9 @@ from ..operators.applications import (
     veteran_profile,
 )
 from ..operators.headcount import headcount_by
-from ..operators.skew import (
-    heavy_keys,
-    join_matches,
-    repeat_copies,
-    salted_join,
-    split_copies,
-)
+from ..operators.skew import heavy_keys, join_matches, salted_join
 from ..sources import Tables
-from .ordering import report_order
+from .ordering import ordered_rows
 
 DETAIL_COLUMNS = [
     "requisition_id",
@@ -117,8 +111,9 @@ def diversity_detail(
     sources = source_rows(t.source_tracking, *labelled_sources(t), busy_sources)
     rows = matches(rows, sources, SOURCE_KEYS, "sources")
     rows = rows.select(*DETAIL_COLUMNS, "submission_id", "copies")
-    rows = report_order(split_copies(rows), "requisition_number", "candidate_name")
-    return repeat_copies(rows).select(*DETAIL_COLUMNS)
+    spread = hot is None or any(hot.values())
+    rows = ordered_rows(rows, "requisition_number", "candidate_name", spread=spread)
+    return rows.select(*DETAIL_COLUMNS)
 
 
 def _measures(veteran: Column) -> dict[str, Column]:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.filters import sorted_report
+from ..operators.skew import expand_copies, repeat_copies, split_copies
 
 
-def report_order(rows: DataFrame, *columns: str) -> DataFrame:
-    """Sort counted rows before their copies are written out.
+def ordered_rows(rows: DataFrame, *columns: str, spread: bool) -> DataFrame:
+    """Sort counted rows and write their copies out.
 
-    The application, and the piece of a row with very many copies, break ties, so
-    that equal names on one busy requisition can be cut into several partitions.
+    The application breaks ties, so that equal names on one busy requisition can be
+    cut into several partitions. With ``spread`` rows with very many copies are
+    split before the sort, which then places the pieces in different tasks.
     """
-    piece = ["piece"] if "piece" in rows.columns else []
-    return sorted_report(rows, *columns, "submission_id", *piece)
+    if spread and "copies" in rows.columns:
+        pieces = sorted_report(split_copies(rows), *columns, "submission_id", "piece")
+        return repeat_copies(pieces)
+    return expand_copies(sorted_report(rows, *columns, "submission_id"))
