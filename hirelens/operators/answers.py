@@ -38,8 +38,9 @@ def answers_wide(
     the greatest answer to each question.
 
     In mode 'all' the answers of an application are gathered into short lists.
-    The few applications with more than ``list_rows`` answers (``config.LIST_ROWS``)
-    are found first and take a way of their own that never brings their answers together in one task.
+    The few applications with more than about ``list_rows`` answers
+    (``config.LIST_ROWS``) are found first and take a way of their own that never
+    brings their answers together in one task.
     """
     list_rows = list_rows or C.LIST_ROWS
     answers = scoped_answers(responses, codes, scope)

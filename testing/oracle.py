@@ -230,6 +230,20 @@ QUERIES = {
   left join ({FLAGS}) f on f.submission_id = a.submission_id and f.person_id = c.person_id""",
     "r5_counts": COUNTS,
     "r5_counts_union": COUNTS,
+    "op_required_filter": """
+  select person_id, name_type, full_name from person_names where name_type = 'GLOBAL'""",
+    "op_sorted_report": """
+  select person_id, ethnicity from person_ethnicities
+  order by ethnicity nulls last, person_id nulls last""",
+    "op_requisition_profile": f"""
+  select q.requisition_id, q.requisition_number, q.requisition_name, q.req_phase,
+    q.req_current_status, q.open_date, dp.department_name
+  from ({REQUISITION}) q join ({DEPARTED}) dp on dp.organization_id = q.department_id""",
+    "op_current_names": NAMED,
+    "op_scoped_answers": f"""
+  select subject_id submission_id, participant_id person_id, question_code, long_text
+  from questionnaire_responses
+  where {IN_SCOPE} and question_code in ({', '.join(f"'{c}'" for c in PREFERENCE.values())})""",
     "op_in_force": f"""
   select person_id, name_type, full_name from person_names
   where {DAY} between effective_start_date and effective_end_date""",

@@ -27,7 +27,8 @@ VIEWS = {
           concat('REQ-', cast(p_partkey as string)) requisition_number,
           p_partkey % 3 + 1 current_phase_id, p_partkey % 4 + 21 current_state_id,
           p_partkey % 25 department_id,
-          case when p_partkey % 10 = 9 then 'ORA_TEMPLATE' else 'ORA_REQUISITION' end req_usage_code,
+          case when p_partkey % 10 = 9 then 'ORA_TEMPLATE' else 'ORA_REQUISITION' end
+            req_usage_code,
           date '2020-01-01' + cast(p_partkey % 365 as int) open_date
         from {part}""",
     "requisition_titles": """

@@ -101,7 +101,8 @@ def test_unknown_answer_mode(spark):
 def test_flags_by_code(spark, request, low_limits):
     if low_limits:
         request.getfixturevalue("skewed")
-    people = spark.createDataFrame([(s, s % 4) for s in range(12)], "submission_id long, person_id long")
+    people = [(s, s % 4) for s in range(12)]
+    people = spark.createDataFrame(people, "submission_id long, person_id long")
     rows = [(0, "1"), (0, "1"), (0, "3"), (1, "2"), (2, "4"), (2, "1"), (9, "5"), (2, "8")]
     facts = spark.createDataFrame(rows, "person_id long, ethnicity string")
     codes = C.ETHNICITY_CODES
@@ -151,7 +152,8 @@ def test_lookup_decode(spark):
 
 def test_source_label(spark):
     dims = spark.createDataFrame(
-        [(1, "M1"), (2, "M1"), (3, "M9"), (4, None), (5, "M1")], "dimension_id long, source_medium string"
+        [(1, "M1"), (2, "M1"), (3, "M9"), (4, None), (5, "M1")],
+        "dimension_id long, source_medium string",
     )
     names = spark.createDataFrame(
         [(1, "N"), (2, None), (3, "N"), (4, None)], "dimension_id long, source_name string"
@@ -185,7 +187,8 @@ def test_application_source_needs_all_three_keys(spark, request, low_limits):
     if low_limits:
         request.getfixturevalue("skewed")
     apps = spark.createDataFrame(
-        [(10, 1, "C1"), (10, 2, "C2")], "requisition_id long, submission_id long, candidate_number string"
+        [(10, 1, "C1"), (10, 2, "C2")],
+        "requisition_id long, submission_id long, candidate_number string",
     )
     tracking = spark.createDataFrame(
         [(10, 1, 7, "C1", "S1")] * 3
