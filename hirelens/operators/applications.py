@@ -220,6 +220,7 @@ def counted_base(
     spine = join_copies(
         subs, requisitions, ["requisition_id"], "inner",
         hot_left=hot.get("requisitions"), hot_right=hot.get("titles"), spread_by=by,
+        try_broadcast=True,
     )
     return join_copies(
         spine, people, ["person_id"], "inner",
@@ -296,7 +297,9 @@ def source_rows(
     """
     rows = tracked(tracking)
     return (
-        salted_join(rows, sources, ["dimension_id"], "left", hot_left=busy_sources)
+        salted_join(
+            rows, sources, ["dimension_id"], "left", hot_left=busy_sources, try_broadcast=True
+        )
         .join(sites, "site_number", "left")
         .select(*SOURCE_KEYS, "source_medium", "career_site")
     )

@@ -136,6 +136,7 @@ def salted_join(
     hot_left: Keys | None = None,
     hot_right: Keys | None = None,
     spread_by: Sequence[str] | None = None,
+    try_broadcast: bool = False,
 ) -> DataFrame:
     """Equi-join with hot keys cut into pieces; same rows as a plain join.
 
@@ -147,13 +148,14 @@ def salted_join(
     meet nothing are dropped again. Salts come from the content of the row, so
     identical rows should be folded into a count before.
 
-    Where only the left is hot and a count shows that the right has no more than
+    With ``try_broadcast``, for a right side that is cheap to compute: where only the
+    left is hot and a count shows that the right has no more than
     ``config.BROADCAST_ROWS`` rows, it is broadcast, which moves no left row at all.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join does not support how={how!r}")
     keys = list(on)
-    if hot_left and not hot_right and right.count() <= C.BROADCAST_ROWS:
+    if try_broadcast and hot_left and not hot_right and right.count() <= C.BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
     if hot_left:
         left = _spread(left, on, hot_left, "_salt_l", spread_by or left.columns)
@@ -199,20 +201,17 @@ def fold_hot(df: DataFrame, on: Sequence[str], hot: Keys | None) -> DataFrame:
 
 
 def join_copies(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    hot_left: Keys | None = None,
-    hot_right: Keys | None = None,
-    spread_by: Sequence[str] | None = None,
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", **options
 ) -> DataFrame:
-    """Join counted frames: copies multiply, a row without a match counts once."""
+    """Join counted frames: copies multiply, a row without a match counts once.
+
+    ``options`` are those of ``salted_join``.
+    """
     counted = "copies" in left.columns
     if "copies" not in right.columns:
-        return salted_join(left, right, on, how, hot_left, hot_right, spread_by)
+        return salted_join(left, right, on, how, **options)
     right = right.withColumnRenamed("copies", "_copies")
-    joined = salted_join(left, right, on, how, hot_left, hot_right, spread_by)
+    joined = salted_join(left, right, on, how, **options)
     copies = F.coalesce(F.col("_copies"), F.lit(1).cast("long"))
     if counted:
         copies = F.col("copies") * copies

@@ -72,7 +72,7 @@ def test_salted_join_equals_plain_join(spark, how, seed, broadcast_rows, monkeyp
     for hot in ({"hot_left": HOT}, {"hot_right": hot_right},
                 {"hot_left": HOT, "hot_right": hot_right},
                 {"hot_left": {(4, "x"): 3}, "hot_right": hot_right}):
-        got = salted_join(left, right, ["k", "c"], how, **hot)
+        got = salted_join(left, right, ["k", "c"], how, try_broadcast=True, **hot)
         assert bag(got.select("k", "c", "l", "r")) == want
 
 
