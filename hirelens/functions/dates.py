@@ -7,14 +7,18 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# None stands for today and for the present.
+Date = dt.date | Column | None
+Instant = dt.datetime | Column | None
 
-def as_date(value: dt.date | Column | None) -> Column:
+
+def as_date(value: Date) -> Column:
     if value is None:
         return F.current_date()
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def as_instant(value: dt.datetime | Column | None) -> Column:
+def as_instant(value: Instant) -> Column:
     """A wall-clock time, without a time zone so that sessions agree on it."""
     if value is None:
         return F.localtimestamp()
@@ -26,8 +30,8 @@ def as_instant(value: dt.datetime | Column | None) -> Column:
 def effective(
     start: Column,
     end: Column,
-    as_of: dt.date | Column | None,
-    now: dt.datetime | Column | None = None,
+    as_of: Date,
+    now: Instant = None,
     null_start: str = "drop",
     null_end: str = "drop",
 ) -> Column:

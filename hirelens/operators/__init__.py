@@ -2,22 +2,24 @@ from .answers import answers_wide, scoped_answers
 from .applications import (
     application_base,
     application_source,
-    for_requisitions,
     regulatory_profile,
-    requisition_profile,
     status_reason,
-    veteran_profile,
+    submission_status,
 )
 from .filters import in_force, optional_filter, required_filter, sorted_report
 from .flags import flags_by_code
 from .headcount import headcount_by
 from .lookups import lookup_decode, site_label, source_label, translated_names
+from .people import current_names, person_profile, veteran_profile
+from .requisitions import requisition_profile
+from .scoping import for_requisitions, narrowed
 from .skew import expand_copies, heavy_keys, salted_join, with_copies
 
 __all__ = [
     "answers_wide",
     "application_base",
     "application_source",
+    "current_names",
     "expand_copies",
     "flags_by_code",
     "for_requisitions",
@@ -25,7 +27,9 @@ __all__ = [
     "heavy_keys",
     "in_force",
     "lookup_decode",
+    "narrowed",
     "optional_filter",
+    "person_profile",
     "regulatory_profile",
     "required_filter",
     "requisition_profile",
@@ -35,6 +39,7 @@ __all__ = [
     "sorted_report",
     "source_label",
     "status_reason",
+    "submission_status",
     "translated_names",
     "veteran_profile",
     "with_copies",

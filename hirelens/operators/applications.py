@@ -1,86 +1,30 @@
-"""Requisitions, applications and people."""
+"""Applications and what belongs to them."""
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.labels import blank_to_null, ethnicity_split, status_label, yes_no
+from ..functions.dates import Date, Instant
+from ..functions.labels import ethnicity_split, status_label, yes_no
 from ..sources import Tables
-from .checkpoints import checkpointed
-from .filters import in_force, required_filter
-from .flags import code_flags
 from .lookups import lookup_decode, site_label, source_label, translated_names
+from .people import current_names, person_profile, veteran_profile
+from .requisitions import requisition_profile
 from .skew import (
+    Hot,
     Keys,
     expand_copies,
-    fold_hot,
     heavy_keys,
     join_copies,
     join_matches,
     salted_join,
 )
 
-Hot = dict[str, Keys]
-Date = dt.date | Column | None
-Instant = dt.datetime | Column | None
-
-
-# --- requisitions -----------------------------------------------------------
-
-
-def requisition_profile(
-    t: Tables,
-    as_of: Date = None,
-    with_department: bool = False,
-    busy_titles: Keys | None = None,
-) -> DataFrame:
-    """One row per requisition and title, with phase and status label.
-
-    ``with_department`` adds the department and drops requisitions whose
-    department is not in force. ``busy_titles`` lists requisitions with very many
-    titles; the rows are counted if there are any.
-    """
-    phases = translated_names(t.phases, "phase_id", "name")
-    states = translated_names(t.states, "state_id", "name")
-    out = (
-        t.requisitions.where(F.col("req_usage_code") == C.REQUISITION_USAGE)
-        .join(
-            phases.select(
-                F.col("phase_id").alias("current_phase_id"), F.col("name").alias("req_phase")
-            ),
-            "current_phase_id",
-        )
-        .join(
-            states.select(
-                F.col("state_id").alias("current_state_id"), F.col("name").alias("req_state")
-            ),
-            "current_state_id",
-        )
-    )
-    department = []
-    if with_department:
-        current = in_force(t.departments, as_of=as_of).select(
-            F.col("organization_id").alias("department_id"), F.col("name").alias("department_name")
-        )
-        out = out.join(current, "department_id")
-        department = ["department_name"]
-    titles = t.requisition_titles.select("requisition_id", F.col("title").alias("requisition_name"))
-    titles = fold_hot(titles, ["requisition_id"], busy_titles or {})
-    out = join_copies(out, titles, ["requisition_id"], "inner", hot_right=busy_titles)
-    return out.select(
-        "requisition_id",
-        blank_to_null("requisition_number").alias("requisition_number"),
-        "requisition_name",
-        "req_phase",
-        status_label("req_phase", "req_state").alias("req_current_status"),
-        "open_date",
-        *department,
-        *(["copies"] if busy_titles else []),
-    )
+REASON_KEYS = ["submission_id", "state_id"]
+SOURCE_KEYS = ["requisition_id", "submission_id", "candidate_number"]
+REGULATORY_KEYS = ["submission_id", "person_id"]
 
 
 def submission_status(t: Tables) -> DataFrame:
@@ -112,69 +56,6 @@ def submission_status(t: Tables) -> DataFrame:
     )
 
 
-# --- people -----------------------------------------------------------------
-
-
-def current_names(t: Tables, as_of: Date = None) -> DataFrame:
-    """person_id, candidate_name: global names in force."""
-    names = t.person_names.where(F.col("name_type") == C.NAME_TYPE)
-    return in_force(names, as_of=as_of).select(
-        "person_id", F.col("full_name").alias("candidate_name")
-    )
-
-
-def veteran_profile(legislative: DataFrame, as_of: Date = None, now: Instant = None) -> DataFrame:
-    """Four veteran flags per legislative record in force.
-
-    A missing end date means still in force; a missing start date does not.
-    """
-    current = in_force(legislative, as_of=as_of, now=now, null_end="open")
-    return current.select(
-        "person_id", *[yes_no(column).alias(name) for name, column in C.VETERAN_FLAGS.items()]
-    )
-
-
-def person_profile(
-    t: Tables, as_of: Date = None, how_name: str = "left", hot: Hot | None = None
-) -> DataFrame:
-    """Candidates with number and current name.
-
-    ``how_name`` is 'inner' to drop candidates without a name.
-    """
-    busy = hot["names"] if hot is not None else None
-    names = fold_hot(current_names(t, as_of), ["person_id"], busy)
-    return join_copies(t.candidates, names, ["person_id"], how_name, hot_right=busy)
-
-
-def extended_profile(
-    t: Tables,
-    as_of: Date = None,
-    now: Instant = None,
-    how_name: str = "left",
-    hot: Hot | None = None,
-) -> DataFrame:
-    """``person_profile`` with veteran flags and person-level ethnicity flags.
-
-    Everything known per person is put together here, on the persons alone, so
-    that the applications are moved to their persons only once.
-    """
-    veterans = veteran_profile(t.person_legislative, as_of, now)
-    ethnicities = code_flags(t.person_ethnicities, "person_id", "ethnicity", C.ETHNICITY_CODES)
-    people = person_profile(t, as_of, how_name, hot)
-    people = join_matches(
-        people, veterans, ["person_id"], hot["veterans"] if hot is not None else None
-    )
-    return join_copies(people, ethnicities, ["person_id"]).fillna("No", list(C.ETHNICITY_CODES))
-
-
-# --- hot keys of the reports ------------------------------------------------
-
-
-REASON_KEYS = ["submission_id", "state_id"]
-SOURCE_KEYS = ["requisition_id", "submission_id", "candidate_number"]
-REGULATORY_KEYS = ["submission_id", "person_id"]
-
-
 def base_keys(t: Tables, as_of: Date = None) -> dict:
     """Where the spine may meet hot keys, for ``heavy_keys``."""
     subs = t.submissions
@@ -204,9 +85,6 @@ def source_keys(tracking: DataFrame) -> dict:
     return {"sources": (rows, SOURCE_KEYS), "dimensions": (rows, ["dimension_id"])}
 
 
-# --- applications -----------------------------------------------------------
-
-
 def counted_base(
     subs: DataFrame, requisitions: DataFrame, people: DataFrame, hot: Hot | None = None
 ) -> DataFrame:
@@ -359,53 +237,3 @@ def labelled_sources(t: Tables) -> tuple[DataFrame, DataFrame]:
         source_label(t.source_dimensions, t.source_dimension_names, t.lookups),
         site_label(t.sites, t.site_names),
     )
-
-
-# --- narrowing --------------------------------------------------------------
-
-
-def for_requisitions(t: Tables, req_number) -> tuple[Tables, bool]:
-    """``narrowed`` to the given requisition numbers."""
-    wanted = required_filter(t.requisitions, "requisition_number", req_number)
-    return narrowed(t.replace(requisitions=wanted), wanted.select("requisition_id"))
-
-
-def narrowed(t: Tables, ids: DataFrame) -> tuple[Tables, bool]:
-    """The tables reduced to what belongs to the requisitions in ``ids``.
-
-    Every large table joins the applications on a submission or person id. When
-    counts show that the ids are few (``config.BROADCAST_ROWS``), they are
-    broadcast and the large tables are cut down while they are scanned, before any
-    shuffle; the second value tells whether this is so. Requisitions and
-    applications are cut down as soon as the requisitions are few.
-    """
-    if ids.count() > C.BROADCAST_ROWS:
-        return t, False
-    ids = F.broadcast(ids)
-    titles = t.requisition_titles.join(ids, "requisition_id", "left_semi")
-    subs = t.submissions.join(ids, "requisition_id", "left_semi").select(*t.submissions.columns)
-    if subs.count() > C.BROADCAST_ROWS:
-        return t.replace(requisition_titles=titles, submissions=subs), False
-    # Used for two broadcasts and the report.
-    subs = checkpointed(subs)
-
-    def belonging(table: DataFrame, key: str, id: str) -> DataFrame:
-        few = F.broadcast(subs.select(F.col(id).alias("_id")))
-        return table.join(few, F.col(key) == F.col("_id"), "left_semi")
-
-    return (
-        t.replace(
-            requisition_titles=titles,
-            submissions=subs,
-            status_history=belonging(t.status_history, "subject_id", "submission_id"),
-            source_tracking=belonging(t.source_tracking, "submission_id", "submission_id"),
-            regulatory_responses=belonging(
-                t.regulatory_responses, "submission_id", "submission_id"
-            ),
-            candidates=belonging(t.candidates, "person_id", "person_id"),
-            person_names=belonging(t.person_names, "person_id", "person_id"),
-            person_legislative=belonging(t.person_legislative, "person_id", "person_id"),
-            person_ethnicities=belonging(t.person_ethnicities, "person_id", "person_id"),
-        ),
-        True,
-    )

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import effective
+from ..functions.dates import Date, Instant, effective
 
 
 def in_force(
     df: DataFrame,
     start: str = "effective_start_date",
     end: str = "effective_end_date",
-    as_of: dt.date | Column | None = None,
-    now: dt.datetime | Column | None = None,
+    as_of: Date = None,
+    now: Instant = None,
     null_start: str = "drop",
     null_end: str = "drop",
 ) -> DataFrame:

@@ -18,6 +18,8 @@ from .. import config as C
 
 # Hot keys with their number of rows.
 Keys = dict[tuple, int]
+# Hot keys of several frames, by name.
+Hot = dict[str, Keys]
 
 
 # --- finding hot keys -------------------------------------------------------
@@ -28,7 +30,7 @@ def heavy_keys(
     min_rows: int | None = None,
     max_keys: int | None = None,
     sizes_first: bool = True,
-) -> dict[str, Keys]:
+) -> Hot:
     """For each named (frame, key columns), the keys with at least ``min_rows`` rows,
     and how many rows each has.
 
@@ -54,7 +56,7 @@ def heavy_keys(
     for name, (df, on) in frames.items():
         scans.setdefault(id(df), {})[name] = on
 
-    keys: dict[str, Keys] = {name: {} for name in frames}
+    keys: Hot = {name: {} for name in frames}
     if sizes_first:
         sized = [by_id[i].select(F.lit(str(i)).alias("scan")) for i in scans]
         sizes = reduce(DataFrame.unionAll, sized).groupBy("scan").count().collect()

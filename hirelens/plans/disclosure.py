@@ -6,17 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.dates import Date
 from ..functions.labels import preference_verdict
 from ..operators.answers import answers_wide
-from ..operators.applications import (
-    Date,
-    base_keys,
-    counted_base,
-    narrowed,
-    person_profile,
-    requisition_profile,
-)
+from ..operators.applications import base_keys, counted_base
 from ..operators.filters import given, optional_filter
+from ..operators.people import person_profile
+from ..operators.requisitions import requisition_profile
+from ..operators.scoping import narrowed
 from ..operators.skew import heavy_keys
 from ..sources import Tables
 from .ordering import ordered_rows

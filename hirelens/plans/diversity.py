@@ -9,27 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.dates import Date, Instant
 from ..functions.labels import race_ethnicity
 from ..operators.applications import (
     REASON_KEYS,
     REGULATORY_KEYS,
     SOURCE_KEYS,
-    Date,
-    Instant,
     application_base,
     counted_base,
     detail_keys,
-    extended_profile,
-    for_requisitions,
     labelled_sources,
     reason_rows,
     regulatory_rows,
-    requisition_profile,
     source_rows,
     submission_status,
-    veteran_profile,
 )
 from ..operators.headcount import headcount_by
+from ..operators.people import extended_profile, veteran_profile
+from ..operators.requisitions import requisition_profile
+from ..operators.scoping import for_requisitions
 from ..operators.skew import heavy_keys, join_matches, salted_join
 from ..sources import Tables
 from .ordering import ordered_rows

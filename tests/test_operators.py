@@ -27,7 +27,8 @@ def literal_answers(subs, rows, codes):
     for sub, req, person in subs:
         found = [
             [r[7] for r in rows
-             if r[1] == sub and r[0] == person is not None and r[2:6] == (4, "SUBMISSION", "S", "CANDIDATE")
+             if r[1] == sub and r[0] == person is not None
+             and r[2:6] == (4, "SUBMISSION", "S", "CANDIDATE")
              and r[6] == code] or [None]
             for code in codes.values()
         ]
