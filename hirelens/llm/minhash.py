@@ -32,6 +32,8 @@ HASHES, ROWS, BATCH = 128, 5, 32
 MISS = 1e-6
 #: Bytes of text handled at a time; members of a group compared in one task.
 CHUNK, BLOCK = 1_000_000, 2048
+#: Pairs of signatures compared at a time.
+PAIRS = 1 << 16
 MASK = (1 << 64) - 1
 
 
@@ -62,9 +64,8 @@ def shingle_sets(texts: list[str], words: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles of ``words`` words. A-Z are
     lower-cased; words lie between white space (9 to 13 and 32). A text with fewer words
     is one shingle; one without words has none."""
-    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    for lo, hi in chunks([sum(map(len, w)) + len(w) for w in split], CHUNK):
-        yield from _hashed(split[lo:hi], words)
+    for lo, hi in chunks(list(map(len, texts)), CHUNK):
+        yield from _hashed([t.encode("utf-8", "surrogatepass").lower().split() for t in texts[lo:hi]], words)
 
 
 def _hashed(split: list[list[bytes]], words: int) -> Iterator[np.ndarray]:
@@ -94,10 +95,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     for lo, hi in chunks(list(map(len, sets)), 1 << 15):
         values = np.concatenate(sets[lo:hi])
         starts = np.cumsum([0, *map(len, sets[lo : hi - 1])])
+        hashed = np.empty_like(values)
         for j in range(HASHES):
-            hashed = values * factors[j] + offsets[j]
-            hashed >>= np.uint64(32)
-            out[lo:hi, j] = np.minimum.reduceat(hashed, starts)
+            np.multiply(values, factors[j], out=hashed)
+            hashed += offsets[j]
+            out[lo:hi, j] = np.minimum.reduceat(hashed, starts) >> np.uint64(32)
     return out
 
 
@@ -129,17 +131,21 @@ def least_matches(percent: int, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def may_match(left: np.ndarray, right: np.ndarray, percent: int, miss: float) -> np.ndarray:
-    """Pairs of signatures (rows) that no batch drops."""
-    alive, agreed = np.arange(len(left)), np.zeros(len(left), np.int64)
-    for i, least in enumerate(least_matches(percent, miss)):
-        part = slice(i * BATCH, (i + 1) * BATCH)
-        agreed = agreed + (left[alive, part] == right[alive, part]).sum(1)
-        keep = agreed >= least
-        alive, agreed = alive[keep], agreed[keep]
-    out = np.zeros(len(left), bool)
-    out[alive] = True
-    return out
+def may_match(
+    left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int, miss: float
+) -> np.ndarray:
+    """Positions of the pairs (row x of left, row y of right) that no batch drops."""
+    out = []
+    for lo in range(0, len(x), PAIRS):
+        alive = np.arange(lo, min(lo + PAIRS, len(x)))
+        agreed = np.zeros(len(alive), np.int64)
+        for i, least in enumerate(least_matches(percent, miss)):
+            part = slice(i * BATCH, (i + 1) * BATCH)
+            agreed += (left[:, part][x[alive]] == right[:, part][y[alive]]).sum(1)
+            keep = agreed >= least
+            alive, agreed = alive[keep], agreed[keep]
+        out.append(alive)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _annotated(run, inputs: int = 1):
@@ -189,7 +195,9 @@ def survives(left: Column, right: Column, percent: int, miss: float) -> Column:
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for a, b in batches:
-            yield pa.array(may_match(_signature_matrix(a), _signature_matrix(b), percent, miss))
+            found, every = np.zeros(len(a), bool), np.arange(len(a))
+            found[may_match(_signature_matrix(a), _signature_matrix(b), every, every, percent, miss)] = True
+            yield pa.array(found)
 
     return F.arrow_udf(_annotated(run, 2), "boolean")(left, right)
 
@@ -289,23 +297,64 @@ def _across(grouped: DataFrame, found: DataFrame, signed: DataFrame, percent: in
         F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"),
     ).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        rep, comp = (table[c].to_numpy() for c in ("rep", "component"))
-        own, i, j = table["own"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-        marks = _signature_matrix(table["signature"])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for x in left:
-            ys = right[comp[right] != comp[x]]
-            if i == j:
-                ys = ys[rep[ys] > rep[x]]
-            ys = ys[may_match(np.broadcast_to(marks[x], (len(ys), HASHES)), marks[ys], percent, miss)]
-            out += [(rep[x], rep[y]) for y in ys]
-        return pa.table({
-            "a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())
-        })
-
-    return tasks.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+    tasks = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            starts = _group_starts(rows)
+            yield _compared(rows.slice(0, starts[-1]), starts[:-1], percent, miss)
+            rest = rows.slice(starts[-1])
+        if rest is not None:
+            yield _compared(rest, np.zeros(1, np.int64), percent, miss)
+
+    return tasks.drop("n", "blocks", "other").mapInArrow(run, "a long, b long")
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    """Where a new (band, i, j) begins."""
+    new = np.ones(rows.num_rows, bool)
+    columns = [rows[c].to_numpy() for c in ("band", "i", "j")]
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _compared(rows: pa.Table, starts: np.ndarray, percent: int, miss: float) -> pa.RecordBatch:
+    """Of each group's pairs across components those that survive, each pair once."""
+    rep, comp, own, i, j = (rows[c].to_numpy() for c in ("rep", "component", "own", "i", "j"))
+    marks = _signature_matrix(rows["signature"])
+    kept: list[np.ndarray] = []
+    waiting: list[np.ndarray] = []
+
+    def flush() -> None:
+        if waiting:
+            x, y = np.concatenate(waiting, axis=1)
+            order = np.lexsort((rep[y], rep[x]))
+            x, y = x[order], y[order]
+            new = np.ones(len(x), bool)
+            new[1:] = (rep[x[1:]] != rep[x[:-1]]) | (rep[y[1:]] != rep[y[:-1]])
+            x, y = x[new], y[new]
+            found = may_match(marks, marks, x, y, percent, miss)
+            kept.append(np.stack((rep[x[found]], rep[y[found]])))
+            waiting.clear()
+
+    size = 0
+    for a, b in zip(starts, np.append(starts[1:], rows.num_rows), strict=True):
+        left = np.flatnonzero(own[a:b] == i[a]) + a
+        right = left if i[a] == j[a] else np.flatnonzero(own[a:b] == j[a]) + a
+        for part in np.array_split(left, max(1, len(left) * len(right) // PAIRS)):
+            differ = comp[part][:, None] != comp[right]
+            x, y = np.nonzero(differ & (rep[part][:, None] < rep[right]) if i[a] == j[a] else differ)
+            waiting.append(np.stack((part[x], right[y])))
+            size += len(x)
+            if size > PAIRS:
+                flush()
+                size = 0
+    flush()
+    pairs = np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in pairs], ["a", "b"])
 
 
 def _result(sketched: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
