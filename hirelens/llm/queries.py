@@ -8,11 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash, token_counts
+from . import byte_bpe, chat, minhash, passage_quality, token_counts, url_rules
+from .common import crc_remainder
 
 BPE_RANKS, BPE_FILE, TOKEN_LIMIT = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", 1024
 
 
+QUALITY_CUT = 0.3
+
+#: Host rules and, for urls that none fits, patterns: (verdict, text).
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+URL_PATTERNS = (
+    ("block", "?utm_source=feed"),
+    ("block", "||blog.*/it/"),
+    ("block", "/wp-login."),
+    ("block", "^cart^"),
+    ("block", "||ads."),
+    ("block", "||m.*.html|"),
+    ("allow", "||example.net^en^"),
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +56,31 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> passage_quality.Model:
+    return passage_quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_model(spark, sf_dir)
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (crc_remainder("doc_id", 5) == 0).alias("held_out"),
+        passage_quality.score(F.col("text"), model).alias("score"),
+    ).withColumn("predicted", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0))
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_PATTERNS)
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = "<|im_end|><|im_start|>assistant ok"
+    rows = [(-1, 0, "user", extra), (-1, 1, "assistant", extra)]
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = given.unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_turns(both))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     count = token_counts.token_count(F.col("text"), public_tokenizers.path(BPE_FILE))
@@ -50,8 +97,56 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_passage_quality": op2_passage_quality,
+    "op3_url_rules": op3_url_rules,
+    "op5_chat_format": op5_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_minhash": op10_minhash,
 }
 
-SQL: dict[str, str] = {}
+OP3_SQL = r"""
+with parts as (
+  select page_id, coalesce(url, '') as url, instr(coalesce(url, ''), '://') as place from pages
+), hosts as (
+  select page_id, url, case when place = 0 then '' else substr(url, place + 3) end as rest from parts
+), split as (
+  select page_id, url, rest, regexp_extract(rest, '^[^/?#]*') as raw from hosts
+), named as (
+  select page_id,
+    translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+    translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path
+  from split
+), ruled as (
+  select page_id, low, host, path,
+    case
+      when regexp_full_match(host, '(.*\.)?example\.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+      when regexp_full_match(host, '(.*\.)?example\.org') and starts_with(path, '/es/') then 'example.org/es/'
+      when regexp_full_match(host, '(.*\.)?com') and starts_with(path, '/fr/') then 'com/fr/'
+      when regexp_full_match(host, '(.*\.)?com') and starts_with(path, '/de/') then 'com/de/'
+      when regexp_full_match(host, '(.*\.)?org') and starts_with(path, '/') then 'org/'
+    end as rule,
+    case
+      when regexp_matches(low, '^[^/?#]*://([^/?#]*\.)?example\.net([^0-9a-z%._-]|$)en([^0-9a-z%._-]|$)')
+        then '||example.net^en^'
+      when contains(low, '?utm_source=feed') then '?utm_source=feed'
+      when regexp_matches(low, '^[^/?#]*://([^/?#]*\.)?blog\..*/it/') then '||blog.*/it/'
+      when regexp_matches(low, '^[^/?#]*://([^/?#]*\.)?m\..*\.html$') then '||m.*.html|'
+      when contains(low, '/wp-login.') then '/wp-login.'
+      when regexp_matches(low, '([^0-9a-z%._-])cart([^0-9a-z%._-]|$)') then '^cart^'
+      when regexp_matches(low, '^[^/?#]*://([^/?#]*\.)?ads\.') then '||ads.'
+    end as hit
+  from named
+)
+select page_id, host, path, rule,
+  case
+    when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block'
+    when rule is not null then 'allow'
+    when hit is null or hit = '||example.net^en^' then 'allow'
+    else 'block'
+  end as verdict,
+  case when rule is null then hit end as pattern
+from ruled
+"""
+
+SQL: dict[str, str] = {"op3_url_rules": OP3_SQL}
