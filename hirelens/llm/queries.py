@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, minhash, passage_quality, token_counts, url_rules
+from . import byte_bpe, chat, minhash, mixing, multiprobe, passage_quality, token_counts, url_rules
 from .common import crc_remainder
 
 BPE_RANKS, BPE_FILE, TOKEN_LIMIT = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", 1024
@@ -35,6 +35,18 @@ URL_PATTERNS = (
 )
 
 
+#: The mix: a tree of domain, language and source, the weights that differ from 1, the share of
+#: all words to take, the times that a document may be taken, and the seed of the order.
+MIX_WEIGHTS = {"domain": {"hub": 2, "press": 5, "forum": 3}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 2}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.75, 2, 17
+
+
+def mix_levels() -> dict[str, Column]:
+    """src0 is the hub, the sources with one digit the press, all others the forum."""
+    domain = F.when(F.col("source") == "src0", "hub").when(F.length("source") == 4, "press").otherwise("forum")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,6 +93,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(both))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+def op8_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     count = token_counts.token_count(F.col("text"), public_tokenizers.path(BPE_FILE))
@@ -100,6 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_passage_quality": op2_passage_quality,
     "op3_url_rules": op3_url_rules,
     "op5_chat_format": op5_chat_format,
+    "op7_mixing": op7_mixing,
+    "op8_multiprobe": op8_multiprobe,
     "op9_token_counts": op9_token_counts,
     "op10_minhash": op10_minhash,
 }
@@ -149,4 +172,56 @@ select page_id, host, path, rule,
 from ruled
 """
 
-SQL: dict[str, str] = {"op3_url_rules": OP3_SQL}
+
+
+def _mix_sql() -> str:
+    """The mix in SQL: budgets level by level, then the prefix of each leaf's epochs."""
+    levels, ctes = ["domain", "lang", "source"], []
+    ctes.append("""base as (
+  select doc_id, case when source = 'src0' then 'hub' when length(source) = 4 then 'press' else 'forum' end as domain,
+    coalesce(lang, '(none)') as lang, coalesce(source, '(none)') as source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as tokens
+  from documents)""")
+    ctes.append(f"""leaves as (
+  select domain, lang, source, sum(tokens)::bigint as available, (sum(tokens) * {MIX_EPOCHS})::bigint as supply
+  from base group by all)""")
+    ctes.append(f"""given0 as (
+  select least(floor(sum(available)::bigint * {MIX_SHARE}::double)::bigint, sum(supply)::bigint) as given from leaves)""")
+    for depth, level in enumerate(levels, 1):
+        path, parent = ", ".join(levels[:depth]), ", ".join(levels[: depth - 1])
+        by = f"partition by {parent}" if parent else ""
+        cases = "".join(f" when {level} = '{k}' then {v}" for k, v in MIX_WEIGHTS.get(level, {}).items())
+        weight = f"case{cases} else 1 end" if cases else "1"
+        join = f"join given{depth - 1} using ({parent})" if parent else "cross join given0"
+        ctes.append(f"""children{depth} as (
+  select * from (select {path}, sum(supply)::bigint as supply, ({weight})::bigint as weight from leaves group by {path})
+  {join} where supply > 0 and weight > 0)""")
+        ctes.append(f"""told{depth} as (
+  select *, given - coalesce(sum(supply) over (poor rows between unbounded preceding and 1 preceding), 0) as remaining,
+    sum(weight) over (poor rows between current row and unbounded following) as heavy
+  from children{depth} window poor as ({by} order by supply / weight::double, {level}))""")
+        ctes.append(f"""split{depth} as (
+  select *, (remaining > 0 and supply * heavy <= remaining * weight) as everything from told{depth})""")
+        ctes.append(f"""summed{depth} as (
+  select *, given - sum(case when everything then supply else 0 end) over ({by}) as rest,
+    sum(case when everything then 0 else weight end) over ({by}) as total,
+    sum(case when everything then 0 else weight end) over ({by} order by {level}) as upto
+  from split{depth})""")
+        ctes.append(f"""given{depth} as (
+  select {path}, case when everything then supply
+    else ((rest * upto) // total - (rest * (upto - weight)) // total) end::bigint as given from summed{depth})""")
+    ctes.append(f"""quotas as (
+  select domain, lang, source, available, e::int as epoch, least(given - e * available, available) as quota
+  from given3 join leaves using (domain, lang, source), range({MIX_EPOCHS}) r(e)
+  where given - e * available > 0)""")
+    ctes.append(f"""ordered as (
+  select *, md5('{MIX_SEED}:' || epoch || ':' || coalesce(doc_id::varchar, '')) as hash
+  from base join quotas using (domain, lang, source))""")
+    ctes.append("""run as (
+  select *, coalesce(sum(tokens) over (partition by domain, lang, source, epoch order by hash, doc_id
+    rows between unbounded preceding and 1 preceding), 0) as before from ordered)""")
+    body = "select doc_id, domain, lang, source, tokens, epoch from run where quota = available or before < quota"
+    return "with " + ",\n".join(ctes) + "\n" + body
+
+
+SQL: dict[str, str] = {"op3_url_rules": OP3_SQL, "op7_mixing": _mix_sql()}
