@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, chunks, texts_of
@@ -32,6 +32,8 @@ HASHES, ROWS, BATCH = 128, 5, 32
 MISS = 1e-6
 #: Bytes of text handled at a time; members of a group compared in one task.
 CHUNK, BLOCK = 1_000_000, 2048
+#: Ids of documents in candidate pairs that are sent to every executor at most.
+BROADCAST_IDS = 1_000_000
 #: Pairs of signatures compared at a time.
 PAIRS = 1 << 16
 MASK = (1 << 64) - 1
@@ -161,15 +163,16 @@ def sketch(text: Column, words: int) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            sets = list(shingle_sets(texts_of(batch), words))
-            full = [s for s in sets if len(s)]
-            signed = iter(signatures(full)) if full else iter(())
+            texts, sizes, keys, signed = texts_of(batch), [], [], []
+            for lo, hi in chunks(list(map(len, texts)), CHUNK):
+                sets = list(shingle_sets(texts[lo:hi], words))
+                full = [s for s in sets if len(s)]
+                made = iter(signatures(full)) if full else iter(())
+                sizes += map(len, sets)
+                keys += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                signed += [next(made).tobytes() if len(s) else None for s in sets]
             yield pa.StructArray.from_arrays(
-                [
-                    pa.array(map(len, sets), pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ],
+                [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())],
                 ["n", "key", "signature"],
             )
 
@@ -244,21 +247,18 @@ def near_duplicates(
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = checkpointed(texts.select("id", sketch(F.col("text"), words).alias("s")).select("id", "s.*"))
-    members = sketched.filter("id is not null and n > 0").select("id", "key")
-    classes = members.groupBy("key").agg(F.min("id").alias("rep"))
-    signed = (
-        sketched.filter("signature is not null")
-        .join(classes, [sketched["key"] == classes["key"], sketched["id"] == classes["rep"]])
-        .groupBy("rep")
-        .agg(F.first("signature").alias("signature"))
-    )
-    signed = checkpointed(signed)
+    first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    signed = sketched.filter("id is not null and n > 0").withColumn("place", first).filter("place = 1")
+    signed = checkpointed(signed.select(F.col("id").alias("rep"), "key", "signature"))
+    classes, signed = signed.select("key", "rep"), signed.select("rep", "signature")
     banded = signed.select("rep", F.explode(band_keys(F.col("signature"))).alias("band"))
     groups = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     grouped = checkpointed(banded.join(groups, "band"))
 
     stars = grouped.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    a, b = (signed.toDF(x, f"s_{x}") for x in "ab")
+    stars = checkpointed(stars)
+    needed = checkpointed(_only(signed, "rep", _ends(stars)))
+    a, b = (needed.toDF(x, f"s_{x}") for x in "ab")
     likely = stars.join(a, "a").join(b, "b").filter(survives(F.col("s_a"), F.col("s_b"), percent, miss))
     links = checkpointed(_verified(likely.select("a", "b"), texts, words, percent))
     first = checkpointed(components(links))
@@ -274,21 +274,32 @@ def near_duplicates(
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     pairs = checkpointed(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = texts.join(ids, "id", "left_semi").select("id", packed_set(F.col("text"), words).alias("x"))
+    sets = _only(texts, "id", _ends(pairs)).select("id", packed_set(F.col("text"), words).alias("x"))
     sets = checkpointed(sets.filter(F.octet_length("x") > 0).dropDuplicates(["id"]))
     a, b = sets.toDF("a", "x_a"), sets.toDF("b", "x_b")
     joined = pairs.join(a, "a").join(b, "b")
     return joined.filter(similar_sets(F.col("x_a"), F.col("x_b"), percent)).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").union(pairs.select("b")).distinct().toDF("end")
+
+
+def _only(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id is among ``ids``, which are broadcast once they are counted and found few."""
+    ids = checkpointed(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return frame.join(ids, frame[column] == ids["end"], "left_semi")
+
+
 def _across(grouped: DataFrame, found: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame:
     """Pairs of one band group but of different components that survive the batches."""
     placed = grouped.join(found, grouped["rep"] == found["id"], "left").select(
         "band", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    placed = placed.join(mixed.filter("low != high").select("band"), "band", "left_semi")
+    placed = checkpointed(placed.join(mixed.filter("low != high").select("band"), "band", "left_semi"))
+    signed = _only(signed, "rep", placed.select("rep").distinct().toDF("end"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     placed = placed.join(signed, "rep").select("*", blocks.alias("blocks"), own.alias("own"))
