@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Ids that are sent to every executor at most.
+BROADCAST_IDS = 1_000_000
+
+
 def chunks(lengths, limit: int) -> Iterator[tuple[int, int]]:
     """Cut a run of items into pieces of at most ``limit`` units; a longer item stands alone."""
     start, total = 0, 0
@@ -29,21 +33,29 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the session's checkpoint folder."""
-    _checkpoint_folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only a local session without one gets its own folder."""
+def among(frame: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose id is among ``ids`` (one column), or with ``left_anti`` those whose id is not. The
+    ids are broadcast once they are counted and found few; else Spark shuffles for the join."""
+    ids = checkpointed(ids.toDF("among_id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return frame.join(ids, frame[column] == ids["among_id"], how)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without one gets its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="llm-checkpoint-")
-    context.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="llm-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def crc_remainder(column: Column | str, modulus: int) -> Column:

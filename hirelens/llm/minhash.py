@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, texts_of
+from .common import among, checkpointed, chunks, texts_of
 from .components import components
 
 HASHES, ROWS, BATCH = 128, 5, 32
@@ -32,8 +32,6 @@ HASHES, ROWS, BATCH = 128, 5, 32
 MISS = 1e-6
 #: Bytes of text handled at a time; members of a group compared in one task.
 CHUNK, BLOCK = 1_000_000, 2048
-#: Ids of documents in candidate pairs that are sent to every executor at most.
-BROADCAST_IDS = 1_000_000
 #: Pairs of signatures compared at a time.
 PAIRS = 1 << 16
 MASK = (1 << 64) - 1
@@ -257,7 +255,7 @@ def near_duplicates(
 
     stars = grouped.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     stars = checkpointed(stars)
-    needed = checkpointed(_only(signed, "rep", _ends(stars)))
+    needed = checkpointed(among(signed, "rep", _ends(stars)))
     a, b = (needed.toDF(x, f"s_{x}") for x in "ab")
     likely = stars.join(a, "a").join(b, "b").filter(survives(F.col("s_a"), F.col("s_b"), percent, miss))
     links = checkpointed(_verified(likely.select("a", "b"), texts, words, percent))
@@ -274,7 +272,7 @@ def near_duplicates(
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     pairs = checkpointed(pairs)
-    sets = _only(texts, "id", _ends(pairs)).select("id", packed_set(F.col("text"), words).alias("x"))
+    sets = among(texts, "id", _ends(pairs)).select("id", packed_set(F.col("text"), words).alias("x"))
     sets = checkpointed(sets.filter(F.octet_length("x") > 0).dropDuplicates(["id"]))
     a, b = sets.toDF("a", "x_a"), sets.toDF("b", "x_b")
     joined = pairs.join(a, "a").join(b, "b")
@@ -282,14 +280,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a").union(pairs.select("b")).distinct().toDF("end")
-
-
-def _only(frame: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows whose id is among ``ids``, which are broadcast once they are counted and found few."""
-    ids = checkpointed(ids)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return frame.join(ids, frame[column] == ids["end"], "left_semi")
+    return pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
 
 
 def _across(grouped: DataFrame, found: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -299,7 +290,7 @@ def _across(grouped: DataFrame, found: DataFrame, signed: DataFrame, percent: in
     )
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = checkpointed(placed.join(mixed.filter("low != high").select("band"), "band", "left_semi"))
-    signed = _only(signed, "rep", placed.select("rep").distinct().toDF("end"))
+    signed = among(signed, "rep", placed.select("rep").distinct().toDF("id"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     placed = placed.join(signed, "rep").select("*", blocks.alias("blocks"), own.alias("own"))
