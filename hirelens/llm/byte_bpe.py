@@ -23,7 +23,7 @@ from .common import chunks, texts_of
 from .pretokens import pieces
 
 #: Codepoints handled at a time, and pre-tokens remembered by a worker.
-CHUNK, CACHED = 1_000_000, 600_000
+CHUNK, CACHED = 500_000, 250_000
 SHORT, NEVER = 64, 1 << 60
 
 
@@ -149,22 +149,24 @@ def decode_ids(ids: bytes, path: str) -> bytes:
     return b"".join(map(by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(text: Column | str, path: str) -> Column:
-    """A struct of ``ids`` and ``offsets`` (packed unsigned 32-bit integers) for a text column.
+def encode(text: Column | str, path: str, parts: tuple[str, ...] = ("ids", "offsets")) -> Column:
+    """A struct for a text column: ``ids`` and ``offsets`` (packed unsigned 32-bit integers) and, if
+    asked for, ``decoded`` (the bytes that the ids decode to).
 
     Special tokens are not recognised: their strings are ordinary text. A null or empty
-    text has empty ids and offsets. ``path`` names a rank file that every executor can read.
+    text has empty ids, offsets and bytes. ``path`` names a rank file that every executor can read.
     """
+    make = {"ids": lambda ids, _: ids, "offsets": offsets_of, "decoded": decode_ids}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            ids = list(encode_batch(texts_of(batch), path))
-            offsets = [offsets_of(i, path) for i in ids]
-            yield pa.StructArray.from_arrays(
-                [pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())], ["ids", "offsets"]
-            )
+            out: list[list[bytes]] = [[] for _ in parts]
+            for ids in encode_batch(texts_of(batch), path):
+                for part, column in zip(parts, out, strict=True):
+                    column.append(make[part](ids, path))
+            yield pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in out], list(parts))
 
-    return _arrow(run, "struct<ids: binary, offsets: binary>")(text)
+    return _arrow(run, f"struct<{', '.join(f'{p}: binary' for p in parts)}>")(text)
 
 
 def decode(ids: Column | str, path: str) -> Column:
