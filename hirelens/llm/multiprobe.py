@@ -43,7 +43,7 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a column of equally long lists."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -234,7 +234,7 @@ def _buckets(index: Index, shards: int):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
-            found = index.buckets(_matrix(x)).ravel() if len(x) else np.zeros(0, np.int64)
+            found = index.buckets(matrix(x)).ravel() if len(x) else np.zeros(0, np.int64)
             both = pa.StructArray.from_arrays([pa.array(_shard(found, shards)), pa.array(found)], ["shard", "bucket"])
             yield pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * TABLES, both)
 
@@ -249,7 +249,7 @@ def _probes(index: Index, shards: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
             out = []
-            for probed in index.probes(_matrix(x)) if len(x) else ():
+            for probed in index.probes(matrix(x)) if len(x) else ():
                 where = _shard(probed, shards)
                 out.append([{"shard": s, "buckets": probed[where == s]} for s in np.unique(where)])
             yield pa.array(out, kind)
@@ -267,7 +267,7 @@ def _searcher(k: int):
             return none
         entries = entries.sort_by("bucket")
         bucket, rep = entries["bucket"].to_numpy(), entries["rep"].to_numpy()
-        x, q = _matrix(entries["x"]), _matrix(visits["x"])
+        x, q = matrix(entries["x"]), matrix(visits["x"])
         names, starts = np.unique(bucket, return_index=True)
         ends = np.append(starts[1:], len(bucket))
         ids, probed, out = visits["id"].to_numpy(), visits["buckets"].to_pylist(), []

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, minhash, mixing, multiprobe, passage_quality, token_counts, url_rules
+from . import byte_bpe, chat, cover_tree, minhash, mixing, multiprobe, passage_quality, token_counts, url_rules
 from .common import crc_remainder
 
 BPE_RANKS, BPE_FILE, TOKEN_LIMIT = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", 1024
@@ -92,6 +92,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(both))
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_passage_quality": op2_passage_quality,
     "op3_url_rules": op3_url_rules,
     "op5_chat_format": op5_chat_format,
+    "op6_cover_tree": op6_cover_tree,
     "op7_mixing": op7_mixing,
     "op8_multiprobe": op8_multiprobe,
     "op9_token_counts": op9_token_counts,
