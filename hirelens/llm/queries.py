@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, cover_tree, minhash, mixing, multiprobe, passage_quality, token_counts, url_rules
+from . import byte_bpe, chat, cover_tree, minhash, mixing, multiprobe, passage_quality, ppm, token_counts, url_rules
 from .common import crc_remainder
 
 BPE_RANKS, BPE_FILE, TOKEN_LIMIT = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", 1024
@@ -84,6 +84,13 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_PATTERNS)
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_remainder("doc_id", 7) == 2
+    scored = ppm.score(docs, ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = "<|im_end|><|im_start|>assistant ok"
     rows = [(-1, 0, "user", extra), (-1, 1, "assistant", extra)]
@@ -123,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_passage_quality": op2_passage_quality,
     "op3_url_rules": op3_url_rules,
+    "op4_ppm": op4_ppm,
     "op5_chat_format": op5_chat_format,
     "op6_cover_tree": op6_cover_tree,
     "op7_mixing": op7_mixing,
