@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 #: Tables, the width of a cell in standard deviations of a projection, vectors a bucket should
-#: hold, and the chance of a near vector at which a query stops to probe, over all tables.
-TABLES, WIDTH, BUCKET, SUCCESS, SEED = 2, 1.2, 24, 0.95, 11
-#: Vectors that the index is fitted on, those of the smallest hash of their id; entries of a shard.
-SAMPLE, SHARD = 2048, 65_536
+#: hold, and the share of near pairs of the sample that the probes must meet.
+TABLES, WIDTH, BUCKET, SUCCESS, SEED = 2, 1.2, 24, 0.97, 11
+#: Vectors that the index is fitted on, those of the smallest hash of their id; of these, the
+#: queries that the length of probing is fitted on, and their nearest; entries of a shard.
+SAMPLE, TRIED, NEAR, SHARD = 2048, 128, 4, 65_536
 #: Queries whose scores a shard holds at a time.
 ASKED = 128
 
@@ -51,6 +52,16 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
+def _on_sphere(x: np.ndarray, norm: float, asked: bool) -> np.ndarray:
+    """Vectors of unit length with one more component: what a vector lacks to the largest norm, but
+    none for a query, whose length does not matter. Inner products then rank as cosines do."""
+    if asked:
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return np.pad(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), ((0, 0), (0, 1)))
+    x = x / norm
+    return np.concatenate((x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))), axis=1)
+
+
 @dataclass
 class Index:
     """Projections of all tables, in the scaled space in which every norm is 1."""
@@ -61,17 +72,15 @@ class Index:
     pull: float
     spread: float
     reach: int
+    target: float = 1.0
 
     @property
     def hashes(self) -> int:
         return self.projections.shape[1]
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        """(rows, tables, hashes): projections of vectors with the component that evens norms."""
-        scaled = x / self.norm
-        rest = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1)))
-        whole = np.concatenate((scaled, rest[:, None]), axis=1)
-        return np.einsum("nd,thd->nth", whole, self.projections)
+    def project(self, x: np.ndarray, asked: bool) -> np.ndarray:
+        """(rows, tables, hashes): projections of vectors on the sphere."""
+        return np.einsum("nd,thd->nth", _on_sphere(x, self.norm, asked), self.projections)
 
     def cells(self, projected: np.ndarray) -> np.ndarray:
         cut = np.floor((projected + self.shifts) / WIDTH).astype(np.int64)
@@ -80,26 +89,31 @@ class Index:
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables): the bucket of each vector in each table."""
         base = 2 * self.reach
-        return self.cells(self.project(x)) @ (base ** np.arange(self.hashes)) * TABLES + np.arange(TABLES)
+        return self.cells(self.project(x, False)) @ (base ** np.arange(self.hashes)) * TABLES + np.arange(TABLES)
 
     def probes(self, x: np.ndarray) -> Iterator[np.ndarray]:
         """For each query the buckets to visit, until each table's chance is reached."""
-        target = 1 - (1 - SUCCESS) ** (1 / TABLES)
+        for tables in self.chances(x):
+            found = [b * TABLES + t for t, c in enumerate(tables) for b, _ in _by_chance(c, self.target, 2 * self.reach)]
+            yield np.array(found, np.int64)
+
+    def chances(self, x: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """For each query and table, the chance of each cell of each projection to hold a near one."""
         edges = np.arange(-self.reach, self.reach + 1) * WIDTH
-        for row in self.project(x):
+        for row in self.project(x, True):
             out = []
             for t in range(TABLES):
                 centre = row[t] * self.pull + self.shifts[t]
                 z = (edges - centre[:, None]) / (self.spread * sqrt(2))
                 z[:, 0], z[:, -1] = -np.inf, np.inf
-                chance = np.diff(np.vectorize(erf)(z), axis=1) / 2
-                out += [b * TABLES + t for b in _by_chance(chance, target, 2 * self.reach)]
-            yield np.array(out, np.int64)
+                out.append(np.diff(np.vectorize(erf)(z), axis=1) / 2)
+            yield out
 
 
-def _by_chance(chance: np.ndarray, target: float, base: int) -> Iterator[int]:
+def _by_chance(chance: np.ndarray, target: float, base: int) -> Iterator[tuple[int, float]]:
     """Buckets in descending order of the product of their cells' chances, until their sum reaches
-    the target: a heap of perturbations, each made from another by moving on in one projection."""
+    the target, and the sum before each: a heap of perturbations, each made from another by
+    moving on in one projection."""
     hashes, cells = chance.shape
     order = np.argsort(-chance, axis=1, kind="stable")
     ranked = np.take_along_axis(chance, order, axis=1).tolist()
@@ -112,7 +126,7 @@ def _by_chance(chance: np.ndarray, target: float, base: int) -> Iterator[int]:
     total = 0.0
     while heap and total < target:
         negative, bucket, at, last = heapq.heappop(heap)
-        yield bucket
+        yield bucket, total
         total -= negative
         for h in range(last, hashes):
             i = at[h]
@@ -132,16 +146,39 @@ def fit(vectors: DataFrame, count: int, near: int) -> Index:
     dim = sample.shape[1] + 1
     projections = rng.normal(size=(TABLES, hashes, dim))
     index = Index(norm, projections, rng.uniform(0, WIDTH, (TABLES, hashes)), 0.0, 1.0, 4)
-    scaled = np.concatenate((sample / norm, np.sqrt(np.maximum(0, 1 - ((sample / norm) ** 2).sum(1)))[:, None]), axis=1)
+    if len(sample) < 2:
+        return index
     # The near-th best of all vectors stands in the sample at its share of the rank.
-    rank = max(1, min(len(sample) - 1, round(near * len(sample) / max(1, count))))
-    cosines = np.sort(scaled @ scaled.T, axis=1)[:, ::-1]
-    index.pull = float(np.median(cosines[:, rank])) if len(sample) > 1 else 1.0
-    index.pull = min(max(index.pull, 0.0), 0.999)
+    rank = min(len(sample) - 1, max(1, round(near * len(sample) / max(1, count))))
+    cosines = _on_sphere(sample, norm, True) @ _on_sphere(sample, norm, False).T
+    np.fill_diagonal(cosines, -np.inf)
+    order = np.argsort(-cosines, axis=1)
+    index.pull = min(max(float(np.median(np.take_along_axis(cosines, order[:, rank - 1 : rank], axis=1))), 0.0), 0.999)
     index.spread = sqrt(1 - index.pull**2)
+    index.target = _target(index, sample, order[:, : max(rank, min(NEAR, len(sample) - 1))])
     return index
 
 
+def _target(index: Index, sample: np.ndarray, order: np.ndarray) -> float:
+    """The estimated chance up to which queries must probe so that, in the sample, the share SUCCESS
+    of near pairs meets in a table."""
+    buckets = index.buckets(sample)
+    needed = []
+    for tables, near in zip(index.chances(sample[:TRIED]), order[:TRIED], strict=True):
+        least = np.ones(len(near))
+        for t, chance in enumerate(tables):
+            missing = {}
+            for i, bucket in enumerate(buckets[near, t]):
+                missing.setdefault(int(bucket) // TABLES, []).append(i)
+            for bucket, before in _by_chance(chance, 1.0, 2 * index.reach):
+                for i in missing.pop(bucket, ()):
+                    least[i] = min(least[i], before)
+                if not missing:
+                    break
+        needed += least.tolist()
+    return min(1.0, float(np.quantile(needed, SUCCESS)) + 1e-9)
+
+
 def nearest(
     vectors: DataFrame,
     queries: Column,
@@ -197,7 +234,7 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
         return answers
     blocks = max(1, -(-count // SHARD))
     everything = classes.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("shard"), "rep", F.lit(0).cast("long").alias("bucket"), "x")
-    every = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("shard"), "id", F.array(F.lit(0).cast("long")).alias("buckets"), "x")
+    every = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("shard"), "id", F.array(F.lit(0).cast("long")).alias("buckets"), "x")
     hits = everything.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(_searcher(k), "id long, rep long, score double")
     return answers.join(short, answers["query_id"] == short["id"], "left_anti").union(_answers(_best(hits, k), classes, k))
 

@@ -1,0 +1,62 @@
+"""The corpus pipeline, stage by stage, against plain versions."""
+
+from __future__ import annotations
+
+import hashlib
+
+import corpus_pipeline
+import public_tokenizers as P
+import tiktoken
+from pyspark.sql import functions as F
+from test_minhash import brute
+
+from hirelens.llm import byte_bpe, queries
+
+SF = "/root/testdata/sf0.01"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages(spark, tmp_path):
+    docs = queries.table(spark, SF, "documents")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r for r in docs.collect()}
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = before, docs.collect()
+        if name != "encoding":
+            assert docs.columns == COLUMNS
+            assert all(tuple(before[r.doc_id]) == tuple(r) for r in kept[name][1])
+
+    before, after = kept["quality"]
+    labels = {r.doc_id: r.quality for r in queries.table(spark, SF, "labels").collect()}
+    left = {r.doc_id for r in after}
+    assert all((i in left) == bool(labels[i]) for i in before if i in labels)
+    before, after = kept["near_duplicates"]
+    want = brute([(i, r.text) for i, r in before.items()], 5, 80)
+    assert sorted(r.doc_id for r in after) == sorted({c for _, c in want.values()})
+    before, after = kept["mixing"]
+    assert 0.5 < len(after) / len(before) < 1
+    ranks = byte_bpe.ranks_of(P.path(queries.BPE_RANKS))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    before, after = kept["encoding"]
+    assert len(before) == len(after)
+    for r in after:
+        assert r.n_tokens == len(library.encode_ordinary(before[r.doc_id].text))
+        assert r.decoded_sha256 == hashlib.sha256(before[r.doc_id].text.encode()).hexdigest()
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, after))
+
+
+def test_edge_rows(spark, docs):
+    rows = [(i, "calm words in a row number %d" % i) for i in range(9)]
+    rows += [(20, None), (21, ""), (None, "no id"), (3, "calm words in a row number 3"), (22, "long " * 50_000)]
+    given = docs(rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, SF)
+        assert out.columns == COLUMNS
+    assert stage(spark, given.limit(0), SF).collect() == []
+    kept = corpus_pipeline.near_duplicates(spark, given, SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept).count((False, 3)) == 1
+    assert len(kept) == len(rows) - 1
+    digests = corpus_pipeline.encode(spark, given.filter(F.col("doc_id").isin(20, 21)), SF).collect()
+    assert {r.ids_sha256 for r in digests} == {hashlib.sha256(b"").hexdigest()}

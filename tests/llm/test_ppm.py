@@ -1,0 +1,106 @@
+"""PPM against a plain trie, and the word model against a count."""
+
+from __future__ import annotations
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hirelens.llm import ppm, queries
+
+
+def plain_scores(train, texts):
+    """Method D with exclusion over dictionaries."""
+    contexts: dict[bytes, Counter] = {}
+    for t in train:
+        data = b"\n" * ppm.ORDER + ppm.normalised(t) + b"\n"
+        for i in range(ppm.ORDER, len(data)):
+            for k in range(ppm.ORDER + 1):
+                contexts.setdefault(data[i - k : i], Counter())[data[i]] += 1
+
+    def chance(before, symbol):
+        excluded, p = set(), 1.0
+        for k in range(ppm.ORDER, -1, -1):
+            seen = contexts.get(before[len(before) - k :], {})
+            open_ = {s: c for s, c in seen.items() if s not in excluded}
+            total = sum(open_.values())
+            if open_:
+                if symbol in open_:
+                    return p * (open_[symbol] - 0.5) / total
+                p *= 0.5 * len(open_) / total
+            excluded |= set(seen)
+        return p / (256 - len(excluded))
+
+    out = []
+    for t in texts:
+        data = b"\n" * ppm.ORDER + ppm.normalised(t) + b"\n"
+        out.append(sum(math.log10(chance(data[i - ppm.ORDER : i], data[i])) for i in range(ppm.ORDER, len(data))))
+    return out
+
+
+def corpus(seed, n=60):
+    rng = random.Random(seed)
+    syllables = ["an", "re", "th", "é", "QU", "o", "ti", ",", "7"]
+    def text():
+        return rng.choice([" ", "\n", "\t"]).join("".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(rng.randrange(40)))
+    return [text() for _ in range(n)]
+
+
+def test_equals_a_plain_trie(spark, docs, monkeypatch):
+    monkeypatch.setattr(ppm, "BLOCK", 300)
+    monkeypatch.setattr(ppm, "CHUNK", 100)
+    texts = [*corpus(1), None, "", "  ", "unseen ßß words", "x" * 30_000]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, "no id")]
+    df = docs(rows).repartition(3)
+    learn = F.col("doc_id") % 3 != 1
+    got = ppm.score(df, learn).collect()
+    assert len(got) == len(rows)
+    train = [t or "" for i, t in rows if i is not None and i % 3 != 1]
+    counts = Counter(w for t in train for w in [*ppm.normalised(t).split(), b"\n"])
+    n, v = sum(counts.values()), len(counts)
+    want = {}
+    for (i, t), score in zip(rows, plain_scores(train, [t or "" for _, t in rows]), strict=True):
+        words = [*ppm.normalised(t or "").split(), b"\n"]
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)
+        want[i] = (len(words), sum(counts[w] > 0 for w in words), base, score)
+    for r in got:
+        tokens, known, base, score = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n)
+        assert r.base_score == pytest.approx(base, rel=1e-12) and r.score == pytest.approx(score, rel=1e-9)
+
+
+def test_nothing_learned_and_nothing_given(docs):
+    got = ppm.score(docs([(1, "ab"), (2, None)]), F.lit(None).cast("boolean")).collect()
+    assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got} == {1: (2, 0, 0, 0.0), 2: (1, 0, 0, 0.0)}
+    assert all(r.score == pytest.approx((3 if r.doc_id == 1 else 1) * -math.log10(256)) for r in got)
+    assert ppm.score(docs([]), F.lit(True)).collect() == []
+
+
+def test_probabilities_of_a_context_add_up():
+    made, _ = ppm.grams([ppm.normalised(t) for t in corpus(5)])
+    keys, n = np.unique(made, return_counts=True)
+    trie = ppm.levels(keys, n.astype(float), ppm.ORDER, 0)
+    for context in [*np.unique(made >> np.uint64(8))[::40], np.uint64(0x7A7A7A7A)]:
+        every = context << np.uint64(8) | np.arange(256, dtype=np.uint64)
+        assert (10 ** ppm.log_probabilities(every, trie)).sum() == pytest.approx(1)
+
+
+def test_registered_query(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    counts = Counter(w for i, t in texts.items() if not held[i] for w in [*t.encode().lower().split(), b"\n"])
+    n, v = sum(counts.values()), len(counts)
+    rows = queries.op4_ppm(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = [*texts[r.doc_id].encode().lower().split(), b"\n"]
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(words), n)
+        assert r.n_known == sum(counts[w] > 0 for w in words)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0

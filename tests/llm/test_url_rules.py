@@ -1,0 +1,83 @@
+"""URL rules against a plain walk over all rules."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from hirelens.llm import queries, url_rules
+from testing.compare import duck, duck_bag, spark_bag
+
+PLAIN = {
+    "?utm_source=feed": r"\?utm_source=feed", "||blog.*/it/": r"^[^/?#]*://([^/?#]*\.)?blog\..*/it/",
+    "/wp-login.": r"/wp-login\.", "^cart^": r"[^0-9a-z%._-]cart([^0-9a-z%._-]|\Z)",
+    "||ads.": r"^[^/?#]*://([^/?#]*\.)?ads\.", "||m.*.html|": r"^[^/?#]*://([^/?#]*\.)?m\..*\.html\Z",
+    "||example.net^en^": r"^[^/?#]*://([^/?#]*\.)?example\.net([^0-9a-z%._-]|\Z)en([^0-9a-z%._-]|\Z)",
+}
+
+
+def plain(url):
+    host, path = url_rules.host_path(url)
+    best = None
+    for verdict, rule in queries.URL_RULES:
+        rule_host, _, rest = rule.partition("/")
+        if (host == rule_host or host.endswith("." + rule_host)) and path.startswith("/" + rest):
+            if best is None or len(rule) > len(best[1]):
+                best = (verdict, rule)
+    if best:
+        return host, path, best[1], best[0], None
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), url or "")
+    hits = [(v, p) for v, p in queries.URL_PATTERNS if re.search(PLAIN[p], low, re.S)]
+    hits.sort(key=lambda e: (e[0] == "block", -len(e[1]), e[1]))
+    return (host, path, None, *(hits[0] if hits else ("allow", None)))
+
+
+def urls():
+    rng = random.Random(2)
+    hosts = ["example.org", "www.Example.ORG", "xexample.org", "org", "a.com", "com", "m.b.net", "blog.b.net", "ads.c.net",
+             "example.net", "q.example.net", "éorg", "b.org:80", "user@x.com"]
+    paths = ["", "/", "/es/", "/es", "/en/1", "/en/17", "/en/2", "/fr/x", "/de/", "/DE/", "/it/", "/a/it/b.html", "/cart",
+             "/cart/1", "/x_cart", "/wp-login.php", "/p.html"]
+    tails = ["", "?utm_source=feed", "#top", "?x=/es/", "?utm_source=feeder"]
+    made = [f"{rng.choice(['http', 'HTTPS', 'ftp'])}://{h}{p}{rng.choice(tails)}" for h in hosts for p in paths]
+    return [*made, None, "", "example.org/es/", "://", "a://", "x://?y", "http://example.org/es/\nnext", "h://" + "a" * 50_000 + ".org/"]
+
+
+def test_equals_all_rules(spark):
+    given = [(i, u, "clash", "clash") for i, u in enumerate([*urls(), *urls()[:3]])] + [(None, "http://a.org/", "", "")]
+    pages = spark.createDataFrame(given, "page_id long, url string, host string, verdict string")
+    got = url_rules.judge_urls(pages, queries.URL_RULES, queries.URL_PATTERNS).collect()
+    assert len(got) == len(given)
+    want = {i: plain(u) for i, u, *_ in given}
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict, r.pattern) == want[r.page_id], given[r.page_id]
+    assert url_rules.judge_urls(pages.limit(0), queries.URL_RULES, queries.URL_PATTERNS).collect() == []
+
+
+def test_only_fetched_rules_run(monkeypatch):
+    index = url_rules.Index(queries.URL_RULES, queries.URL_PATTERNS)
+    index.file({"org": 1000, "example": 500, "es": 3, "net": 900, "en": 10})
+    ran = []
+    monkeypatch.setattr(index, "_fits", lambda i, text: ran.append(index.entries[i][1]) or False)
+    index.judge("http://www.example.com/xx/1")
+    assert set(ran) == {
+        e[1] for i, e in enumerate(index.entries) if i in index.filed.get("", ())
+    }
+    assert index.filed["es"] == [1]
+
+
+def test_ties_and_bounds():
+    index = url_rules.Index([("allow", "a.org/x"), ("block", "a.org/x")], [("block", "x"), ("allow", "x")])
+    index.file({})
+    assert index.judge("h://a.org/xy")[2:4] == ("a.org/x", "block")
+    assert index.judge("h://b.net/x")[3] == "allow"
+    with pytest.raises(ValueError):
+        url_rules.Index([("block", "a" * (url_rules.MAX_RULE_CHARS + 1))], [])
+
+
+def test_equals_sql(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    got = spark_bag(queries.op3_url_rules(spark, sf_dir))
+    assert got == duck_bag(duck(sf_dir), queries.SQL["op3_url_rules"])
