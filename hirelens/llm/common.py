@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,13 @@ def chunks(lengths, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
+def pieces_of(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str]]]:
+    """A text column in pieces of at most ``limit`` bytes: from where, to where, and the texts."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for lo, hi in chunks(sizes, limit):
+        yield lo, hi, texts_of(column.slice(lo, hi - lo))
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The strings of an Arrow column, null as the empty text."""
     return ["" if t is None else t for t in column.to_pylist()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, checkpointed, chunks, texts_of
+from .common import among, checkpointed, chunks, pieces_of
 from .components import components
 
 HASHES, ROWS, BATCH = 128, 5, 32
@@ -156,25 +156,27 @@ def _annotated(run, inputs: int = 1):
     return run
 
 
-def sketch(text: Column, words: int) -> Column:
-    """Struct of n (size of the shingle set), key (a hash of the set) and signature."""
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(id, n, key, signature) of rows (id, text): the size of the shingle set, a hash of the set,
+    and its signature, null for an empty set."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes, keys, signed = texts_of(batch), [], [], []
-            for lo, hi in chunks(list(map(len, texts)), CHUNK):
-                sets = list(shingle_sets(texts[lo:hi], words))
+            for lo, hi, part in pieces_of(batch.column(1), CHUNK):
+                sets = list(shingle_sets(part, words))
                 full = [s for s in sets if len(s)]
                 made = iter(signatures(full)) if full else iter(())
-                sizes += map(len, sets)
-                keys += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                signed += [next(made).tobytes() if len(s) else None for s in sets]
-            yield pa.StructArray.from_arrays(
-                [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())],
-                ["n", "key", "signature"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo),
+                        pa.array(map(len, sets), pa.int64()),
+                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    ],
+                    ["id", "n", "key", "signature"],
+                )
 
-    return F.arrow_udf(_annotated(run), "struct<n: long, key: binary, signature: binary>")(text)
+    return texts.mapInArrow(run, "id long, n long, key binary, signature binary")
 
 
 def _signature_matrix(column: pa.Array) -> np.ndarray:
@@ -203,12 +205,16 @@ def survives(left: Column, right: Column, percent: int, miss: float) -> Column:
     return F.arrow_udf(_annotated(run, 2), "boolean")(left, right)
 
 
-def packed_set(text: Column, words: int) -> Column:
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def packed_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(id, x) of rows (id, text): the shingle set as packed numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.array([s.tobytes() for s in shingle_sets(texts_of(batch), words)], pa.binary())
+            for lo, hi, part in pieces_of(batch.column(1), CHUNK):
+                sets = pa.array([s.tobytes() for s in shingle_sets(part, words)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["id", "x"])
 
-    return F.arrow_udf(_annotated(run), "binary")(text)
+    return texts.mapInArrow(run, "id long, x binary")
 
 
 def similar_sets(left: Column, right: Column, percent: int) -> Column:
@@ -243,8 +249,8 @@ def near_duplicates(
     their texts agree; rows without an id link with nothing, have a null component and are
     kept. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketched = checkpointed(texts.select("id", sketch(F.col("text"), words).alias("s")).select("id", "s.*"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketched = checkpointed(sketches(texts, words))
     first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     signed = sketched.filter("id is not null and n > 0").withColumn("place", first).filter("place = 1")
     signed = checkpointed(signed.select(F.col("id").alias("rep"), "key", "signature"))
@@ -272,7 +278,7 @@ def near_duplicates(
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     pairs = checkpointed(pairs)
-    sets = among(texts, "id", _ends(pairs)).select("id", packed_set(F.col("text"), words).alias("x"))
+    sets = packed_sets(among(texts, "id", _ends(pairs)).select("id", "text"), words)
     sets = checkpointed(sets.filter(F.octet_length("x") > 0).dropDuplicates(["id"]))
     a, b = sets.toDF("a", "x_a"), sets.toDF("b", "x_b")
     joined = pairs.join(a, "a").join(b, "b")
