@@ -16,14 +16,16 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, texts_of
+from .common import chunks, pieces_of
 from .pretokens import pieces
 
-#: Codepoints handled at a time, and pre-tokens remembered by a worker.
-CHUNK, CACHED = 500_000, 250_000
+#: Bytes of text whose results leave a task together, codepoints split at a time, and pre-tokens
+#: remembered by a worker.
+PIECE, CHUNK, CACHED = 4_000_000, 500_000, 250_000
 SHORT, NEVER = 64, 1 << 60
 
 
@@ -149,24 +151,35 @@ def decode_ids(ids: bytes, path: str) -> bytes:
     return b"".join(map(by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(text: Column | str, path: str, parts: tuple[str, ...] = ("ids", "offsets")) -> Column:
-    """A struct for a text column: ``ids`` and ``offsets`` (packed unsigned 32-bit integers) and, if
-    asked for, ``decoded`` (the bytes that the ids decode to).
+def encode(
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    parts: tuple[str, ...] = ("ids", "offsets"),
+) -> DataFrame:
+    """(id_col, ids, offsets), one row per row of ``docs``: token ids and the byte offset at which
+    each token starts, as packed unsigned 32-bit integers, and, if ``parts`` asks for it,
+    ``decoded``, the bytes that the ids decode to.
 
     Special tokens are not recognised: their strings are ordinary text. A null or empty
-    text has empty ids, offsets and bytes. ``path`` names a rank file that every executor can read.
+    text has empty ids, offsets and bytes. Repeated rows are encoded each, and no rows give none.
+    ``path`` names a rank file that every executor can read.
     """
     make = {"ids": lambda ids, _: ids, "offsets": offsets_of, "decoded": decode_ids}
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[bytes]] = [[] for _ in parts]
-            for ids in encode_batch(texts_of(batch), path):
-                for part, column in zip(parts, out, strict=True):
-                    column.append(make[part](ids, path))
-            yield pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in out], list(parts))
-
-    return _arrow(run, f"struct<{', '.join(f'{p}: binary' for p in parts)}>")(text)
+            for lo, hi, texts in pieces_of(batch.column(1), PIECE):
+                ids = list(encode_batch(texts, path))
+                columns = [pa.array([make[p](i, path) for i in ids], pa.binary()) for p in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), *columns], [id_col, *parts]
+                )
+
+    rows = docs.select(F.col(id_col), F.col(text_col))
+    kinds = [T.StructField(id_col, rows.schema[0].dataType), *[T.StructField(p, T.BinaryType()) for p in parts]]
+    return rows.mapInArrow(run, T.StructType(kinds))
 
 
 def decode(ids: Column | str, path: str) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_remainder, texts_of
+from .common import chunks, crc_remainder, pieces_of, texts_of
 
 WORDS, PAIRS, HIDDEN, ATTENTION = 48, 96, 24, 12
 #: Labelled documents per class that the classifier is fitted on (those of the smallest hash
@@ -262,9 +262,8 @@ def score(text: Column | str, model: Model) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
-            texts = texts_of(batch)
-            for lo, hi in chunks(list(map(len, texts)), 4 * CHUNK):
-                rows, owner = passages(texts[lo:hi])
+            for lo, hi, texts in pieces_of(batch, CHUNK):
+                rows, owner = passages(texts)
                 out.append(model.score(rows, owner, hi - lo))
             yield pa.array(np.concatenate(out).astype(np.float64) if out else [], pa.float64())
 

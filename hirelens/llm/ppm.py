@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, chunks, texts_of
+from .common import checkpoint_folder, chunks, pieces_of
 
 ORDER, SYMBOLS = 4, 256
 #: Bytes of text in a block and handled at a time, and distinct grams that a group should hold.
@@ -191,16 +191,17 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = TaskContext.get().partitionId() << 24
     block = _Block(first)
     for batch in batches:
-        ids, train, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))
-        for ident, learn, text in zip(ids, train, texts, strict=True):
-            plain = normalised(text)
-            if block.texts and block.size + len(plain) > BLOCK:
-                yield from block.rows()
-                block = _Block(block.number + 1)
-            block.ids.append(ident)
-            block.train.append(learn)
-            block.texts.append(plain)
-            block.size += len(plain) + 1
+        ids, train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lo, hi, texts in pieces_of(batch.column(2), CHUNK):
+            for ident, learn, text in zip(ids[lo:hi], train[lo:hi], texts, strict=True):
+                plain = normalised(text)
+                if block.texts and block.size + len(plain) > BLOCK:
+                    yield from block.rows()
+                    block = _Block(block.number + 1)
+                block.ids.append(ident)
+                block.train.append(learn)
+                block.texts.append(plain)
+                block.size += len(plain) + 1
     if block.texts:
         yield from block.rows()
 

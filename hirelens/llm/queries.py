@@ -54,12 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """Digest columns of encoded and decoded documents (doc_id, text)."""
     path = public_tokenizers.path(BPE_RANKS)
-    encoded = byte_bpe.encode(F.col("text"), path, ("ids", "decoded"))
-    return docs.select("doc_id", encoded.alias("e")).select(
+    return byte_bpe.encode(docs, path, parts=("ids", "decoded")).select(
         "doc_id",
-        byte_bpe.token_count(F.col("e.ids")).alias("n_tokens"),
-        F.sha2("e.ids", 256).alias("ids_sha256"),
-        F.sha2("e.decoded", 256).alias("decoded_sha256"),
+        byte_bpe.token_count(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import chunks, texts_of
+from .common import chunks, pieces_of
 from .pretokens import pieces
 
-#: Codepoints handled at a time, pre-tokens remembered by a worker, symbols merged at a time.
-CHUNK, CACHED, SYMBOLS = 1_000_000, 500_000, 2_000_000
+#: Bytes of text taken over at a time, codepoints handled at a time, pre-tokens remembered by a
+#: worker, symbols merged at a time.
+PIECE, CHUNK, CACHED, SYMBOLS = 4_000_000, 1_000_000, 500_000, 2_000_000
 NEVER = np.iinfo(np.int32).max
 
 
@@ -146,7 +147,8 @@ def token_count(text: Column | str, path: str) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(count_batch(texts_of(batch), path), pa.int64())
+            counts = [n for _, _, texts in pieces_of(batch, PIECE) for n in count_batch(texts, path)]
+            yield pa.array(counts, pa.int64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "long")(text)

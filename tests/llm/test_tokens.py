@@ -101,17 +101,22 @@ def test_other_vocabularies_are_refused():
 def test_columns(docs, library):
     rows = [(1, None), (2, ""), (None, "no id"), (3, "twice"), (3, "twice"), (4, "w" * 100_000)]
     df = docs(rows)
-    got = df.select(
-        "doc_id", "text", byte_bpe.encode(F.col("text"), RANKS, ("ids", "offsets", "decoded")).alias("e"),
-        token_counts.token_count("text", FILE).alias("count"),
-    ).withColumn("back", byte_bpe.decode(F.col("e.ids"), RANKS)).collect()
-    assert len(got) == len(rows)
+    texts = dict(rows)
+    encoded = byte_bpe.encode(df, RANKS, parts=("ids", "offsets", "decoded"))
+    got = encoded.withColumn("back", byte_bpe.decode(F.col("ids"), RANKS)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     for r in got:
-        text = r.text or ""
+        text = texts[r.doc_id] or ""
         want = np.array(library.encode_ordinary(text), "<u4").tobytes()
-        assert bytes(r.e.ids) == want and bytes(r.e.decoded) == bytes(r.back) == text.encode()
+        assert bytes(r.ids) == want and bytes(r.decoded) == bytes(r.back) == text.encode()
+        assert len(r.offsets) == len(r.ids)
+    counted = df.select("doc_id", token_counts.token_count("text", FILE).alias("count")).collect()
+    assert len(counted) == len(rows)
+    for r in counted:
+        text = texts[r.doc_id] or ""
         assert r["count"] == len(Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids)
-    assert df.limit(0).select(byte_bpe.encode(F.col("text"), RANKS)).collect() == []
+    none = df.limit(0)
+    assert byte_bpe.encode(none, RANKS).collect() == none.select(token_counts.token_count("text", FILE)).collect() == []
 
 
 def test_registered_queries(spark, library):
