@@ -31,7 +31,7 @@ HASHES, ROWS, BATCH = 128, 5, 32
 #: Probability with which a pair at the threshold may be dropped by its signatures.
 MISS = 1e-6
 #: Bytes of text handled at a time; members of a group compared in one task.
-CHUNK, BLOCK = 1_000_000, 2048
+CHUNK, BLOCK = 1_000_000, 512
 #: Pairs of signatures compared at a time.
 PAIRS = 1 << 16
 MASK = (1 << 64) - 1
@@ -267,10 +267,8 @@ def near_duplicates(
     links = checkpointed(_verified(likely.select("a", "b"), texts, words, percent))
     first = checkpointed(components(links))
 
-    crossing = _across(grouped, first, signed, percent, miss)
-    more = checkpointed(crossing.distinct())
+    more = checkpointed(_across(grouped, first, signed, texts, words, percent, miss))
     if not more.isEmpty():
-        more = _verified(more, texts, words, percent)
         first = checkpointed(components(first.select("id", "component").union(more)))
     return _result(sketched, classes, first, id_col)
 
@@ -289,36 +287,67 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
 
 
-def _across(grouped: DataFrame, found: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs of one band group but of different components that survive the batches."""
+def _across(
+    grouped: DataFrame, found: DataFrame, signed: DataFrame, texts: DataFrame, words: int, percent: int, miss: float
+) -> DataFrame:
+    """Links (a, b) between classes of one band group but of different components.
+
+    A group is cut into blocks, and every two blocks are a task. The tasks first say by the
+    signatures alone which classes have a candidate there; only the full sets of these are
+    sent to the same task again, which compares the candidates' sets. Neither time does a pair
+    leave a task that is no link."""
     placed = grouped.join(found, grouped["rep"] == found["id"], "left").select(
         "band", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = checkpointed(placed.join(mixed.filter("low != high").select("band"), "band", "left_semi"))
-    signed = among(signed, "rep", placed.select("rep").distinct().toDF("id"))
+    signed = checkpointed(among(signed, "rep", placed.select("rep").distinct()).select("rep", "signature"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    placed = placed.join(signed, "rep").select("*", blocks.alias("blocks"), own.alias("own"))
+    placed = placed.select("band", "rep", "component", blocks.alias("blocks"), own.alias("own"))
     tasks = placed.select(
-        "band", "rep", "component", "signature", "own",
-        F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"),
-    ).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        "band", "rep", "component", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
+    ).select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "own"
+    )
+
+    def candidates(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        x, y = _compared(rows, starts, percent, miss)
+        kept = rows.select(GROUPED).take(np.unique(np.concatenate((x, y)))).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], GROUPED)
+
+    def links(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        return _linked(rows, *_compared(rows, starts, percent, miss), percent)
+
+    kinds = "band long, i int, j int, rep long, component long, own int"
+    needed = checkpointed(_by_group(tasks.join(signed, "rep"), candidates, kinds))
+    sets = among(texts, "id", needed.select("rep").distinct()).select("id", "text")
+    sets = checkpointed(packed_sets(sets, words).filter(F.octet_length("x") > 0).dropDuplicates(["id"]))
+    full = needed.join(signed, "rep").join(sets, needed["rep"] == sets["id"]).drop("id")
+    return _by_group(full, links, "a long, b long").distinct()
+
+
+#: Columns of a class in a task.
+GROUPED = ["band", "i", "j", "rep", "component", "own"]
+
 
-    tasks = tasks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
+def _by_group(rows: DataFrame, work, kinds: str) -> DataFrame:
+    """Apply ``work`` to the rows of whole (band, i, j) groups, as many as an Arrow batch ends."""
+    rows = rows.select(*GROUPED, *[c for c in ("signature", "x") if c in rows.columns])
+    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
-            starts = _group_starts(rows)
-            yield _compared(rows.slice(0, starts[-1]), starts[:-1], percent, miss)
-            rest = rows.slice(starts[-1])
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            starts = _group_starts(table)
+            yield work(table.slice(0, starts[-1]), starts[:-1])
+            rest = table.slice(starts[-1])
         if rest is not None:
-            yield _compared(rest, np.zeros(1, np.int64), percent, miss)
+            yield work(rest, np.zeros(1, np.int64))
 
-    return tasks.drop("n", "blocks", "other").mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, kinds)
 
 
 def _group_starts(rows: pa.Table) -> np.ndarray:
@@ -329,26 +358,26 @@ def _group_starts(rows: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _compared(rows: pa.Table, starts: np.ndarray, percent: int, miss: float) -> pa.RecordBatch:
-    """Of each group's pairs across components those that survive, each pair once."""
-    rep, comp, own, i, j = (rows[c].to_numpy() for c in ("rep", "component", "own", "i", "j"))
+def _compared(rows: pa.Table, starts: np.ndarray, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group's pairs across components those that no batch drops, as row numbers. A pair
+    that meets in several bands belongs to the first of them."""
+    rep, comp, own, i, j, band = (rows[c].to_numpy() for c in ("rep", "component", "own", "i", "j", "band"))
     marks = _signature_matrix(rows["signature"])
-    kept: list[np.ndarray] = []
-    waiting: list[np.ndarray] = []
+    keys = _bands(marks)
+    kept, waiting, size = [np.zeros((2, 0), np.int64)], [], 0
 
     def flush() -> None:
         if waiting:
             x, y = np.concatenate(waiting, axis=1)
-            order = np.lexsort((rep[y], rep[x]))
-            x, y = x[order], y[order]
-            new = np.ones(len(x), bool)
-            new[1:] = (rep[x[1:]] != rep[x[:-1]]) | (rep[y[1:]] != rep[y[:-1]])
-            x, y = x[new], y[new]
-            found = may_match(marks, marks, x, y, percent, miss)
-            kept.append(np.stack((rep[x[found]], rep[y[found]])))
+            for lo in range(0, len(x), PAIRS):
+                at, to = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
+                first = (keys[at] == keys[to]).argmax(axis=1)
+                here = keys[at, first] == band[at]
+                at, to = at[here], to[here]
+                found = may_match(marks, marks, at, to, percent, miss)
+                kept.append(np.stack((at[found], to[found])))
             waiting.clear()
 
-    size = 0
     for a, b in zip(starts, np.append(starts[1:], rows.num_rows), strict=True):
         left = np.flatnonzero(own[a:b] == i[a]) + a
         right = left if i[a] == j[a] else np.flatnonzero(own[a:b] == j[a]) + a
@@ -361,7 +390,28 @@ def _compared(rows: pa.Table, starts: np.ndarray, percent: int, miss: float) ->
                 flush()
                 size = 0
     flush()
-    pairs = np.concatenate(kept, axis=1) if kept else np.zeros((2, 0), np.int64)
+    x, y = np.concatenate(kept, axis=1)
+    return x, y
+
+
+def _linked(rows: pa.Table, x: np.ndarray, y: np.ndarray, percent: int) -> pa.RecordBatch:
+    """Of candidate pairs (row numbers) those whose sets, column x, are similar enough."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    rep, packed = rows["rep"].to_numpy(), rows["x"].to_pylist()
+    firsts = np.flatnonzero(np.diff(x, prepend=-1))
+    out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    for a, b in zip(firsts, np.append(firsts[1:], len(x)), strict=True):
+        mine = np.frombuffer(packed[x[a]], np.uint64)
+        for lo, hi in chunks([len(packed[k]) for k in y[a:b]], CHUNK):
+            others = y[a + lo : a + hi]
+            sizes = np.array([len(packed[k]) for k in others]) // 8
+            values = np.frombuffer(b"".join(packed[k] for k in others), np.uint64)
+            at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+            both = np.add.reduceat(mine[at] == values, np.cumsum(sizes) - sizes, dtype=np.int64)
+            near = 100 * both >= percent * (len(mine) + sizes - both)
+            out.append(np.stack((np.full(near.sum(), rep[x[a]]), rep[others[near]])))
+    pairs = np.concatenate(out, axis=1)
     return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in pairs], ["a", "b"])
 
 
