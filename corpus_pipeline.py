@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.llm import minhash, mixing, passage_quality, queries
-from hirelens.llm.common import among, checkpoint_folder, checkpointed
+from hirelens.llm.common import among, checkpoint_folder, checkpointed, small_batches
 
 #: A document is taken once at most, and this share of all words is kept.
 SHARE, EPOCHS = 0.8, 1
@@ -39,6 +39,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, and one row of rows that repeat an id."""
     docs = docs.select(*COLUMNS)
+    small_batches(spark)
     found = minhash.near_duplicates(docs, words=5, percent=80)
     dropped = found.filter("not kept").select("doc_id").distinct()
     return _once(among(docs, "doc_id", dropped, "left_anti"), found)
@@ -63,6 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document left."""
+    small_batches(spark)
     return queries.digests(docs)
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Ids that are sent to every executor at most.
-BROADCAST_IDS = 1_000_000
+#: Ids that are sent to every executor at most, and rows of an Arrow batch.
+BROADCAST_IDS, BATCH_ROWS = 1_000_000, 1000
 
 
 def chunks(lengths, limit: int) -> Iterator[tuple[int, int]]:
@@ -39,6 +39,15 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Whole texts are large rows. Python workers get ``BATCH_ROWS`` of them at a time, on both
+    sides of the pipe, unless the session has a limit of its own."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the session's checkpoint folder."""
     checkpoint_folder(df.sparkSession)

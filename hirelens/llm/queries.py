@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, cover_tree, minhash, mixing, multiprobe, passage_quality, ppm, token_counts, url_rules
-from .common import crc_remainder
+from .common import crc_remainder, small_batches
 
 BPE_RANKS, BPE_FILE, TOKEN_LIMIT = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", 1024
 
@@ -48,7 +48,7 @@ def mix_levels() -> dict[str, Column]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def digests(docs: DataFrame) -> DataFrame:
