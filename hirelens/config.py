@@ -76,19 +76,8 @@ VETERAN_FLAGS = {
 }
 
 # --- limits -----------------------------------------------------------------
-# A key with at least HOT_ROWS rows, a few times what one task usually handles, is
-# cut into pieces of about ROWS_PER_PIECE rows.
-HOT_ROWS = 4_000_000
-ROWS_PER_PIECE = 1_000_000
-# How often a key of that many rows is expected in the sample that looks for it.
-SAMPLE_HITS = 1_000
-# At most this many keys are treated as hot. Any key left out holds fewer than
-# 1 / MAX_HOT_KEYS of the rows, and the list is small enough to broadcast.
-MAX_HOT_KEYS = 100_000
-# An application with more answers than this is never gathered into lists.
-LIST_ROWS = 100_000
 # Copies produced from one row by one explode.
 COPIES_PER_ROW = 65_536
-# Ids and small sides of hot joins are only sent to every executor after a count
-# has shown at most this many rows.
+# Tables of labels and ids are only sent to every executor after a count has shown at most
+# this many rows. Above it the same rows come from another kind of join.
 BROADCAST_ROWS = 200_000

@@ -6,6 +6,8 @@ from .applications import (
     status_reason,
     submission_status,
 )
+from .copies import expand_copies, with_copies
+from .dimensions import dimensions, guarded
 from .filters import in_force, optional_filter, required_filter, sorted_report
 from .flags import flags_by_code
 from .headcount import headcount_by
@@ -13,18 +15,18 @@ from .lookups import lookup_decode, site_label, source_label, translated_names
 from .people import current_names, person_profile, veteran_profile
 from .requisitions import requisition_profile
 from .scoping import for_requisitions, narrowed
-from .skew import expand_copies, heavy_keys, salted_join, with_copies
 
 __all__ = [
     "answers_wide",
     "application_base",
     "application_source",
     "current_names",
+    "dimensions",
     "expand_copies",
     "flags_by_code",
     "for_requisitions",
+    "guarded",
     "headcount_by",
-    "heavy_keys",
     "in_force",
     "lookup_decode",
     "narrowed",
@@ -33,7 +35,6 @@ __all__ = [
     "regulatory_profile",
     "required_filter",
     "requisition_profile",
-    "salted_join",
     "scoped_answers",
     "site_label",
     "sorted_report",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import mul
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .skew import Keys, expand_copies, heavy_keys, join_copies, keys_frame, with_copies
+from .copies import spread, with_copies
 
 KEYS = ["submission_id", "person_id"]
 
@@ -29,7 +32,6 @@ def answers_wide(
     codes: dict[str, str],
     scope: dict | None = None,
     mode: str = "all",
-    list_rows: int | None = None,
 ) -> DataFrame:
     """Left join each application with its answers, one column per question.
 
@@ -37,12 +39,11 @@ def answers_wide(
     to another give six rows. ``mode='one'`` gives one row per application with
     the greatest answer to each question.
 
-    In mode 'all' the answers of an application are gathered into short lists.
-    The few applications with more than about ``list_rows`` answers
-    (``config.LIST_ROWS``) are found first and take a way of their own that never
-    brings their answers together in one task.
+    In mode 'all' the answers to a question are cut into blocks of a few, and the
+    combinations of blocks, nearly always a single one, are dealt to the tasks, which
+    write out the combinations of answers. Neither a list nor a task grows with the
+    answers of one application.
     """
-    list_rows = list_rows or C.LIST_ROWS
     answers = scoped_answers(responses, codes, scope)
     columns = [*subs.columns, *codes]
     if mode == "one":
@@ -54,60 +55,59 @@ def answers_wide(
     if mode != "all":
         raise ValueError(f"unknown mode: {mode!r}")
 
-    crowded = heavy_keys(
-        {"answers": (answers, KEYS)}, min_rows=list_rows + 1, sizes_first=False
-    )["answers"]
-    if not crowded:
-        return _combine_lists(subs, answers, codes).select(*columns)
-    few = keys_frame(subs, KEYS, crowded).drop("_pieces")
-    usual = _combine_lists(
-        subs.join(few, KEYS, "left_anti"), answers.join(few, KEYS, "left_anti"), codes
-    )
-    rest = _combine_rows(
-        subs.join(few, KEYS, "left_semi"),
-        answers.join(few, KEYS, "left_semi"),
-        codes,
-        crowded,
-        list_rows,
+    out = subs.join(_cells(answers, codes), KEYS, "left").repartition(
+        spread(subs), *KEYS, "_cell"
     )
-    return usual.select(*columns).unionByName(rest.select(*columns))
-
-
-def _combine_lists(subs: DataFrame, answers: DataFrame, codes: dict[str, str]) -> DataFrame:
-    """One shuffle for all questions: short lists per application, then exploded."""
-    # An answer without text still counts, so it is wrapped: collect_list skips nulls.
-    wrapped = F.struct("long_text")
-    lists = answers.groupBy(*KEYS).agg(
-        *[F.collect_list(F.when(F.col("question_code") == c, wrapped)).alias(name)
-          for name, c in codes.items()]
-    )
-    out = subs.join(lists, KEYS, "left")
     for name in codes:
         out = out.withColumn(name, F.explode_outer(name))
-    return out.withColumns({name: F.col(f"{name}.long_text") for name in codes})
+    copies = reduce(mul, [F.coalesce(F.col(f"{name}.copies"), F.lit(1)) for name in codes])
+    out = out.withColumn("_copies", copies)
+    out = out.withColumns({name: F.col(f"{name}.long_text") for name in codes})
+    times = F.array_repeat(F.lit(True), F.col("_copies").cast("int"))
+    return out.withColumn("_copy", F.explode(times)).select(*columns)
 
 
-def _combine_rows(
-    subs: DataFrame,
-    answers: DataFrame,
-    codes: dict[str, str],
-    crowded: Keys,
-    list_rows: int,
-) -> DataFrame:
-    """One join per question over counted texts, cut by the text where it has many."""
-    texts = with_copies(answers)
-    columns = {
-        name: texts.where(F.col("question_code") == code).select(
-            *KEYS, F.col("long_text").alias(name), "copies"
-        )
-        for name, code in codes.items()
-    }
-    many = heavy_keys(
-        {name: (column, KEYS) for name, column in columns.items()}, min_rows=list_rows + 1
+def _cells(answers: DataFrame, codes: dict[str, str]) -> DataFrame:
+    """submission_id, person_id, _cell and for each question a short list of (text, copies).
+
+    A cell is a combination of blocks, one of each question that has answers; blocks
+    are numbered, and the cell's number has the block numbers as its digits.
+    """
+    size = max(2, int(C.COPIES_PER_ROW ** (1 / len(codes)) / 2))
+    texts = with_copies(answers.where(" and ".join(f"{key} is not null" for key in KEYS)))
+    # Many copies of one text are several entries, so that they can be dealt out as well.
+    last = F.expr(f"cast((copies - 1) div {size} as int)")
+    texts = texts.withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
+    rest = F.col("copies") - F.col("_part").cast("long") * F.lit(size)
+    texts = texts.withColumn("copies", F.least(rest, F.lit(size)))
+
+    # One shuffle serves both windows, the cells and the join with the applications.
+    texts = texts.repartition(*KEYS)
+    question = Window.partitionBy(*KEYS, "question_code").orderBy("long_text", "_part")
+    before = F.sum("copies").over(question.rowsBetween(Window.unboundedPreceding, -1))
+    texts = texts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    texts = texts.withColumn("_block", F.expr(f"_before div {size}")).drop("_before")
+    whole = Window.partitionBy(*KEYS)
+    for i, code in enumerate(codes.values()):
+        block = F.when(F.col("question_code") == code, F.col("_block"))
+        texts = texts.withColumn(f"_n{i}", F.coalesce(F.max(block).over(whole), F.lit(0)) + 1)
+
+    counts = [F.col(f"_n{i}") for i in range(len(codes))]
+    total = reduce(mul, counts)
+    own, stride = F.lit(1), F.lit(1)
+    for i, code in enumerate(codes.values()):
+        mine = F.col("question_code") == code
+        own = F.when(mine, counts[i]).otherwise(own)
+        stride = F.when(mine, reduce(mul, counts[:i], F.lit(1))).otherwise(stride)
+    texts = texts.withColumns({"_own": own.cast("long"), "_stride": stride.cast("long"), "_total": total})
+    # All numbers that have this block as their digit for this question.
+    cells = F.expr(
+        "transform(sequence(0L, _total div _own - 1), i -> "
+        "(i div _stride) * _stride * _own + _block * _stride + i % _stride)"
+    )
+    texts = texts.withColumn("_cell", F.explode(cells))
+    entry = F.struct("long_text", "copies")
+    return texts.groupBy(*KEYS, "_cell").agg(
+        *[F.collect_list(F.when(F.col("question_code") == code, entry)).alias(name)
+          for name, code in codes.items()]
     )
-    out = subs
-    for name, column in columns.items():
-        # The other keys may have grown on the left, in an earlier question.
-        grown = {key: rows for key, rows in crowded.items() if key not in many[name]}
-        out = join_copies(out, column, KEYS, hot_left=grown, hot_right=many[name])
-    return expand_copies(out, spread=True)

@@ -6,31 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.dates import Date, Instant
-from ..functions.labels import ethnicity_split, status_label, yes_no
+from ..functions.dates import Date
+from ..functions.labels import blank_to_null, ethnicity_split, status_label, yes_no
 from ..sources import Tables
-from .lookups import lookup_decode, site_label, source_label, translated_names
-from .people import current_names, person_profile, veteran_profile
+from .copies import expand_copies, join_copies, join_matches
+from .dimensions import MEANINGS, STATUS, dimensions, guarded
+from .lookups import decode, meanings, site_label, source_label
+from .people import person_profile
 from .requisitions import requisition_profile
-from .skew import (
-    Hot,
-    Keys,
-    expand_copies,
-    heavy_keys,
-    join_copies,
-    join_matches,
-    salted_join,
-)
 
 REASON_KEYS = ["submission_id", "state_id"]
 SOURCE_KEYS = ["requisition_id", "submission_id", "candidate_number"]
 REGULATORY_KEYS = ["submission_id", "person_id"]
 
 
-def submission_status(t: Tables) -> DataFrame:
-    """Applications whose phase and state are known, with label and active flag."""
-    phases = translated_names(t.phases, "phase_id", "name")
-    states = translated_names(t.states, "state_id", "name")
+def submission_status(t: Tables, dims=None) -> DataFrame:
+    """Applications whose phase and state are known, with label and active flag.
+
+    ``dims`` has phases and states, if they have been guarded already.
+    """
+    dims = dims or dimensions(t, *STATUS)
+    phases, states = dims.phases, dims.states
     label = F.when(F.col("submission_id").isNotNull(), status_label("_phase", "_state"))
     return (
         t.submissions.join(
@@ -56,54 +52,14 @@ def submission_status(t: Tables) -> DataFrame:
     )
 
 
-def base_keys(t: Tables, as_of: Date = None) -> dict:
-    """Where the spine may meet hot keys, for ``heavy_keys``."""
-    subs = t.submissions
-    return {
-        "requisitions": (subs, ["requisition_id"]),
-        "people": (subs, ["person_id"]),
-        "titles": (t.requisition_titles, ["requisition_id"]),
-        "names": (current_names(t, as_of), ["person_id"]),
-    }
-
-
-def detail_keys(t: Tables, as_of: Date = None, now: Instant = None) -> dict:
-    """``base_keys`` and those of the tables that multiply applications."""
-    return {
-        **base_keys(t, as_of),
-        "veterans": (veteran_profile(t.person_legislative, as_of, now), ["person_id"]),
-        "reasons": (reason_entries(t.status_history), REASON_KEYS),
-        **source_keys(t.source_tracking),
-        "regulatory": (t.regulatory_responses, REGULATORY_KEYS),
-        "ethnicities": (t.person_ethnicities, ["person_id"]),
-    }
-
-
-def source_keys(tracking: DataFrame) -> dict:
-    """Tracking records by application and by source."""
-    rows = tracked(tracking)
-    return {"sources": (rows, SOURCE_KEYS), "dimensions": (rows, ["dimension_id"])}
-
-
-def counted_base(
-    subs: DataFrame, requisitions: DataFrame, people: DataFrame, hot: Hot | None = None
-) -> DataFrame:
+def counted_base(subs: DataFrame, requisitions: DataFrame, people: DataFrame) -> DataFrame:
     """Requisition - application - person spine, as counted rows.
 
-    ``hot`` names requisitions and people with very many applications, titles or
-    names, whose rows are spread over several tasks. None means the applications
-    are known to be few.
+    Crowded requisitions and people are on the left of inner joins, whose skewed
+    partitions adaptive execution splits.
     """
-    hot, by = hot or {}, ["submission_id"]
-    spine = join_copies(
-        subs, requisitions, ["requisition_id"], "inner",
-        hot_left=hot.get("requisitions"), hot_right=hot.get("titles"), spread_by=by,
-        try_broadcast=True,
-    )
-    return join_copies(
-        spine, people, ["person_id"], "inner",
-        hot_left=hot.get("people"), hot_right=hot.get("names"), spread_by=by,
-    )
+    spine = join_copies(subs, requisitions, ["requisition_id"], "inner")
+    return join_copies(spine, people, ["person_id"], "inner")
 
 
 def application_base(
@@ -111,16 +67,16 @@ def application_base(
     as_of: Date = None,
     how_name: str = "left",
     with_department: bool = True,
+    dims=None,
 ) -> DataFrame:
     """One row per application on a requisition, by title and candidate name."""
-    hot = heavy_keys(base_keys(t, as_of))
+    dims = dims or dimensions(t, *STATUS)
     base = counted_base(
-        submission_status(t),
-        requisition_profile(t, as_of, with_department, hot["titles"]),
-        person_profile(t, as_of, how_name, hot),
-        hot,
+        submission_status(t, dims),
+        requisition_profile(t, as_of, with_department, counted=True, dims=dims),
+        person_profile(t, as_of, how_name, counted=True),
     )
-    return expand_copies(base, spread=bool(hot["names"] or hot["titles"]))
+    return expand_copies(base)
 
 
 def reason_entries(history: DataFrame) -> DataFrame:
@@ -154,9 +110,9 @@ def status_reason(subs: DataFrame, history: DataFrame, reasons: DataFrame) -> Da
     ``subs`` has submission_id and state_id; adds sub_status_reason, one row per
     history entry.
     """
-    busy = heavy_keys({"reasons": (reason_entries(history), REASON_KEYS)})["reasons"]
-    out = join_matches(subs, reason_rows(history, reasons), REASON_KEYS, busy)
-    return expand_copies(out, spread=bool(busy)).select(*subs.columns, "sub_status_reason")
+    rows = reason_rows(history, guarded(reasons=reasons)["reasons"])
+    out = expand_copies(join_matches(subs, rows, REASON_KEYS))
+    return out.select(*subs.columns, "sub_status_reason")
 
 
 def tracked(tracking: DataFrame) -> DataFrame:
@@ -164,23 +120,10 @@ def tracked(tracking: DataFrame) -> DataFrame:
     return tracking.where(F.col("requisition_id").isNotNull() & F.col("submission_id").isNotNull())
 
 
-def source_rows(
-    tracking: DataFrame, sources: DataFrame, sites: DataFrame, busy_sources: Keys | None = None
-) -> DataFrame:
-    """requisition_id, submission_id, candidate_number, source_medium, career_site.
-
-    ``busy_sources`` lists sources of very many records. Source labels come out of
-    a join on dimension_id, so adaptive execution could not split these by itself,
-    as it can for the other labels.
-    """
-    rows = tracked(tracking)
-    return (
-        salted_join(
-            rows, sources, ["dimension_id"], "left", hot_left=busy_sources, try_broadcast=True
-        )
-        .join(sites, "site_number", "left")
-        .select(*SOURCE_KEYS, "source_medium", "career_site")
-    )
+def source_rows(tracking: DataFrame, sources: DataFrame, sites: DataFrame) -> DataFrame:
+    """requisition_id, submission_id, candidate_number, source_medium, career_site."""
+    rows = tracked(tracking).join(sources, "dimension_id", "left").join(sites, "site_number", "left")
+    return rows.select(*SOURCE_KEYS, "source_medium", "career_site")
 
 
 def application_source(
@@ -190,38 +133,47 @@ def application_source(
 
     All three of requisition_id, submission_id and candidate_number must agree.
     """
-    hot = heavy_keys(source_keys(tracking))
-    rows = source_rows(tracking, sources, sites, hot["dimensions"])
-    out = join_matches(apps, rows, SOURCE_KEYS, hot["sources"])
-    out = expand_copies(out, spread=bool(hot["sources"]))
+    rows = source_rows(tracking, **guarded(sources=sources, sites=sites))
+    out = expand_copies(join_matches(apps, rows, SOURCE_KEYS))
     return out.select(*apps.columns, "source_medium", "career_site")
 
 
-def regulatory_profile(responses: DataFrame, lookups: DataFrame) -> DataFrame:
+def regulatory_profile(
+    responses: DataFrame, lookups: DataFrame, person_lookups: DataFrame | None = None
+) -> DataFrame:
     """Regulatory answers with code and meaning of gender, ethnicity, veteran
-    preference and disability."""
-    out = responses.withColumnsRenamed(
-        {
-            "attribute_1": "gender_code",
-            "attribute_2": "ethnicity_code",
-            "attribute_3": "veterans_preference_code",
-            "attribute_4": "disability_code",
-        }
+    preference and disability.
+
+    Gender and veteran preference are looked up in ``person_lookups``, by default the
+    same as ``lookups``.
+    """
+    person_lookups = lookups if person_lookups is None else person_lookups
+    return decoded_answers(responses, **guarded(
+        gender=meanings(person_lookups, C.LOOKUP_GENDER),
+        ethnicity=meanings(lookups, C.LOOKUP_ETHNICITY),
+        veterans_preference=meanings(person_lookups, C.LOOKUP_VETERAN),
+        disability=meanings(lookups, C.LOOKUP_DISABILITY),
+    ))
+
+
+def decoded_answers(responses: DataFrame, **entries: DataFrame) -> DataFrame:
+    """Regulatory answers with their codes and, of the four, the meanings by ``entries``."""
+    codes = [f"{name}_code" for name in MEANINGS]
+    out = responses.select(
+        "person_id",
+        "submission_id",
+        *[blank_to_null(f"attribute_{i}").alias(code) for i, code in enumerate(codes, 1)],
     )
-    for code, type, name in (
-        ("gender_code", C.LOOKUP_GENDER, "gender"),
-        ("ethnicity_code", C.LOOKUP_ETHNICITY, "ethnicity"),
-        ("veterans_preference_code", C.LOOKUP_VETERAN, "veterans_preference"),
-        ("disability_code", C.LOOKUP_DISABILITY, "disability"),
-    ):
-        out = lookup_decode(out, lookups, code, type, name)
+    for name, code in zip(MEANINGS, codes, strict=True):
+        out = decode(out, entries[name], code, name)
     return out
 
 
-def regulatory_rows(responses: DataFrame, lookups: DataFrame) -> DataFrame:
+def regulatory_rows(responses: DataFrame, dims) -> DataFrame:
     """What the detail report shows of the regulatory answers."""
     ethnicity, race = ethnicity_split("ethnicity_code", "ethnicity")
-    return regulatory_profile(responses, lookups).select(
+    entries = {name: getattr(dims, name) for name in MEANINGS}
+    return decoded_answers(responses, **entries).select(
         *REGULATORY_KEYS,
         "gender",
         ethnicity.alias("ethnicity"),

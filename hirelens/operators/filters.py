@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import Date, Instant, effective
@@ -49,6 +49,10 @@ def _listed(values) -> list:
     return [v for v in values if v is not None and v != ""]
 
 
+def missing_last(*columns: str) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in columns]
+
+
 def sorted_report(df: DataFrame, *columns: str) -> DataFrame:
     """Final order, missing values last."""
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+    return df.orderBy(*missing_last(*columns))

@@ -8,7 +8,7 @@ from operator import mul
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import expand_copies, heavy_keys, join_copies
+from .copies import expand_copies, join_copies
 
 
 def code_flags(facts: DataFrame, key: str, code: str, mapping: dict[str, str]) -> DataFrame:
@@ -38,7 +38,5 @@ def flags_by_code(
     flags = code_flags(facts, key, code, mapping)
     if not keep_multiplicity:
         flags = flags.drop("copies")
-    hot = heavy_keys({"entities": (entities, [key]), "facts": (facts, [key])})
-    out = join_copies(entities, flags, [key], hot_left=hot["entities"])
-    out = expand_copies(out.fillna("No", list(mapping)), spread=bool(hot["facts"]))
-    return out.select(*entities.columns, *mapping)
+    out = join_copies(entities, flags, [key]).fillna("No", list(mapping))
+    return expand_copies(out).select(*entities.columns, *mapping)

@@ -1,9 +1,4 @@
-"""Names and meanings of codes.
-
-Dimension frames are joined without hints. Spark broadcasts them when their size
-is below ``spark.sql.autoBroadcastJoinThreshold`` (the plan's estimate or, with
-adaptive execution, the measured size) and shuffles them otherwise.
-"""
+"""Names and meanings of codes."""
 
 from __future__ import annotations
 
@@ -11,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.labels import medium_and_name
+from ..functions.labels import blank_to_null, medium_and_name
 
 
 def translated_names(df: DataFrame, id: str, name: str, lang: str | None = None) -> DataFrame:
@@ -19,23 +14,37 @@ def translated_names(df: DataFrame, id: str, name: str, lang: str | None = None)
     one language is chosen."""
     if lang is not None:
         df = df.where(F.col("lang") == lang)
-    return df.select(id, name).distinct()
+    return df.select(id, blank_to_null(name).alias(name)).distinct()
 
 
-def lookup_decode(df: DataFrame, lookups: DataFrame, code: str, type: str, out: str) -> DataFrame:
-    """Add the meaning of a code as ``out``; null where the code is not listed."""
-    meanings = lookups.where(F.col("lookup_type") == type).select(
-        F.col("lookup_code").alias("_code"), F.col("meaning").alias(out)
+def meanings(lookups: DataFrame, type: str) -> DataFrame:
+    """code, meaning: the entries of one lookup type."""
+    return lookups.where(F.col("lookup_type") == type).select(
+        F.col("lookup_code").alias("code"), "meaning"
     )
-    return df.join(meanings, F.col(code) == F.col("_code"), "left").drop("_code")
+
+
+def decode(df: DataFrame, entries: DataFrame, code: str, out: str) -> DataFrame:
+    """Add the meaning of a code as ``out``; null where the code is not listed."""
+    entries = entries.select(F.col("code").alias("_code"), F.col("meaning").alias(out))
+    return df.join(entries, F.col(code) == F.col("_code"), "left").drop("_code")
+
+
+def lookup_decode(df: DataFrame, lookups: DataFrame, code: str, type: str, out: str) -> DataFrame:
+    """``decode`` with the entries of one type, which are broadcast if a count shows few."""
+    from .dimensions import guarded
+
+    return decode(df, guarded(entries=meanings(lookups, type))["entries"], code, out)
 
 
 def source_label(dims: DataFrame, names: DataFrame, lookups: DataFrame) -> DataFrame:
     """dimension_id, source_medium: 'medium - name', or the part that is known."""
     named = dims.join(names, "dimension_id")
-    decoded = lookup_decode(named, lookups, "source_medium", C.LOOKUP_SOURCE_MEDIUM, "_medium")
+    entries = meanings(lookups, C.LOOKUP_SOURCE_MEDIUM)
+    decoded = decode(named, entries, "source_medium", "_medium")
     return decoded.select(
-        "dimension_id", medium_and_name("_medium", "source_name").alias("source_medium")
+        "dimension_id",
+        medium_and_name("_medium", "source_name").alias("source_medium"),
     )
 
 

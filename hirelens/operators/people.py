@@ -11,7 +11,7 @@ from ..functions.labels import yes_no
 from ..sources import Tables
 from .filters import in_force
 from .flags import code_flags
-from .skew import Hot, fold_hot, join_copies, join_matches
+from .copies import join_copies, join_matches, with_copies
 
 
 def current_names(t: Tables, as_of: Date = None) -> DataFrame:
@@ -34,33 +34,28 @@ def veteran_profile(legislative: DataFrame, as_of: Date = None, now: Instant = N
 
 
 def person_profile(
-    t: Tables, as_of: Date = None, how_name: str = "left", hot: Hot | None = None
+    t: Tables, as_of: Date = None, how_name: str = "left", counted: bool = False
 ) -> DataFrame:
     """Candidates with number and current name.
 
-    ``how_name`` is 'inner' to drop candidates without a name.
+    ``how_name`` is 'inner' to drop candidates without a name. ``counted`` folds equal
+    names of a person into one counted row.
     """
-    busy = hot["names"] if hot is not None else None
-    names = fold_hot(current_names(t, as_of), ["person_id"], busy)
-    return join_copies(t.candidates, names, ["person_id"], how_name, hot_right=busy)
+    names = current_names(t, as_of)
+    names = with_copies(names) if counted else names
+    return join_copies(t.candidates, names, ["person_id"], how_name)
 
 
 def extended_profile(
-    t: Tables,
-    as_of: Date = None,
-    now: Instant = None,
-    how_name: str = "left",
-    hot: Hot | None = None,
+    t: Tables, as_of: Date = None, now: Instant = None, how_name: str = "left"
 ) -> DataFrame:
-    """``person_profile`` with veteran flags and person-level ethnicity flags.
+    """``person_profile`` with veteran flags and person-level ethnicity flags, as counted rows.
 
     Everything known per person is put together here, on the persons alone, so
     that the applications are moved to their persons only once.
     """
     veterans = veteran_profile(t.person_legislative, as_of, now)
     ethnicities = code_flags(t.person_ethnicities, "person_id", "ethnicity", C.ETHNICITY_CODES)
-    people = person_profile(t, as_of, how_name, hot)
-    people = join_matches(
-        people, veterans, ["person_id"], hot["veterans"] if hot is not None else None
-    )
+    people = person_profile(t, as_of, how_name, counted=True)
+    people = join_matches(people, veterans, ["person_id"])
     return join_copies(people, ethnicities, ["person_id"]).fillna("No", list(C.ETHNICITY_CODES))

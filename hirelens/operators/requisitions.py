@@ -9,40 +9,33 @@ from .. import config as C
 from ..functions.dates import Date
 from ..functions.labels import blank_to_null, status_label
 from ..sources import Tables
+from .copies import join_copies, with_copies
+from .dimensions import STATUS, dimensions
 from .filters import in_force
-from .lookups import translated_names
-from .skew import Keys, fold_hot, join_copies
 
 
 def requisition_profile(
     t: Tables,
     as_of: Date = None,
     with_department: bool = False,
-    busy_titles: Keys | None = None,
+    counted: bool = False,
+    dims=None,
 ) -> DataFrame:
     """One row per requisition and title, with phase and status label.
 
     ``with_department`` adds the department and drops requisitions whose
-    department is not in force. ``busy_titles`` lists requisitions with very many
-    titles; the rows are counted if there are any.
+    department is not in force. ``counted`` folds equal titles of a requisition into
+    one counted row. ``dims`` has phases and states, if they have been guarded already.
     """
-    phases = translated_names(t.phases, "phase_id", "name")
-    states = translated_names(t.states, "state_id", "name")
-    out = (
-        t.requisitions.where(F.col("req_usage_code") == C.REQUISITION_USAGE)
-        .join(
-            phases.select(
-                F.col("phase_id").alias("current_phase_id"), F.col("name").alias("req_phase")
-            ),
-            "current_phase_id",
-        )
-        .join(
-            states.select(
-                F.col("state_id").alias("current_state_id"), F.col("name").alias("req_state")
-            ),
-            "current_state_id",
-        )
+    dims = dims or dimensions(t, *STATUS)
+    phases = dims.phases.select(
+        F.col("phase_id").alias("current_phase_id"), F.col("name").alias("req_phase")
     )
+    states = dims.states.select(
+        F.col("state_id").alias("current_state_id"), F.col("name").alias("req_state")
+    )
+    out = t.requisitions.where(F.col("req_usage_code") == C.REQUISITION_USAGE)
+    out = out.join(phases, "current_phase_id").join(states, "current_state_id")
     department = []
     if with_department:
         current = in_force(t.departments, as_of=as_of).select(
@@ -50,10 +43,11 @@ def requisition_profile(
         )
         out = out.join(current, "department_id")
         department = ["department_name"]
-    titles = t.requisition_titles.select("requisition_id", F.col("title").alias("requisition_name"))
-    titles = fold_hot(titles, ["requisition_id"], busy_titles or {})
-    out = join_copies(out, titles, ["requisition_id"], "inner", hot_right=busy_titles)
-    return out.select(
+    titles = t.requisition_titles.select(
+        "requisition_id", blank_to_null("title").alias("requisition_name")
+    )
+    titles = with_copies(titles) if counted else titles
+    return join_copies(out, titles, ["requisition_id"], "inner").select(
         "requisition_id",
         blank_to_null("requisition_number").alias("requisition_number"),
         "requisition_name",
@@ -61,5 +55,5 @@ def requisition_profile(
         status_label("req_phase", "req_state").alias("req_current_status"),
         "open_date",
         *department,
-        *(["copies"] if busy_titles else []),
+        *(["copies"] if counted else []),
     )

@@ -2,57 +2,56 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..sources import Tables
-from .checkpoints import checkpointed
+from .dimensions import marked, named, sizes
 from .filters import required_filter
 
 
-def for_requisitions(t: Tables, req_number) -> tuple[Tables, bool]:
+def for_requisitions(t: Tables, req_number, *names: str) -> tuple[Tables, SimpleNamespace]:
     """``narrowed`` to the given requisition numbers."""
     wanted = required_filter(t.requisitions, "requisition_number", req_number)
-    return narrowed(t.replace(requisitions=wanted), wanted.select("requisition_id"))
+    return narrowed(t.replace(requisitions=wanted), wanted.select("requisition_id"), *names)
 
 
-def narrowed(t: Tables, ids: DataFrame) -> tuple[Tables, bool]:
-    """The tables reduced to what belongs to the requisitions in ``ids``.
+def narrowed(t: Tables, ids: DataFrame, *names: str) -> tuple[Tables, SimpleNamespace]:
+    """The tables reduced to what belongs to the requisitions in ``ids``, and the named tables of
+    labels, guarded.
 
-    Every large table joins the applications on a submission or person id. When
-    counts show that the ids are few (``config.BROADCAST_ROWS``), they are
-    broadcast and the large tables are cut down while they are scanned, before any
-    shuffle; the second value tells whether this is so. Requisitions and
-    applications are cut down as soon as the requisitions are few.
+    One job counts the requisitions, their applications and the labels. Ids that are few are
+    broadcast, so the large tables that hang on an application or a person are cut down while
+    they are scanned, before any shuffle. Ids that are many are left to the joins of the report,
+    which drop the rest, with Spark's own choice of join and of filters at run time.
     """
-    if ids.count() > C.BROADCAST_ROWS:
-        return t, False
+    subs = t.submissions.join(ids, "requisition_id", "left_semi").select(*t.submissions.columns)
+    labels = named(t, *names)
+    rows = sizes({"_ids": ids, "_subs": subs, **labels})
+    dims = SimpleNamespace(**marked(labels, rows))
+    if rows["_ids"] > C.BROADCAST_ROWS:
+        return t, dims
     ids = F.broadcast(ids)
     titles = t.requisition_titles.join(ids, "requisition_id", "left_semi")
     subs = t.submissions.join(ids, "requisition_id", "left_semi").select(*t.submissions.columns)
-    if subs.count() > C.BROADCAST_ROWS:
-        return t.replace(requisition_titles=titles, submissions=subs), False
-    # Used for two broadcasts and the report.
-    subs = checkpointed(subs)
-
-    def belonging(table: DataFrame, key: str, id: str) -> DataFrame:
-        few = F.broadcast(subs.select(F.col(id).alias("_id")))
-        return table.join(few, F.col(key) == F.col("_id"), "left_semi")
-
-    return (
-        t.replace(
-            requisition_titles=titles,
-            submissions=subs,
-            status_history=belonging(t.status_history, "subject_id", "submission_id"),
-            source_tracking=belonging(t.source_tracking, "submission_id", "submission_id"),
-            regulatory_responses=belonging(
-                t.regulatory_responses, "submission_id", "submission_id"
-            ),
-            candidates=belonging(t.candidates, "person_id", "person_id"),
-            person_names=belonging(t.person_names, "person_id", "person_id"),
-            person_legislative=belonging(t.person_legislative, "person_id", "person_id"),
-            person_ethnicities=belonging(t.person_ethnicities, "person_id", "person_id"),
-        ),
-        True,
-    )
+    t = t.replace(requisition_titles=titles, submissions=subs)
+    if rows["_subs"] > C.BROADCAST_ROWS:
+        return t, dims
+    few = {id: F.broadcast(subs.select(F.col(id).alias("_id"))) for id in ("submission_id", "person_id")}
+
+    def belonging(table: str, key: str, id: str) -> DataFrame:
+        return getattr(t, table).join(few[id], F.col(key) == F.col("_id"), "left_semi")
+
+    by_submission = {
+        "status_history": "subject_id",
+        "source_tracking": "submission_id",
+        "regulatory_responses": "submission_id",
+    }
+    of_people = ("candidates", "person_names", "person_legislative", "person_ethnicities")
+    return t.replace(
+        **{table: belonging(table, key, "submission_id") for table, key in by_submission.items()},
+        **{table: belonging(table, "person_id", "person_id") for table in of_people},
+    ), dims

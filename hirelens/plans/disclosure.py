@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,12 @@ from .. import config as C
 from ..functions.dates import Date
 from ..functions.labels import preference_verdict
 from ..operators.answers import answers_wide
-from ..operators.applications import base_keys, counted_base
+from ..operators.applications import counted_base
+from ..operators.dimensions import STATUS, dimensions, named
 from ..operators.filters import given, optional_filter
 from ..operators.people import person_profile
 from ..operators.requisitions import requisition_profile
 from ..operators.scoping import narrowed
-from ..operators.skew import heavy_keys
 from ..sources import Tables
 from .ordering import ordered_rows
 
@@ -34,20 +36,19 @@ def disclosure_list(
         requisition_titles=optional_filter(t.requisition_titles, "title", req_name),
     )
 
-    def opened(busy_titles=None):
-        profile = requisition_profile(t, as_of, busy_titles=busy_titles)
+    def opened(dims=None):
+        profile = requisition_profile(t, as_of, counted=True, dims=dims)
         profile = profile.where(F.upper("req_phase") == C.OPEN_PHASE).drop("req_phase")
         return optional_filter(profile, "req_current_status", req_status)
 
-    few = False
     if given(req_number) or given(req_name) or given(req_status):
-        t, few = narrowed(t, opened().select("requisition_id").distinct())
-    hot = None if few else heavy_keys(base_keys(t, as_of))
-    requisitions = opened(None if hot is None else hot["titles"])
-    people = person_profile(t, as_of, "inner", hot)
-    rows = counted_base(t.submissions.select(*SUBMISSION_IDS), requisitions, people, hot)
-    spread = hot is None or any(hot.values())
-    rows = ordered_rows(rows, "requisition_number", "candidate_name", spread=spread)
+        unmarked = SimpleNamespace(**named(t, *STATUS))
+        t, dims = narrowed(t, opened(unmarked).select("requisition_id").distinct(), *STATUS)
+    else:
+        dims = dimensions(t, *STATUS)
+    people = person_profile(t, as_of, "inner", counted=True)
+    rows = counted_base(t.submissions.select(*SUBMISSION_IDS), opened(dims), people)
+    rows = ordered_rows(rows, "requisition_number", "candidate_name")
     return rows.select(
         "requisition_id",
         "submission_id",

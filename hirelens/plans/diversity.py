@@ -17,18 +17,17 @@ from ..operators.applications import (
     SOURCE_KEYS,
     application_base,
     counted_base,
-    detail_keys,
-    labelled_sources,
     reason_rows,
     regulatory_rows,
     source_rows,
     submission_status,
 )
+from ..operators.copies import join_matches
+from ..operators.dimensions import MEANINGS, STATUS, dimensions
 from ..operators.headcount import headcount_by
 from ..operators.people import extended_profile, veteran_profile
 from ..operators.requisitions import requisition_profile
 from ..operators.scoping import for_requisitions
-from ..operators.skew import heavy_keys, join_matches, salted_join
 from ..sources import Tables
 from .ordering import ordered_rows
 
@@ -58,10 +57,14 @@ DETAIL_COLUMNS = [
 ]
 
 REQUISITION = ["requisition_id", "requisition_number", "requisition_name"]
+RESULT = ["count_type", "count_results"]
 
 
-def _scope(t: Tables, req_number, all_requisitions: bool) -> tuple[Tables, bool]:
-    return (t, False) if all_requisitions else for_requisitions(t, req_number)
+def _scope(t: Tables, req_number, all_requisitions: bool, *names: str) -> tuple:
+    """The tables, cut down to the chosen requisitions, and the named tables of labels."""
+    if all_requisitions:
+        return t, dimensions(t, *names)
+    return for_requisitions(t, req_number, *names)
 
 
 def diversity_detail(
@@ -77,21 +80,15 @@ def diversity_detail(
     The report has no meaning without a requisition, so a missing number is an
     error unless ``all_requisitions`` is set.
     """
-    t, few = _scope(t, req_number, all_requisitions)
-    # Tables cut down to few applications are folded as they are, which is cheaper
-    # than scanning them once more to look for hot keys.
-    hot = None if few else heavy_keys(detail_keys(t, as_of, now))
-
-    def matches(left, right, on, name):
-        return join_matches(left, right, on, None if hot is None else hot[name])
+    labels = (*STATUS, *MEANINGS, "reasons", "sources", "sites")
+    t, dims = _scope(t, req_number, all_requisitions, *labels)
 
     # What hangs on the submission itself is joined while its rows are narrow.
-    subs = submission_status(t)
-    subs = matches(subs, reason_rows(t.status_history, t.reasons), REASON_KEYS, "reasons")
-    regulatory = regulatory_rows(t.regulatory_responses, t.lookups)
-    subs = matches(subs, regulatory, REGULATORY_KEYS, "regulatory")
+    subs = submission_status(t, dims)
+    subs = join_matches(subs, reason_rows(t.status_history, dims.reasons), REASON_KEYS)
+    subs = join_matches(subs, regulatory_rows(t.regulatory_responses, dims), REGULATORY_KEYS)
 
-    people = extended_profile(t, as_of, now, hot=hot)
+    people = extended_profile(t, as_of, now)
     new_ethnicity, new_race = race_ethnicity({n: n for n in C.ETHNICITY_CODES}, fix_labels)
     people = people.select(
         "person_id",
@@ -102,15 +99,12 @@ def diversity_detail(
         new_race.alias("new_race"),
         "copies",
     )
-    busy_titles = None if hot is None else hot["titles"]
-    requisitions = requisition_profile(t, as_of, True, busy_titles)
-    rows = counted_base(subs, requisitions, people, hot)
-    busy_sources = None if hot is None else hot["dimensions"]
-    sources = source_rows(t.source_tracking, *labelled_sources(t), busy_sources)
-    rows = matches(rows, sources, SOURCE_KEYS, "sources")
+    requisitions = requisition_profile(t, as_of, True, counted=True, dims=dims)
+    rows = counted_base(subs, requisitions, people)
+    sources = source_rows(t.source_tracking, dims.sources, dims.sites)
+    rows = join_matches(rows, sources, SOURCE_KEYS)
     rows = rows.select(*DETAIL_COLUMNS, "submission_id", "copies")
-    spread = hot is None or any(hot.values())
-    rows = ordered_rows(rows, "requisition_number", "candidate_name", spread=spread)
+    rows = ordered_rows(rows, "requisition_number", "candidate_name")
     return rows.select(*DETAIL_COLUMNS)
 
 
@@ -120,7 +114,8 @@ def _measures(veteran: Column) -> dict[str, Column]:
         "Candidate": F.lit(True),
         "Disability": F.col("attribute_4").isin(C.DISABILITY_YES),
         "Female": F.col("attribute_1") == C.FEMALE,
-        "Minority": F.col("attribute_2") != C.NON_MINORITY,
+        # An empty code counts as missing; the bare column lets the scan use the conditions.
+        "Minority": (F.col("attribute_2") != C.NON_MINORITY) & (F.col("attribute_2") != ""),
         "Veteran": (F.col("attribute_3") == C.PROTECTED_VETERAN) | veteran,
     }
 
@@ -144,9 +139,10 @@ def diversity_counts(
     distinct count, so their tables are not read. Rows are reduced to one set of
     flags per application and per person before they meet, and counts are made per
     requisition before the titles come in: all titles of a requisition
-    share the same people.
+    share the same people. ``emit_zero`` gives 0 instead of no row where nobody is
+    counted, also for requisitions without applications.
     """
-    t, few = _scope(t, req_number, all_requisitions)
+    t, dims = _scope(t, req_number, all_requisitions, *STATUS)
     declared = _measures(veteran=F.lit(False))
     del declared["Candidate"]
     # Answers that meet no condition change nothing and are not moved at all.
@@ -164,23 +160,24 @@ def diversity_counts(
     )
     people = t.candidates.select("person_id").distinct().join(veterans, "person_id", "left")
 
-    phases = t.phases.select(F.col("phase_id").alias("current_phase_id"))
-    states = t.states.select(F.col("state_id").alias("current_state_id"))
     apps = (
-        t.submissions.join(phases, "current_phase_id", "left_semi")
-        .join(states, "current_state_id", "left_semi")
+        t.submissions.join(dims.phases, F.col("current_phase_id") == F.col("phase_id"), "left_semi")
+        .join(dims.states, F.col("current_state_id") == F.col("state_id"), "left_semi")
         .select("submission_id", "requisition_id", "person_id")
         .join(answered, ["submission_id", "person_id"], "left")
+        .join(people, "person_id")
     )
-    busy = None if few else heavy_keys({"people": (t.submissions, ["person_id"])})["people"]
-    apps = salted_join(apps, people, ["person_id"], hot_left=busy, spread_by=["submission_id"])
     flags = {"Candidate": F.lit(True), **{n: F.col(n) for n in declared}}
     flags["Veteran"] = F.col("Veteran") | F.col("_veteran")
-    counts = headcount_by(apps, ["requisition_id"], "person_id", flags, emit_zero)
-    titles = requisition_profile(t, as_of, with_department=True).select(*REQUISITION).distinct()
-    return titles.join(counts, "requisition_id").select(
-        *REQUISITION, "count_type", "count_results"
-    )
+    counts = headcount_by(apps, ["requisition_id"], "person_id", flags)
+    titles = requisition_profile(t, as_of, with_department=True, dims=dims)
+    titles = titles.select(*REQUISITION).distinct()
+    if not emit_zero:
+        return titles.join(counts, "requisition_id").select(*REQUISITION, *RESULT)
+    types = F.explode(F.array(*[F.lit(name) for name in flags])).alias("count_type")
+    every = titles.select(*REQUISITION, types)
+    found = every.join(counts, ["requisition_id", "count_type"], "left")
+    return found.fillna(0, ["count_results"]).select(*REQUISITION, *RESULT)
 
 
 def diversity_counts_union(
@@ -191,8 +188,8 @@ def diversity_counts_union(
     all_requisitions: bool = False,
 ) -> DataFrame:
     """The same counts in the plain form, one branch per count; a cross-check."""
-    t, _ = _scope(t, req_number, all_requisitions)
-    base = application_base(t, as_of, how_name="left", with_department=True)
+    t, dims = _scope(t, req_number, all_requisitions, *STATUS)
+    base = application_base(t, as_of, how_name="left", with_department=True, dims=dims)
     rows = base.join(t.regulatory_responses, ["submission_id", "person_id"], "left")
     rows = rows.join(veteran_profile(t.person_legislative, as_of, now), "person_id", "left")
     branches = [

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.filters import sorted_report
-from ..operators.skew import expand_copies, repeat_copies, split_copies
+from ..operators.copies import repeat_copies, split_copies, spread
+from ..operators.filters import missing_last
 
 
-def ordered_rows(rows: DataFrame, *columns: str, spread: bool) -> DataFrame:
+def ordered_rows(rows: DataFrame, *columns: str) -> DataFrame:
     """Sort counted rows and write their copies out.
 
     The application breaks ties, so that equal names on one busy requisition can be
-    cut into several partitions. With ``spread`` rows with very many copies are
-    split before the sort, which then places the pieces in different tasks.
+    cut into several partitions. Rows with very many copies are cut into pieces before
+    the sort, which then places the pieces in different tasks.
     """
-    if spread and "copies" in rows.columns:
-        pieces = sorted_report(split_copies(rows), *columns, "submission_id", "piece")
-        return repeat_copies(pieces)
-    return expand_copies(sorted_report(rows, *columns, "submission_id"))
+    order = missing_last(*columns, "submission_id", "piece")
+    pieces = split_copies(rows).repartitionByRange(spread(rows), *order)
+    return repeat_copies(pieces.sortWithinPartitions(*order))

@@ -1,4 +1,4 @@
-"""Column lists of the twenty input tables."""
+"""Column lists of the input tables."""
 
 SCHEMAS = {
     "requisitions": "requisition_id long, requisition_number string, current_phase_id long, "
@@ -24,6 +24,7 @@ SCHEMAS = {
     "regulatory_responses": "person_id long, submission_id long, attribute_1 string, "
     "attribute_2 string, attribute_3 string, attribute_4 string",
     "lookups": "lookup_type string, lookup_code string, meaning string",
+    "person_lookups": "lookup_type string, lookup_code string, meaning string",
     "person_legislative": "person_id long, per_information11 string, per_information12 string, "
     "per_information13 string, per_information15 string, effective_start_date date, "
     "effective_end_date date",
@@ -33,13 +34,19 @@ SCHEMAS = {
     "long_text string",
 }
 
-# Text columns that are only ever compared with a non-empty constant. They are
-# read as they are, so the comparison can be pushed down to the file scan; in
-# every other text column an empty string is read as null.
+# Where one of these tables is not given, the other one stands in for it.
+STAND_INS = {"person_lookups": "lookups", "lookups": "person_lookups"}
+
+# Text columns that are compared with constants. They are read as they are, so the
+# comparison can be pushed down to the file scan, and an empty string becomes null only
+# where the value is put out or joined; in every other text column it is read as null.
 COMPARED_ONLY = {
     "requisitions": {"requisition_number", "req_usage_code"},
+    "requisition_titles": {"title"},
+    "regulatory_responses": {"attribute_1", "attribute_2", "attribute_3", "attribute_4"},
     "person_names": {"name_type"},
     "lookups": {"lookup_type"},
+    "person_lookups": {"lookup_type"},
     "person_ethnicities": {"ethnicity"},
     "questionnaire_responses": {"subject_code", "status", "participant_type", "question_code"},
 }

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import blank_to_null
-from .schemas import COMPARED_ONLY, SCHEMAS
+from .schemas import COMPARED_ONLY, SCHEMAS, STAND_INS
 
 
 class Tables:
@@ -28,6 +29,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         frames = self.__dict__.get("_frames", {})
         if name not in frames:
+            if STAND_INS.get(name) in frames:
+                return getattr(self, STAND_INS[name])
             raise AttributeError(f"no table named {name!r}")
         if not isinstance(frames[name], DataFrame):
             frames[name] = frames[name]()
@@ -51,19 +54,32 @@ class Tables:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, path: str) -> Tables:
-        """Read ``<path>/<table>`` for every table."""
+        """Read ``<path>/<table>`` for every table. A table that another one can stand in for
+        may be missing."""
 
-        def reader(name):
-            return lambda: spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+        def read(name):
+            return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
 
-        return cls.from_frames({name: reader(name) for name in SCHEMAS})
+        return cls._reading(read)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str) -> Tables:
-        """Read catalog tables ``<database>.<table>``, bucketed or partitioned as they are."""
+        """Read catalog tables ``<database>.<table>``, bucketed or partitioned as they are. A table
+        that another one can stand in for may be missing."""
+        return cls._reading(lambda name: spark.table(f"{database}.{name}"))
 
+    @classmethod
+    def _reading(cls, read: Callable[[str], DataFrame]) -> Tables:
         def reader(name):
-            return lambda: spark.table(f"{database}.{name}")
+            def frame():
+                try:
+                    return read(name)
+                except AnalysisException:
+                    if name not in STAND_INS:
+                        raise
+                    return read(STAND_INS[name])
+
+            return frame
 
         return cls.from_frames({name: reader(name) for name in SCHEMAS})
 

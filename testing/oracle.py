@@ -6,7 +6,7 @@ question and per ethnicity code, one pass per head count, all joins multiplying.
 
 from __future__ import annotations
 
-from .overlay import with_overlay
+from .overlay import FIVE, TITLES, with_overlay
 
 DAY = "date '2024-06-30'"
 MOMENT = "timestamp '2024-06-30 10:00:00'"
@@ -64,8 +64,8 @@ VETERANS = f"""
     and coalesce(cast(effective_end_date as timestamp), {MOMENT})"""
 
 
-def meaning(code: str, type: str, alias: str) -> str:
-    return f"""left join lookups {alias} on {alias}.lookup_code = {code}
+def meaning(code: str, type: str, alias: str, table: str = "lookups") -> str:
+    return f"""left join {table} {alias} on {alias}.lookup_code = {code}
     and {alias}.lookup_type = '{type}'"""
 
 
@@ -76,9 +76,9 @@ REGULATORY = f"""
     g.attribute_3 veterans_preference_code, g3.meaning veterans_preference,
     g.attribute_4 disability_code, g4.meaning disability
   from regulatory_responses g
-  {meaning('g.attribute_1', 'SEX', 'g1')}
+  {meaning('g.attribute_1', 'SEX', 'g1', 'person_lookups')}
   {meaning('g.attribute_2', 'ORA_PER_ETHNICITY', 'g2')}
-  {meaning('g.attribute_3', 'ORA_HRX_US_VETS_SELFID_STATUS', 'g3')}
+  {meaning('g.attribute_3', 'ORA_HRX_US_VETS_SELFID_STATUS', 'g3', 'person_lookups')}
   {meaning('g.attribute_4', 'ORA_PER_SELF_DISCLOSE_DISABILI', 'g4')}"""
 
 SOURCES = f"""
@@ -104,20 +104,18 @@ FLAG_JOINS = "\n".join(
 )
 FLAGS = f"select s.submission_id, s.person_id, {FLAG_COLUMNS} from submissions s {FLAG_JOINS}"
 
-RACES = {
-    "white": "White",
-    "black": "Black or Afican American",
-    "asian": "Asian",
-    "indian": "American Indian or Alaska Native",
-    "hawaiian": "Native Hawaiian or other Pacific Islander",
-}
-MARKED = " + ".join(f"cast({name} = 'Yes' as integer)" for name in RACES)
-NEW_RACE = f"""case when hispanic = 'Yes' then null
-      when {MARKED} > 1 then 'Two or more races'
-      when {MARKED} < 1 then 'Did not provide'
-      else case 'Yes' {' '.join(f"when {name} then '{label}'" for name, label in RACES.items())}
-        end end"""
-NEW_ETHNICITY = "case when hispanic = 'Yes' then 'I am Hispanic or Latino' end"
+# Race by another route than the flags: distinct codes of a person.
+PERSON_RACES = """
+  select e.person_id, count(*) filter (where e.ethnicity = '4') hispanics,
+    count(distinct r.code) races, min(r.label) label
+  from person_ethnicities e
+  left join (values ('1', 'White'), ('3', 'Black or Afican American'), ('5', 'Asian'),
+    ('6', 'Native Hawaiian or other Pacific Islander'),
+    ('7', 'American Indian or Alaska Native')) r(code, label) on r.code = e.ethnicity
+  group by e.person_id"""
+NEW_RACE = """case when pr.hispanics > 0 then null when pr.races = 1 then pr.label
+      when pr.races > 1 then 'Two or more races' else 'Did not provide' end"""
+NEW_ETHNICITY = "case when pr.hispanics > 0 then 'I am Hispanic or Latino' end"
 
 SUBMITTED = f"""
   select s.submission_id, s.requisition_id, s.person_id, s.current_state_id state_id,
@@ -186,6 +184,20 @@ DISCLOSURE = f"""
   join ({NAMED}) nm on nm.person_id = c.person_id
   where upper(q.req_phase) = 'OPEN'"""
 
+DETAIL = f"""
+  select q.requisition_id, a.person_id, q.requisition_number, q.requisition_name,
+    q.req_current_status, q.open_date, a.sub_current_status, h.sub_status_reason, a.active,
+    k.source_medium, k.career_site, dp.department_name, c.candidate_number, nm.candidate_name,
+    g.gender,
+    case when try_cast(g.ethnicity_code as integer) = 4 then g.ethnicity_meaning end ethnicity,
+    case when try_cast(g.ethnicity_code as integer) <> 4 then g.ethnicity_meaning end race,
+    g.veterans_preference, g.disability, v.disabled_veteran, v.active_duty_wartime,
+    v.armed_forces_medal, v.recently_separated_veteran, {NEW_ETHNICITY} new_ethnicity,
+    {NEW_RACE} new_race
+  {SPINE} {DETAILS}
+  left join ({FLAGS}) f on f.submission_id = a.submission_id and f.person_id = c.person_id
+  left join ({PERSON_RACES}) pr on pr.person_id = c.person_id"""
+
 CONVICTION_ANSWERS = f"""
   select s.submission_id, s.requisition_id, s.person_id, {', '.join(CONVICTION)}
   from submissions s {answer_joins(CONVICTION)}"""
@@ -210,25 +222,32 @@ def best_answers(columns: dict[str, str]) -> str:
     on b.subject_id = s.submission_id and b.participant_id = s.person_id"""
 
 
+# Every requisition and title with every count, 0 where nobody is counted.
+ZERO_COUNTS = f"""
+  select e.requisition_id, e.requisition_number, e.requisition_name, e.count_type,
+    coalesce(k.count_results, 0) count_results
+  from (select distinct q.requisition_id, q.requisition_number, q.requisition_name, t.count_type
+    from ({REQUISITION}) q join ({DEPARTED}) dp on dp.organization_id = q.department_id,
+    (values ('Candidate'), ('Disability'), ('Female'), ('Minority'), ('Veteran')) t(count_type)) e
+  left join ({COUNTS}) k on k.requisition_id = e.requisition_id and k.count_type = e.count_type
+    and k.requisition_name is not distinct from e.requisition_name"""
+
 QUERIES = {
     "r1_disclosure_list": DISCLOSURE,
     "r1_disclosure_list_filtered": f"""{DISCLOSURE}
     and q.req_current_status in ('Open - Posted', 'Open - ')""",
+    "r1_disclosure_list_by_number": f"""{DISCLOSURE}
+    and q.requisition_number in ({', '.join(f"'{n}'" for n in FIVE)})""",
+    "r1_disclosure_list_by_name": f"""{DISCLOSURE}
+    and q.requisition_name in ({', '.join(f"'{n}'" for n in TITLES)})""",
     "r2_conviction": CONVICTION_ANSWERS,
     "r3_preference": PREFERENCE_ANSWERS,
-    "r4_diversity_detail": f"""
-  select q.requisition_id, a.person_id, q.requisition_number, q.requisition_name,
-    q.req_current_status, q.open_date, a.sub_current_status, h.sub_status_reason, a.active,
-    k.source_medium, k.career_site, dp.department_name, c.candidate_number, nm.candidate_name,
-    g.gender,
-    case when try_cast(g.ethnicity_code as integer) = 4 then g.ethnicity_meaning end ethnicity,
-    case when try_cast(g.ethnicity_code as integer) <> 4 then g.ethnicity_meaning end race,
-    g.veterans_preference, g.disability, v.disabled_veteran, v.active_duty_wartime,
-    v.armed_forces_medal, v.recently_separated_veteran, {NEW_ETHNICITY} new_ethnicity,
-    {NEW_RACE} new_race
-  {SPINE} {DETAILS}
-  left join ({FLAGS}) f on f.submission_id = a.submission_id and f.person_id = c.person_id""",
+    "r4_diversity_detail": DETAIL,
+    "r4_diversity_detail_chosen": f"""{DETAIL}
+  where q.requisition_number in ({', '.join(f"'{n}'" for n in FIVE)})""",
     "r5_counts": COUNTS,
+    "r5_counts_chosen": f"""select * from ({COUNTS}) where requisition_number = '{FIVE[0]}'""",
+    "r5_counts_zero": ZERO_COUNTS,
     "r5_counts_union": COUNTS,
     "op_required_filter": """
   select person_id, name_type, full_name from person_names where name_type = 'GLOBAL'""",
@@ -257,6 +276,9 @@ QUERIES = {
   select distinct requisition_id, title from requisition_titles where lang = 'FR'""",
     "op_lookup_decode": f"""
   select g.submission_id, g.attribute_1, l.meaning gender
+  from regulatory_responses g {meaning('g.attribute_1', 'SEX', 'l', 'person_lookups')}""",
+    "op_lookup_decode_other": f"""
+  select g.submission_id, g.attribute_1, l.meaning gender
   from regulatory_responses g {meaning('g.attribute_1', 'SEX', 'l')}""",
     "op_yes_no": f"select submission_id, {yes_no('active_flag')} active from submissions",
     "op_status_label": f"select submission_id, sub_current_status from ({SUBMITTED}) a",
@@ -269,8 +291,8 @@ QUERIES = {
     "op_flags_by_code": FLAGS,
     "op_flags_by_code_once": f"select distinct * from ({FLAGS}) f",
     "op_race_ethnicity": f"""
-  select submission_id, person_id, {NEW_ETHNICITY} new_ethnicity, {NEW_RACE} new_race
-  from ({FLAGS}) f""",
+  select f.submission_id, f.person_id, {NEW_ETHNICITY} new_ethnicity, {NEW_RACE} new_race
+  from ({FLAGS}) f left join ({PERSON_RACES}) pr on pr.person_id = f.person_id""",
     "op_ethnicity_split": f"""
   select g.submission_id,
     case when try_cast(g.ethnicity_code as integer) = 4 then g.ethnicity_meaning end ethnicity,

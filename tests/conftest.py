@@ -39,22 +39,23 @@ def make_tables(spark):
 
     def make(**rows) -> Tables:
         return Tables.from_frames(
-            {name: spark.createDataFrame(rows.get(name, []), ddl) for name, ddl in SCHEMAS.items()}
+            {
+                name: spark.createDataFrame(rows.get(name, []), ddl)
+                for name, ddl in SCHEMAS.items()
+                if name in rows or name != "person_lookups"
+            }
         )
 
     return make
 
 
 @pytest.fixture
-def skewed(monkeypatch):
-    """Limits so low that the small test data counts as skewed."""
+def low_limits(monkeypatch):
+    """Limits so low that everything is cut into pieces and nothing counts as small."""
     from hirelens import config
 
-    for name, value in {
-        "HOT_ROWS": 2, "ROWS_PER_PIECE": 1, "LIST_ROWS": 2, "COPIES_PER_ROW": 2,
-        "BROADCAST_ROWS": 0,
-    }.items():
-        monkeypatch.setattr(config, name, value)
+    monkeypatch.setattr(config, "COPIES_PER_ROW", 2)
+    monkeypatch.setattr(config, "BROADCAST_ROWS", 0)
 
 
 def bag(df):

@@ -52,21 +52,21 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("list_rows", [100, 1])
+@pytest.mark.parametrize("copies", [65_536, 2])
 @pytest.mark.parametrize("case", CASES)
-def test_answers_keep_multiplicity(spark, case, list_rows):
+def test_answers_keep_multiplicity(spark, case, copies, monkeypatch):
+    monkeypatch.setattr(C, "COPIES_PER_ROW", copies)
     subs = [(1, 10, 7), (2, 10, 9), (3, 11, None)]
     rows = CASES[case]
     got = op.answers_wide(
-        spark.createDataFrame(subs, SUBS), spark.createDataFrame(rows, ANSWERS), CODES,
-        list_rows=list_rows,
+        spark.createDataFrame(subs, SUBS), spark.createDataFrame(rows, ANSWERS), CODES
     )
     assert got.columns == ["submission_id", "requisition_id", "person_id", "a", "b"]
     assert bag(got) == literal_answers(subs, rows, CODES)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_crowded_applications_equal_the_literal_joins(spark, seed, skewed):
+def test_crowded_applications_equal_the_literal_joins(spark, seed, low_limits):
     pick = random.Random(seed)
     codes = {"a": "1", "b": "2", "c": "3"}
     subs = [(i, i % 3, i % 5 if i else None) for i in range(8)]
@@ -83,6 +83,54 @@ def test_crowded_applications_equal_the_literal_joins(spark, seed, skewed):
     assert bag(got) == literal_answers(subs, rows, codes)
 
 
+def busiest_task(df):
+    """Rows of all tasks, and of the one that writes most."""
+    rows = df.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    return sum(r["count"] for r in rows), max(r["count"] for r in rows)
+
+
+@pytest.fixture
+def sixteen_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("texts", [1, 2000])
+def test_no_task_writes_a_crowded_application(spark, texts, sixteen_tasks):
+    """Two questions with 2,000 answers each, the same or different ones, are 4 million rows."""
+    text = (F.col("id") % texts).cast("string").alias("long_text")
+    rows = spark.range(2000).select(
+        F.lit(7).cast("long").alias("participant_id"), F.lit(1).cast("long").alias("subject_id"),
+        F.lit(4).alias("subscriber_id"), F.lit("SUBMISSION").alias("subject_code"),
+        F.lit("S").alias("status"), F.lit("CANDIDATE").alias("participant_type"),
+        F.explode(F.array(F.lit("1"), F.lit("2"))).alias("question_code"), text,
+    )
+    subs = spark.createDataFrame([(1, 10, 7), (2, 10, 9)], SUBS)
+    rows, most = busiest_task(op.answers_wide(subs, rows, CODES))
+    assert rows == 4_000_001 and most <= rows / 4
+
+
+def test_no_task_writes_a_crowded_person(spark, sixteen_tasks):
+    rows = spark.range(2000).select(
+        F.lit(7).cast("long").alias("person_id"), F.explode(F.array(F.lit("1"), F.lit("3"))).alias("ethnicity")
+    )
+    people = spark.createDataFrame([(1, 7), (2, 8)], "submission_id long, person_id long")
+    rows, most = busiest_task(op.flags_by_code(people, rows, "person_id", "ethnicity", C.ETHNICITY_CODES))
+    assert rows == 4_000_001 and most <= rows / 4
+
+
+def test_a_dimension_above_the_bound_gives_the_same_rows(spark, monkeypatch):
+    names = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    few = op.guarded(names=names)["names"]
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 1)
+    many = op.guarded(names=names)["names"]
+    assert many is names and bag(few) == bag(many)
+    facts = spark.createDataFrame([(1,), (None,), (3,)], "id long")
+    assert bag(facts.join(few, "id", "left")) == bag(facts.join(many, "id", "left"))
+
+
 def test_one_answer_per_application(spark):
     subs = [(1, 10, 7), (2, 10, 9)]
     rows = CASES["product"] + [answer(2, 9, "1", None)]
@@ -98,10 +146,10 @@ def test_unknown_answer_mode(spark):
         op.answers_wide(spark.createDataFrame([], SUBS), empty, CODES, mode="some")
 
 
-@pytest.mark.parametrize("low_limits", [False, True])
-def test_flags_by_code(spark, request, low_limits):
-    if low_limits:
-        request.getfixturevalue("skewed")
+@pytest.mark.parametrize("low", [False, True])
+def test_flags_by_code(spark, request, low):
+    if low:
+        request.getfixturevalue("low_limits")
     people = [(s, s % 4) for s in range(12)]
     people = spark.createDataFrame(people, "submission_id long, person_id long")
     rows = [(0, "1"), (0, "1"), (0, "3"), (1, "2"), (2, "4"), (2, "1"), (9, "5"), (2, "8")]
@@ -167,10 +215,10 @@ def test_source_label(spark):
     )
 
 
-@pytest.mark.parametrize("low_limits", [False, True])
-def test_reason_of_the_current_state_only(spark, request, low_limits):
-    if low_limits:
-        request.getfixturevalue("skewed")
+@pytest.mark.parametrize("low", [False, True])
+def test_reason_of_the_current_state_only(spark, request, low):
+    if low:
+        request.getfixturevalue("low_limits")
     subs = spark.createDataFrame([(1, 21), (2, 22), (3, 23)], "submission_id long, state_id long")
     history = spark.createDataFrame(
         [(1, 21, 5)] * 4 + [(1, 21, 6), (1, 22, 5), (2, 22, 9), (2, 22, None), (None, 23, 5),
@@ -183,10 +231,10 @@ def test_reason_of_the_current_state_only(spark, request, low_limits):
     )
 
 
-@pytest.mark.parametrize("low_limits", [False, True])
-def test_application_source_needs_all_three_keys(spark, request, low_limits):
-    if low_limits:
-        request.getfixturevalue("skewed")
+@pytest.mark.parametrize("low", [False, True])
+def test_application_source_needs_all_three_keys(spark, request, low):
+    if low:
+        request.getfixturevalue("low_limits")
     apps = spark.createDataFrame(
         [(10, 1, "C1"), (10, 2, "C2")],
         "requisition_id long, submission_id long, candidate_number string",

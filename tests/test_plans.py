@@ -1,11 +1,13 @@
 import datetime as dt
+import re
 
 import pytest
 
 import __spark_entry__ as entry
 import hirelens as H
 from hirelens.sources import SCHEMAS
-from testing.overlay import AS_OF, CONVICTION, NOW, PREFERENCE
+from testing.overlay import AS_OF, CONVICTION, FIVE, NOW, PREFERENCE
+from tests.conftest import bag
 
 DAY = dt.date(2024, 6, 30)
 
@@ -42,8 +44,8 @@ def scans(df, table: str) -> list[str]:
 
 
 def test_no_python_and_no_cross_join(spark):
-    for name, build in entry.queries().items():
-        text = plan(build(spark, "/root/testdata/sf0.001"))
+    for name in {**entry.REPORTS, **entry.OPERATORS}:
+        text = plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
         for word in ("Python", "Pandas", "ArrowEval", "CartesianProduct", "NestedLoop"):
             assert word not in text, (name, word)
 
@@ -116,14 +118,79 @@ def test_one_requisition_cuts_large_tables_before_any_shuffle(stored):
         assert "BroadcastHashJoin" in above and "LeftSemi" in above, table
 
 
-def test_no_salt_without_hot_keys(stored):
-    df = H.diversity_detail(stored, as_of=AS_OF, now=NOW, all_requisitions=True)
-    assert "_salt" not in plan(df)
+def test_actions_while_a_report_is_built(stored, monkeypatch):
+    ran = []
+    frame = type(stored.submissions)
+    for name in ("collect", "count", "first", "checkpoint", "toPandas"):
+        action = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda self, *a, f=action, n=name, **k: ran.append(n) or f(self, *a, **k))
+    H.conviction_answers(stored, CONVICTION)
+    H.preference_answers(stored, PREFERENCE)
+    assert ran == []
+    for build in (
+        lambda: H.diversity_detail(stored, FIVE, AS_OF, NOW),
+        lambda: H.diversity_counts(stored, FIVE, AS_OF, NOW),
+        lambda: H.diversity_detail(stored, as_of=AS_OF, now=NOW, all_requisitions=True),
+        lambda: H.disclosure_list(stored, AS_OF, req_status="Open - Closed"),
+    ):
+        build()
+        assert ran == ["collect"]
+        ran.clear()
+
+
+@pytest.fixture
+def no_size_based_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def exchange_keys(df):
+    found = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan(df))
+    return [[re.sub(r"#\d+L?$", "", k.strip()) for k in keys.split(", ")] for keys in found]
+
+
+def test_no_exchange_on_keys_of_a_few_values(stored, no_size_based_broadcast):
+    few = {"current_phase_id", "current_state_id", "site_number", "reason_id"}
+    few |= {f"{name}_code" for name in ("gender", "ethnicity", "veterans_preference", "disability")}
+    for report in (H.diversity_detail, H.diversity_counts):
+        df = report(stored, as_of=AS_OF, now=NOW, all_requisitions=True)
+        keys = exchange_keys(df)
+        assert not [k for k in keys if len(k) == 1 and k[0] in few]
+        # Two small tables meet on it before they are broadcast to the tracking records.
+        assert keys.count(["dimension_id"]) <= 2
+    detail = H.diversity_detail(stored, as_of=AS_OF, now=NOW, all_requisitions=True)
+    assert "BroadcastHashJoin [dimension_id" in plan(detail)
+
 
+def test_chosen_requisitions_take_no_more_exchanges(stored):
+    for report in (H.diversity_detail, H.diversity_counts):
+        chosen = report(stored, "REQ-10", AS_OF, NOW)
+        every = report(stored, as_of=AS_OF, now=NOW, all_requisitions=True)
+        assert len(exchange_keys(chosen)) <= len(exchange_keys(every))
 
-def test_salt_with_hot_keys(stored, skewed):
-    df = H.diversity_detail(stored, as_of=AS_OF, now=NOW, all_requisitions=True)
-    assert "_salt_l" in plan(df) and "_salt_r" in plan(df)
+
+def test_codes_and_titles_reach_the_scan(stored):
+    df = H.diversity_counts(stored, as_of=AS_OF, now=NOW, all_requisitions=True)
+    (scan,) = scans(df, "regulatory_responses")
+    for pushed in ("In(attribute_4, [ORA_PER_YES_GB,ORA_PER_YES_US])", "EqualTo(attribute_1,F)",
+                   "Not(EqualTo(attribute_2,1))", "EqualTo(attribute_3,ORA_PROTECT_VETS_NO_SELFID)"):
+        assert pushed in scan, scan
+    df = H.disclosure_list(stored, AS_OF, req_name=["A", "B"])
+    assert all("In(title, [A,B])" in scan for scan in scans(df, "requisition_titles"))
+
+
+def test_a_missing_lookup_table_is_stood_in_for(spark, written, tmp_path):
+    import shutil
+
+    for name in SCHEMAS:
+        if name != "person_lookups":
+            shutil.copytree(f"{written}/{name}", f"{tmp_path}/{name}")
+    t = H.Tables.from_parquet(spark, str(tmp_path))
+    assert bag(t.person_lookups) == bag(t.lookups)
+    assert H.diversity_detail(t, "REQ-10", AS_OF, NOW).count() > 0
+    frames = {name: getattr(t, name) for name in SCHEMAS if name != "lookups"}
+    assert bag(H.Tables.from_frames(frames).lookups) == bag(t.person_lookups)
 
 
 def test_catalog_tables(spark, stored, written):
