@@ -342,7 +342,8 @@ def _by_group(rows: DataFrame, work, kinds: str) -> DataFrame:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
             starts = _group_starts(table)
-            yield work(table.slice(0, starts[-1]), starts[:-1])
+            if len(starts) > 1:
+                yield work(table.slice(0, starts[-1]), starts[:-1])
             rest = table.slice(starts[-1])
         if rest is not None:
             yield work(rest, np.zeros(1, np.int64))

@@ -52,6 +52,17 @@ def test_equals_all_pairs(docs, monkeypatch, words, percent, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_groups_larger_than_a_batch(spark, docs):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "2")
+    try:
+        rows = corpus(3)
+        got = minhash.near_duplicates(docs(rows), words=3, percent=85).collect()
+    finally:
+        spark.conf.unset(key)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85)
+
+
 def test_edge_rows(docs):
     long = " ".join(str(i) for i in range(30_000))
     rows = [
