@@ -6,12 +6,14 @@ that a near vector lies there, until that chance reaches the chosen success. Can
 tables merge, and exact inner products rank them.
 
 Largest inner product is nearness on a sphere: vectors get one more component that makes all
-norms equal. How far a near vector's projection lies from the query's is estimated from a
-bounded sample of vectors. Equal vectors are one candidate with the smallest ids that a result
-can hold, so a vector with a third of all rows costs no more than any other.
+norms equal. How far a near vector's projection lies from the query's is estimated for each query
+by its neighbours in a bounded sample of vectors; with a small chance a near vector lies as any
+other does, so every bucket can be reached. Equal vectors are one candidate with the smallest
+ids that a result can hold, so a vector with a third of all rows costs no more than any other.
 
 Buckets are dealt to shards, and every query travels once to each shard that it probes. A query
-that finds fewer than the number asked for is compared with all vectors, shard by shard.
+that finds fewer than the number asked for, or would have to visit very many buckets, is compared
+with all vectors, shard by shard.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import islice
 from math import erf, sqrt
 
 import numpy as np
@@ -32,8 +36,14 @@ from .common import checkpointed
 #: hold, and the share of near pairs of the sample that the probes must meet.
 TABLES, WIDTH, BUCKET, SUCCESS, SEED = 2, 1.2, 24, 0.97, 11
 #: Vectors that the index is fitted on, those of the smallest hash of their id; of these, the
-#: queries that the length of probing is fitted on, and their nearest; entries of a shard.
+#: queries that the length of probing is fitted on at each level, and their nearest; entries of
+#: a shard.
 SAMPLE, TRIED, NEAR, SHARD = 2048, 128, 4, 65_536
+#: Cosines of a query with its near vectors between which the length of probing is fitted by itself;
+#: the chance that a near vector's projection lies as any vector's does.
+LEVELS, STRAY = (0.3, 0.6, 0.9), 0.01
+#: Buckets of a table, and vectors for one more, beyond which a query is compared with all vectors.
+MOST, PER_BUCKET = 1 << 16, 256
 #: Queries whose scores a shard holds at a time.
 ASKED = 128
 
@@ -69,10 +79,11 @@ class Index:
     norm: float
     projections: np.ndarray
     shifts: np.ndarray
-    pull: float
-    spread: float
     reach: int
-    target: float = 1.0
+    sample: np.ndarray
+    place: int
+    most: int
+    targets: tuple[float, ...] = (1.0,) * (len(LEVELS) + 1)
 
     @property
     def hashes(self) -> int:
@@ -92,28 +103,68 @@ class Index:
         return self.cells(self.project(x, False)) @ (base ** np.arange(self.hashes)) * TABLES + np.arange(TABLES)
 
     def probes(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        """For each query the buckets to visit, until each table's chance is reached."""
-        for tables in self.chances(x):
-            found = [b * TABLES + t for t, c in enumerate(tables) for b, _ in _by_chance(c, self.target, 2 * self.reach)]
-            yield np.array(found, np.int64)
-
-    def chances(self, x: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """For each query the buckets to visit, until each table's chance is reached; none if these
+        are so many that it is better compared with all vectors."""
+        for lo in range(0, len(x), ASKED):
+            pulls = self.pulls(x[lo : lo + ASKED])
+            for tables, pull in zip(self.chances(x[lo : lo + ASKED], pulls), pulls, strict=True):
+                target, found = self.targets[_level(pull)], []
+                for t, c in enumerate(tables):
+                    some = [b * TABLES + t for b, _ in islice(_by_chance(c, target, 2 * self.reach), self.most + 1)]
+                    found = found + some if len(some) <= self.most else None
+                    if found is None:
+                        break
+                yield np.array(found or (), np.int64)
+
+    @cached_property
+    def _sampled(self) -> tuple[np.ndarray, dict[bytes, int]]:
+        return _on_sphere(self.sample, self.norm, False), {(v + 0.0).tobytes(): i for i, v in enumerate(self.sample)}
+
+    def cosines(self, x: np.ndarray) -> np.ndarray:
+        """With each vector of the sample, but none with the query's own."""
+        points, names = self._sampled
+        out = _on_sphere(x, self.norm, True) @ points.T
+        for row, v in zip(out, x, strict=True):
+            own = names.get((v + 0.0).tobytes())
+            if own is not None:
+                row[own] = -np.inf
+        return out
+
+    def pulls(self, x: np.ndarray) -> np.ndarray:
+        """The cosine of each query with the last of its near vectors in the sample."""
+        if not self.place:
+            return np.zeros(len(x))
+        return np.clip(np.partition(self.cosines(x), -self.place, axis=1)[:, -self.place], 0.0, 0.999)
+
+    def chances(self, x: np.ndarray, pulls: np.ndarray) -> Iterator[list[np.ndarray]]:
         """For each query and table, the chance of each cell of each projection to hold a near one."""
+        for row, pull in zip(self.project(x, True), pulls, strict=True):
+            spread = sqrt(1 - pull * pull)
+            yield [
+                (1 - STRAY) * self._cell_chance(row[t] * pull + self.shifts[t], spread) + STRAY * self._any[t]
+                for t in range(TABLES)
+            ]
+
+    @cached_property
+    def _any(self) -> list[np.ndarray]:
+        """The chance of each cell to hold any vector; none is 0."""
+        return [self._cell_chance(shifts, 1.0) for shifts in self.shifts]
+
+    def _cell_chance(self, centre: np.ndarray, spread: float) -> np.ndarray:
         edges = np.arange(-self.reach, self.reach + 1) * WIDTH
-        for row in self.project(x, True):
-            out = []
-            for t in range(TABLES):
-                centre = row[t] * self.pull + self.shifts[t]
-                z = (edges - centre[:, None]) / (self.spread * sqrt(2))
-                z[:, 0], z[:, -1] = -np.inf, np.inf
-                out.append(np.diff(np.vectorize(erf)(z), axis=1) / 2)
-            yield out
+        z = (edges - centre[:, None]) / (spread * sqrt(2))
+        z[:, 0], z[:, -1] = -np.inf, np.inf
+        return np.diff(np.vectorize(erf)(z), axis=1) / 2
+
+
+def _level(pull: float) -> int:
+    return int(np.searchsorted(LEVELS, pull, side="right"))
 
 
 def _by_chance(chance: np.ndarray, target: float, base: int) -> Iterator[tuple[int, float]]:
     """Buckets in descending order of the product of their cells' chances, until their sum reaches
     the target, and the sum before each: a heap of perturbations, each made from another by
-    moving on in one projection."""
+    moving on in one projection. A target of 1 is reached by all buckets only."""
     hashes, cells = chance.shape
     order = np.argsort(-chance, axis=1, kind="stable")
     ranked = np.take_along_axis(chance, order, axis=1).tolist()
@@ -124,7 +175,7 @@ def _by_chance(chance: np.ndarray, target: float, base: int) -> Iterator[tuple[i
         start *= ranked[h][0]
     heap = [(-start, sum(s[0] for s in steps), (0,) * hashes, 0)]
     total = 0.0
-    while heap and total < target:
+    while heap and (total < target or target >= 1):
         negative, bucket, at, last = heapq.heappop(heap)
         yield bucket, total
         total -= negative
@@ -145,32 +196,37 @@ def fit(vectors: DataFrame, count: int, near: int) -> Index:
     rng = np.random.default_rng(SEED)
     dim = sample.shape[1] + 1
     projections = rng.normal(size=(TABLES, hashes, dim))
-    index = Index(norm, projections, rng.uniform(0, WIDTH, (TABLES, hashes)), 0.0, 1.0, 4)
-    if len(sample) < 2:
-        return index
     # The near-th best of all vectors stands in the sample at its share of the rank.
-    rank = min(len(sample) - 1, max(1, round(near * len(sample) / max(1, count))))
-    cosines = _on_sphere(sample, norm, True) @ _on_sphere(sample, norm, False).T
-    np.fill_diagonal(cosines, -np.inf)
-    order = np.argsort(-cosines, axis=1)
-    index.pull = min(max(float(np.median(np.take_along_axis(cosines, order[:, rank - 1 : rank], axis=1))), 0.0), 0.999)
-    index.spread = sqrt(1 - index.pull**2)
-    index.target = _target(index, sample, order[:, : max(rank, min(NEAR, len(sample) - 1))])
+    rank = max(1, round(near * len(sample) / max(1, count)))
+    place = min(len(sample) - 1, max(rank, NEAR))
+    index = Index(norm, projections, rng.uniform(0, WIDTH, (TABLES, hashes)), 4, sample, place, max(MOST, count // PER_BUCKET))
+    if place:
+        index.targets = _targets(index)
     return index
 
 
-def _target(index: Index, sample: np.ndarray, order: np.ndarray) -> float:
-    """The estimated chance up to which queries must probe so that, in the sample, the share SUCCESS
-    of near pairs meets in a table."""
-    buckets = index.buckets(sample)
-    needed = []
-    for tables, near in zip(index.chances(sample[:TRIED]), order[:TRIED], strict=True):
+def _targets(index: Index) -> tuple[float, ...]:
+    """For each level the estimated chance up to which its queries must probe so that, in the sample,
+    the share SUCCESS of near pairs meets in a table; for a level without queries the largest."""
+    pulls, buckets = index.pulls(index.sample), index.buckets(index.sample)
+    levels = np.array([_level(p) for p in pulls])
+    found = {}
+    for level in np.unique(levels):
+        tried = np.flatnonzero(levels == level)[:TRIED]
+        found[level] = _target(index, tried, pulls[tried], buckets)
+    return tuple(found.get(level, max(found.values())) for level in range(len(LEVELS) + 1))
+
+
+def _target(index: Index, tried: np.ndarray, pulls: np.ndarray, buckets: np.ndarray) -> float:
+    x, needed = index.sample[tried], []
+    order = np.argsort(-index.cosines(x), axis=1)[:, : index.place]
+    for tables, near in zip(index.chances(x, pulls), order, strict=True):
         least = np.ones(len(near))
         for t, chance in enumerate(tables):
             missing = {}
             for i, bucket in enumerate(buckets[near, t]):
                 missing.setdefault(int(bucket) // TABLES, []).append(i)
-            for bucket, before in _by_chance(chance, 1.0, 2 * index.reach):
+            for bucket, before in islice(_by_chance(chance, 1.0, 2 * index.reach), index.most):
                 for i in missing.pop(bucket, ()):
                     least[i] = min(least[i], before)
                 if not missing:

@@ -98,6 +98,31 @@ def test_search_finds_the_nearest(spark):
     assert {r.query_id for r in got} == {i for i, _ in rows if i % 20 == 0}
 
 
+def test_search_finds_the_nearest_of_vectors_outside_tight_clouds(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(6, 24))
+    tight = centres[rng.integers(0, 6, 1500)] + rng.normal(size=(1500, 24)) * 0.01
+    x = np.concatenate((tight, rng.normal(size=(900, 24))))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    got = multiprobe.nearest(table(spark, rows), F.col("vec_id") % 10 == 0, 10).collect()
+    plain = [(i, np.array(v, np.float32)) for i, v in rows]
+    for some in (range(0, 1500, 10), range(1500, 2400, 10)):
+        hits = sum(len({r.vec_id for r in got if r.query_id == q} & {i for i, _ in best(plain, plain[q], 10)}) for q in some)
+        assert hits / (10 * len(some)) >= 0.9
+
+
+def test_every_bucket_can_be_reached():
+    rng = np.random.default_rng(8)
+    sample = np.repeat(rng.normal(size=(4, 8)), 10, axis=0) + rng.normal(size=(40, 8)) * 1e-4
+    norm = float(np.linalg.norm(sample, axis=1).max()) * 1.001
+    index = multiprobe.Index(norm, rng.normal(size=(2, 2, 9)), np.zeros((2, 2)), 4, sample, 4, 1 << 16)
+    pulls = index.pulls(sample[:1])
+    assert pulls[0] > 0.9
+    for chance in next(index.chances(sample[:1], pulls)):
+        assert sorted(b for b, _ in multiprobe._by_chance(chance, 1.0, 8)) == list(range(64))
+
+
 def test_few_vectors_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [1.0, 0.0]), (20, [0.0, 1.0]), (7, [-1.0, 0.0])]
     got = multiprobe.nearest(table(spark, rows), F.col("vec_id") % 20 == 0, 20).collect()
