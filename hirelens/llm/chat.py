@@ -6,8 +6,12 @@ rewrites history and the turn is marked. Rendering the last turn once more with
 text and with a probe shows which part of the span is the text; those of the chosen roles
 are under the loss mask.
 
-Turns arrive sorted and are handled one after the other, with ``WINDOW`` turns in front of
-each in view, so a conversation of any length needs the same memory.
+Turns arrive sorted and are handled one after the other, and the template is always given all
+turns up to the one at hand; its last output is kept for the next turn. A conversation must fit
+into memory, and its rendering takes time with the square of its length. For a template that is
+declared stateless (what it gives for a turn depends on the last ``WINDOW`` turns at most) only
+these are rendered at each turn; one rendering of the whole conversation is then compared with
+the joined spans, and where they differ, all turns are done again on true prefixes.
 """
 
 from __future__ import annotations
@@ -15,18 +19,20 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BATCH_ROWS
+
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
-#: Turns before a turn that a template is shown with it; a conversation with fewer is rendered
-#: whole. What a template does to turns further back is not seen.
+#: Turns before a turn that a template declared stateless is shown with it.
 WINDOW = 16
+#: Code points of spans handed on at a time, at least.
+CHUNK = 1_000_000
 PROBE = "\ufdd0"
 TURNS = (
     "conv long, position long, span string, text_start long, text_end long, "
@@ -67,11 +73,17 @@ def read_turns(formatted: str) -> tuple[list[Turn], str]:
     return turns, formatted[at:]
 
 
-def locate(render: Template, before: Sequence[Turn], turn: Turn) -> tuple[str, int, int, bool]:
+def locate(render: Template, before: Sequence[Turn], turn: Turn, old: str | None = None) -> tuple[str, int, int, bool]:
     """The span that a turn adds, where in it the turn's text starts and ends, and whether the
-    turn makes the template rewrite what it gave before. A text that isn't found (the template
-    changes it, or history is rewritten) has an empty place at the end of the span."""
-    old, new = render(before) if before else "", render([*before, turn])
+    turn makes the template rewrite what it gave before (``old``, if known). A text that isn't
+    found (the template changes it, or history is rewritten) has an empty place at the end of
+    the span."""
+    if old is None:
+        old = render(before) if before else ""
+    return _located(render, before, turn, old, render([*before, turn]))
+
+
+def _located(render: Template, before: Sequence[Turn], turn: Turn, old: str, new: str) -> tuple[str, int, int, bool]:
     if not new.startswith(old):
         return new[len(os.path.commonprefix([old, new])) :], 0, 0, True
     span = new[len(old) :]
@@ -84,6 +96,30 @@ def locate(render: Template, before: Sequence[Turn], turn: Turn) -> tuple[str, i
     return span, len(head) - len(old), len(span) - len(tail), False
 
 
+def by_prefixes(render: Template, turns: Sequence[Turn]) -> Iterator[tuple[str, int, int, bool]]:
+    """What :func:`locate` gives for each turn of a conversation, each prefix rendered once."""
+    old = ""
+    for i, turn in enumerate(turns):
+        new = render(turns[: i + 1])
+        yield _located(render, turns[:i], turn, old, new)
+        old = new
+
+
+def by_window(render: Template, turns: Sequence[Turn]) -> list[tuple[str, int, int, bool]]:
+    """The same for a template declared stateless, each turn seen with ``WINDOW`` turns before it; by
+    prefixes if the joined spans are not the rendering of the whole conversation, or if the
+    template refuses a window."""
+    if len(turns) <= WINDOW + 1:
+        return list(by_prefixes(render, turns))
+    try:
+        found = [locate(render, turns[max(0, i - WINDOW) : i], turn) for i, turn in enumerate(turns)]
+    except Exception:
+        return list(by_prefixes(render, turns))
+    if any(f[3] for f in found) or "".join(f[0] for f in found) != render(turns):
+        return list(by_prefixes(render, turns))
+    return found
+
+
 def format_turns(
     conversations: DataFrame,
     render: Template = marked_turns,
@@ -92,6 +128,7 @@ def format_turns(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    stateless: bool = False,
 ) -> DataFrame:
     """One row per turn, a conversation's rows behind each other and in order inside a partition:
     its position (from 0), the span it adds to the formatted text, the place of its text in
@@ -101,6 +138,10 @@ def format_turns(
     Turns with equal or null numbers are ordered by role and text, null numbers first. A null
     role or text counts as empty. Rows without a conversation id form one conversation of
     their own. Repeated rows are turns of their own. No rows give no rows.
+
+    ``stateless`` declares that the template gives for a turn what depends on the turn and the
+    ``WINDOW`` turns before it only: a long conversation then takes time with its length, and is
+    held against one rendering of the whole.
     """
     turns = conversations.select(
         F.col(conv_col).cast("long").alias("conv"),
@@ -111,24 +152,35 @@ def format_turns(
     turns = turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv: object = run  # equal to no id
-        before: deque[Turn] = deque(maxlen=WINDOW)
-        position = 0
-        for batch in batches:
-            rows = []
-            for key, role, text in zip(*(batch[c].to_pylist() for c in ("conv", "role", "text")), strict=True):
-                if key != conv:
-                    conv, position = key, 0
-                    before.clear()
-                span, start, end, rewrites = locate(render, list(before), (role, text))
-                rows.append((key, position, span, start, end, role in loss_roles, rewrites))
-                before.append((role, text))
-                position += 1
+        rows, size = [], 0
+        for conv, said in _conversations(batches):
+            found = by_window(render, said) if stateless else by_prefixes(render, said)
+            for position, ((role, _), (span, start, end, rewrites)) in enumerate(zip(said, found, strict=True)):
+                rows.append((conv, position, span, start, end, role in loss_roles, rewrites))
+                size += len(span)
+                if len(rows) == BATCH_ROWS or size > CHUNK:
+                    yield _rows(rows, TURNS)
+                    rows, size = [], 0
+        if rows:
             yield _rows(rows, TURNS)
 
     return turns.select("conv", "role", "text").mapInArrow(run, TURNS)
 
 
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:
+    """Whole conversations of sorted rows."""
+    conv, said = None, []
+    for batch in batches:
+        for key, role, text in zip(*(batch[c].to_pylist() for c in ("conv", "role", "text")), strict=True):
+            if said and key != conv:
+                yield conv, said
+                said = []
+            conv = key
+            said.append((role, text))
+    if said:
+        yield conv, said
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, read from the output of :func:`format_turns` with
     ``marked_turns``, whose partitions and order are kept: turns and their hash, parsed from

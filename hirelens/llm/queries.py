@@ -95,7 +95,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(-1, 0, "user", extra), (-1, 1, "assistant", extra)]
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = given.unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    return chat.read_back(chat.format_turns(both))
+    return chat.read_back(chat.format_turns(both, stateless=True))
 
 
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

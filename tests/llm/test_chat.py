@@ -97,6 +97,35 @@ def test_long_conversations_are_seen_through_a_window():
     assert "".join(spans) == chat.marked_turns(turns)
 
 
+def test_long_conversations_are_rendered_from_their_start(spark):
+    def numbered(turns):
+        return "".join(f"{i}.{r}:{t}\n" for i, (r, t) in enumerate(turns))
+
+    def system_first(turns):
+        """Folds the system text into the user's first turn, and wants a user there."""
+        system = turns[0][1] if turns[0][0] == "system" else ""
+        turns = turns[turns[0][0] == "system" :]
+        if turns and turns[0][0] != "user":
+            raise ValueError("a user speaks first")
+        return f"BOS({system})" + "".join(f"[{r}]{t}[/]" for r, t in turns)
+
+    def rewriting(turns):
+        """Shortens the first turn once there are 30."""
+        return numbered([(turns[0][0], turns[0][1][: 1 if len(turns) >= 30 else None]), *turns[1:]])
+
+    turns = [("system", "be kind"), *[(("user", "assistant")[i % 2], f"text {i}") for i in range(39)]]
+    rows = table(spark, [(1, i, r, t) for i, (r, t) in enumerate(turns)])
+    for template in (numbered, system_first):
+        for stateless in (False, True):
+            got = sorted(chat.format_turns(rows, template, stateless=stateless).collect(), key=lambda r: r.position)
+            assert "".join(r.span for r in got) == template(turns)
+            assert not any(r.rewrites for r in got)
+            assert [r.span[r.text_start : r.text_end] for r in got][1:] == [t for _, t in turns[1:]]
+    for stateless in (False, True):
+        got = chat.format_turns(rows, rewriting, stateless=stateless).collect()
+        assert [r.position for r in got if r.rewrites] == [29]
+
+
 def test_registered_query(spark):
     sf_dir = "/root/testdata/sf0.01"
     turns = {}
