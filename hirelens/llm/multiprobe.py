@@ -11,7 +11,10 @@ by its neighbours in a bounded sample of vectors; with a small chance a near vec
 other does, so every bucket can be reached. Equal vectors are one candidate with the smallest
 ids that a result can hold, so a vector with a third of all rows costs no more than any other.
 
-Buckets are dealt to shards, and every query travels once to each shard that it probes. A query
+Buckets are dealt to shards, those with many entries in several parts, and every query travels
+once to each shard that holds a part of what it probes. The queries of a shard are cut into
+blocks, each compared by a task of its own, so neither a crowded bucket nor many queries make a
+task grow with the input. A query
 that finds fewer than the number asked for, or would have to visit very many buckets, is compared
 with all vectors, shard by shard.
 """
@@ -44,6 +47,9 @@ SAMPLE, TRIED, NEAR, SHARD = 2048, 128, 4, 65_536
 LEVELS, STRAY = (0.3, 0.6, 0.9), 0.01
 #: Buckets of a table, and vectors for one more, beyond which a query is compared with all vectors.
 MOST, PER_BUCKET = 1 << 16, 256
+#: Entries of a bucket that stay together; queries of a task; queries by which the number of visits
+#: to a shard is estimated.
+PART, BLOCK, SEEN = 16_384, 4_096, 512
 #: Queries whose scores a shard holds at a time.
 ASKED = 128
 
@@ -271,11 +277,12 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
     count = classes.count()
     index = fit(classes, count, k)
     shards = max(1, -(-count * TABLES // SHARD))
-    entries = classes.select("rep", "x", F.explode(_buckets(index, shards)(F.col("x"))).alias("b"))
+    parts = _parts(classes, index, count)
+    entries = classes.select("rep", "x", F.explode(_buckets(index, shards, parts)(F.col("x"), F.col("rep"))).alias("b"))
     entries = entries.select("b.shard", "rep", "b.bucket", "x")
-    visits = asked.select("id", "x", F.explode(_probes(index, shards)(F.col("x"))).alias("p"))
-    visits = visits.select("p.shard", "id", "p.buckets", "x")
-    hits = entries.groupBy("shard").cogroup(visits.groupBy("shard")).applyInArrow(_searcher(k), "id long, rep long, score double")
+    probes = _probes(index, shards, parts)
+    entries, visits = _blocks(entries, lambda some: _visits(some, probes), asked, shards)
+    hits = entries.groupBy("shard", "block").cogroup(visits.groupBy("shard", "block")).applyInArrow(_searcher(k), "id long, rep long, score double")
     hits = checkpointed(_best(hits.groupBy("id", "rep").agg(F.max("score").alias("score")), k))
     answers = _answers(hits, classes, k)
 
@@ -288,10 +295,11 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
     missing = short.count() if wanted > 0 else 0
     if not missing:
         return answers
-    blocks = max(1, -(-count // SHARD))
-    everything = classes.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("shard"), "rep", F.lit(0).cast("long").alias("bucket"), "x")
-    every = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("shard"), "id", F.array(F.lit(0).cast("long")).alias("buckets"), "x")
-    hits = everything.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(_searcher(k), "id long, rep long, score double")
+    shards, blocks = max(1, -(-count // SHARD)), F.lit(-(-missing // BLOCK))
+    everything = classes.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), "rep", F.lit(0).cast("long").alias("bucket"), "x")
+    every = short.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"), "id", F.array(F.lit(0).cast("long")).alias("buckets"), "x")
+    everything, every = _cut(everything, blocks), _dealt(every, blocks)
+    hits = everything.groupBy("shard", "block").cogroup(every.groupBy("shard", "block")).applyInArrow(_searcher(k), "id long, rep long, score double")
     return answers.join(short, answers["query_id"] == short["id"], "left_anti").union(_answers(_best(hits, k), classes, k))
 
 
@@ -317,34 +325,90 @@ def _answers(hits: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _shard(bucket: np.ndarray, shards: int) -> np.ndarray:
-    mixed = bucket.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+def _parts(classes: DataFrame, index: Index, count: int) -> dict[int, int]:
+    """The number of parts of each bucket that is cut into several; their number is at most that of
+    all entries divided by PART."""
+    if count <= PART:
+        return {}
+    found = classes.select(F.explode(_buckets(index, 1, {})(F.col("x"), F.col("rep"))).alias("b"))
+    sizes = found.groupBy("b.bucket").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
+    return {r.bucket: -(-r.n // PART) for r in sizes.collect()}
 
 
-def _buckets(index: Index, shards: int):
-    """The bucket of a vector in each table, and the shard that holds it."""
+def _visits(asked: DataFrame, probes) -> DataFrame:
+    visits = asked.select("id", "x", F.explode(probes(F.col("x"))).alias("p"))
+    return visits.select("p.shard", "id", "p.buckets", "x")
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for x in batches:
+
+def _blocks(entries: DataFrame, visits_of, asked: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Entries and visits with the block in which they meet. Only where there are many queries, the
+    visits to each shard are estimated by some of them; the entries go to each block."""
+    total = asked.count()
+    if total <= BLOCK:
+        return entries.withColumn("block", F.lit(0)), visits_of(asked).withColumn("block", F.lit(0))
+    seen = visits_of(asked.orderBy(F.xxhash64("id"), "id").limit(SEEN)).groupBy("shard").agg(F.count("*").alias("n"))
+    known = {r.shard: r.n for r in seen.collect()}
+    share = total / min(SEEN, total) / BLOCK
+    rows = [(s, int(np.ceil(min(known.get(s, 0) + 3, SEEN) * share))) for s in range(shards)]
+    blocks = F.broadcast(asked.sparkSession.createDataFrame(rows, "shard long, blocks int"))
+    entries = _cut(entries.join(blocks, "shard"), F.col("blocks")).drop("blocks")
+    return entries, _dealt(visits_of(asked).join(blocks, "shard"), F.col("blocks")).drop("blocks")
+
+
+def _cut(entries: DataFrame, blocks: Column) -> DataFrame:
+    return entries.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+
+
+def _dealt(visits: DataFrame, blocks: Column) -> DataFrame:
+    return visits.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+
+
+def _shard(bucket: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
+    return ((_mixed(bucket) + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+def _counted(bucket: np.ndarray, parts: dict[int, int]) -> np.ndarray:
+    """The number of parts of each bucket."""
+    out = np.ones(len(bucket), np.int64)
+    if parts:
+        names = np.array(sorted(parts), np.int64)
+        at = np.minimum(np.searchsorted(names, bucket), len(names) - 1)
+        cut = names[at] == bucket
+        out[cut] = np.array([parts[b] for b in names.tolist()], np.int64)[at[cut]]
+    return out
+
+
+def _buckets(index: Index, shards: int, parts: dict[int, int]):
+    """The bucket of a vector in each table, and the shard that holds the vector's part of it."""
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for x, rep in batches:
             found = index.buckets(matrix(x)).ravel() if len(x) else np.zeros(0, np.int64)
-            both = pa.StructArray.from_arrays([pa.array(_shard(found, shards)), pa.array(found)], ["shard", "bucket"])
+            part = _mixed(np.repeat(rep.to_numpy(zero_copy_only=False), TABLES)) % _counted(found, parts).astype(np.uint64)
+            both = pa.StructArray.from_arrays([pa.array(_shard(found, part, shards)), pa.array(found)], ["shard", "bucket"])
             yield pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * TABLES, both)
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<struct<shard: long, bucket: long>>")
 
 
-def _probes(index: Index, shards: int):
-    """The shards that a query visits, each with the buckets to probe there."""
+def _probes(index: Index, shards: int, parts: dict[int, int]):
+    """The shards that a query visits, each with the buckets to probe there: all parts of each."""
     kind = pa.list_(pa.struct([("shard", pa.int64()), ("buckets", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
             out = []
             for probed in index.probes(matrix(x)) if len(x) else ():
-                where = _shard(probed, shards)
-                out.append([{"shard": s, "buckets": probed[where == s]} for s in np.unique(where)])
+                times = _counted(probed, parts)
+                each = np.repeat(probed, times)
+                part = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+                where = _shard(each, part, shards)
+                out.append([{"shard": s, "buckets": np.unique(each[where == s])} for s in np.unique(where)])
             yield pa.array(out, kind)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -363,19 +427,22 @@ def _searcher(k: int):
         x, q = matrix(entries["x"]), matrix(visits["x"])
         names, starts = np.unique(bucket, return_index=True)
         ends = np.append(starts[1:], len(bucket))
-        ids, probed, out = visits["id"].to_numpy(), visits["buckets"].to_pylist(), []
+        lists = visits["buckets"].combine_chunks()
+        probed, many = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        upto = np.concatenate(([0], np.cumsum(many)))
+        ids, out = visits["id"].to_numpy(), []
         for lo in range(0, len(ids), ASKED):
-            some = probed[lo : lo + ASKED]
+            some = many[lo : lo + ASKED]
             score = np.full((len(some), len(rep)), -np.inf)
-            who = np.repeat(np.arange(len(some)), list(map(len, some)))
-            what = np.concatenate(some).astype(np.int64)
+            who = np.repeat(np.arange(len(some)), some)
+            what = probed[upto[lo] : upto[lo + len(some)]]
             at = np.minimum(np.searchsorted(names, what), len(names) - 1)
             there = names[at] == what
             at, who = at[there], who[there]
             order = np.argsort(at, kind="stable")
             at, who = at[order], who[order]
             first = np.flatnonzero(np.diff(at, prepend=-1))
-            for a, b in zip(first, np.append(first[1:], len(at)), strict=True):
+            for a, b in zip(first, np.append(first, len(at))[1:], strict=True):
                 members = slice(starts[at[a]], ends[at[a]])
                 score[who[a:b], members] = q[lo + who[a:b]] @ x[members].T
             for i, row in enumerate(score):

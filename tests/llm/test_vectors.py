@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,41 @@ def test_search_finds_the_nearest_of_vectors_outside_tight_clouds(spark):
         assert hits / (10 * len(some)) >= 0.9
 
 
+def test_no_task_holds_a_crowded_bucket_or_all_queries(spark, monkeypatch, tmp_path):
+    plain, folder = multiprobe._searcher, str(tmp_path)
+
+    def watched(k):
+        run = plain(k)
+
+        def watch(entries, visits):
+            if entries.num_rows and visits.num_rows:
+                with open(f"{folder}/{uuid.uuid4()}", "w") as file:
+                    file.write(f"{entries.num_rows} {visits.num_rows}")
+            return run(entries, visits)
+
+        return watch
+
+    for name, value in (("_searcher", watched), ("SHARD", 512), ("PART", 64), ("BLOCK", 32)):
+        monkeypatch.setattr(multiprobe, name, value, raising=False)
+    x = np.random.default_rng(9).normal(size=(1500, 8))
+    x[1] *= 1e6  # all others share a bucket
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    got = multiprobe.nearest(table(spark, rows), F.col("vec_id") % 10 == 0, 10).collect()
+    asked = [(i, np.array(v, np.float32)) for i, v in rows]
+    hits = sum(len({r.vec_id for r in got if r.query_id == q} & {i for i, _ in best(asked, asked[q], 10)}) for q in range(0, 1500, 10))
+    assert hits / 1500 >= 0.9
+    sizes = [tuple(map(int, f.read_text().split())) for f in tmp_path.iterdir()]
+    assert max(n for n, _ in sizes) <= 1024 and max(n for _, n in sizes) <= 64
+
+
+def test_queries_may_find_none_of_their_buckets_in_a_task():
+    entries = pa.table({"rep": [1, 2], "bucket": [4, 6], "x": [[1.0, 0.0], [0.0, 1.0]]})
+    visits = pa.table({"id": [7, 8], "buckets": [[3], [5, 9]], "x": [[1.0, 1.0], [2.0, 0.0]]})
+    assert multiprobe._searcher(3)(entries, visits).num_rows == 0
+    visits = pa.table({"id": [7, 8], "buckets": [[3], [4, 9]], "x": [[1.0, 1.0], [2.0, 0.0]]})
+    assert multiprobe._searcher(3)(entries, visits).to_pylist() == [{"id": 8, "rep": 1, "score": 2.0}]
+
+
 def test_every_bucket_can_be_reached():
     rng = np.random.default_rng(8)
     sample = np.repeat(rng.normal(size=(4, 8)), 10, axis=0) + rng.normal(size=(40, 8)) * 1e-4
