@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, cover_tree, minhash, mixing, multiprobe, passage_quality, ppm, token_counts, url_rules
+from . import (
+    byte_bpe, chat, cover_tree, merkle, minhash, mixing, multiprobe, passage_quality, ppm, token_counts, url_rules,
+)
 from .common import crc_remainder, small_batches
 
 BPE_RANKS, BPE_FILE, TOKEN_LIMIT = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", 1024
@@ -125,6 +128,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document is checked as a copy whose text has lost its capitals."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", ascii_uppercase, ascii_lowercase)
+    tampered = F.when(crc_remainder("doc_id", 3) == 0, lower).otherwise(F.col("text"))
+    return merkle.manifest(docs, changed={"text": tampered}).drop("steps")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_passage_quality": op2_passage_quality,
@@ -136,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multiprobe": op8_multiprobe,
     "op9_token_counts": op9_token_counts,
     "op10_minhash": op10_minhash,
+    "op12_merkle": op12_merkle,
 }
 
 OP3_SQL = r"""
