@@ -116,12 +116,13 @@ class Index:
 
 
 def token_counts(urls: DataFrame, url_col: str, tokens: set[str]) -> dict[str, int]:
-    """Urls in which each of the rules' tokens stands; at most as many rows as tokens."""
+    """Urls in which each of the rules' tokens stands; at most as many rows as tokens. The tokens
+    (``MAX_RULE_CHARS`` bounds them) go to the urls, so that a frequent one is counted where it stands."""
     spark = urls.sparkSession
     lower = F.translate(F.col(url_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = urls.select(F.explode(F.array_distinct(F.split(lower, "[^0-9a-z]+"))).alias("token"))
     wanted = spark.createDataFrame([(t,) for t in sorted(tokens)], "token string")
-    return {r.token: r.n for r in found.join(wanted, "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    return {r.token: r.n for r in found.join(F.broadcast(wanted), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 def judge_urls(

@@ -58,7 +58,7 @@ def test_equals_all_rules(spark):
 
 def test_only_fetched_rules_run(monkeypatch):
     index = url_rules.Index(queries.URL_RULES, queries.URL_PATTERNS)
-    index.file({"org": 1000, "example": 500, "es": 3, "net": 900, "en": 10})
+    index.file({"com": 2000, "org": 1000, "example": 500, "es": 3, "net": 900, "en": 10, "fr": 5, "de": 5})
     ran = []
     monkeypatch.setattr(index, "_fits", lambda i, text: ran.append(index.entries[i][1]) or False)
     index.judge("http://www.example.com/xx/1")
@@ -66,6 +66,9 @@ def test_only_fetched_rules_run(monkeypatch):
         e[1] for i, e in enumerate(index.entries) if i in index.filed.get("", ())
     }
     assert index.filed["es"] == [1]
+    ran.clear()
+    index.judge("http://a.com/fr/")
+    assert "com/fr/" in ran and "com/de/" not in ran
 
 
 def test_ties_and_bounds():
