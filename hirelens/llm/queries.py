@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_bpe, chat, cover_tree, merkle, minhash, mixing, multiprobe, passage_quality, ppm, token_counts, url_rules,
+    byte_bpe, chat, cover_tree, merkle, minhash, mixing, multiprobe, passage_quality, ppm, spelling,
+    token_counts, url_rules,
 )
 from .common import crc_remainder, small_batches
 
@@ -128,6 +129,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document is checked as a copy whose text has lost its capitals."""
     docs = table(spark, sf_dir, "documents")
@@ -147,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multiprobe": op8_multiprobe,
     "op9_token_counts": op9_token_counts,
     "op10_minhash": op10_minhash,
+    "op11_spelling": op11_spelling,
     "op12_merkle": op12_merkle,
 }
 

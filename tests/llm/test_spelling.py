@@ -1,0 +1,136 @@
+"""Spelling variants against a comparison of all pairs."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from hirelens.llm import queries, spelling
+
+
+def distance_is_one(a, b):
+    """By the whole edit matrix."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1] == 1
+
+
+def around(word, words):
+    """Words one edit from a word, by trying all deletions on both sides."""
+    return {w for w in words if abs(len(w) - len(word)) <= 1 and distance_is_one(word, w)}
+
+
+def plain(counts):
+    form, out = {}, []
+    near = {w: around(w, counts) for w in counts}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= 10 * n else None
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        f = form[w]
+        out.append((w, f, root, n, len(near[w]), counts[f] if f is not None else None))
+    return sorted(out)
+
+
+def counted(rows):
+    c = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(x.lower() if "A" <= x <= "Z" else x for x in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            c[run] += 1
+    return {w: n for w, n in c.items() if len(w) >= 7 and n >= 2}
+
+
+def vocabulary(seed, n=400, letters="abé", low=5, high=9):
+    rng = random.Random(seed)
+    made = {"".join(rng.choices(letters, k=rng.randint(low, high))) for _ in range(n)}
+    return {w: rng.choice([2, 3, 20, 30, 300, 5000]) for w in made}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_scan_finds_all(seed, monkeypatch):
+    monkeypatch.setattr(spelling, "FEW", seed)
+    words = sorted(vocabulary(seed, 250, low=0 if seed else 3))
+    for agree in (0, 2):
+        got = set(spelling.scan(words, words, np.full(len(words), agree)))
+        assert len(got) == len(list(spelling.scan(words, words, np.full(len(words), agree))))
+        want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words)
+                if distance_is_one(a, b) and b.startswith(a[:agree])}
+        assert got == want
+
+
+def test_one_edit_and_prefixes():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("ab", k=rng.randint(0, 5))) for _ in range(2))
+        assert spelling.one_edit(a, b) == distance_is_one(a, b)
+    every = [""]
+    for _ in range(5):
+        every += [w + c for w in every if len(w) == len(every[-1]) for c in "ab"]
+    every = sorted(set(every))
+    for word in every:
+        close = {w for w in every if w == word or distance_is_one(w, word)}
+        for prefix in every:
+            if any(w.startswith(prefix) for w in close):
+                assert spelling.prefix_within(prefix, word), (prefix, word)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equals_all_pairs(spark, seed, monkeypatch):
+    monkeypatch.setattr(spelling, "SLICE", 40)
+    monkeypatch.setattr(spelling, "BATCH", 70)
+    counts = vocabulary(seed)
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    assert sorted(map(tuple, spelling.variants(df).collect())) == plain(counts)
+
+
+def test_bounds_cut_short(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "SLICE", 5)
+    monkeypatch.setattr(spelling, "BOUND", 3)
+    rng = random.Random(1)
+    counts = {"aaaa" + "".join(rng.choices("ab", k=5)): rng.choice([2, 40]) for _ in range(60)}
+    counts |= {w[::-1]: n for w, n in counts.items()} | {"x" * 50_000: 2, "x" * 50_001: 70}
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    assert sorted(map(tuple, spelling.variants(df).collect())) == sorted(plain_long(counts))
+
+
+def plain_long(counts):
+    short = {w: n for w, n in counts.items() if len(w) < 1000}
+    return [*plain(short), ("x" * 50_000, "x" * 50_001, "x" * 50_001, 2, 1, 70), ("x" * 50_001, None, "x" * 50_001, 70, 1, None)]
+
+
+def test_chain_of_forms(spark):
+    counts = {"aaaaaaa"[:7] + "b" * i: 2 * 10**i for i in range(9)}
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = {r.word: r.root for r in spelling.variants(df).collect()}
+    assert set(got.values()) == {"aaaaaaabbbbbbbb"}
+
+
+def test_documents(docs):
+    rng = random.Random(5)
+    base = ["Grammar", "grammars", "Élève", "élèverait", "Straße", "x" * 40, "spelling", "variants"]
+    rows = [(i, " ".join(rng.choices(base, k=40)) + rng.choice([".", " 12éé3", "İzmir_straßen-straßen"])) for i in range(60)]
+    rows += [(3, None), (4, ""), (None, "Spelling " * 30), rows[0], rows[0]]
+    assert sorted(map(tuple, spelling.grouped(docs(rows)).collect())) == plain(counted(rows))
+    assert spelling.grouped(docs([])).collect() == []
+    assert spelling.grouped(docs([(1, None), (2, "short words")])).collect() == []
+
+
+def test_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    out = queries.op11_spelling(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert sorted(map(tuple, out.collect())) == plain(counted(rows))
