@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import (
     byte_bpe, chat, cover_tree, merkle, minhash, mixing, multiprobe, passage_quality, ppm, spelling,
-    token_counts, url_rules,
+    suffix_merge, token_counts, url_rules,
 )
 from .common import crc_remainder, small_batches
 
@@ -141,6 +141,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, changed={"text": tampered}).drop("steps")
 
 
+def op13_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_merge.remove_repeats(table(spark, sf_dir, "documents"), 100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_passage_quality": op2_passage_quality,
@@ -154,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
     "op11_spelling": op11_spelling,
     "op12_merkle": op12_merkle,
+    "op13_suffix_merge": op13_suffix_merge,
 }
 
 OP3_SQL = r"""
