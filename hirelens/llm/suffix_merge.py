@@ -8,11 +8,11 @@ passages with equal hashes have to be compared. Three steps over blocks of whole
    Passages equal as a whole are settled there: all but the first go. Those whose hash occurs
    with other bytes around it are still open; all others are unique.
 2. The bytes of open passages go to buckets, by their hash. A bucket's passages, in the order of the documents,
-   are cut into shards. Each shard sorts its own rotations, which gives its transform. The
+   are cut into shards. Each shard sorts its own suffixes, which gives its transform. The
    transforms are merged by refining how they interleave: the order by the first h bytes gives that
-   by h + t bytes if its entries are dealt, in order, by the t bytes in front of them. Which neighbours share
-   a prefix so long is carried along, so after ``length`` bytes the intervals of equal windows are
-   there, though no two suffixes of different shards have been compared. All but the first go.
+   by h + t bytes if its entries are dealt, in order, by the letter of t bytes in front of them. Which neighbours
+   share a prefix so long is carried along, so after ``length`` bytes the intervals of equal windows are
+   there, though the suffixes of different shards have not been sorted together. All but the first go.
 3. Blocks get the spans that go, and put their texts together without them.
 
 A hash with more than ``CROWDED`` different passages (a line in very many documents) sends its open windows one
@@ -38,11 +38,12 @@ from .common import checkpointed, chunks, pieces_of
 #: Bytes of a block and of a piece hashed at a time, windows of a passage at most.
 BLOCK, CHUNK, RUN = 8_000_000, 1_000_000, 256
 #: Passages that a range or a bucket should hold, bytes of a shard, passages of one hash that are many.
-RANGE, BUCKET, SHARD, CROWDED = 500_000, 15_000, 50_000, 2000
+RANGE, BUCKET, SHARD, CROWDED = 500_000, 10_000, 50_000, 2000
 #: Different windows that a crowded passage is taken to have, in passages of a bucket.
 WINDOWS = 20
-#: Bytes that are packed into one number (nine bits each, for the end of a passage is one more).
-PACK = 7
+#: Bytes of a letter, and bytes that are packed into one number at first (nine bits each, for the end of a
+#: passage is one more).
+LETTER, PACK = 20, 4
 UNIQUE, GONE, OPEN, SINGLE = range(4)
 BASE = 0xD6E8FEB86659FD93
 
@@ -302,90 +303,100 @@ def _shipper(passages: Passages, buckets: int):
     return run
 
 
+def numbered(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The pairs of two arrays numbered from 0, in order; equal pairs have one number."""
+    n = len(high)
+    bits, width = n.bit_length(), int(low.max()).bit_length()
+    if int(high.max()).bit_length() + width + bits > 64:
+        return np.unique(np.column_stack([high, low]), axis=0, return_inverse=True)[1].ravel()
+    pairs = (high.astype(np.uint64) << np.uint64(width) | low.astype(np.uint64)) << np.uint64(bits)
+    pairs |= np.arange(n, dtype=np.uint64)
+    pairs.sort()
+    place = (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
+    out = np.empty(n, np.int64)
+    out[place] = np.cumsum(firsts(pairs >> np.uint64(bits))) - 1
+    return out
+
+
 class Transforms:
-    """The Burrows-Wheeler transforms of shards of texts: of each shard, its rotations in order."""
+    """The Burrows-Wheeler transforms of shards of texts: of each shard the places of its suffixes, sorted, and
+    before each the letter. A letter is a run of ``LETTER`` bytes, numbered in order."""
 
     def __init__(self, texts: list[bytes], shard: np.ndarray, length: int):
-        """``shard`` numbers the shard of each text, ascending. Rotations of a text and its end are
-        sorted by ``length`` symbols at least, those equal so far by their places."""
+        """``shard`` numbers the shard of each text, ascending. Suffixes are sorted by ``length`` bytes, those equal
+        so far by their places; behind a text's end nothing comes."""
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        ends = np.cumsum(sizes)
-        self.base = np.repeat(ends - sizes, sizes)
-        self.size = np.repeat(sizes, sizes)
+        self.last = np.repeat(np.cumsum(sizes) - 1, sizes)
         self.shard = np.repeat(shard, sizes)
-        self.place = np.arange(len(self.base))
+        self.place = np.arange(len(self.last))
+        self.length, self.step = length, min(LETTER, length)
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
-        data[ends - 1] = 0
-        self.data = data
-        pack = np.zeros_like(data)
-        for k in range(PACK):
-            pack = pack << 9 | data[self.ahead(k)]
-        # PACK symbols are a letter, and ranks begin with the shard: shards are sorted each by itself.
-        rank, have = self._ranks(self.shard, np.unique(pack, return_inverse=True)[1]), PACK
+        data[np.cumsum(sizes) - 1] = 0
+        have, letter = min(PACK, self.step), data
+        for k in range(1, have):
+            letter = letter << 9 | data[self.ahead(k)]
+        letter = numbered(letter, np.zeros(1, np.int64))
+        while have < self.step:
+            more = min(have, self.step - have)
+            letter, have = numbered(letter, letter[self.ahead(more)]), have + more
+        # From here on the shard comes first, so the suffixes of two shards are never compared.
+        rank = numbered(self.shard, letter)
         while have < length:
-            rank, have = self._ranks(rank, rank[self.ahead(have)]), 2 * have
-        self.order = np.lexsort((self.place, rank))
+            more = min(have, length - have)
+            rank, have = numbered(rank, rank[self.ahead(more)]), have + more
+        self.letter, self.order = letter, np.argsort(rank, kind="stable")
+        self.at = np.empty_like(self.order)
+        self.at[self.order] = self.place
 
     def ahead(self, steps: int) -> np.ndarray:
-        """The place so many symbols on, around the text; less than none goes back."""
-        return self.base + (self.place - self.base + steps) % self.size
-
-    def _ranks(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        return np.unique(high * (int(low.max()) + 1) + low, return_inverse=True)[1]
-
-    def symbols(self, steps: int) -> np.ndarray:
-        """For each rotation, in order, the number of the ``steps`` symbols before it (``PACK`` at most)."""
-        packed = np.zeros_like(self.data)
-        for k in range(steps, 0, -1):
-            packed = packed << 9 | self.data[self.ahead(-k)]
-        return np.unique(packed, return_inverse=True)[1][self.order]
-
-    def merged(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all rotations, sorted over all shards by ``length`` symbols, and the number of the interval
-        of rotations that share all of these."""
-        n = len(self.place)
-        source = self.shard[self.order].astype(np.uint16 if self.shard[-1] < 1 << 16 else np.int64)
-        interval = np.zeros(n, np.int64)
-        symbols, of_steps, bits = None, 0, np.int64(n).item().bit_length()
-        done = 0
-        while done < length:
-            steps = min(PACK, length - done)
-            if steps != of_steps:
-                symbols, of_steps = self.symbols(steps), steps
-            # The k-th entry of a shard in the interleave is the k-th rotation of that shard.
-            which = np.empty(n, np.int64)
-            which[np.argsort(source, kind="stable")] = self.place
-            dealt = symbols[which] << bits | self.place
+        return np.minimum(self.place + steps, self.last)
+
+    def suffixes(self, places: np.ndarray) -> np.ndarray:
+        """Some places in the order of the shards and of the suffixes of each."""
+        return self.order[np.sort(self.at[places])]
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all windows of ``length`` bytes, sorted over all shards, and the number of the interval of
+        equal windows that each is in.
+
+        It begins with the places behind the windows, one shard's after the other's, and goes back letter by letter
+        to where the windows begin. The interleave only tells whose turn it is: its k-th entry of a shard is the k-th
+        of that shard's suffixes."""
+        windows = np.flatnonzero(self.place + self.length <= self.last)
+        n, done = len(windows), 0
+        here = self.suffixes(windows + self.length)
+        source, interval = self.shard[here].astype(np.int32), np.zeros(n, np.int32)
+        source = source.astype(np.uint16) if n and source[-1] < 1 << 16 else source
+        count, bits = np.arange(n), n.bit_length()
+        which = count
+        while done < self.length:
+            step = min(self.step, self.length - done)
+            dealt = self.letter[here - step][which] << bits | count
             dealt.sort()
-            symbol, came = dealt >> bits, dealt & ((1 << bits) - 1)
-            source, before = source[came], interval[came]
-            interval = np.cumsum(firsts(symbol, before)) - 1
-            done += steps
-        which = np.empty(n, np.int64)
-        which[np.argsort(source, kind="stable")] = self.place
-        return self.order[which], interval
+            came = dealt & ((1 << bits) - 1)
+            source, interval = source[came], np.cumsum(firsts(dealt >> bits, interval[came])) - 1
+            done += step
+            here = self.suffixes(windows + self.length - done)
+            which = np.empty(n, np.int64)
+            which[np.argsort(source, kind="stable")] = count
+        return here[which], interval
 
 
 def repeated(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int]]:
     """(number of the text, first byte, byte behind the last) of spans in which every window of ``length``
     bytes stands earlier in these texts, in the order of texts and places."""
-    if not texts:
+    if not any(len(t) >= length for t in texts):
         return
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     shard = (np.cumsum(sizes) - sizes) // SHARD
-    transforms = Transforms(texts, np.cumsum(firsts(shard)) - 1, length)
-    places, interval = transforms.merged(length)
-    window = transforms.place[places] - transforms.base[places] + length < transforms.size[places]
-    places, interval = places[window], interval[window]
-    if not len(places):
-        return
-    least = np.full(interval[-1] + 1, len(transforms.place))
+    places, interval = Transforms(texts, np.cumsum(firsts(shard)) - 1, length).merged()
+    least = np.full(interval[-1] + 1, sizes.sum())
     np.minimum.at(least, interval, places)
     again = np.sort(places[places != least[interval]])
     if not len(again):
         return
     number = np.searchsorted(np.cumsum(sizes), again, "right")
-    start = again - transforms.base[again]
+    start = again - (np.cumsum(sizes) - sizes)[number]
     new = firsts(number, start - np.arange(len(start)))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(new)) - 1

@@ -46,6 +46,7 @@ def some_texts(seed, n=60, letters="ab", low=0, high=60):
 @pytest.mark.parametrize("length", [8, 15])
 def test_merged_transforms(seed, length, monkeypatch):
     monkeypatch.setattr(sm, "SHARD", 50)
+    monkeypatch.setattr(sm, "LETTER", 6)
     texts = [t.encode() for t in some_texts(seed, 40, "abc") if len(t) >= length]
     got = set()
     for number, a, b in sm.repeated(texts, length):
@@ -58,18 +59,25 @@ def test_merged_transforms(seed, length, monkeypatch):
     assert got == want
 
 
-def test_interleave_is_the_sorted_order(monkeypatch):
+@pytest.mark.parametrize("letter", [1, 3, 5, 12, 20])
+def test_interleave_is_the_sorted_order(letter, monkeypatch):
+    monkeypatch.setattr(sm, "LETTER", letter)
     rng = random.Random(4)
-    texts = ["".join(rng.choices("ab", k=30)).encode() for _ in range(30)]
-    shard = np.repeat(np.arange(6), 5)
-    t = sm.Transforms(texts, shard, 12)
-    places, interval = t.merged(12)
-    rotations = [(x + b"\0")[i:] + (x + b"\0")[:i] for x in texts for i in range(len(x) + 1)]
-    heads = [rotations[p][:12].replace(b"\0", b"!") for p in places.tolist()]
-    assert heads == sorted(heads) and sorted(places.tolist()) == list(range(len(rotations)))
+    texts = ["".join(rng.choices("ab", k=rng.randint(5, 30))).encode() for _ in range(30)]
+    t = sm.Transforms(texts, np.repeat(np.arange(6), 5), 12)
+    places, interval = t.merged()
+    joined = b"\0".join(texts) + b"\0"
+    heads = [joined[p : p + 12] for p in places.tolist()]
+    assert heads == sorted(heads) and len(set(places.tolist())) == sum(max(0, len(x) - 11) for x in texts)
     assert [a != b for a, b in zip(heads, heads[1:])] == (np.diff(interval) > 0).tolist()
 
 
+def test_numbered_beyond_64_bits():
+    high, low = np.array([5, 1 << 40, 5, 1]), np.array([1 << 40, 0, 1 << 40, 9])
+    assert sm.numbered(high, low).tolist() == [1, 2, 1, 0]
+    assert sm.numbered(np.array([5, 4, 5]), np.array([1, 0, 1])).tolist() == [1, 0, 1]
+
+
 def test_passages_cover_every_window_once(monkeypatch):
     monkeypatch.setattr(sm, "CHUNK", 64)
     monkeypatch.setattr(sm, "RUN", 7)
