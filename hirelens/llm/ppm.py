@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint_folder, chunks, pieces_of
 
 ORDER, SYMBOLS = 4, 256
-#: Bytes of text in a block and handled at a time, and distinct grams that a group should hold.
-BLOCK, CHUNK, GROUP = 32_000_000, 2_000_000, 500_000
+#: Bytes of text in a block and handled at a time, distinct grams that end a block, and distinct grams that a
+#: group should hold.
+BLOCK, CHUNK, KEYS, GROUP = 32_000_000, 1_000_000, 600_000, 500_000
 #: Keys of words have this bit; those of grams are below it.
 WORD_BIT = 1 << 62
 END = b"\n"
@@ -141,37 +142,54 @@ SCORES = (
 )
 
 
+def added(
+    keys: np.ndarray, counts: np.ndarray, more: np.ndarray, times: int | np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with counts, and some more keys, each counted ``times``."""
+    found, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
+    weights = np.concatenate([counts, np.broadcast_to(times, len(more))]).astype(float)
+    return found, np.bincount(place, weights, minlength=len(found)).astype(np.int64)
+
+
 class _Block:
-    """Texts of one block, and what they ask for."""
+    """Texts of one block, compressed as they come, and what they ask for: sorted arrays of keys and counts."""
 
     def __init__(self, number: int):
         self.number, self.size = number, 0
         self.ids: list[int | None] = []
-        self.texts: list[bytes] = []
-        self.train: list[bool] = []
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
+        self.blob, self.packer = [], zstandard.ZstdCompressor(level=3).compressobj()
+        none = np.zeros(0, np.int64)
+        self.grams, self.words = (none.astype(np.uint64), none), (none, none)
+
+    def take(self, ids: list[int | None], texts: list[bytes], train: list[bool]) -> None:
+        """Texts of ``CHUNK`` bytes at most, or one longer text."""
+        made, sizes = grams(texts)
+        learned = np.repeat(np.array(train), sizes)
+        for part, times in ((made[learned], 1), (made[~learned], 0)):
+            found, n = np.unique(part, return_counts=True)
+            self.grams = added(*self.grams, found, n * times)
+        del made, learned
         words: Counter[bytes] = Counter()
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
-        for lo, hi in chunks(list(map(len, self.texts)), CHUNK):
-            made, sizes = grams(self.texts[lo:hi])
-            learned = np.repeat(np.array(self.train[lo:hi]), sizes)
-            for part, times in ((made[learned], 1), (made[~learned], 0)):
-                found, n = np.unique(part, return_counts=True)
-                keys.append(found)
-                counts.append(n * float(times))
-            for text, train in zip(self.texts[lo:hi], self.train[lo:hi], strict=True):
-                if train:
-                    words.update(text.split())
-                else:
-                    words.update(dict.fromkeys(text.split(), 0))
-        words[END] += sum(self.train)
-        found, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(place, np.concatenate(counts), minlength=len(found)).astype(np.int64)
-        yield self._asked(found.astype(np.int64), sums)
+        for text, learn in zip(texts, train, strict=True):
+            if learn:
+                words.update(text.split())
+            else:
+                words.update(dict.fromkeys(text.split(), 0))
+        words[END] += sum(train)
         named = np.fromiter(map(word_key, words), np.int64, len(words))
-        yield self._asked(named, np.fromiter(words.values(), np.int64, len(words)))
-        blob = zstandard.ZstdCompressor(level=3).compress(END.join(self.texts))
+        self.words = added(*self.words, named, np.fromiter(words.values(), np.int64, len(words)))
+        front = END if self.ids else b""
+        self.blob.append(self.packer.compress(front + END.join(texts)))
+        self.ids += ids
+        self.size += sum(map(len, texts)) + len(texts)
+
+    def full(self) -> bool:
+        return self.size > BLOCK or len(self.grams[0]) > KEYS
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        blob = b"".join([*self.blob, self.packer.flush()])
+        yield self._asked(self.grams[0].astype(np.int64), self.grams[1])
+        yield self._asked(*self.words)
         yield _record([[self.number], [None], [None], [self.ids], [blob]])
 
     def _asked(self, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -188,21 +206,15 @@ def _record(columns: list) -> pa.RecordBatch:
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, train, text) to blocks with their questions. A block is one task's texts, as many
     as fit its size; its number is the task's partition and its place there."""
-    first = TaskContext.get().partitionId() << 24
-    block = _Block(first)
+    block = _Block(TaskContext.get().partitionId() << 24)
     for batch in batches:
         ids, train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lo, hi, texts in pieces_of(batch.column(2), CHUNK):
-            for ident, learn, text in zip(ids[lo:hi], train[lo:hi], texts, strict=True):
-                plain = normalised(text)
-                if block.texts and block.size + len(plain) > BLOCK:
-                    yield from block.rows()
-                    block = _Block(block.number + 1)
-                block.ids.append(ident)
-                block.train.append(learn)
-                block.texts.append(plain)
-                block.size += len(plain) + 1
-    if block.texts:
+            block.take(ids[lo:hi], list(map(normalised, texts)), train[lo:hi])
+            if block.full():
+                yield from block.rows()
+                block = _Block(block.number + 1)
+    if block.ids:
         yield from block.rows()
 
 
@@ -270,29 +282,43 @@ def _scorer(n: int, v: int):
         order = np.argsort(key)
         key, value = key[order], value[order]
         split = int(np.searchsorted(key, WORD_BIT))
-        gram, chance = key[:split].astype(np.uint64), value[:split]
-        counts = dict(zip(key[split:].tolist(), value[split:].tolist(), strict=True))
-        of_word: dict[bytes, float] = {}
-        columns: list[list] = [[] for _ in range(5)]
+        gram, chance, word, count = key[:split].view(np.uint64), value[:split], key[split:], value[split:]
+        parts = []
         for ids, blob in zip(texts["ids"].to_pylist(), texts["texts"].to_pylist(), strict=True):
-            every = zstandard.ZstdDecompressor().decompress(blob).split(END)
-            for lo, hi in chunks(list(map(len, every)), CHUNK):
-                part = every[lo:hi]
-                made, sizes = grams(part)
+            at = 0
+            for every in _unpacked(blob):
+                columns: list = [ids[at : at + len(every)], [], [], [], []]
+                made, sizes = grams(every)
                 logs = chance[np.searchsorted(gram, made)]
-                columns[4] += np.add.reduceat(logs, np.cumsum(sizes) - sizes).tolist()
-                for text in part:
-                    words = [*text.split(), END]
-                    for word in words:
-                        if word not in of_word:
-                            of_word[word] = counts.get(word_key(word), 0.0)
-                    c = np.fromiter(map(of_word.__getitem__, words), float, len(words))
-                    columns[1].append(len(words))
-                    columns[2].append(int((c > 0).sum()))
-                    columns[3].append(float(np.log10((c + 1) / (n + v + 1)).sum()))
-            columns[0] += ids
+                columns[4] = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
+                del made, logs
+                number: dict[bytes, int] = {}
+                places = [[number.setdefault(w, len(number)) for w in (*text.split(), END)] for text in every]
+                asked = np.fromiter(map(word_key, number), np.int64, len(number))
+                where, known = _find(word, asked)
+                c = np.where(known, count[where], 0.0) if len(count) else np.zeros(len(asked))
+                chances = np.log10((c + 1) / (n + v + 1))
+                for mine in places:
+                    columns[1].append(len(mine))
+                    columns[2].append(int((c[mine] > 0).sum()))
+                    columns[3].append(float(chances[mine].sum()))
+                parts.append(columns)
+                at += len(every)
         names = ("id", "n_tokens", "n_known", "base_score", "score")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({x: pa.array(c, k) for x, c, k in zip(names, columns, kinds, strict=True)})
+        arrays = [pa.chunked_array([pa.array(c, k) for c in of], k) for of, k in zip(zip(*parts), kinds, strict=True)]
+        return pa.Table.from_arrays(arrays, names)
 
     return run
+
+
+def _unpacked(blob: bytes) -> Iterator[list[bytes]]:
+    """The texts of a block, some at a time; the last of what has been read may not be whole yet."""
+    reader, open_ = zstandard.ZstdDecompressor().stream_reader(blob), []
+    while piece := reader.read(CHUNK):
+        first, *others = piece.split(END)
+        open_.append(first)
+        if others:
+            yield [b"".join(open_), *others[:-1]]
+            open_ = others[-1:]
+    yield [b"".join(open_)]
