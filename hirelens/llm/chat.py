@@ -108,12 +108,12 @@ def by_prefixes(render: Template, turns: Sequence[Turn]) -> Iterator[tuple[str,
 def by_window(render: Template, turns: Sequence[Turn]) -> list[tuple[str, int, int, bool]]:
     """The same for a template declared stateless, each turn seen with ``WINDOW`` turns before it; by
     prefixes if the joined spans are not the rendering of the whole conversation, or if the
-    template refuses a window."""
+    template refuses a window with a ``ValueError``. A rewrite that a later turn undoes is not seen."""
     if len(turns) <= WINDOW + 1:
         return list(by_prefixes(render, turns))
     try:
         found = [locate(render, turns[max(0, i - WINDOW) : i], turn) for i, turn in enumerate(turns)]
-    except Exception:
+    except ValueError:
         return list(by_prefixes(render, turns))
     if any(f[3] for f in found) or "".join(f[0] for f in found) != render(turns):
         return list(by_prefixes(render, turns))
@@ -136,8 +136,8 @@ def format_turns(
     rewrote history (then the spans don't add up to the final text).
 
     Turns with equal or null numbers are ordered by role and text, null numbers first. A null
-    role or text counts as empty. Rows without a conversation id form one conversation of
-    their own. Repeated rows are turns of their own. No rows give no rows.
+    role or text counts as empty. A row without a conversation id is a conversation of its own; such rows are
+    dealt over all tasks. Repeated rows are turns of their own. No rows give no rows.
 
     ``stateless`` declares that the template gives for a turn what depends on the turn and the
     ``WINDOW`` turns before it only: a long conversation then takes time with its length, and is
@@ -149,7 +149,9 @@ def format_turns(
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    turns = turns.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    lone = F.when(F.col("conv").isNull(), F.xxhash64(F.monotonically_increasing_id()))
+    turns = turns.withColumn("lone", lone)
+    turns = turns.repartition("conv", "lone").sortWithinPartitions("conv", "lone", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -172,7 +174,7 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
     conv, said = None, []
     for batch in batches:
         for key, role, text in zip(*(batch[c].to_pylist() for c in ("conv", "role", "text")), strict=True):
-            if said and key != conv:
+            if said and (key != conv or key is None):
                 yield conv, said
                 said = []
             conv = key

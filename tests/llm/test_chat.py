@@ -64,12 +64,14 @@ def test_edge_rows(spark):
         (None, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, "assistant", "s"), (3, 0, "assistant", "s"),
         (4, 1, "b", "late"), (4, 1, "a", "tie"),
     ]
-    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(chat.format_turns(table(spark, rows))).collect()}
+    found = chat.read_back(chat.format_turns(table(spark, rows))).collect()
+    got = {r.conv_id: tuple(r)[1:] for r in found if r.conv_id is not None}
     assert got == {
         1: digests([("user", ""), ("assistant", "")]), 2: digests([("", "x"), ("assistant", long)]),
-        None: digests([("user", "a"), ("assistant", "b")]), 3: digests([("assistant", "s")] * 2),
-        4: digests([("a", "tie"), ("b", "late")]),
+        3: digests([("assistant", "s")] * 2), 4: digests([("a", "tie"), ("b", "late")]),
     }
+    lone = [tuple(r)[1:] for r in found if r.conv_id is None]
+    assert sorted(lone) == sorted([digests([("user", "a")]), digests([("assistant", "b")])])
     assert chat.read_back(chat.format_turns(table(spark, rows).limit(0))).collect() == []
 
 
@@ -126,6 +128,17 @@ def test_long_conversations_are_rendered_from_their_start(spark):
         assert [r.position for r in got if r.rewrites] == [29]
 
 
+def test_a_rewrite_that_is_undone_is_marked(spark):
+    def template(turns):
+        """Shortens the first turn while there are exactly 20."""
+        first = turns[0][1][: 1 if len(turns) == 20 else None]
+        return "".join(f"{i}.{r}:{t}\n" for i, (r, t) in enumerate([(turns[0][0], first), *turns[1:]]))
+
+    rows = table(spark, [(1, i, "user", f"text {i}") for i in range(40)])
+    got = chat.format_turns(rows, template).collect()
+    assert sorted(r.position for r in got if r.rewrites) == [19, 20]
+
+
 def test_registered_query(spark):
     sf_dir = "/root/testdata/sf0.01"
     turns = {}
