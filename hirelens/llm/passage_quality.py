@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_remainder, pieces_of, texts_of
+from .common import checkpointed, chunks, crc_remainder, pieces_of, texts_of
 
 WORDS, PAIRS, HIDDEN, ATTENTION = 48, 96, 24, 12
 #: Labelled documents per class that the classifier is fitted on (those of the smallest hash
-#: of their id), and passages of each that it sees (spread evenly over the document).
-SAMPLE, SAMPLE_PASSAGES = 800, 256
+#: of their id), and passages of all of them, half for each class.
+SAMPLE, PASSAGES = 800, 100_000
 STEPS, RATE, DECAY, SEED = 200, 0.01, 1e-4, 7
 #: Bytes handled at a time.
 CHUNK = 1_000_000
@@ -196,23 +196,29 @@ def fit(rows: np.ndarray, owner: np.ndarray, target: np.ndarray, odds: float) ->
 
 
 def _passage_rows(text: Column) -> Column:
-    """Features of up to SAMPLE_PASSAGES passages of a text, spread evenly, as packed floats."""
+    """Features of all passages of a text, as packed floats."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             texts = texts_of(batch)
             rows, owner = passages(texts)
             edges = np.searchsorted(owner, np.arange(len(texts) + 1))
-            out = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                picked = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(int))
-                out.append(rows[picked].tobytes())
-            yield pa.array(out, pa.binary())
+            yield pa.array([rows[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "binary")(text)
 
 
+def _fitting(sizes: list[tuple[int, int]], room: int) -> list[int]:
+    """Of (id, passages) the ids that fit into the room, each taken in turn if it still does."""
+    out = []
+    for ident, n in sizes:
+        if n <= room:
+            out.append(ident)
+            room -= n
+    return out
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -224,9 +230,10 @@ def train(
 ) -> Model:
     """Fit the classifier to labelled documents outside the held-out fold (crc32 of the id as
     text, modulo ``folds``, is 0). At most ``sample`` documents of each class are used, those
-    with the smallest hash of their id. Null labels and ids are left out; of several labels
-    of an id the largest counts. Without labels of both classes every score is the share of
-    label 1 among the labels, 0.5 without any."""
+    with the smallest hash of their id, each with all its passages; one that doesn't fit any more into
+    the class's half of ``PASSAGES`` is passed over. Null labels and ids are left out; of several labels
+    of an id the largest counts, of several texts the last in order. Without labels of both classes
+    every score is the share of label 1 among the labels, 0.5 without any."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     known = known.filter(crc_remainder("id", folds) != 0)
@@ -235,8 +242,12 @@ def train(
     chosen = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].union(chosen[1]))  # 2 * sample rows at most
     found = texts.join(chosen, "id").groupBy("id", "y").agg(F.max("text").alias("text"))
-    bags = found.select("id", "y", _passage_rows(F.col("text")).alias("x")).collect()
-    bags.sort(key=lambda r: r.id)
+    bags = checkpointed(found.select("id", "y", _passage_rows(F.col("text")).alias("x")))
+    sizes = bags.select("id", "y", F.xxhash64("id").alias("h"), F.expr(f"octet_length(x) div {4 * FEATURES}").alias("n"))
+    sizes = sorted(sizes.collect(), key=lambda r: (r.h, r.id))  # 2 * sample rows at most
+    taken = {i for y in (0, 1) for i in _fitting([(r.id, r.n) for r in sizes if r.y == y], PASSAGES // 2)}
+    bags = bags if len(taken) == len(sizes) else bags.filter(F.col("id").isin(list(taken)))
+    bags = sorted(bags.collect(), key=lambda r: r.id)
     target = np.array([r.y for r in bags])
     one, all_ = counts.get(1, 0), max(1, sum(counts.values()))
     if len(set(target)) < 2:

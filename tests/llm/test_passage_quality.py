@@ -93,3 +93,55 @@ def test_edge_rows(spark, docs):
     scores = df.select(Q.score("text", one_class).alias("a"), Q.score("text", none).alias("b")).collect()
     assert all(r.a > 0.99 and abs(r.b - 0.5) < 1e-9 for r in scores)
     assert docs([]).select(Q.score(F.col("text"), model)).collect() == []
+
+
+def plain_features(words):
+    """Features of one passage (words with the white space before them), by counting."""
+    kinds, pairs = np.zeros(Q.KINDS), np.zeros(Q.PAIRS)
+    table = Q._byte_classes()
+    for space, word in words:
+        for c in space + word:
+            kinds[table[c]] += 1
+        low = bytes(c | 32 if 65 <= c <= 90 else c for c in word)
+        for a, b in zip(low, low[1:]):
+            pairs[((a << 8 | b) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % Q.PAIRS] += 1
+    texts = [bytes(c | 32 if 65 <= c <= 90 else c for c in w) for _, w in words]
+    size = np.array([len(w) for w in texts])
+    last = [w[-1] for _, w in words]
+    share = lambda marks: sum(marks) / len(words)
+    rest = [
+        len(words) / Q.WORDS, size.mean() / 10, size.std() / 10, share(a == b for a, b in zip(texts, texts[1:])),
+        len(set(texts)) / len(words), share(chr(c) in Q.SIGNS for c in last), share(size <= 2), share(size >= 20),
+    ]
+    return np.concatenate([np.sqrt(kinds / max(1, kinds.sum())), np.sqrt(pairs / max(1, pairs.sum())), rest])
+
+
+def test_score_equals_a_plain_document_by_document_computation():
+    import re
+
+    rng = np.random.default_rng(3)
+    vocabulary = ["Word", "the", "THE", "rain!", "x", "é\u00fc", "12%", "aaaaaaaaaaaaaaaaaaaaaaaa", "end."]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 5, 48, 49, 130, 400)]
+    m = {k: rng.normal(size=s) for k, s in {
+        "W": (Q.FEATURES, Q.HIDDEN), "b": (Q.HIDDEN,), "V": (Q.HIDDEN, Q.ATTENTION), "U": (Q.HIDDEN, Q.ATTENTION),
+        "a": (Q.ATTENTION,), "c": (Q.HIDDEN,)}.items()} | {"d": np.array(0.3)}
+    model = Q.Model(np.zeros(Q.FEATURES), np.ones(Q.FEATURES), m, 0.2)
+    rows, owner = Q.passages(texts)
+    got = model.score(rows, owner, len(texts))
+    for i, text in enumerate(texts):
+        words = re.findall(rb"([ \n]*)([^ \n]+)", text.encode() + b"\n")
+        parts = [words[j : j + Q.WORDS] for j in range(0, len(words), Q.WORDS)]
+        x = []
+        for j, part in enumerate(parts):  # the space behind a passage's last word is its own
+            part = [(b"" if k == 0 else s, w) for k, (s, w) in enumerate(part)]
+            x.append(plain_features(part))
+        kinds = slice(Q.KINDS, None)
+        assert np.allclose(rows[owner == i][:, kinds], np.array(x)[:, kinds], atol=1e-5)
+        h = [np.tanh(f @ m["W"] + m["b"]) for f in rows[owner == i].astype(float)]
+        gate = [np.exp((np.tanh(v @ m["V"]) / (1 + np.exp(-(v @ m["U"])))) @ m["a"]) for v in h]
+        pooled = sum(g * v for g, v in zip(gate, h)) / sum(gate)
+        assert abs(got[i] - 1 / (1 + np.exp(-(pooled @ m["c"] + 0.3 + 0.2)))) < 1e-4
+
+
+def test_room_for_passages():
+    assert Q._fitting([(1, 5), (2, 90), (3, 4), (4, 2)], 10) == [1, 3]
