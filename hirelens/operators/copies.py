@@ -47,11 +47,14 @@ def split_copies(df: DataFrame) -> DataFrame:
     Adds the number of the piece as ``piece``, so that a sort or a shuffle that
     includes it can place the pieces of one row in different tasks.
     """
-    if "copies" not in df.columns:
-        return df
+    return _pieces(df, 0) if "copies" in df.columns else df
+
+
+def _pieces(df: DataFrame, first: int) -> DataFrame:
+    """Pieces of counted rows, from the one numbered ``first`` on."""
     per_row = C.COPIES_PER_ROW
     last = F.expr(f"cast((copies - 1) div {per_row} as int)")
-    pieces = df.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
+    pieces = df.withColumn("piece", F.explode(F.sequence(F.lit(first), last)))
     rest = F.col("copies") - F.col("piece").cast("long") * F.lit(per_row)
     return pieces.withColumn("copies", F.least(rest, F.lit(per_row)))
 
@@ -65,11 +68,14 @@ def repeat_copies(df: DataFrame) -> DataFrame:
 
 
 def expand_copies(df: DataFrame) -> DataFrame:
-    """Plain rows again, written out by whichever task each piece is dealt to."""
+    """Plain rows again. Every row writes its first ``config.COPIES_PER_ROW`` copies where the join
+    left it; only the pieces beyond them, where there are any, are dealt to other tasks."""
     if "copies" not in df.columns:
         return df
-    pieces = split_copies(df)
-    return repeat_copies(pieces.repartition(spread(df), *pieces.columns))
+    here = df.withColumn("copies", F.least("copies", F.lit(C.COPIES_PER_ROW)))
+    beyond = _pieces(df.where(F.col("copies") > C.COPIES_PER_ROW), 1)
+    beyond = beyond.repartition(spread(df), *beyond.columns)
+    return repeat_copies(here).unionByName(repeat_copies(beyond))
 
 
 def spread(df: DataFrame) -> int:

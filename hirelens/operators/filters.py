@@ -54,5 +54,9 @@ def missing_last(*columns: str) -> list[Column]:
 
 
 def sorted_report(df: DataFrame, *columns: str) -> DataFrame:
-    """Final order, missing values last."""
-    return df.orderBy(*missing_last(*columns))
+    """Final order, missing values last. Rows that are equal in ``columns`` are ordered by a hash of all
+    columns, so that one crowded value is cut over many tasks; the last key does the same for rows
+    that are equal in everything."""
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    ties = {"_tie": F.xxhash64(*hashed), "_copy": F.xxhash64(F.monotonically_increasing_id())}
+    return df.withColumns(ties).orderBy(*missing_last(*columns), *ties).drop(*ties)

@@ -23,27 +23,27 @@ def narrowed(t: Tables, ids: DataFrame, *names: str) -> tuple[Tables, SimpleName
     """The tables reduced to what belongs to the requisitions in ``ids``, and the named tables of
     labels, guarded.
 
-    One job counts the requisitions, their applications and the labels. Ids that are few are
-    broadcast, so the large tables that hang on an application or a person are cut down while
-    they are scanned, before any shuffle. Ids that are many are left to the joins of the report,
-    which drop the rest, with Spark's own choice of join and of filters at run time.
+    One job counts the labels, and two bring the ids of the requisitions and of their applications and people,
+    ``BROADCAST_ROWS`` at most each. Ids that are so few are kept as they came and sent to every task:
+    the large tables are cut down while they are scanned, before any shuffle, and the applications are read
+    once for their ids and once for the report. Ids that are more are left to the joins of the report, which
+    drop the rest, with Spark's own choice of join and of filters at run time.
     """
-    subs = t.submissions.join(ids, "requisition_id", "left_semi").select(*t.submissions.columns)
     labels = named(t, *names)
-    rows = sizes({"_ids": ids, "_subs": subs, **labels})
-    dims = SimpleNamespace(**marked(labels, rows))
-    if rows["_ids"] > C.BROADCAST_ROWS:
+    dims = SimpleNamespace(**marked(labels, sizes(labels)))
+    ids = _few(ids)
+    if ids is None:
         return t, dims
-    ids = F.broadcast(ids)
     titles = t.requisition_titles.join(ids, "requisition_id", "left_semi")
     subs = t.submissions.join(ids, "requisition_id", "left_semi").select(*t.submissions.columns)
     t = t.replace(requisition_titles=titles, submissions=subs)
-    if rows["_subs"] > C.BROADCAST_ROWS:
+    keys = _few(subs.select("submission_id", "person_id"))
+    if keys is None:
         return t, dims
-    few = {id: F.broadcast(subs.select(F.col(id).alias("_id"))) for id in ("submission_id", "person_id")}
 
     def belonging(table: str, key: str, id: str) -> DataFrame:
-        return getattr(t, table).join(few[id], F.col(key) == F.col("_id"), "left_semi")
+        few = F.broadcast(keys.select(F.col(id).alias("_id")))
+        return getattr(t, table).join(few, F.col(key) == F.col("_id"), "left_semi")
 
     by_submission = {
         "status_history": "subject_id",
@@ -55,3 +55,11 @@ def narrowed(t: Tables, ids: DataFrame, *names: str) -> tuple[Tables, SimpleName
         **{table: belonging(table, key, "submission_id") for table, key in by_submission.items()},
         **{table: belonging(table, "person_id", "person_id") for table in of_people},
     ), dims
+
+
+def _few(ids: DataFrame) -> DataFrame | None:
+    """The rows as a table of their own, for broadcast; None if they are more than ``BROADCAST_ROWS``."""
+    found = ids.limit(C.BROADCAST_ROWS + 1).collect()
+    if len(found) > C.BROADCAST_ROWS:
+        return None
+    return F.broadcast(ids.sparkSession.createDataFrame(found, ids.schema))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hirelens import config
 from hirelens.operators.copies import expand_copies, join_copies, join_matches, with_copies
@@ -31,3 +32,14 @@ def test_copies_of_both_sides_multiply(spark):
     assert bag(join_copies(left, spark.createDataFrame([(1,)], "k long"), ["k"])) == [
         (1, 2), (2, 3),
     ]
+
+
+def test_only_pieces_beyond_the_first_are_moved(spark, monkeypatch):
+    monkeypatch.setattr(config, "COPIES_PER_ROW", 10)
+    df = spark.range(0, 90, 1, 3).select("id", F.expr("if(id = 5, 25L, 3L)").alias("copies"))
+    df = df.withColumn("was", F.spark_partition_id())
+    rows = expand_copies(df).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 89 * 3 + 25
+    moved = [r for r in rows if r.task >= 3]
+    assert all(r.task == r.was for r in rows if r.task < 3)
+    assert len(moved) == 15 and {r.id for r in moved} == {5}

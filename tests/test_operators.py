@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hirelens import config as C
 from hirelens import operators as op
+from hirelens.operators import answers
 from tests.conftest import bag
 
 SUBS = "submission_id long, requisition_id long, person_id long"
@@ -112,6 +113,39 @@ def test_no_task_writes_a_crowded_application(spark, texts, sixteen_tasks):
     assert rows == 4_000_001 and most <= rows / 4
 
 
+def test_a_million_answers_of_one_application(spark, sixteen_tasks):
+    """Distinct answers to one question, and one to another: every answer once, by all tasks, and counted through
+    in ranges that are spread as well."""
+    fixed = [
+        F.lit(7).cast("long").alias("participant_id"), F.lit(1).cast("long").alias("subject_id"),
+        F.lit(4).alias("subscriber_id"), F.lit("SUBMISSION").alias("subject_code"),
+        F.lit("S").alias("status"), F.lit("CANDIDATE").alias("participant_type"),
+    ]
+    rows = spark.range(0, 1_000_000, 1, 16).select(*fixed, F.lit("1").alias("question_code"), F.col("id").cast("string").alias("long_text"))
+    rows = rows.union(spark.range(1).select(*fixed, F.lit("2"), F.lit("one")))
+    out = op.answers_wide(spark.createDataFrame([(1, 10, 7), (2, 10, 9)], SUBS), rows, CODES)
+    tasks = out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("a").alias("a")).collect()
+    assert sum(r.n for r in tasks) == 1_000_001 and sum(r.a for r in tasks) == 1_000_000
+    assert max(r.n for r in tasks) <= 250_000
+    entries = answers._blocks(
+        rows.select(F.col("subject_id").alias("submission_id"), F.col("participant_id").alias("person_id"), "question_code",
+                    "long_text", F.lit(1).cast("long").alias("copies")), 8)
+    blocks = entries.groupBy("question_code", "_block").agg(F.sum("copies").alias("n"))
+    sizes = blocks.groupBy("question_code").agg(F.max("n"), F.min("_block"), F.max("_block"), F.count("*")).collect()
+    assert sorted(map(tuple, sizes)) == [("1", 8, 0, 124_999, 125_000), ("2", 1, 0, 0, 1)]
+
+
+def test_one_crowded_value_is_sorted_by_all_tasks(spark, sixteen_tasks):
+    df = spark.range(0, 64_000, 1, 4).select(F.lit("same").alias("k"), (F.col("id") % 8000).alias("v"))
+    out = op.sorted_report(df, "k")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows go to one task again
+    spark.conf.set(merging, "false")
+    rows, most = busiest_task(out)
+    spark.conf.unset(merging)
+    assert rows == 64_000 and most <= rows / 4
+    assert out.columns == ["k", "v"] and out.collect() == op.sorted_report(df.repartition(7), "k").collect()
+
+
 def test_no_task_writes_a_crowded_person(spark, sixteen_tasks):
     rows = spark.range(2000).select(
         F.lit(7).cast("long").alias("person_id"), F.explode(F.array(F.lit("1"), F.lit("3"))).alias("ethnicity")

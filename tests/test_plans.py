@@ -124,17 +124,16 @@ def test_actions_while_a_report_is_built(stored, monkeypatch):
     for name in ("collect", "count", "first", "checkpoint", "toPandas"):
         action = getattr(frame, name)
         monkeypatch.setattr(frame, name, lambda self, *a, f=action, n=name, **k: ran.append(n) or f(self, *a, **k))
-    H.conviction_answers(stored, CONVICTION)
-    H.preference_answers(stored, PREFERENCE)
-    assert ran == []
-    for build in (
-        lambda: H.diversity_detail(stored, FIVE, AS_OF, NOW),
-        lambda: H.diversity_counts(stored, FIVE, AS_OF, NOW),
-        lambda: H.diversity_detail(stored, as_of=AS_OF, now=NOW, all_requisitions=True),
-        lambda: H.disclosure_list(stored, AS_OF, req_status="Open - Closed"),
+    for jobs, build in (
+        (1, lambda: H.conviction_answers(stored, CONVICTION)),
+        (1, lambda: H.preference_answers(stored, PREFERENCE)),
+        (3, lambda: H.diversity_detail(stored, FIVE, AS_OF, NOW)),
+        (3, lambda: H.diversity_counts(stored, FIVE, AS_OF, NOW)),
+        (1, lambda: H.diversity_detail(stored, as_of=AS_OF, now=NOW, all_requisitions=True)),
+        (3, lambda: H.disclosure_list(stored, AS_OF, req_status="Open - Closed")),
     ):
         build()
-        assert ran == ["collect"]
+        assert ran == ["collect"] * jobs
         ran.clear()
 
 
@@ -212,3 +211,20 @@ def test_catalog_tables(spark, stored, written):
 def test_unknown_tables_are_refused():
     with pytest.raises(ValueError):
         H.Tables({"nothing": None})
+
+
+@pytest.mark.parametrize("report, codes", [
+    (H.conviction_answers, CONVICTION), (H.preference_answers, PREFERENCE),
+])
+def test_answers_take_one_exchange_a_side(stored, report, codes, no_size_based_broadcast):
+    df = report(stored, codes)
+    text = plan(df)
+    assert exchange_keys(df) == [["submission_id", "person_id"]] * 2
+    assert "Window" not in text and "REPARTITION" not in text
+
+
+@pytest.mark.parametrize("build", [
+    lambda t: H.diversity_detail(t, FIVE, AS_OF, NOW), lambda t: H.diversity_counts(t, FIVE, AS_OF, NOW),
+])
+def test_chosen_requisitions_read_applications_once_for_the_report(stored, build):
+    assert len(scans(build(stored), "submissions")) == 1
