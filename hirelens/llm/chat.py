@@ -17,9 +17,9 @@ the joined spans, and where they differ, all turns are done again on true prefix
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,10 +56,19 @@ def unescape(text: str) -> str:
     return re.sub(r"<\\(\\*)\|", r"<\1|", text)
 
 
+def _marked_turn(role: str, text: str) -> str:
+    return f"{OPEN}{escape(role).replace(chr(10), BREAK)}\n{escape(text)}{CLOSE}"
+
+
+#: Turns stay the same from prefix to prefix. So many, of so many code points at most, are kept as they are marked.
+KEPT_TURNS, KEPT_CHARS = 20_000, 2000
+_kept_turn = lru_cache(KEPT_TURNS)(_marked_turn)
+
+
 def marked_turns(turns: Sequence[Turn]) -> str:
     """The template in use: marks turns, and escapes control strings inside roles and texts."""
     return "".join(
-        f"{OPEN}{escape(role).replace(chr(10), BREAK)}\n{escape(text)}{CLOSE}" for role, text in turns
+        [(_kept_turn if len(role) + len(text) <= KEPT_CHARS else _marked_turn)(role, text) for role, text in turns]
     )
 
 
@@ -83,13 +92,25 @@ def locate(render: Template, before: Sequence[Turn], turn: Turn, old: str | None
     return _located(render, before, turn, old, render([*before, turn]))
 
 
+def shared(a: str, b: str) -> int:
+    """Length of the common prefix, found by halves, so that long equal parts are compared as a whole."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def _located(render: Template, before: Sequence[Turn], turn: Turn, old: str, new: str) -> tuple[str, int, int, bool]:
     if not new.startswith(old):
-        return new[len(os.path.commonprefix([old, new])) :], 0, 0, True
+        return new[shared(old, new) :], 0, 0, True
     span = new[len(old) :]
     bare = render([*before, (turn[0], "")])
     probed = render([*before, (turn[0], PROBE)])
-    head = os.path.commonprefix([bare, probed])
+    head = bare[: shared(bare, probed)]
     tail = bare[len(head) :]
     if len(head) < len(old) or not (probed == head + PROBE + tail and new.startswith(head) and new.endswith(tail)):
         return span, len(span), len(span), False

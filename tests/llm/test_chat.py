@@ -139,6 +139,16 @@ def test_a_rewrite_that_is_undone_is_marked(spark):
     assert sorted(r.position for r in got if r.rewrites) == [19, 20]
 
 
+def test_shared_prefix():
+    import random
+    from os.path import commonprefix
+
+    rng = random.Random(1)
+    for _ in range(500):
+        a, b = ("".join(rng.choices("ab", k=rng.randint(0, 9))) for _ in range(2))
+        assert chat.shared(a, b) == len(commonprefix([a, b])) and chat.shared(a, a + b) == len(a)
+
+
 def test_registered_query(spark):
     sf_dir = "/root/testdata/sf0.01"
     turns = {}
