@@ -54,12 +54,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def among(frame: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose id is among ``ids`` (one column), or with ``left_anti`` those whose id is not. The
-    ids are broadcast once they are counted and found few; else Spark shuffles for the join."""
-    ids = checkpointed(ids.toDF("among_id"))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return frame.join(ids, frame[column] == ids["among_id"], how)
+def among(frame: DataFrame, columns: str | list[str], ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose id (one column or several) is among ``ids`` (as many), or with ``left_anti`` those whose
+    id is not. The ids are broadcast once they are counted and found few; else Spark shuffles for the join."""
+    columns = [columns] if isinstance(columns, str) else columns
+    ids = checkpointed(ids.toDF(*[f"among_{c}" for c in columns]))
+    on = [frame[c] == ids[f"among_{c}"] for c in columns]
+    return frame.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:

@@ -1,6 +1,8 @@
 """Near duplicates by MinHash with sequential Bayesian verification.
 
-Texts with the same set of word shingles form a class, which one document represents.
+Texts with the same set of word shingles form a class with a number of its own, which one
+document represents. All below goes by classes, not by ids, as rows that share an id may
+differ in their texts.
 Signatures of the representatives are cut into bands; classes that agree in a band are
 candidates. A candidate's signatures are compared in batches; after each batch it is
 dropped when the posterior probability that its similarity reaches the threshold is below
@@ -156,9 +158,14 @@ def _annotated(run, inputs: int = 1):
     return run
 
 
+def _key(shingles: np.ndarray) -> bytes:
+    """The hash that tells a shingle set from others."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sketches(texts: DataFrame, words: int) -> DataFrame:
-    """(id, n, key, signature) of rows (id, text): the size of the shingle set, a hash of the set,
-    and its signature, null for an empty set."""
+    """(id, mark, n, key, signature) of rows (id, text, mark): the size of the shingle set, a hash of
+    the set, and its signature, null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,14 +176,15 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(2).slice(lo, hi - lo),
                         pa.array(map(len, sets), pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array(map(_key, sets), pa.binary()),
                         pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["id", "n", "key", "signature"],
+                    ["id", "mark", "n", "key", "signature"],
                 )
 
-    return texts.mapInArrow(run, "id long, n long, key binary, signature binary")
+    return texts.mapInArrow(run, "id long, mark long, n long, key binary, signature binary")
 
 
 def _signature_matrix(column: pa.Array) -> np.ndarray:
@@ -206,15 +214,25 @@ def survives(left: Column, right: Column, percent: int, miss: float) -> Column:
 
 
 def packed_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(id, x) of rows (id, text): the shingle set as packed numbers."""
+    """(id, key, x) of rows (id, text) with words: the hash of the shingle set, and the set as packed
+    numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, part in pieces_of(batch.column(1), CHUNK):
-                sets = pa.array([s.tobytes() for s in shingle_sets(part, words)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), sets], ["id", "x"])
+                sets = list(shingle_sets(part, words))
+                columns = [pa.array(map(_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], ["id", "key", "x"])
+
+    return texts.mapInArrow(run, "id long, key binary, x binary").filter(F.octet_length("x") > 0)
 
-    return texts.mapInArrow(run, "id long, x binary")
+
+def _sets_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, x): the packed sets of the given classes. A representative's texts of another class are
+    left out by their keys."""
+    wanted = checkpointed(among(classes, "node", nodes).select(F.col("rep").alias("id"), "key", "node"))
+    sets = packed_sets(among(texts, "id", wanted.select("id").distinct()).select("id", "text"), words)
+    return checkpointed(sets.dropDuplicates(["id", "key"]).join(wanted, ["id", "key"]).select("node", "x"))
 
 
 def similar_sets(left: Column, right: Column, percent: int) -> Column:
@@ -239,45 +257,53 @@ def near_duplicates(
     words: int = 5,
     percent: int = 80,
     miss: float = MISS,
+    detail: bool = False,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept): one row per row of ``docs``.
 
     Documents with 100 * shingles in common >= percent * shingles of both link; component_id
     is the smallest id that links lead to, the document's own included, and kept says that
     it is the document's own. Null and empty texts, and texts of white space, have no
-    shingles and link with nothing. Rows that repeat an id are copies of one document if
-    their texts agree; rows without an id link with nothing, have a null component and are
-    kept. An empty table gives an empty result.
+    shingles and link with nothing. Rows that share an id are documents of their own, each
+    linked by its own text; the shared id alone links nothing. Rows without an id link with nothing,
+    have a null component and are kept. An empty table gives an empty result.
+
+    With ``detail`` two columns follow: group, a number that rows have in common if and only if
+    links lead from one to the other (null without shingles or id; not the same in another run),
+    and mark, the xxhash64 of the text (null as empty), which tells rows of one id apart.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn(
+        "mark", F.xxhash64(F.coalesce("text", F.lit("")))
+    )
     sketched = checkpointed(sketches(texts, words))
     first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     signed = sketched.filter("id is not null and n > 0").withColumn("place", first).filter("place = 1")
-    signed = checkpointed(signed.select(F.col("id").alias("rep"), "key", "signature"))
-    classes, signed = signed.select("key", "rep"), signed.select("rep", "signature")
-    banded = signed.select("rep", F.explode(band_keys(F.col("signature"))).alias("band"))
-    groups = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    grouped = checkpointed(banded.join(groups, "band"))
-
-    stars = grouped.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = checkpointed(stars)
-    needed = checkpointed(among(signed, "rep", _ends(stars)))
+    signed = signed.select(F.col("id").alias("rep"), "key", "signature")
+    signed = checkpointed(signed.withColumn("node", F.monotonically_increasing_id()))
+    classes, signed = signed.select("key", "rep", "node"), signed.select("node", "rep", "signature")
+    banded = signed.select("node", "rep", F.explode(band_keys(F.col("signature"))).alias("band"))
+    groups = banded.groupBy("band").agg(F.min_by("node", "rep").alias("centre"), F.count("*").alias("n"))
+    grouped = checkpointed(banded.drop("rep").join(groups.filter("n > 1"), "band"))
+
+    stars = grouped.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    stars, signed = checkpointed(stars), signed.drop("rep")
+    needed = checkpointed(among(signed, "node", _ends(stars)).select("node", "signature"))
     a, b = (needed.toDF(x, f"s_{x}") for x in "ab")
     likely = stars.join(a, "a").join(b, "b").filter(survives(F.col("s_a"), F.col("s_b"), percent, miss))
-    links = checkpointed(_verified(likely.select("a", "b"), texts, words, percent))
+    links = checkpointed(_verified(likely.select("a", "b"), classes, texts, words, percent))
     first = checkpointed(components(links))
 
-    more = checkpointed(_across(grouped, first, signed, texts, words, percent, miss))
+    more = checkpointed(_across(grouped, first, signed, classes, texts, words, percent, miss))
     if not more.isEmpty():
         first = checkpointed(components(first.select("id", "component").union(more)))
-    return _result(sketched, classes, first, id_col)
+    found = _result(sketched, classes, first, id_col)
+    return found if detail else found.drop("group", "mark")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs of classes whose full sets are similar enough."""
     pairs = checkpointed(pairs)
-    sets = packed_sets(among(texts, "id", _ends(pairs)).select("id", "text"), words)
-    sets = checkpointed(sets.filter(F.octet_length("x") > 0).dropDuplicates(["id"]))
+    sets = _sets_of(_ends(pairs), classes, texts, words)
     a, b = sets.toDF("a", "x_a"), sets.toDF("b", "x_b")
     joined = pairs.join(a, "a").join(b, "b")
     return joined.filter(similar_sets(F.col("x_a"), F.col("x_b"), percent)).select("a", "b")
@@ -288,7 +314,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _across(
-    grouped: DataFrame, found: DataFrame, signed: DataFrame, texts: DataFrame, words: int, percent: int, miss: float
+    grouped: DataFrame,
+    found: DataFrame,
+    signed: DataFrame,
+    classes: DataFrame,
+    texts: DataFrame,
+    words: int,
+    percent: int,
+    miss: float,
 ) -> DataFrame:
     """Links (a, b) between classes of one band group but of different components.
 
@@ -296,19 +329,19 @@ def _across(
     signatures alone which classes have a candidate there; only the full sets of these are
     sent to the same task again, which compares the candidates' sets. Neither time does a pair
     leave a task that is no link."""
-    placed = grouped.join(found, grouped["rep"] == found["id"], "left").select(
-        "band", "rep", "n", F.coalesce("component", "rep").alias("component")
+    placed = grouped.join(found, grouped["node"] == found["id"], "left").select(
+        "band", "node", "n", F.coalesce("component", "node").alias("component")
     )
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = checkpointed(placed.join(mixed.filter("low != high").select("band"), "band", "left_semi"))
-    signed = checkpointed(among(signed, "rep", placed.select("rep").distinct()).select("rep", "signature"))
+    signed = checkpointed(among(signed, "node", placed.select("node").distinct()).select("node", "signature"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    placed = placed.select("band", "rep", "component", blocks.alias("blocks"), own.alias("own"))
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    placed = placed.select("band", "node", "component", blocks.alias("blocks"), own.alias("own"))
     tasks = placed.select(
-        "band", "rep", "component", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
+        "band", "node", "component", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
     ).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "own"
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own"
     )
 
     def candidates(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
@@ -319,22 +352,21 @@ def _across(
     def links(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         return _linked(rows, *_compared(rows, starts, percent, miss), percent)
 
-    kinds = "band long, i int, j int, rep long, component long, own int"
-    needed = checkpointed(_by_group(tasks.join(signed, "rep"), candidates, kinds))
-    sets = among(texts, "id", needed.select("rep").distinct()).select("id", "text")
-    sets = checkpointed(packed_sets(sets, words).filter(F.octet_length("x") > 0).dropDuplicates(["id"]))
-    full = needed.join(signed, "rep").join(sets, needed["rep"] == sets["id"]).drop("id")
+    kinds = "band long, i int, j int, node long, component long, own int"
+    needed = checkpointed(_by_group(tasks.join(signed, "node"), candidates, kinds))
+    sets = _sets_of(needed.select("node").distinct(), classes, texts, words)
+    full = needed.join(signed, "node").join(sets, "node")
     return _by_group(full, links, "a long, b long").distinct()
 
 
 #: Columns of a class in a task.
-GROUPED = ["band", "i", "j", "rep", "component", "own"]
+GROUPED = ["band", "i", "j", "node", "component", "own"]
 
 
 def _by_group(rows: DataFrame, work, kinds: str) -> DataFrame:
     """Apply ``work`` to the rows of whole (band, i, j) groups, as many as an Arrow batch ends."""
     rows = rows.select(*GROUPED, *[c for c in ("signature", "x") if c in rows.columns])
-    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "rep")
+    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -362,7 +394,7 @@ def _group_starts(rows: pa.Table) -> np.ndarray:
 def _compared(rows: pa.Table, starts: np.ndarray, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each group's pairs across components those that no batch drops, as row numbers. A pair
     that meets in several bands belongs to the first of them."""
-    rep, comp, own, i, j, band = (rows[c].to_numpy() for c in ("rep", "component", "own", "i", "j", "band"))
+    node, comp, own, i, j, band = (rows[c].to_numpy() for c in ("node", "component", "own", "i", "j", "band"))
     marks = _signature_matrix(rows["signature"])
     keys = _bands(marks)
     kept, waiting, size = [np.zeros((2, 0), np.int64)], [], 0
@@ -384,7 +416,7 @@ def _compared(rows: pa.Table, starts: np.ndarray, percent: int, miss: float) ->
         right = left if i[a] == j[a] else np.flatnonzero(own[a:b] == j[a]) + a
         for part in np.array_split(left, max(1, len(left) * len(right) // PAIRS)):
             differ = comp[part][:, None] != comp[right]
-            x, y = np.nonzero(differ & (rep[part][:, None] < rep[right]) if i[a] == j[a] else differ)
+            x, y = np.nonzero(differ & (node[part][:, None] < node[right]) if i[a] == j[a] else differ)
             waiting.append(np.stack((part[x], right[y])))
             size += len(x)
             if size > PAIRS:
@@ -399,7 +431,7 @@ def _linked(rows: pa.Table, x: np.ndarray, y: np.ndarray, percent: int) -> pa.Re
     """Of candidate pairs (row numbers) those whose sets, column x, are similar enough."""
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-    rep, packed = rows["rep"].to_numpy(), rows["x"].to_pylist()
+    node, packed = rows["node"].to_numpy(), rows["x"].to_pylist()
     firsts = np.flatnonzero(np.diff(x, prepend=-1))
     out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
     for a, b in zip(firsts, np.append(firsts[1:], len(x)), strict=True):
@@ -411,21 +443,28 @@ def _linked(rows: pa.Table, x: np.ndarray, y: np.ndarray, percent: int) -> pa.Re
             at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
             both = np.add.reduceat(mine[at] == values, np.cumsum(sizes) - sizes, dtype=np.int64)
             near = 100 * both >= percent * (len(mine) + sizes - both)
-            out.append(np.stack((np.full(near.sum(), rep[x[a]]), rep[others[near]])))
+            out.append(np.stack((np.full(near.sum(), node[x[a]]), node[others[near]])))
     pairs = np.concatenate(out, axis=1)
     return pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in pairs], ["a", "b"])
 
 
 def _result(sketched: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    final = classes.join(found, classes["rep"] == found["id"], "left").select(
-        "key", F.coalesce("component", "rep").alias("component_id")
+    """The rows with the components of their classes; a component is named by its smallest id, once
+    for all its classes."""
+    linked = checkpointed(classes.join(found, classes["node"] == found["id"]).select("key", "rep", "component"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.select("key", "component").join(least, "component")
+    final = classes.join(linked, "key", "left").select(
+        "key", F.coalesce("component", "node").alias("group"), F.coalesce("least", "rep").alias("component_id")
     )
     alone = sketched["id"].isNull() | (sketched["n"] == 0)
-    rows = sketched.select("id", "n", F.when(~alone, F.col("key")).alias("key"))
+    rows = sketched.select("id", "mark", "n", F.when(~alone, F.col("key")).alias("key"))
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return rows.join(final, "key", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        "group",
+        "mark",
     )

@@ -78,6 +78,45 @@ def test_edge_rows(docs):
     assert minhash.near_duplicates(docs([])).collect() == []
 
 
+def test_rows_of_one_id_with_different_texts(docs):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(3, a), (9, a), (9, b), (9, b + " end"), (12, b + " end"), (12, None), (None, b), (20, a + " c"), (20, "c")]
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(docs(order), detail=True)
+        found = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=repr)
+        assert found == sorted([
+            (3, 76, 3, True), (9, 76, 3, False), (9, 76, 9, True), (9, 77, 9, True), (12, 77, 9, False),
+            (12, 0, 12, True), (0, 76, None, True), (20, 77, 3, False), (20, 1, 20, True),
+        ], key=repr)
+        groups = {(r.doc_id, r.n_shingles, r.component_id): r.group for r in got.collect()}
+        assert groups[3, 76, 3] == groups[9, 76, 3] == groups[20, 77, 3] != groups[9, 76, 9] == groups[12, 77, 9]
+        assert groups[12, 0, 12] is None and groups[None, 76, None] is None
+
+
+def test_two_texts_of_one_id_represent_both(docs, monkeypatch):
+    """Every id has two texts of different groups, so no class is told by its id."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    first, second = ([t for _, t in corpus(seed)] for seed in (4, 5))
+    n = min(len(first), len(second))
+    rows = [(i, t) for part in (first[:n], second[:n]) for i, t in enumerate(part)]
+    want = brute(list(enumerate(t for _, t in rows)), 3, 85)
+    got = minhash.near_duplicates(docs(rows), words=3, percent=85, detail=True).collect()
+    texts: dict = {}
+    for r in got:
+        texts.setdefault((r.doc_id, r.mark), []).append((r.n_shingles, r.component_id, r.group))
+    marks = {t: docs([(0, t)]).selectExpr("xxhash64(text)").first()[0] for t in {t for _, t in rows}}
+    least: dict = {}
+    for at, (_, c) in want.items():
+        least[c] = min(least.get(c, n), rows[at][0])
+    names: dict = {}
+    for at, (i, t) in enumerate(rows):
+        size, component = want[at]
+        for found in texts[i, marks[t]]:
+            assert found[:2] == (size, least[component])
+            assert names.setdefault(component, found[2]) == found[2]
+    assert len(set(names.values())) == len(names)
+
+
 def test_links_across_a_group_are_not_lost(docs):
     """A chain in which the first document is near none but its neighbour."""
     words = [f"w{i}" for i in range(60)]

@@ -60,3 +60,12 @@ def test_edge_rows(spark, docs):
     assert len(kept) == len(rows) - 1
     digests = corpus_pipeline.encode(spark, given.filter(F.col("doc_id").isin(20, 21)), SF).collect()
     assert {r.ids_sha256 for r in digests} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_rows_of_one_id_with_different_texts(spark, docs):
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(3, a), (9, a), (9, b), (9, b), (9, b + " end"), (9, "B" + b[1:]), (11, a + " end"), (15, "x"), (15, None), (15, "")]
+    for order in (rows, rows[::-1]):
+        kept = corpus_pipeline.near_duplicates(spark, docs(order), SF).collect()
+        left = sorted((r.doc_id, (r.text or "").split(" ")[0].lower()) for r in kept)
+        assert left == [(3, "a0"), (9, "b0"), (15, ""), (15, "x")]
