@@ -3,7 +3,7 @@ it kept, and its result is written as Parquet and read again.
 
 1. quality: documents that the passage classifier scores below the cut go.
 2. near_duplicates: of documents linked by shingles of five words at a similarity of 0.8 or more
-   one stays, that with the smallest id.
+   one stays, that with the smallest id. Different texts of one id are different documents.
 3. mixing: documents are chosen to the target weights of domains, languages and sources.
 4. encoding: whole texts become token ids, and are decoded again.
 
@@ -26,6 +26,8 @@ from hirelens.llm.common import among, checkpoint_folder, checkpointed, small_ba
 #: A document is taken once at most, and this share of all words is kept.
 SHARE, EPOCHS = 0.8, 1
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: What tells rows apart that share an id.
+ROW = ["doc_id", "mark"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,22 +39,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, and one row of rows that repeat an id."""
+    """One document of each group of near duplicates. Different texts of one id are documents of
+    their own; of rows that agree in id and text, or share an id and have no words, one stays."""
     docs = docs.select(*COLUMNS)
     small_batches(spark)
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    dropped = found.filter("not kept").select("doc_id").distinct()
-    return _once(among(docs, "doc_id", dropped, "left_anti"), found)
-
-
-def _once(kept: DataFrame, found: DataFrame) -> DataFrame:
-    """Of rows that repeat an id one, the first by its text; only such rows are moved."""
+    found = checkpointed(minhash.near_duplicates(docs, words=5, percent=80, detail=True))
+    dropped = found.filter("not kept").select(*ROW).distinct()
     again = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     again = checkpointed(again.filter("n > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept
-    first = among(kept, "doc_id", again).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    return among(kept, "doc_id", again, "left_anti").unionByName(first.select("doc_id", "row.*"))
+    marked = docs.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    if not again.isEmpty():
+        alone = among(marked, "doc_id", again, "left_anti")
+        once = _once(among(marked, "doc_id", again), among(found, "doc_id", again))
+        return among(alone, ROW, dropped, "left_anti").unionByName(once).select(*COLUMNS)
+    return among(marked, ROW, dropped, "left_anti").select(*COLUMNS)
+
+
+def _once(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Of rows that share their ids with others one of each group, the first by its mark; only such
+    rows are moved."""
+    stay = found.filter("kept").groupBy("doc_id", "group").agg(F.min("mark").alias("mark")).select(*ROW).distinct()
+    first = among(rows, ROW, stay).groupBy(*ROW).agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return first.select(*ROW, "row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
