@@ -8,7 +8,7 @@ from .plans import (
     diversity_detail,
     preference_answers,
 )
-from .sources import Tables
+from .sources import Tables, save_bucketed
 
 __all__ = [
     "Tables",
@@ -18,4 +18,5 @@ __all__ = [
     "diversity_counts_union",
     "diversity_detail",
     "preference_answers",
+    "save_bucketed",
 ]

@@ -1,0 +1,134 @@
+"""Tables written in buckets: the same reports, and no shuffle of what is bucketed."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import hirelens as H
+from hirelens.sources import BUCKET_KEYS, SCHEMAS, save_bucketed
+from testing.overlay import AS_OF, CONVICTION, NOW, PREFERENCE
+from tests.conftest import SF_DIR, bag
+
+BUCKETS = 4
+
+
+@pytest.fixture(scope="module")
+def database(spark, tmp_path_factory):
+    from testing.overlay import overlay_tables
+
+    spark.sql("create database bucketed location '%s'" % tmp_path_factory.mktemp("bucketed"))
+    save_bucketed(overlay_tables(spark, SF_DIR), "bucketed", BUCKETS)
+    yield "bucketed"
+    spark.sql("drop database bucketed cascade")
+
+
+@pytest.fixture
+def sorted_joins(spark):
+    """Tables as large as those of the reports are never broadcast by size."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def exchanges(df) -> list[str]:
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+
+
+def same(one, other) -> bool:
+    return one.exceptAll(other).count() == other.exceptAll(one).count() == 0
+
+
+def test_answers_need_no_exchange(spark, database, overlay, sorted_joins):
+    t = H.Tables.from_catalog(spark, database)
+    for report, codes in ((H.conviction_answers, CONVICTION), (H.preference_answers, PREFERENCE)):
+        for mode in ("all", "one"):
+            one = report(t, codes, mode=mode)
+            assert exchanges(one) == []
+            assert exchanges(report(overlay, codes, mode=mode))
+            assert same(one, report(overlay, codes, mode=mode))
+
+
+def test_facts_are_folded_and_joined_where_they_lie(spark, database, overlay, sorted_joins):
+    t = H.Tables.from_catalog(spark, database)
+    for report, arguments in (
+        (H.disclosure_list, {"as_of": AS_OF}),
+        (H.diversity_detail, {"as_of": AS_OF, "now": NOW, "all_requisitions": True}),
+        (H.diversity_counts, {"as_of": AS_OF, "now": NOW, "all_requisitions": True}),
+    ):
+        one, other = report(t, **arguments), report(overlay, **arguments)
+        assert len(exchanges(one)) < len(exchanges(other))
+        # Applications move to their persons; no table of persons moves, folded or not.
+        assert sum(re.match(r"person_id#\d+L, \d+$", e) is not None for e in exchanges(one)) == 1
+        for column in ("reason_id", "candidate_name", "gender"):
+            assert not [e for e in exchanges(one) if column in e]
+        assert same(one, other)
+
+
+def test_all_tables_are_written_whole(spark, database, overlay):
+    for name in SCHEMAS:
+        written = spark.table(f"{database}.{name}")
+        assert same(written, getattr(overlay, name))
+        described = {r[0]: r[1] for r in spark.sql(f"describe extended {database}.{name}").collect()}
+        if name in BUCKET_KEYS:
+            assert described["Num Buckets"] == str(BUCKETS)
+            assert described["Bucket Columns"] == str([f"`{c}`" for c in BUCKET_KEYS[name]]).replace("'", "")
+        else:
+            assert "Num Buckets" not in described
+
+
+def test_a_crowded_key_is_written_by_several_tasks(spark, tmp_path, make_tables):
+    answers = spark.range(200_000, numPartitions=4).select(
+        F.lit(7).cast("long").alias("participant_id"),
+        F.lit(5).cast("long").alias("subject_id"),
+        F.lit(4).alias("subscriber_id"),
+        F.lit("SUBMISSION").alias("subject_code"),
+        F.lit("S").alias("status"),
+        F.lit("CANDIDATE").alias("participant_type"),
+        F.lit("Q1").alias("question_code"),
+        F.sha2(F.col("id").cast("string"), 256).alias("long_text"),
+    )
+    t = make_tables(submissions=[(5, 1, 7, 1, 1, "Y"), (6, 1, 7, 1, 1, "Y")]).replace(questionnaire_responses=answers)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "1m")
+    spark.sql(f"create database crowded location '{tmp_path}/db'")
+    try:
+        save_bucketed(t, "crowded", BUCKETS, str(tmp_path))
+    finally:
+        spark.conf.unset(key)
+    try:
+        written = spark.table("crowded.questionnaire_responses")
+        assert written.select(F.input_file_name()).distinct().count() > 1
+        rows = H.conviction_answers(H.Tables.from_catalog(spark, "crowded"), {"first": "Q1", "second": "Q2"})
+        assert rows.count() == 200_001
+        assert rows.where("submission_id = 5").select("first").distinct().count() == 200_000
+        assert rows.where("submission_id = 6 and first is null and second is null").count() == 1
+    finally:
+        spark.sql("drop database crowded cascade")
+
+
+def test_existing_tables_stay(spark, database, overlay, make_tables):
+    before = bag(spark.table(f"{database}.states"))
+    with pytest.raises(ValueError, match="exists"):
+        save_bucketed(make_tables(), database, BUCKETS)
+    with pytest.raises(ValueError, match="at least 1"):
+        save_bucketed(overlay, database, 0)
+    assert bag(spark.table(f"{database}.states")) == before
+
+
+def test_a_table_that_another_stands_in_for_may_be_missing(spark, tmp_path, make_tables):
+    t = make_tables(lookups=[("SEX", "F", "Female")])
+    spark.sql(f"create database partial location '{tmp_path}/db'")
+    try:
+        save_bucketed(t, "partial", 2, str(tmp_path))
+        assert not spark.catalog.tableExists("partial.person_lookups")
+        read = H.Tables.from_catalog(spark, "partial")
+        assert bag(read.person_lookups) == [("SEX", "F", "Female")]
+        assert H.conviction_answers(read).count() == 0
+        with pytest.raises(AttributeError):
+            save_bucketed(H.Tables.from_frames({"lookups": t.lookups}), "partial", 2)
+    finally:
+        spark.sql("drop database partial cascade")
