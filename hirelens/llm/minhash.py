@@ -355,7 +355,7 @@ def _across(
     kinds = "band long, i int, j int, node long, component long, own int"
     needed = checkpointed(_by_group(tasks.join(signed, "node"), candidates, kinds))
     sets = _sets_of(needed.select("node").distinct(), classes, texts, words)
-    full = needed.join(signed, "node").join(sets, "node")
+    full = needed.join(sets.join(signed, "node"), "node")
     return _by_group(full, links, "a long, b long").distinct()
 
 
