@@ -230,13 +230,7 @@ def _links(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     centres = sample[farthest_first(sample, int(min(CENTRES, max(1, count // CELL))))[0]]
     placed = checkpointed(classes.select("rep", "mark", "copies", "x", _nearest(centres)(F.col("x")).alias("c")).select("rep", "mark", "copies", "x", "c.*"))
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()
-    first, parts, pairs = _sections(cells, centres, cosine)
-    spark = classes.sparkSession
-    spot = spark.createDataFrame([(int(c), first[c], parts[c]) for c in first], "cell int, first int, parts int")
-    tasks = spark.createDataFrame(pairs, "section int, i int, j int")
-    own = (F.col("first") + F.pmod(F.xxhash64("rep", "mark"), F.col("parts"))).cast("int")
-    dealt = placed.join(spot, "cell").withColumn("section", own).join(tasks, "section")
-    dealt = dealt.select("i", "j", "section", "rep", "mark", "copies", "x")
+    dealt = _dealt(placed, *_sections(cells, centres, cosine))
 
     def run(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
@@ -291,30 +285,42 @@ def _nearest(centres: np.ndarray):
     return F.arrow_udf(run, "struct<cell: int, apart: double>")
 
 
-def _sections(cells: list, centres: np.ndarray, cosine: float) -> tuple[dict, dict, list]:
-    """Sections of cells: the first section and number of sections of each cell, and for each
-    section the tasks (i, j) that it takes part in. A large cell is cut into several sections by
-    a hash; small ones share a section. At most CENTRES cells come here."""
-    first, parts, number, filled = {}, {}, -1, SECTION
+def _dealt(placed: DataFrame, runs: list, of_cell: dict, meeting: list) -> DataFrame:
+    """Each vector once for every pair (i, j) of sections that its own section takes part in."""
+    spark = placed.sparkSession
+    spot = spark.createDataFrame([(c, k, *runs[k]) for c, k in of_cell.items()], "cell int, run int, first int, parts int")
+    others = spark.createDataFrame([(k, *runs[m]) for k, m in meeting], "run int, start int, many int")
+    own = (F.col("first") + F.pmod(F.xxhash64("rep", "mark"), F.col("parts"))).cast("int")
+    other = F.explode(F.sequence("start", F.col("start") + F.col("many") - 1)).alias("other")
+    dealt = placed.join(F.broadcast(spot), "cell").withColumn("section", own).join(F.broadcast(others), "run")
+    dealt = dealt.select("section", "rep", "mark", "copies", "x", other)
+    i, j = F.least("section", "other").alias("i"), F.greatest("section", "other").alias("j")
+    return dealt.select(i, j, "section", "rep", "mark", "copies", "x")
+
+
+def _sections(cells: list, centres: np.ndarray, cosine: float) -> tuple[list, dict, list]:
+    """Runs of sections as (first section, how many), the run of each cell, and which runs meet, both
+    ways and each with itself. A cell of more than a section's vectors is a run of several sections,
+    dealt by a hash; smaller cells share a run of one. There are at most CENTRES cells, so no more
+    runs: what comes here does not grow with the vectors, whose sections Spark pairs."""
+    runs: list[tuple[int, int]] = []
     members: list[list[int]] = []
-    sizes = {r.cell: r.n for r in cells}
-    radius = {r.cell: r.radius for r in cells}
-    for c in sorted(sizes):
-        if filled + sizes[c] > SECTION or sizes[c] > SECTION:
-            number, filled = number + 1, 0
+    filled, number = SECTION, 0
+    for cell in sorted(cells, key=lambda r: r.cell):
+        if filled + cell.n > SECTION:
+            parts, filled = -(-cell.n // SECTION), 0
+            runs.append((number, parts))
             members.append([])
-        first[c], parts[c] = number, max(1, -(-sizes[c] // SECTION))
-        members[number].append(c)
-        filled += sizes[c]
-        for _ in range(parts[c] - 1):
-            number += 1
-            members.append([c])
-            filled = SECTION
+            number += parts
+        members[-1].append(cell.cell)
+        filled += cell.n
+    radius = {r.cell: r.radius for r in cells}
     apart = _distances(centres, centres)
     reach = sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    pairs = []
-    for i, a in enumerate(members):
-        for j in range(i, len(members)):
-            if any(apart[p, q] - radius[p] - radius[q] <= reach for p in a for q in members[j]):
-                pairs += [(s, i, j) for s in {i, j}]
-    return first, parts, pairs
+    meeting = [
+        (k, m)
+        for k, a in enumerate(members)
+        for m, b in enumerate(members)
+        if any(apart[p, q] - radius[p] - radius[q] <= reach for p in a for q in b)
+    ]
+    return runs, {c: k for k, some in enumerate(members) for c in some}, meeting

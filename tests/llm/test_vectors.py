@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from hirelens.llm import cover_tree, multiprobe, queries
@@ -55,6 +56,29 @@ def test_links_equal_all_pairs(spark, monkeypatch, sizes):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_pairs_of_sections_do_not_come_to_the_driver():
+    angle = np.linspace(0, np.pi, 200)
+    centres = np.stack((np.cos(angle), np.sin(angle)), axis=1)
+    cells = [Row(cell=i, n=10**9, radius=0.001) for i in range(200)]
+    runs, of_cell, meeting = cover_tree._sections(cells, centres, 0.9999)
+    assert len(runs) == len(of_cell) == 200 and len(meeting) <= 200 * 5
+    assert sum(parts for _, parts in runs) >= 200 * 10**9 // cover_tree.SECTION
+    assert all(a[0] + a[1] == b[0] for a, b in zip(runs, runs[1:]))
+
+
+def test_vectors_of_far_cells_are_not_copied_to_each_other(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "SECTION", 10)
+    centres = np.eye(6)
+    rows = [(i, i * 7, 1, [1.0] * 6, i % 6) for i in range(240)]
+    placed = spark.createDataFrame(rows, "rep long, mark long, copies long, x array<double>, cell int")
+    cells = [Row(cell=c, n=40, radius=0.1) for c in range(6)]
+    dealt = cover_tree._dealt(placed, *cover_tree._sections(cells, centres, 0.95)).collect()
+    # Four sections a cell, each of which meets itself and the other three.
+    assert len(dealt) == 240 * 4 == len({(r.rep, r.i, r.j) for r in dealt})
+    assert all(r.i <= r.j and r.section in (r.i, r.j) and r.i // 4 == r.j // 4 for r in dealt)
+    assert {(r.i, r.j) for r in dealt} == {(4 * c + a, 4 * c + b) for c in range(6) for a in range(4) for b in range(a, 4)}
+
+
 def test_rows_that_repeat_an_id(spark):
     got = cover_tree.near_duplicates(table(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0])]))
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1)]
