@@ -337,11 +337,12 @@ def _across(
     signed = checkpointed(among(signed, "node", placed.select("node").distinct()).select("node", "signature"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    placed = placed.select("band", "node", "component", blocks.alias("blocks"), own.alias("own"))
-    tasks = placed.select(
-        "band", "node", "component", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-    ).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own"
+    # Signatures meet a class once a group, before it is dealt to the tasks of the group.
+    placed = placed.join(signed, "node").select(
+        "band", "node", "component", "signature", blocks.alias("blocks"), own.alias("own")
+    )
+    tasks = placed.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own", "signature"
     )
 
     def candidates(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
@@ -353,7 +354,7 @@ def _across(
         return _linked(rows, *_compared(rows, starts, percent, miss), percent)
 
     kinds = "band long, i int, j int, node long, component long, own int"
-    needed = checkpointed(_by_group(tasks.join(signed, "node"), candidates, kinds))
+    needed = checkpointed(_by_group(tasks, candidates, kinds))
     sets = _sets_of(needed.select("node").distinct(), classes, texts, words)
     full = needed.join(sets.join(signed, "node"), "node")
     return _by_group(full, links, "a long, b long").distinct()
