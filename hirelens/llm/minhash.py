@@ -12,6 +12,9 @@ Classes of one band are first compared with one of them (a star, linear in the g
 Only where a group then still holds several components are other pairs compared, inside
 tasks over blocks of the group, and only those across components: links between classes
 of one component cannot change the result.
+
+Only what is dear and read more than once, or numbered, is written to the checkpoint folder: every
+file there costs its executor, on a local file system, the start of several processes.
 """
 
 from __future__ import annotations
@@ -230,9 +233,9 @@ def packed_sets(texts: DataFrame, words: int) -> DataFrame:
 def _sets_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(node, x): the packed sets of the given classes. A representative's texts of another class are
     left out by their keys."""
-    wanted = checkpointed(among(classes, "node", nodes).select(F.col("rep").alias("id"), "key", "node"))
+    wanted = among(classes, "node", nodes).select(F.col("rep").alias("id"), "key", "node")
     sets = packed_sets(among(texts, "id", wanted.select("id").distinct()).select("id", "text"), words)
-    return checkpointed(sets.dropDuplicates(["id", "key"]).join(wanted, ["id", "key"]).select("node", "x"))
+    return sets.dropDuplicates(["id", "key"]).join(wanted, ["id", "key"]).select("node", "x")
 
 
 def similar_sets(left: Column, right: Column, percent: int) -> Column:
@@ -287,11 +290,10 @@ def near_duplicates(
 
     stars = grouped.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     stars, signed = checkpointed(stars), signed.drop("rep")
-    needed = checkpointed(among(signed, "node", _ends(stars)).select("node", "signature"))
+    needed = among(signed, "node", _ends(stars)).select("node", "signature")
     a, b = (needed.toDF(x, f"s_{x}") for x in "ab")
     likely = stars.join(a, "a").join(b, "b").filter(survives(F.col("s_a"), F.col("s_b"), percent, miss))
-    links = checkpointed(_verified(likely.select("a", "b"), classes, texts, words, percent))
-    first = checkpointed(components(links))
+    first = checkpointed(components(_verified(likely.select("a", "b"), classes, texts, words, percent)))
 
     more = checkpointed(_across(grouped, first, signed, classes, texts, words, percent, miss))
     if not more.isEmpty():
@@ -303,7 +305,7 @@ def near_duplicates(
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs of classes whose full sets are similar enough."""
     pairs = checkpointed(pairs)
-    sets = _sets_of(_ends(pairs), classes, texts, words)
+    sets = checkpointed(_sets_of(_ends(pairs), classes, texts, words))
     a, b = sets.toDF("a", "x_a"), sets.toDF("b", "x_b")
     joined = pairs.join(a, "a").join(b, "b")
     return joined.filter(similar_sets(F.col("x_a"), F.col("x_b"), percent)).select("a", "b")
@@ -334,7 +336,7 @@ def _across(
     )
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = checkpointed(placed.join(mixed.filter("low != high").select("band"), "band", "left_semi"))
-    signed = checkpointed(among(signed, "node", placed.select("node").distinct()).select("node", "signature"))
+    signed = among(signed, "node", placed.select("node").distinct()).select("node", "signature")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     # Signatures meet a class once a group, before it is dealt to the tasks of the group.

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from hirelens.llm import minhash
+from hirelens.llm.common import checkpointed
 from hirelens.llm.components import components, forest
 
 
@@ -127,6 +128,19 @@ def test_links_across_a_group_are_not_lost(docs):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_no_frame_is_written_that_is_read_once_or_cheap(docs, monkeypatch):
+    """Every file in the checkpoint folder costs its executor the start of several processes. Across
+    groups (blocks of 3) no step may write more than the twelve frames that need it."""
+    written = []
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "checkpointed", lambda df: written.append(df.columns) or checkpointed(df))
+    rows = corpus(1)
+    got = minhash.near_duplicates(docs(rows), words=3, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85)
+    assert ["band", "i", "j", "node", "component", "own"] in written
+    assert len(written) <= 12 and ["node", "signature"] not in written
+
+
 def test_least_matches_follow_the_posterior():
     least = minhash.least_matches(85, 1e-6)
     assert len(least) == minhash.HASHES // minhash.BATCH
