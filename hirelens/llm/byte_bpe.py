@@ -25,7 +25,7 @@ from .pretokens import pieces
 
 #: Bytes of text whose results leave a task together, codepoints split at a time, and pre-tokens
 #: remembered by a worker.
-PIECE, CHUNK, CACHED = 4_000_000, 500_000, 150_000
+PIECE, CHUNK, CACHED = 1_000_000, 100_000, 150_000
 SHORT, NEVER = 64, 1 << 60
 
 

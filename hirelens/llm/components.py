@@ -38,7 +38,8 @@ def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
     return {x: root(x) for x in list(up)}
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition (a, b, neither null) as a forest."""
     roots: dict[int, int] = {}
     for batch in batches:
         new = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
@@ -51,13 +52,16 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, contracted: bool = False) -> DataFrame:
     """``edges``: two columns of node ids. Returns (id, component) of every node with a link
     to another one; component is the smallest id that links lead to. Nulls, loops and
-    repeated links change nothing; no link gives an empty result."""
+    repeated links change nothing; no link gives an empty result. ``contracted`` says that the edges
+    come from a task that has called :func:`contract` itself: a second Python operator in one stage
+    would give every executor twice the workers, which stay, each with its tables."""
     a, b = edges.columns
     links = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-    links = links.filter("a is not null and b is not null and a != b").mapInArrow(_contract, EDGE)
+    links = links.filter("a is not null and b is not null and a != b")
+    links = links if contracted else links.mapInArrow(contract, EDGE)
     links, seen = checkpointed(links.distinct()), None
     while True:
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

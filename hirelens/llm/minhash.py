@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from math import comb
 
 import numpy as np
@@ -30,13 +30,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import among, checkpointed, chunks, pieces_of
-from .components import components
+from .components import EDGE, components, contract
 
 HASHES, ROWS, BATCH = 128, 5, 32
 #: Probability with which a pair at the threshold may be dropped by its signatures.
 MISS = 1e-6
 #: Bytes of text handled at a time; members of a group compared in one task.
-CHUNK, BLOCK = 1_000_000, 512
+CHUNK, BLOCK = 200_000, 512
 #: Pairs of signatures compared at a time.
 PAIRS = 1 << 16
 MASK = (1 << 64) - 1
@@ -47,7 +47,7 @@ def _random(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, n, np.uint64)
 
 
-@cache
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64, and of its inverse."""
     base = int(_random(1, 1)[0]) | 1
@@ -76,7 +76,7 @@ def shingle_sets(texts: list[str], words: int) -> Iterator[np.ndarray]:
 def _hashed(split: list[list[bytes]], words: int) -> Iterator[np.ndarray]:
     lengths = np.fromiter((len(w) for ws in split for w in ws), np.int64)
     joined = np.frombuffer(b" ".join(w for ws in split for w in ws) + b" ", np.uint8)
-    up, down = _powers(1 << max(20, int(len(joined)).bit_length()))
+    up, down = _powers(1 << max(18, len(joined).bit_length()))
     sums = np.zeros(len(joined) + 1, np.uint64)
     np.cumsum(_random(2, 256)[joined] * up[: len(joined)], out=sums[1:])
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -238,19 +238,23 @@ def _sets_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int)
     return sets.dropDuplicates(["id", "key"]).join(wanted, ["id", "key"]).select("node", "x")
 
 
-def similar_sets(left: Column, right: Column, percent: int) -> Column:
-    """Whether 100 * intersection >= percent * union holds for two packed sets."""
+def similar_pairs(joined: DataFrame, percent: int) -> DataFrame:
+    """Of pairs with their packed sets (a, b, x_a, x_b) those (a, b) with 100 * intersection >= percent *
+    union, each partition's as a forest: the same nodes hang together, by as few links as that takes."""
 
-    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pairs in batches:
             out = []
-            for x, y in zip(*(p.to_pylist() for p in pairs), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(pairs.column(2), pairs.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 out.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.array(out, pa.bool_())
+            yield pairs.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    return F.arrow_udf(_annotated(run, 2), "boolean")(left, right)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return contract(similar(batches))
+
+    return joined.select("a", "b", "x_a", "x_b").mapInArrow(run, EDGE)
 
 
 def near_duplicates(
@@ -293,7 +297,8 @@ def near_duplicates(
     needed = among(signed, "node", _ends(stars)).select("node", "signature")
     a, b = (needed.toDF(x, f"s_{x}") for x in "ab")
     likely = stars.join(a, "a").join(b, "b").filter(survives(F.col("s_a"), F.col("s_b"), percent, miss))
-    first = checkpointed(components(_verified(likely.select("a", "b"), classes, texts, words, percent)))
+    links = _verified(likely.select("a", "b"), classes, texts, words, percent)
+    first = checkpointed(components(links, contracted=True))
 
     more = checkpointed(_across(grouped, first, signed, classes, texts, words, percent, miss))
     if not more.isEmpty():
@@ -303,12 +308,11 @@ def near_duplicates(
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of classes whose full sets are similar enough."""
+    """Links, a forest for each partition, between classes whose full sets are similar enough."""
     pairs = checkpointed(pairs)
     sets = checkpointed(_sets_of(_ends(pairs), classes, texts, words))
     a, b = sets.toDF("a", "x_a"), sets.toDF("b", "x_b")
-    joined = pairs.join(a, "a").join(b, "b")
-    return joined.filter(similar_sets(F.col("x_a"), F.col("x_b"), percent)).select("a", "b")
+    return similar_pairs(pairs.join(a, "a").join(b, "b"), percent)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

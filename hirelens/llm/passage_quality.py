@@ -24,8 +24,8 @@ WORDS, PAIRS, HIDDEN, ATTENTION = 48, 96, 24, 12
 #: of their id), and passages of all of them, half for each class.
 SAMPLE, PASSAGES = 800, 100_000
 STEPS, RATE, DECAY, SEED = 200, 0.01, 1e-4, 7
-#: Bytes handled at a time.
-CHUNK = 1_000_000
+#: Bytes of text that are scored, and those that features are taken of, at a time.
+PIECE, CHUNK = 1_000_000, 100_000
 
 SIGNS = '.,;:!?"\'-_#%&*$@|/\\<>()[]{}=+~^`'
 
@@ -273,7 +273,7 @@ def score(text: Column | str, model: Model) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
-            for lo, hi, texts in pieces_of(batch, CHUNK):
+            for lo, hi, texts in pieces_of(batch, PIECE):
                 rows, owner = passages(texts)
                 out.append(model.score(rows, owner, hi - lo))
             yield pa.array(np.concatenate(out).astype(np.float64) if out else [], pa.float64())

@@ -23,6 +23,8 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AT_SPACE, AT_WHITE, QUOTE, QUOTE_RV, Q
 STATES = 10
 LETTERS = (LETTER, STMD, R_V, E, L)
 BLOCK = 64
+#: Codepoints whose classes are asked for at a time.
+SPAN = 1 << 13
 
 
 def _next_state(state: int, kind: int) -> int:
@@ -92,12 +94,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def codepoint_classes() -> np.ndarray:
     """The class of every codepoint, letters and numbers as the tokenizer library has them."""
     table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     singles = {bytes([i]): i for i in range(256)}
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
         probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=singles, special_tokens={})
-        found = bytes(probe.encode_ordinary(every)).decode()
-        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+        for lo in range(0, 0x110000, SPAN):
+            some = "".join(chr(i) for i in range(lo, lo + SPAN) if not 0xD800 <= i < 0xE000)
+            found = bytes(probe.encode_ordinary(some)).decode()
+            table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     for kind, signs in ((SPACE, " "), (APOSTROPHE, "'"), (STMD, "stmd"), (R_V, "rv"), (E, "e"), (L, "l")):
         table[[ord(c) for c in signs]] = kind
     return table
